@@ -17,11 +17,11 @@ graph without comparing all pairs:
    documents always share a signature, at the size class of the larger one.
 3. *Stars.* In each signature's posting list every document is compared with the least unusual
    one (fewest rare tokens: the original among edited copies), which gives a linear number of
-   pairs. Lists of rare tokens are bounded by `frequent`; lists of combinations are never
-   gathered, but joined with their hub.
-4. *Rest.* Lists that still span several components go through further rounds with other hubs;
-   what is left after them is compared exhaustively, but only across components. No link is
-   lost and no list is cut.
+   pairs. Lists of rare tokens are bounded by `frequent`, and fall apart where sizes are too far
+   apart to link; lists of combinations are never gathered, but joined with their hub.
+4. *Rest.* Lists of combinations that still span several components go through further rounds
+   with other hubs; what any list has left is compared exhaustively, but only across components.
+   No link is lost and no list is cut.
 
 Exact copies (equal sets) are folded into one node before any of this.
 """
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import texthash
 from .common import connected_components, materialize, shuffle_partitions
 
-FLUSH = 2_000_000  # tokens that a task packs at once
+FLUSH = 1_000_000  # tokens that a task packs at once
 NODE_BITS = np.uint64(2**56 - 1)
 
 
@@ -90,7 +90,7 @@ def _frequencies(docs: DataFrame, words: int, parts: int) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in texthash.slices(batches, "text"):
             tokens, _ = texthash.shingle_sets(batch.column(0), words)
             if len(tokens):
                 held.append(tokens)
@@ -230,7 +230,7 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int) -> tuple[n
 
 
 def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int) -> DataFrame:
-    """(sig, node, n, hub, hub_n) of every signature that two different sets share."""
+    """(sig, node, n, hub, hub_n, rare) of every signature that two different sets share."""
     spark = docs.sparkSession
     parts = 4 * shuffle_partitions(spark)
 
@@ -253,7 +253,7 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
         lookup, seen = _Classes(*classes.value), set()
         held: dict[bool, list] = {False: [], True: []}
         size = {False: 0, True: 0}
-        for batch in batches:
+        for batch in texthash.slices(batches, "text"):
             tokens, offsets = texthash.shingle_sets(batch.column(0), words)
             kinds = lookup.of(tokens)
             for node, a, b in zip(nodes_of(tokens, offsets, kinds).tolist(), offsets[:-1], offsets[1:], strict=True):
@@ -276,14 +276,22 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
         return _unpack_sorted(sigs), np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int32)
 
     def shared(table: pa.Table) -> pa.Table:
-        """Lists of rare tokens: each is shorter than the frequent bound."""
+        """Lists of rare tokens: each is shorter than the frequent bound. Where two sizes in a row
+        are too far apart to link, the list falls into independent ones."""
         got = [unpack(*r) for r in zip(*(table.column(c).to_pylist() for c in ("sigs", "nodes", "sizes")), strict=True)]
         sig, node, n = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((node, sig))
         sig, node, n = sig[order], node[order], n[order]
         fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-        sig, node, n = sig[fresh], node[fresh], n[fresh]
-        head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        sig, node, n = sig[fresh], node[fresh], n[fresh].astype(np.int64)
+        order = np.lexsort((n, sig))
+        sig, node, n = sig[order], node[order], n[order]
+        split = np.r_[True, (sig[1:] != sig[:-1]) | (100 * n[:-1] < percent * n[1:])]
+        part = np.cumsum(split)
+        sig = texthash.mix(sig + (part - part[np.searchsorted(sig, sig)]).astype(np.uint64), 51)
+        order = np.lexsort((node, part))
+        sig, node, n, part = sig[order], node[order], n[order].astype(np.int32), part[order]
+        head = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         length = np.diff(np.r_[head, len(sig)])
         keep, hub = np.repeat(length > 1, length), np.repeat(head, length)
         return pa.table(
@@ -293,6 +301,7 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
                 "n": n[keep],
                 "hub": node[hub[keep]],
                 "hub_n": n[hub[keep]],
+                "rare": np.ones(int(keep.sum()), bool),
             }
         )
 
@@ -303,12 +312,12 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(n)], ["sig", "node", "n"])
 
     packed = materialize(docs.select("text").mapInArrow(index, "bucket int, sigs binary, nodes binary, sizes binary"))
-    schema = "sig long, node long, n int, hub long, hub_n int"
+    schema = "sig long, node long, n int, hub long, hub_n int, rare boolean"
     rare = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(shared, schema)
     combos = packed.where("bucket < 0").mapInArrow(rows, "sig long, node long, n int")
     hubs = combos.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     sizes = combos.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")).distinct()
-    lists = combos.join(hubs.select("sig", "hub"), "sig").join(sizes, "hub").select("sig", "node", "n", "hub", "hub_n")
+    lists = combos.join(hubs.select("sig", "hub"), "sig").join(sizes, "hub").select("sig", "node", "n", "hub", "hub_n", F.lit(False).alias("rare"))
     return materialize(rare.unionByName(lists))
 
 
@@ -345,7 +354,7 @@ def ngram_jaccard_join(
     percent: int = 80,
     frequent: int = 16,
     max_frequent: int = 1 << 20,
-    hub_rounds: int = 3,
+    hub_rounds: int = 2,
 ) -> DataFrame:
     """Components of near-copies: (<id_col>, n_shingles long, component_id).
 
@@ -367,7 +376,7 @@ def ngram_jaccard_join(
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Classes(*classes.value)
-        for batch in batches:
+        for batch in texthash.slices(batches, "text"):
             tokens, offsets = texthash.shingle_sets(batch.column("text"), words)
             node = nodes_of(tokens, offsets, lookup.of(tokens))
             n = np.diff(offsets)
@@ -387,7 +396,7 @@ def ngram_jaccard_join(
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, seen = _Classes(*classes.value), set()
-        for batch in batches:
+        for batch in texthash.slices(batches, "text"):
             tokens, offsets = texthash.shingle_sets(batch.column(0), words)
             node = nodes_of(tokens, offsets, lookup.of(tokens))
             keep = np.diff(offsets) > 0
@@ -418,15 +427,16 @@ def ngram_jaccard_join(
     roots = materialize(connected_components(links))
     for turn in range(hub_rounds + 1):
         # lists that still span components, with each entry's component
+        lists = postings if turn == hub_rounds else postings.where("not rare")
         spread = (
-            postings.select("sig", "node", "n")
+            lists.select("sig", "node", "n")
             .join(roots, "node", "left")
             .select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
         )
         open_ = spread.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
         spread = materialize(spread.join(open_, "sig"))
         if spread.isEmpty():
-            break
+            continue
         if turn < hub_rounds:  # another hub for each list
             order = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("node"), F.col("n").alias("n"), F.col("root").alias("root"))
             other = spread.groupBy("sig").agg(F.min(order).alias("h"))
@@ -435,15 +445,15 @@ def ngram_jaccard_join(
             near = near.select(*pair(F.col("node"), F.col("hub_node")))
         else:  # all pairs across components, the largest component of a list on one side only
             by = spread.groupBy("sig", "root").agg(F.count("*").alias("m"))
-            most = by.groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("most"))
+            most = by.groupBy("sig").agg(F.max(F.struct("m", "root")).alias("most")).select("sig", F.col("most.root").alias("most"))
             minor = spread.join(most, "sig").where("root <> most").select(
                 "sig", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root")
             )
             near = spread.join(minor, "sig").where((F.col("root") != F.col("x_root")) & fits(F.col("n"), F.col("x_n")))
             near = near.select(*pair(F.col("node"), F.col("x")))
         near = materialize(near.distinct().join(tested, ["a", "b"], "left_anti"))
-        found = materialize(_verified(near, sets, percent))
         tested = tested.unionByName(near)
+        found = materialize(_verified(near, sets, percent))
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = materialize(connected_components(links))

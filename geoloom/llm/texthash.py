@@ -6,6 +6,8 @@ Words are maximal runs of bytes outside 0x20 and 0x09-0x0D; A-Z are lower-cased.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,6 +55,18 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, offsets if len(offsets) else np.zeros(1, np.int64)
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `limit` bytes of text (or one row): bounds what
+    hashing a batch takes."""
+    for batch in batches:
+        _, offsets = buffers(batch.column(text))
+        i, n = 0, batch.num_rows
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def _window(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of `data`, where texts begin at `starts`; words per text."""
     n = len(data)
