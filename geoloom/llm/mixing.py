@@ -103,10 +103,10 @@ def _placed(
     for p in range(passes):
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), whole - begin - F.col("source_size") * p))
     # demand by t is target * (start t + (end - start) t^2 / 2) / mean; solved for t
-    due = begin / F.col("target") * ((F.col("start") + F.col("end")) / 2)
+    due = F.try_divide(begin, F.col("target")) * ((F.col("start") + F.col("end")) / 2)
     slope = F.col("end") - F.col("start")
     root = F.sqrt(F.greatest(F.lit(0.0), F.col("start") * F.col("start") + 2 * slope * due))
-    position = F.when(slope == 0, due / F.col("start")).otherwise((root - F.col("start")) / slope)
+    position = F.when(slope == 0, F.try_divide(due, F.col("start"))).otherwise(F.try_divide(root - F.col("start"), slope))
     return placed.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, position))
 
 
@@ -157,6 +157,6 @@ def take_mix(
     words are taken once.
     """
     placed = _placed(docs, id_col, text_col, source_col, weights, share, passes, schedules, seed, docs.columns)
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.try_divide(F.col("taken"), F.col("size")))).cast("int")
     copies = placed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times)))
     return copies.orderBy("position", "id").select(*(F.col(f"carry_{i}").alias(c) for i, c in enumerate(docs.columns)))
