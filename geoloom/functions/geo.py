@@ -174,11 +174,12 @@ def short_code(lat: Column, lon: Column, zoom: int) -> Column:
     """Short location code: three zoom levels a sign, '-' for each level short of a whole sign."""
     code = morton(((lon + 180) / 360 * F.lit(2.0**32)).cast("long"), ((lat + 90) / 180 * F.lit(2.0**32)).cast("long"))
     signs = -(-(zoom + 8) // 3)
-    picked = [
-        F.substring(F.lit(SHORT_SIGNS), F.shiftrightunsigned(code, 58 - 6 * i).bitwiseAND(F.lit(63)).cast("int") + 1, F.lit(1))
-        for i in range(signs)
-    ]
-    return F.concat(*picked, F.lit("-" * ((zoom + 8) % 3)))
+
+    def text(c: Column) -> Column:
+        sign = lambda i: F.shiftrightunsigned(c, 58 - 6 * i).bitwiseAND(F.lit(63)).cast("int") + 1
+        return F.concat(*(F.substring(F.lit(SHORT_SIGNS), sign(i), F.lit(1)) for i in range(signs)), F.lit("-" * ((zoom + 8) % 3)))
+
+    return F.transform(F.array(code), text)[0]  # the code is evaluated once
 
 
 def short_code_position(code: Column) -> Column:

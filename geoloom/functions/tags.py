@@ -139,7 +139,7 @@ def postcode(tags: Column) -> Column:
 
 
 def is_in_names(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(text, ";"), F.trim), lambda s: s != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, ";"), lambda s: F.trim(s)), lambda s: s != ""))
 
 
 def display_name(street: Column, district: Column, city: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import staging
+from . import scalars, staging
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "staging"]
+__all__ = ["ORACLE_SQL", "QUERIES", "scalars", "staging"]
