@@ -38,6 +38,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a few columns up to which a table is broadcast; a larger one is shuffled.
+SMALL_ROWS = 300_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A broadcast hint if the (materialised, narrow) table has at most `rows` rows, else `df`."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected `edges` (columns a, b: long).
 
@@ -46,15 +55,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     point at the neighbour with the smallest hash, then contracts the graph along those
     pointers; a star or clique vanishes in one round, and any graph loses a constant share of
     its nodes, so the number of rounds is logarithmic. Work shrinks with the graph. No group is
-    collected: the neighbour is a minimum, combined before the shuffle.
-    Empty input gives no rows; self-links and repeated links are harmless; null ends are dropped.
+    collected: the neighbour is a minimum, combined before the shuffle. Pointers are broadcast
+    only while they are few. Empty input gives no rows; self-links and repeated links are
+    harmless; null ends are dropped.
     """
     hashed = lambda c: F.xxhash64(F.col(c))
-    edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna()
-    # work on (hash, id) order so that adversarial id orders don't make long chains
-    links = materialize(edges.where("a <> b").distinct())
+    links = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna().distinct())
+    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    links = links.where("a <> b")
     mapping: DataFrame | None = None
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     for _ in range(max_rounds):
         if links.isEmpty():
             break
@@ -62,21 +71,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         nearest = both.groupBy("a").agg(F.min(F.struct(hashed("b").alias("h"), F.col("b").alias("id"))).alias("m"))
         own = F.struct(hashed("a").alias("h"), F.col("a").alias("id"))
         step = materialize(nearest.select(F.col("a").alias("node"), F.least(own, F.col("m"))["id"].alias("to")))
-        # two pointer jumps: the pointers form a forest, since each goes to a smaller hash
-        for _ in range(2):
-            hop = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            step = step.join(hop, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+        # pointer jumps: the pointers form a forest, since each goes to a smaller hash
+        hop = broadcast_if_small(step)
+        for k in range(2):
+            ahead = hop.select(F.col("node").alias("to"), F.col("to").alias(f"next{k}"))
+            step = step.join(ahead, "to", "left").select("node", F.coalesce(f"next{k}", "to").alias("to"))
         step = materialize(step)
+        hop = broadcast_if_small(step)
         if mapping is None:
             mapping = step.withColumnRenamed("to", "root")
         else:
-            mapping = mapping.join(step.withColumnRenamed("node", "root"), "root", "left").select(
+            mapping = mapping.join(hop.withColumnRenamed("node", "root"), "root", "left").select(
                 "node", F.coalesce("to", "root").alias("root")
             )
-            mapping = materialize(mapping)
         ends = links
         for end in ("a", "b"):
-            ends = ends.join(step.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")), end, "left")
+            ends = ends.join(hop.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")), end, "left")
         links = materialize(
             ends.select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b")).where("a <> b").distinct()
         )

@@ -6,22 +6,21 @@ graph without comparing all pairs:
 
 1. *Frequencies.* Each task sends its distinct tokens with counts, packed in sorted blobs by
    hash range; a token that a third of all rows hold is one entry per blob. Tokens in at least
-   `frequent` documents are the frequent class, those in 64 times as many the very frequent
-   class. `frequent` is doubled until the classes hold at most `max_frequent` tokens, so what
-   is broadcast is bounded.
-2. *Signatures.* With the global order (class, hash), a document takes the shortest prefix that
-   survives the loss of any ``n - ceil(n * percent / 100)`` tokens. Rare tokens are signatures
-   by themselves. Frequent tokens are dealt by hash into G cells (G grows with the size class of
-   the document) and count only in combinations of two of one cell, very frequent ones of three;
-   the prefix is extended until enough combinations are certain to survive. Two linked
-   documents always share a signature, at the size class of the larger one.
+   `frequent` documents are the frequent ones, in classes by powers of two. `frequent` is doubled
+   until there are at most `max_frequent` of them, so what is broadcast is bounded.
+2. *Signatures.* With the global order (class, hash), rare tokens first, a document takes the
+   shortest prefix that survives the loss of any ``n - ceil(n * percent / 100)`` tokens. Rare
+   tokens are signatures by themselves. Frequent tokens are dealt by hash into G cells (G grows
+   with the size class of the document) and count only in combinations of k = 2 of one cell; the
+   prefix is extended until enough combinations are certain to survive. Two linked documents
+   always share a signature, at the size class of the larger one.
 3. *Stars.* In each signature's posting list every document is compared with the least unusual
    one (fewest rare tokens: the original among edited copies), which gives a linear number of
    pairs. Lists of rare tokens are bounded by `frequent`, and fall apart where sizes are too far
    apart to link; lists of combinations are never gathered, but joined with their hub.
-4. *Rest.* Lists of combinations that still span several components go through further rounds
-   with other hubs; what any list has left is compared exhaustively, but only across components.
-   No link is lost and no list is cut.
+4. *Rest.* What a list has left across components is compared exhaustively, except for pairs
+   that the counts of their rare tokens and of the hub's tokens they lack rule out (see
+   `_open_pairs`). No link is lost and no list is cut.
 
 Exact copies (equal sets) are folded into one node before any of this.
 """
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash
-from .common import connected_components, materialize, shuffle_partitions
+from .common import broadcast_if_small, connected_components, materialize, shuffle_partitions
 
 FLUSH = 1_000_000  # tokens that a task packs at once
 NODE_BITS = np.uint64(2**56 - 1)
@@ -105,7 +104,8 @@ def _frequencies(docs: DataFrame, words: int, parts: int) -> DataFrame:
 
 
 def _frequent_tokens(docs: DataFrame, words: int, frequent: int, max_frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 48-bit keys of the frequent tokens and their class (1 or 2); at most `max_frequent`."""
+    """Sorted 48-bit keys of the frequent tokens and their class, the power of two of their number
+    of documents, from 1; at most `max_frequent`."""
     parts = 4 * shuffle_partitions(docs.sparkSession)
     floor = frequent
 
@@ -141,7 +141,7 @@ def _frequent_tokens(docs: DataFrame, words: int, frequent: int, max_frequent: i
     keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
     for row in found.where(F.col("power") >= first).select("power", "keys").toLocalIterator():
         keys.append(_unpack_sorted(row["keys"]))
-        classes.append(np.full(len(keys[-1]), 1 + (row["power"] >= first + 6), np.uint8))
+        classes.append(np.full(len(keys[-1]), 1 + row["power"] - first, np.uint8))
     key, kind = np.concatenate(keys), np.concatenate(classes)
     order = np.argsort(key)
     return key[order], kind[order]
@@ -182,55 +182,47 @@ def required(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int, k: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(rare tokens, combinations) that one document, a sorted set of tokens, is indexed by."""
     n = len(tokens)
     need = required(n, percent)
     rare = tokens[classes == 0]
     if len(rare) >= need:
         return rare[:need], tokens[:0]
+    left = need - len(rare)
+    frequent = tokens[classes > 0]
+    frequent = frequent[np.argsort(classes[classes > 0], kind="stable")]  # the less frequent first, then by hash
     level = n.bit_length() - 1 if n >= 16 else 0
-    levels = [level]
     following = level + 1 if level else 4
-    if 100 * n >= percent * 2**following:  # a linked set may be of the next size class
-        levels.append(following)
     combos = []
-    for at in levels:
-        left = need - len(rare)
-        cells = np.uint64(2**at // 8) if at else np.uint64(0)
-        for kind in (1, 2):
-            own = tokens[classes == kind]
-            if left <= 0 or not len(own):
-                continue
-            if not at:  # tiny sets: by themselves
-                combos.append(texthash.mix(own[:left], 11))
-                left -= len(own[:left])
-                continue
-            k = kind + 1
-            cell = (texthash.mix(own, 21) % cells).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            sorted_cells = cell[order]
-            head = np.flatnonzero(np.r_[True, sorted_cells[1:] != sorted_cells[:-1]])
-            run = np.empty(len(own), np.int64)
-            run[order] = np.arange(len(own)) - np.repeat(head, np.diff(np.r_[head, len(own)]))
-            gain = np.cumsum(run >= k - 1)
-            stop = int(np.searchsorted(gain, left)) + 1 if gain[-1] >= left else len(own)
-            left -= int(gain[min(stop, len(own)) - 1])
-            salt = np.uint64(at * 8 + k)
-            chosen, of = own[:stop], cell[:stop]
-            for c in np.unique(of):
-                members = chosen[of == c]
-                if len(members) >= k:
-                    for group in np.array(list(combinations(range(len(members)), k))).T[None]:
-                        acc = np.full(group.shape[1], salt, np.uint64)
-                        for row in group:
-                            acc = texthash.mix(acc + members[row], 31)
-                        combos.append(acc)
+    if not level:  # tiny sets: by themselves
+        combos.append(texthash.mix(frequent[:left], 11))
+    for at in (level, following):
+        if at == 0 or (at == following and 100 * n < percent * 2**following):
+            continue  # a linked set can't be of the next size class
+        cell = (texthash.mix(frequent, 21) % np.uint64(2**at // 8)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        sorted_cells = cell[order]
+        head = np.flatnonzero(np.r_[True, sorted_cells[1:] != sorted_cells[:-1]])
+        run = np.empty(len(frequent), np.int64)
+        run[order] = np.arange(len(frequent)) - np.repeat(head, np.diff(np.r_[head, len(frequent)]))
+        # a token counts once its cell has k; sets of 16 tokens or more always have enough
+        stop = int(np.searchsorted(np.cumsum(run >= k - 1), left)) + 1
+        chosen, of = frequent[:stop], cell[:stop]
+        salt = np.uint64(at * 8 + k)
+        for c in np.unique(of):
+            members = np.sort(chosen[of == c])
+            if len(members) >= k:
+                acc = None
+                for row in np.array(list(combinations(range(len(members)), k))).T:
+                    acc = texthash.mix((salt if acc is None else acc) + members[row], 31)
+                combos.append(acc)
     return rare, np.concatenate(combos) if combos else tokens[:0]
 
 
 def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int) -> DataFrame:
-    """(sig, node, n, hub, hub_n, rare) of every signature that two different sets share."""
+    """(sig, node, n, hub, hub_n, r) of every signature that two different sets share. n: the set's
+    size; r: its rare tokens, in lists of combinations; -1 in lists of a rare token."""
     spark = docs.sparkSession
     parts = 4 * shuffle_partitions(spark)
 
@@ -260,9 +252,10 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
                 if a == b or node in seen:
                     continue
                 seen.add(node)
+                rare = int((kinds[a:b] == 0).sum())
                 for combos, sigs in zip((False, True), signatures(tokens[a:b], kinds[a:b], percent), strict=True):
                     if len(sigs):
-                        held[combos].append((sigs, np.full(len(sigs), node), np.full(len(sigs), b - a, np.int32)))
+                        held[combos].append((sigs, np.full(len(sigs), node), np.full(len(sigs), (int(b - a) << 32) + rare)))
                         size[combos] += len(sigs)
             for combos in (False, True):
                 if size[combos] >= FLUSH:
@@ -273,7 +266,7 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
                 yield send(*zip(*held[combos], strict=True), combos)
 
     def unpack(sigs: bytes, nodes: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _unpack_sorted(sigs), np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int32)
+        return _unpack_sorted(sigs), np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int64)
 
     def shared(table: pa.Table) -> pa.Table:
         """Lists of rare tokens: each is shorter than the frequent bound. Where two sizes in a row
@@ -283,7 +276,7 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
         order = np.lexsort((node, sig))
         sig, node, n = sig[order], node[order], n[order]
         fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-        sig, node, n = sig[fresh], node[fresh], n[fresh].astype(np.int64)
+        sig, node, n = sig[fresh], node[fresh], n[fresh] >> 32
         order = np.lexsort((n, sig))
         sig, node, n = sig[order], node[order], n[order]
         split = np.r_[True, (sig[1:] != sig[:-1]) | (100 * n[:-1] < percent * n[1:])]
@@ -301,7 +294,7 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
                 "n": n[keep],
                 "hub": node[hub[keep]],
                 "hub_n": n[hub[keep]],
-                "rare": np.ones(int(keep.sum()), bool),
+                "r": np.full(int(keep.sum()), -1, np.int32),
             }
         )
 
@@ -309,40 +302,92 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in ("sigs", "nodes", "sizes")), strict=True):
                 sig, node, n = unpack(*r)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(n)], ["sig", "node", "n"])
+                columns = (sig.view(np.int64), node, (n >> 32).astype(np.int32), (n & 0xFFFFFFFF).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "n", "r"])
 
     packed = materialize(docs.select("text").mapInArrow(index, "bucket int, sigs binary, nodes binary, sizes binary"))
-    schema = "sig long, node long, n int, hub long, hub_n int, rare boolean"
+    schema = "sig long, node long, n int, hub long, hub_n int, r int"
     rare = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(shared, schema)
-    combos = packed.where("bucket < 0").mapInArrow(rows, "sig long, node long, n int")
+    combos = packed.where("bucket < 0").mapInArrow(rows, "sig long, node long, n int, r int")
     hubs = combos.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     sizes = combos.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")).distinct()
-    lists = combos.join(hubs.select("sig", "hub"), "sig").join(sizes, "hub").select("sig", "node", "n", "hub", "hub_n", F.lit(False).alias("rare"))
+    lists = combos.distinct().join(hubs.select("sig", "hub"), "sig").join(sizes, "hub").select("sig", "node", "n", "hub", "hub_n", "r")
     return materialize(rare.unionByName(lists))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets link."""
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with the size of their sets' intersection and whether they link."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            both, linked = [], []
             for x, y in zip(batch.column("a_set").to_pylist(), batch.column("b_set").to_pylist(), strict=True):
                 p, q = _unpack_sorted(x), _unpack_sorted(y)
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                both = int((q[at] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both.append(int((q[at] == p).sum()))
+                linked.append(100 * both[-1] >= percent * (len(p) + len(q) - both[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(both, pa.int32()), pa.array(linked, pa.bool_())], ["a", "b", "both", "linked"]
+            )
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_set"))
-    return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .select("a", "b", "a_set", "b_set")
-        .mapInArrow(check, "a long, b long")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
+    return materialize(joined.mapInArrow(count, "a long, b long, both int, linked boolean"))
+
+
+def _open_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that a signature's list leaves to be compared.
+
+    In a list of a rare token: all of them; the list is shorter than the frequent bound. In a list
+    of combinations, let h be its hub, r a document's rare tokens and lost = |h - x|. Two of its
+    documents that share a rare token meet in that token's list. If they share none, their
+    symmetric difference is at least r_x + r_y + |lost_x - lost_y|, and pairs for which that is
+    too much to link aren't made. What the far one of a pair would need of the near one is first
+    held against the list's extremes, so that documents which can't link to anybody (the bulk of
+    what edits have torn from a large group) don't enter the join at all.
+    """
+    fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
+    pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    apart = lambda p, q: F.floor((100 - percent) * (p + q) / (100 + percent))
+    spread = postings.join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by = spread.groupBy("sig", "root").agg(F.count("*").alias("m"))
+    lists = by.groupBy("sig").agg(F.max(F.struct("m", "root")).alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    lists = materialize(lists.where("lo <> hi").select("sig", F.col("most.root").alias("most")))
+    if lists.isEmpty():
+        return postings.select(F.col("node").alias("a"), F.col("hub").alias("b")).limit(0)
+    spread = materialize(spread.join(broadcast_if_small(lists), "sig"))
+    keep = ["sig", "node", "n", "root", "r"]
+    side = lambda df: df.select("sig", *(F.col(c).alias(f"x_{c}") for c in df.columns if c != "sig"))
+
+    rare = spread.where("r < 0").select(*keep, "most")
+    met = rare.drop("most").join(side(rare.where("root <> most").select(keep)), "sig")
+    met = met.where((F.col("root") != F.col("x_root")) & fits(F.col("n"), F.col("x_n"))).select(*pair(F.col("node"), F.col("x_node")))
+
+    known = stars.select("a", "b", "both")
+    combos = spread.where("r >= 0").withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub")).join(known, ["a", "b"], "left")
+    lost = F.when(F.col("node") == F.col("hub"), 0).otherwise(F.col("hub_n") - F.col("both"))
+    combos = materialize(combos.select(*keep, "most", lost.alias("lost")))
+    far = 2**30
+    extremes = combos.groupBy("sig").agg(
+        F.max(F.coalesce(F.col("lost") - F.col("r"), F.lit(far))).alias("spare"),
+        F.max("n").alias("top"),
+        F.max(F.when(F.col("root") == F.col("most"), F.coalesce("lost", F.lit(far)))).alias("reach"),
+    )
+    minor = combos.where("root <> most").join(extremes, "sig")
+    possible = (
+        F.col("lost").isNull()
+        | (F.col("spare") >= F.col("lost") + F.col("r") - apart(F.col("n"), F.col("top")))
+        | (F.col("lost") <= F.col("reach"))
     )
+    minor = materialize(minor.where(possible).select(*keep, "lost"))
+    cross = combos.drop("most").join(broadcast_if_small(side(minor)), "sig")
+    least = F.col("r") + F.col("x_r") + F.coalesce(F.abs(F.col("lost") - F.col("x_lost")), F.lit(0))
+    cross = cross.where(
+        (F.col("root") != F.col("x_root")) & fits(F.col("n"), F.col("x_n")) & (least <= apart(F.col("n"), F.col("x_n")))
+    ).select(*pair(F.col("node"), F.col("x_node")))
+    return met.unionByName(cross).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def ngram_jaccard_join(
@@ -354,7 +399,6 @@ def ngram_jaccard_join(
     percent: int = 80,
     frequent: int = 16,
     max_frequent: int = 1 << 20,
-    hub_rounds: int = 2,
 ) -> DataFrame:
     """Components of near-copies: (<id_col>, n_shingles long, component_id).
 
@@ -416,49 +460,20 @@ def ngram_jaccard_join(
     sets = materialize(sets.dropDuplicates(["node"]))
 
     fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
-    pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    pair = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     stars = (
         postings.where((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
-        .select(*pair(F.col("node"), F.col("hub")))
+        .select(*pair)
         .distinct()
     )
-    links = tested = materialize(stars)
-    links = materialize(_verified(stars, sets, percent))
+    stars = _overlaps(stars, sets, percent)
+    links = stars.where("linked").select("a", "b")
     roots = materialize(connected_components(links))
-    for turn in range(hub_rounds + 1):
-        # lists that still span components, with each entry's component
-        lists = postings if turn == hub_rounds else postings.where("not rare")
-        spread = (
-            lists.select("sig", "node", "n")
-            .join(roots, "node", "left")
-            .select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
-        )
-        open_ = spread.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-        spread = materialize(spread.join(open_, "sig"))
-        if spread.isEmpty():
-            continue
-        if turn < hub_rounds:  # another hub for each list
-            order = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("node"), F.col("n").alias("n"), F.col("root").alias("root"))
-            other = spread.groupBy("sig").agg(F.min(order).alias("h"))
-            other = other.select("sig", *(F.col(f"h.{c}").alias(f"hub_{c}") for c in ("node", "n", "root")))
-            near = spread.join(other, "sig").where((F.col("root") != F.col("hub_root")) & fits(F.col("n"), F.col("hub_n")))
-            near = near.select(*pair(F.col("node"), F.col("hub_node")))
-        else:  # all pairs across components, the largest component of a list on one side only
-            by = spread.groupBy("sig", "root").agg(F.count("*").alias("m"))
-            most = by.groupBy("sig").agg(F.max(F.struct("m", "root")).alias("most")).select("sig", F.col("most.root").alias("most"))
-            minor = spread.join(most, "sig").where("root <> most").select(
-                "sig", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root")
-            )
-            near = spread.join(minor, "sig").where((F.col("root") != F.col("x_root")) & fits(F.col("n"), F.col("x_n")))
-            near = near.select(*pair(F.col("node"), F.col("x")))
-        near = materialize(near.distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(near)
-        found = materialize(_verified(near, sets, percent))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = materialize(connected_components(links))
+    more = _overlaps(_open_pairs(postings, roots, stars, percent), sets, percent).where("linked").select("a", "b")
+    if not more.isEmpty():
+        roots = materialize(connected_components(links.unionByName(more)))
     folded = named.where("node is not null").groupBy("node").agg(F.min("id").alias("first"))
-    labels = folded.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    labels = folded.join(broadcast_if_small(roots), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = labels.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = labels.join(smallest, "root").select("node", "component_id")
     return named.join(labels, "node", "left").select(
