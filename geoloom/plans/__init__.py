@@ -1,6 +1,6 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import scalars, staging
+from . import gazetteer, scalars, staging
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "scalars", "staging"]
+__all__ = ["ORACLE_SQL", "QUERIES", "gazetteer", "scalars", "staging"]

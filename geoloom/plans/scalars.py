@@ -120,15 +120,14 @@ def _seg31(t: Tables) -> DataFrame:
 
 @query(
     "h32_projection31",
-    f"""WITH s AS ({SEG31}), d AS (SELECT *, (bx-ax)*0.011e0*(px-ax)*0.011e0+(b_y-ay)*0.01863e0*(py-ay)*0.01863e0 AS along, power((bx-ax)*0.011e0,2)+power((b_y-ay)*0.01863e0,2) AS whole FROM s)
- SELECT id, round(sqrt(power((px-ax)*0.011e0,2)+power((py-ay)*0.01863e0,2)),6) AS m, CASE WHEN along<0 THEN 0 WHEN along>=whole THEN 2 ELSE 1 END AS part FROM d""",
+    f"""WITH s AS ({SEG31}), d AS (SELECT *, ((bx-ax)*0.011e0)*((px-ax)*0.011e0)+((b_y-ay)*0.01863e0)*((py-ay)*0.01863e0) AS along, power((bx-ax)*0.011e0,2)+power((b_y-ay)*0.01863e0,2) AS whole FROM s)
+ SELECT id, round(sqrt(power((px-ax)*0.011e0,2)+power((py-ay)*0.01863e0,2)),6) AS m, CASE WHEN along<0 THEN ax WHEN along>=whole THEN bx ELSE CAST(trunc(ax+(bx-ax)*(along/whole)) AS BIGINT) END AS x,
+ CASE WHEN along<0 THEN ay WHEN along>=whole THEN b_y ELSE CAST(trunc(ay+(b_y-ay)*(along/whole)) AS BIGINT) END AS y FROM d""",
 )
 def _(t: Tables) -> DataFrame:
     c = [F.col(n) for n in ("px", "py", "ax", "ay", "bx", "b_y")]
     s = _seg31(t).withColumn("p", geo.projection31(*c))
-    at = lambda x, y: (F.col("p.x") == x) & (F.col("p.y") == y)
-    part = F.when(at(c[2], c[3]), 0).when(at(c[4], c[5]), 2).otherwise(1)
-    return s.select("id", _r(geo.distance31_m(*c[:4])).alias("m"), part.alias("part"))
+    return s.select("id", _r(geo.distance31_m(*c[:4])).alias("m"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
 @query(
