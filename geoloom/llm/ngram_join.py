@@ -368,21 +368,26 @@ def _open_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent
     known = stars.select("a", "b", "both")
     combos = spread.where("r >= 0").withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub")).join(known, ["a", "b"], "left")
     lost = F.when(F.col("node") == F.col("hub"), 0).otherwise(F.col("hub_n") - F.col("both"))
-    combos = materialize(combos.select(*keep, "most", lost.alias("lost")))
+    # lists of one hub hold much the same documents: together they make each pair once
+    entries = combos.select("hub", *keep[1:], lost.alias("lost")).distinct()
+    by_hub = entries.groupBy("hub", "root").agg(F.count("*").alias("m"))
+    most = by_hub.groupBy("hub").agg(F.max(F.struct("m", "root")).alias("most")).select("hub", F.col("most.root").alias("most"))
+    entries = materialize(entries.join(most, "hub"))
     far = 2**30
-    extremes = combos.groupBy("sig").agg(
+    extremes = entries.groupBy("hub").agg(
         F.max(F.coalesce(F.col("lost") - F.col("r"), F.lit(far))).alias("spare"),
         F.max("n").alias("top"),
         F.max(F.when(F.col("root") == F.col("most"), F.coalesce("lost", F.lit(far)))).alias("reach"),
     )
-    minor = combos.where("root <> most").join(extremes, "sig")
+    minor = entries.where("root <> most").join(extremes, "hub")
     possible = (
         F.col("lost").isNull()
         | (F.col("spare") >= F.col("lost") + F.col("r") - apart(F.col("n"), F.col("top")))
         | (F.col("lost") <= F.col("reach"))
     )
-    minor = materialize(minor.where(possible).select(*keep, "lost"))
-    cross = combos.drop("most").join(broadcast_if_small(side(minor)), "sig")
+    minor = minor.where(possible).select("hub", *(F.col(c).alias(f"x_{c}") for c in (*keep[1:], "lost")))
+    minor = materialize(minor)
+    cross = entries.drop("most").join(broadcast_if_small(minor), "hub")
     least = F.col("r") + F.col("x_r") + F.coalesce(F.abs(F.col("lost") - F.col("x_lost")), F.lit(0))
     cross = cross.where(
         (F.col("root") != F.col("x_root")) & fits(F.col("n"), F.col("x_n")) & (least <= apart(F.col("n"), F.col("x_n")))
