@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: A source's words are laid out in so many hash ranges, whose sums are accumulated first, so
+#: A source's words are laid out in 2**12 hash ranges, whose sums are accumulated first, so
 #: that a source with a third of all rows is never ordered in one task.
-RANGES = 4096
+RANGE_BITS = 12
 #: (weight at t = 0, at t = 1), by the source's rank, repeating.
 SCHEDULES = ((1.0, 0.5), (0.5, 1.5), (1.0, 1.0))
 
@@ -53,7 +53,7 @@ def source_targets(
     return filled.withColumn("settled", open_).select(
         "source",
         "source_size",
-        F.least("cap", F.coalesce(F.col("weight") * F.col("settled"), F.col("cap"))).alias("target"),
+        F.round(F.least("cap", F.coalesce(F.col("weight") * F.col("settled"), F.col("cap"))), 6).alias("target"),
         "start",
         "end",
     )
@@ -75,14 +75,15 @@ def _placed(
     if not 0 < share <= passes:
         raise ValueError("share must be over 0 and at most passes")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.xxhash64(F.col(id_col), F.lit(seed))
+    name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed)))
+    key = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")  # 60 bits
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         size.alias("size"),
         key.alias("key"),
-        F.xxhash64(F.col(text_col)).alias("tie"),
-        F.pmod(F.shiftrightunsigned(key, 40), F.lit(RANGES)).alias("range"),
+        F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"),
+        F.shiftright(key, 60 - RANGE_BITS).alias("range"),
         *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)),
     )
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
@@ -107,7 +108,7 @@ def _placed(
     slope = F.col("end") - F.col("start")
     root = F.sqrt(F.greatest(F.lit(0.0), F.col("start") * F.col("start") + 2 * slope * due))
     position = F.when(slope == 0, F.try_divide(due, F.col("start"))).otherwise(F.try_divide(root - F.col("start"), slope))
-    return placed.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, position))
+    return placed.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, F.round(position, 9)))
 
 
 def mix_sources(
