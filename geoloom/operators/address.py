@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import tags
 from geoloom.functions.geo import distance_m
+from geoloom.session import cut_lineage
 
 
 def get_or_create_streets(found: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def merge_streets(vertices: DataFrame, max_m: float = 900.0, rounds: int = 20) -
     for _ in range(rounds):
         least = links.join(labels.select(F.col("street_id").alias("b"), "merged_id"), "b").groupBy(F.col("a").alias("street_id")).agg(F.min("merged_id").alias("m"))
         step = labels.join(least, "street_id", "left").select("street_id", F.least("merged_id", F.coalesce("m", "merged_id")).alias("merged_id"), "merged_id")
-        step = step.toDF("street_id", "merged_id", "before").checkpoint()
+        step = cut_lineage(step.toDF("street_id", "merged_id", "before"))
         labels = step.select("street_id", "merged_id")
         if step.where("merged_id <> before").isEmpty():
             break

@@ -495,12 +495,14 @@ def rewind(shapes: DataFrame) -> DataFrame:
     return made.withColumn("x", F.col("__xy.x")).withColumn("y", F.col("__xy.y")).drop("__xy")
 
 
-#: fixed values: smallest scales of the anchors, in turn
-ANCHOR_SCALES = (1.0, 8.0, 2.0, 8.0, 4.0, 8.0, 2.0, 8.0)
+#: fixed values: smallest scales of the anchors, in turn, by the largest scale
+ANCHOR_SCALES = {1: (0.5,), 2: (0.5, 2.0), 4: (0.5, 4.0, 2.0, 4.0), 8: (0.5, 8.0, 4.0, 8.0, 2.0, 8.0, 4.0, 8.0)}
 
 
-def line_anchors(lines: DataFrame, spacing: float, start: float = 0.0) -> DataFrame:
-    """I17. (id, n, x, y, angle, min_scale): points every `spacing` along lines (id, xs, ys)."""
+def line_anchors(lines: DataFrame, spacing: float, max_scale: int = 8, start: int = 0) -> DataFrame:
+    """I17. (id, n, x, y, angle, min_scale): points every `spacing` along lines (id, xs, ys); `max_scale` is
+    1, 2, 4 or 8, and the turn of scales begins at `start`."""
+    scales = ANCHOR_SCALES[max_scale]
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
@@ -508,12 +510,12 @@ def line_anchors(lines: DataFrame, spacing: float, start: float = 0.0) -> DataFr
             for r in pdf.itertuples():
                 x, y = np.asarray(r.xs, float), np.asarray(r.ys, float)
                 far = np.r_[0, np.cumsum(np.hypot(np.diff(x), np.diff(y)))]
-                marks = np.arange(start or spacing, far[-1], spacing) if len(x) > 1 else []
+                marks = np.arange(spacing, far[-1], spacing) if len(x) > 1 else []
                 for n, d in enumerate(marks):
                     i = min(int(np.searchsorted(far, d, "right")) - 1, len(x) - 2)
                     k = (d - far[i]) / (far[i + 1] - far[i]) if far[i + 1] > far[i] else 0.0
                     angle = math.atan2(y[i + 1] - y[i], x[i + 1] - x[i])
-                    out.append((r.id, n, x[i] + k * (x[i + 1] - x[i]), y[i] + k * (y[i + 1] - y[i]), angle, ANCHOR_SCALES[n % len(ANCHOR_SCALES)]))
+                    out.append((r.id, n, x[i] + k * (x[i + 1] - x[i]), y[i] + k * (y[i + 1] - y[i]), angle, scales[(start + n) % len(scales)]))
             yield pd.DataFrame(out, columns=["id", "n", "x", "y", "angle", "min_scale"])
 
     return lines.mapInPandas(run, "id long, n int, x double, y double, angle double, min_scale double")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import geometry, mapobj, rules, shapes, style
+from geoloom.operators import geometry, mapobj, roads, rules, shapes, style
+from geoloom.session import shared_folder
 
 from .registry import Tables, query
 from .staging import mixed_members
@@ -605,3 +606,66 @@ def _(t: Tables) -> DataFrame:
 @query("c3_member_kinds", "SELECT CAST(member_id%3 AS INT) AS member_type, count(*) AS n FROM osm_relation_member GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     return mixed_members(t).groupBy("member_type").agg(F.count("*").alias("n"))
+
+
+# ---- sinks: written to the shared folder and read back
+
+
+def _written(t: Tables, write) -> DataFrame:  # noqa: ANN001
+    """What `write(path)` has written, read back."""
+    import uuid
+
+    path = f"{shared_folder(t.spark)}/geoloom-{uuid.uuid4().hex}"
+    write(path)
+    return t.spark.read.parquet(path)
+
+
+@query("a14_map_sink", f"WITH {OBJECTS} SELECT id, level FROM ob WHERE {HIT} AND level=2")
+def _(t: Tables) -> DataFrame:
+    back = _written(t, lambda path: mapobj.write_map(_objects(t), path))
+    return mapobj.map_query(back, _levels(t), BOX, 12).select("id", F.col("level").cast("long").alias("level"))
+
+
+@query("a15_road_sink", "SELECT id, highway FROM osm_way WHERE highway IN ('motorway','primary','secondary')")
+def _(t: Tables) -> DataFrame:
+    base = F.col("highway").isin("motorway", "primary", "secondary")
+    roads_ = t.osm_way.withColumn("base", base)
+    back = _written(t, lambda path: roads.write_roads(roads_, path, F.col("id") % 64))
+    return back.where(F.col("base").cast("boolean")).select("id", "highway")
+
+
+@query("a7_staging_sink", "SELECT id FROM osm_way")
+def _(t: Tables) -> DataFrame:
+    def write(path: str) -> None:
+        mapobj.write_tables({"table=way": (t.osm_way.unionByName(t.osm_way), ["id"])}, path)
+
+    return _written(t, write).select("id")
+
+
+@query("a8_result_sink", "SELECT id, category, subtype FROM poi")
+def _(t: Tables) -> DataFrame:
+    def write(path: str) -> None:
+        mapobj.write_tables({"table=poi": (t.poi.select("id", "category", "subtype").unionByName(t.poi.select("id", "category", "subtype")), ["id", "category", "subtype"])}, path)
+
+    return _written(t, write).select("id", "category", "subtype")
+
+
+@query("f6_type_order", "SELECT id, concat(least(id%5,id%7), ',', greatest(id%5,id%7)) AS types FROM osm_way WHERE id%5<>id%7")
+def _(t: Tables) -> DataFrame:
+    types = F.array_sort(F.array(F.col("id") % 7, F.col("id") % 5))
+    return t.osm_way.where("id % 5 <> id % 7").select("id", F.array_join(types.cast("array<string>"), ",").alias("types"))
+
+
+@query("i7_point_in_ring", "SELECT p.id, p.lat >= 40.05e0 AND p.lat < 40.15e0 AND p.lon >= -4.95e0 AND p.lon < -4.85e0 AS inside FROM poi p")
+def _(t: Tables) -> DataFrame:
+    from geoloom.operators.places import box_ring, in_ring
+
+    ring = box_ring(*map(F.lit, (40.05, -4.95, 40.15, -4.85)))
+    return t.poi.select("id", in_ring(ring, F.col("lat"), F.col("lon")).alias("inside"))
+
+
+@query("i20_nearest_tile", "SELECT id, id AS x, id AS y FROM boundary")
+def _(t: Tables) -> DataFrame:
+    i = F.col("id").cast("double")
+    first = mapobj.viewport_tiles(i, i, i + 1.2, i + 1.2)[0]
+    return t.boundary.select("id", first["x"].alias("x"), first["y"].alias("y"))

@@ -17,7 +17,10 @@ def _r(c, n: int = 6):  # noqa: ANN001, ANN202
     return F.round(c, n)
 
 
-LATLON = [F.col("lat"), F.col("lon")]
+def _latlon():  # noqa: ANN202
+    return F.col("lat"), F.col("lon")
+
+
 HAV = "POWER(SIN(RADIANS(40.1e0-lat)/2),2)+COS(RADIANS(lat))*COS(RADIANS(40.1e0))*POWER(SIN(RADIANS(-4.9e0-lon)/2),2)"
 
 
@@ -27,7 +30,7 @@ HAV = "POWER(SIN(RADIANS(40.1e0-lat)/2),2)+COS(RADIANS(lat))*COS(RADIANS(40.1e0)
 )
 def _(t: Tables) -> DataFrame:
     to = (F.lit(40.1), F.lit(-4.9))
-    return t.poi.select("id", _r(geo.distance_m(*LATLON, *to), 4).alias("m1"), _r(geo.distance_atan2_m(*LATLON, *to), 4).alias("m2"))
+    return t.poi.select("id", _r(geo.distance_m(*_latlon(), *to), 4).alias("m1"), _r(geo.distance_atan2_m(*_latlon(), *to), 4).alias("m2"))
 
 
 @query(
@@ -138,8 +141,8 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     ends = [F.lit(v) for v in (40.0, -5.0, 40.15, -4.85)]
-    p = geo.projection(*LATLON, *ends)
-    return t.poi.select("id", _r(p["lat"], 7).alias("lat"), _r(p["lon"], 7).alias("lon"), _r(geo.orthogonal_distance_m(*LATLON, *ends), 3).alias("m"))
+    p = geo.projection(*_latlon(), *ends)
+    return t.poi.select("id", _r(p["lat"], 7).alias("lat"), _r(p["lon"], 7).alias("lon"), _r(geo.orthogonal_distance_m(*_latlon(), *ends), 3).alias("m"))
 
 
 @query(
