@@ -106,7 +106,7 @@ t AS (SELECT source, source_size, round(least(cap, coalesce(weight * (SELECT max
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.a, t.b, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.tie, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, CAST(greatest(0, least(size, floor(target) - ahead)) + greatest(0, least(size, floor(target) - ahead - source_size)) AS BIGINT) AS taken, CASE WHEN target > 0 THEN ahead / target * ((a + b) / 2) END AS due FROM p)
-SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE WHEN a = b THEN due / a ELSE (sqrt(greatest(0, a * a + 2 * (b - a) * due)) - a) / (b - a) END, 9) END AS position FROM q
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE WHEN a = b THEN due / a ELSE (sqrt(greatest(0, a * a + 2 * (b - a) * due)) - a) / (b - a) END, 9) + 0 END AS position FROM q
 """,
     "op10_url_filter": r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
