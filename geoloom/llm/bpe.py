@@ -125,15 +125,17 @@ def _result(of: Codec, ids: list[int]) -> tuple[int, str, str]:
 def _encode_column(docs: DataFrame, vocabulary: str, kept: list[str], result_schema: str, result) -> DataFrame:
     """Replace the last column (text) by what `result` makes of its encoding."""
 
+    arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    fields = [f.split(" ") for f in result_schema.split(", ")]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(vocabulary)
         for batch in batches:
             out = [result(of, of.encode(t.as_py() or "")) for t in batch.column(len(kept))]
-            made = [pa.array([r[i] for r in out]) for i in range(len(out[0]))] if out else []
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i) for i in range(len(kept))), *made], [*kept, *(f"r{i}" for i in range(len(made)))]
-                )
+            made = [pa.array([r[i] for r in out], arrow[kind]) for i, (_, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(len(kept))), *made], [*kept, *(name for name, _ in fields)]
+            )
 
     types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
     return docs.mapInArrow(encode, f"{types}, {result_schema}")
