@@ -1,0 +1 @@
+"""Scalar functions: Column in, Column out."""

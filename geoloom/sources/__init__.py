@@ -1,0 +1 @@
+"""File formats that Spark doesn't read itself."""

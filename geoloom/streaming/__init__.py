@@ -1,0 +1 @@
+"""Incremental upkeep of map products over streams of changed elements."""
