@@ -42,7 +42,7 @@ def category_dictionary(pois: DataFrame) -> DataFrame:
     by_category = kinds.select("category").distinct()
     ids = by_category.withColumn("category_id", F.row_number().over(Window.orderBy("category")) - 1)
     numbered = kinds.withColumn("subtype_id", F.row_number().over(Window.partitionBy("category").orderBy("subtype")) - 1)
-    return numbered.join(F.broadcast(ids), "category").withColumn(
+    return numbered.join(ids, "category").withColumn(
         "packed", F.shiftleft(F.col("subtype_id"), 7).bitwiseOR(F.col("category_id"))
     )
 
@@ -53,7 +53,7 @@ def attribute_dictionary(rules: DataFrame) -> DataFrame:
     (v << 16) | (c << 1) | 1 when c is over 31."""
     ids = rules.select("tag", "kind").distinct().withColumn("c", F.row_number().over(Window.orderBy("tag", "kind")) - 1)
     sub = Window.partitionBy("tag", "kind").orderBy("value")
-    both = rules.join(F.broadcast(ids), ["tag", "kind"]).withColumn("v", F.when(F.col("kind") == "text", 0).otherwise(F.row_number().over(sub) - 1))
+    both = rules.join(ids, ["tag", "kind"]).withColumn("v", F.when(F.col("kind") == "text", 0).otherwise(F.row_number().over(sub) - 1))
     c, v = F.col("c"), F.col("v")
     small = F.shiftleft(v, 6).bitwiseOR(F.shiftleft(c, 1))
     return both.withColumn("packed", F.when(c > 31, F.shiftleft(v, 16).bitwiseOR(F.shiftleft(c, 1)).bitwiseOR(F.lit(1))).otherwise(small))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.session import bounded
+
 #: fixed values: codes of turn restrictions
 RESTRICTIONS = {
     "no_right_turn": 1, "no_left_turn": 2, "no_u_turn": 3, "no_straight_on": 4, "only_right_turn": 5, "only_left_turn": 6, "only_straight_on": 7,
@@ -17,9 +19,12 @@ def select_roads(ways: DataFrame, accepted: DataFrame, class_col: str = "highway
     """B22. Ways with an accepted class, and whether they belong to the base network: a base class
     and two vertices at least. accepted: tag, value (null value: the tag with any value)."""
     values = accepted.where(F.col("tag") == class_col)
-    exact = ways.join(F.broadcast(values.where("value IS NOT NULL").select(F.col("value").alias(class_col))), class_col, "left_semi")
-    any_ = values.where("value IS NULL").limit(1)
-    kept = exact.select(*ways.columns).unionByName(ways.where(F.col(class_col).isNotNull()).join(F.broadcast(any_.select()), how="left_semi")) if any_.count() else exact.select(*ways.columns)
+    exact = values.where("value IS NOT NULL").select(F.col("value").alias(class_col)).distinct()
+    if values.where("value IS NULL").isEmpty():
+        kept = ways.join(bounded(exact), class_col, "left_semi")
+    else:
+        kept = ways.where(F.col(class_col).isNotNull())
+    kept = kept.select(*ways.columns)
     base = F.col(class_col).rlike("^(" + "|".join(BASE_CLASSES) + ")") & (F.col("n_vertices") >= 2)
     return kept.withColumn("base", F.coalesce(base, F.lit(False)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import tags as T
+from geoloom.session import bounded
 
 RULE_SCHEMA = (
     "rule_id int, tag string, value string, kind string, minzoom int, maxzoom int, only_point boolean, relation boolean, target_id int, "
@@ -68,7 +69,7 @@ def lookup(long_tags: DataFrame, rules: DataFrame) -> DataFrame:
     """C22. (.., k, v) with the rule for (k, v), else the one for k with any value."""
     exact = rules.where("value IS NOT NULL").select(F.struct(*rules.columns).alias("exact"), F.col("tag").alias("k"), F.col("value").alias("v"))
     any_ = rules.where("value IS NULL").select(F.struct(*rules.columns).alias("any"), F.col("tag").alias("k"))
-    joined = long_tags.join(F.broadcast(exact), ["k", "v"], "left").join(F.broadcast(any_), "k", "left")  # a catalogue: thousands of rows
+    joined = long_tags.join(bounded(exact), ["k", "v"], "left").join(bounded(any_), "k", "left")
     return joined.select(*long_tags.columns, F.coalesce("exact", "any").alias("rule")).where("rule IS NOT NULL").select(*long_tags.columns, "rule.*")
 
 
@@ -100,12 +101,12 @@ def encode_roads(entities: DataFrame, route_rules: DataFrame) -> DataFrame:
     texts. route_rules: rule_id, mode (register, amend, replace, text), tag, value, tag2, value2."""
     long_tags = entities.select("id", F.explode("tags").alias("k", "v")).withColumn("v", T.yes_no(F.col("v")))
     replace = route_rules.where("mode = 'replace'").select(F.col("tag").alias("k"), F.col("value").alias("v"), "tag2", "value2")
-    replaced = long_tags.join(F.broadcast(replace), ["k", "v"], "left").select("id", F.coalesce("tag2", "k").alias("k"), F.coalesce("value2", "v").alias("v"))
+    replaced = long_tags.join(bounded(replace), ["k", "v"], "left").select("id", F.coalesce("tag2", "k").alias("k"), F.coalesce("value2", "v").alias("v"))
     own = route_rules.where("mode <> 'replace'").select("rule_id", "mode", "tag", "value")
     exact = (F.col("mode").isin("register", "text")) & (F.col("k") == F.col("tag"))
     prefix = (F.col("mode") == "amend") & F.col("k").startswith(F.col("tag"))
     fits = (exact | prefix) & (F.col("value").isNull() | (F.col("value") == F.col("v")))
-    met = replaced.join(F.broadcast(own), fits)
+    met = replaced.join(bounded(own), fits)
     accepted = met.groupBy("id").agg(
         F.array_sort(F.collect_set(F.when(F.col("mode") != "text", F.col("rule_id")))).alias("types"),
         F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("mode") == "text", F.struct("rule_id", "v"))))).alias("names"),

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.session import bounded
+
 from . import mapobj
 
 #: fixed values: kinds of primitive
@@ -205,7 +207,7 @@ def icon_symbols(prims: DataFrame, classes: dict[str, list[Rule]], zoom: int) ->
 def layer_gate(tiles: DataFrame, layers: DataFrame) -> DataFrame:
     """B26. Tiles (zoom, source_layer) with the style layers that draw them: zoom in [min, max)."""
     fits = (F.col("zoom") >= F.col("min_zoom")) & (F.col("zoom") < F.col("max_zoom"))
-    return tiles.join(F.broadcast(layers), "source_layer").where(fits)  # a style has tens of layers
+    return tiles.join(bounded(layers), "source_layer").where(fits)
 
 
 def render_set(objects: DataFrame, levels: DataFrame, classes: dict[str, list[Rule]], box: tuple[int, int, int, int], zoom: int, density: int = 10) -> dict[str, DataFrame]:

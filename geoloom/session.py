@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", **conf: str) -> SparkSession:
@@ -37,3 +38,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A dimension table (rules, layers) with a broadcast hint if it has at most `rows` rows; a larger
+    one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
