@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source's words are laid out in 2**12 hash ranges, whose sums are accumulated first, so
 #: that a source with a third of all rows is never ordered in one task.
@@ -94,9 +96,11 @@ def _placed(
     starts = ranges.select(
         F.col("source").alias("of"), F.col("range").alias("in"), F.coalesce(F.sum("words").over(order), F.lit(0)).alias("base")
     )
-    starts = starts.join(targets, F.col("of").eqNullSafe(F.col("source"))).drop("source")
+    starts = materialize(starts.join(targets, F.col("of").eqNullSafe(F.col("source"))).drop("source"))
     within = Window.partitionBy("source", "range").orderBy("key", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    # the table of range starts has sources * 2**12 rows at most; few sources: the rows stay where they are
+    starts = broadcast_if_small(starts)
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in")))
     begin = F.col("base") + F.col("ahead")
     whole = F.floor("target")

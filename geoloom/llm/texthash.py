@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WINDOW = 2 << 20  # bytes hashed at once; bounds memory, never cuts a word
+WINDOW = 1 << 20  # bytes hashed at once; bounds memory, never cuts a word
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -55,7 +55,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, offsets if len(offsets) else np.zeros(1, np.int64)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of text (or one row): bounds what
     hashing a batch takes."""
     for batch in batches:
