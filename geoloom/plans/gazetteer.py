@@ -297,7 +297,7 @@ def _buildings(t: Tables) -> DataFrame:
 @query(
     "c5_gazetteer",
     f"""WITH {STREETS}, b AS (SELECT id, id%20 AS city_id, CASE WHEN id%3=0 THEN concat('Part ',id%2) ELSE '' END AS part, street AS name, housenumber FROM address WHERE id%7<>0)
- SELECT st.city_id, st.name AS street, st.part='Part 1' AS main, b.id AS building_id, b.housenumber FROM st LEFT JOIN b ON b.city_id=st.city_id AND b.part=st.part AND b.name=st.name""",
+ SELECT st.city_id, st.name AS street, st.part='Part 1' AS main, b.id AS building_id, b.housenumber FROM st LEFT JOIN b ON b.city_id=st.city_id AND b.part=st.part AND b.name=st.name WHERE st.city_id IN (SELECT id FROM place)""",
 )
 def _(t: Tables) -> DataFrame:
     cities = t.place.select("id", F.lit("Part 1").alias("name")).where("id < 20")
