@@ -221,8 +221,8 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int, k: int = 2
 
 
 def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int) -> DataFrame:
-    """(sig, node, n, hub, hub_n, r) of every signature that two different sets share. n: the set's
-    size; r: its rare tokens, in lists of combinations; -1 in lists of a rare token."""
+    """(sig, node, n, hub, hub_n, r, hub_r) of every signature that two different sets share. n: the
+    set's size; r: its rare tokens, in lists of combinations; -1 in lists of a rare token."""
     spark = docs.sparkSession
     parts = 4 * shuffle_partitions(spark)
 
@@ -295,6 +295,7 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
                 "hub": node[hub[keep]],
                 "hub_n": n[hub[keep]],
                 "r": np.full(int(keep.sum()), -1, np.int32),
+                "hub_r": np.full(int(keep.sum()), -1, np.int32),
             }
         )
 
@@ -306,12 +307,12 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "n", "r"])
 
     packed = materialize(docs.select("text").mapInArrow(index, "bucket int, sigs binary, nodes binary, sizes binary"))
-    schema = "sig long, node long, n int, hub long, hub_n int, r int"
+    schema = "sig long, node long, n int, hub long, hub_n int, r int, hub_r int"
     rare = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(shared, schema)
     combos = packed.where("bucket < 0").mapInArrow(rows, "sig long, node long, n int, r int")
     hubs = combos.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-    sizes = combos.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")).distinct()
-    lists = combos.distinct().join(hubs.select("sig", "hub"), "sig").join(sizes, "hub").select("sig", "node", "n", "hub", "hub_n", "r")
+    sizes = combos.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r")).distinct()
+    lists = combos.distinct().join(hubs.select("sig", "hub"), "sig").join(sizes, "hub").select("sig", "node", "n", "hub", "hub_n", "r", "hub_r")
     return materialize(rare.unionByName(lists))
 
 
@@ -342,11 +343,14 @@ def _open_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent
 
     In a list of a rare token: all of them; the list is shorter than the frequent bound. In a list
     of combinations, let h be its hub, r a document's rare tokens and lost = |h - x|. Two of its
-    documents that share a rare token meet in that token's list. If they share none, their
-    symmetric difference is at least r_x + r_y + |lost_x - lost_y|, and pairs for which that is
-    too much to link aren't made. What the far one of a pair would need of the near one is first
-    held against the list's extremes, so that documents which can't link to anybody (the bulk of
-    what edits have torn from a large group) don't enter the join at all.
+    documents that share a rare token meet in that token's list. If they share none, their rare
+    tokens are r_x + r_y of their symmetric difference, and its frequent ones are at least the
+    difference in the frequent tokens of h that they lack. Of d = lost_x - lost_y >= 0, up to
+    min(r_h, r_y) may be rare tokens of h that y has and x has not, which r_y has counted already.
+    So the difference is at least r_x + r_y + max(0, d - min(r_h, r_y)), and pairs for which that
+    is too much to link aren't made. What the far one of a pair (x) would need of the near one is
+    first held against the list's extremes, so that documents which can't link to anybody (the
+    bulk of what edits have torn from a large group) don't enter the join at all.
     """
     fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
     pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
@@ -369,13 +373,13 @@ def _open_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent
     combos = spread.where("r >= 0").withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub")).join(known, ["a", "b"], "left")
     lost = F.when(F.col("node") == F.col("hub"), 0).otherwise(F.col("hub_n") - F.col("both"))
     # lists of one hub hold much the same documents: together they make each pair once
-    entries = combos.select("hub", *keep[1:], lost.alias("lost")).distinct()
+    entries = combos.select("hub", "hub_r", *keep[1:], lost.alias("lost")).distinct()
     by_hub = entries.groupBy("hub", "root").agg(F.count("*").alias("m"))
     most = by_hub.groupBy("hub").agg(F.max(F.struct("m", "root")).alias("most")).select("hub", F.col("most.root").alias("most"))
     entries = materialize(entries.join(most, "hub"))
     far = 2**30
     extremes = entries.groupBy("hub").agg(
-        F.max(F.coalesce(F.col("lost") - F.col("r"), F.lit(far))).alias("spare"),
+        F.max(F.coalesce(F.col("lost") - F.greatest(F.col("r") - F.col("hub_r"), F.lit(0)), F.lit(far))).alias("spare"),
         F.max("n").alias("top"),
         F.max(F.when(F.col("root") == F.col("most"), F.coalesce("lost", F.lit(far)))).alias("reach"),
     )
@@ -388,7 +392,9 @@ def _open_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent
     minor = minor.where(possible).select("hub", *(F.col(c).alias(f"x_{c}") for c in (*keep[1:], "lost")))
     minor = materialize(minor)
     cross = entries.drop("most").join(broadcast_if_small(minor), "hub")
-    least = F.col("r") + F.col("x_r") + F.coalesce(F.abs(F.col("lost") - F.col("x_lost")), F.lit(0))
+    near_r = F.when(F.col("lost") < F.col("x_lost"), F.col("r")).otherwise(F.col("x_r"))
+    more = F.abs(F.col("lost") - F.col("x_lost")) - F.least("hub_r", near_r)
+    least = F.col("r") + F.col("x_r") + F.greatest(F.coalesce(more, F.lit(0)), F.lit(0))
     cross = cross.where(
         (F.col("root") != F.col("x_root")) & fits(F.col("n"), F.col("x_n")) & (least <= apart(F.col("n"), F.col("x_n")))
     ).select(*pair(F.col("node"), F.col("x_node")))

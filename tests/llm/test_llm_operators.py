@@ -104,6 +104,17 @@ def test_ngram_join_keeps_representatives(spark, corpus):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in enumerate(want) if c == i)
 
 
+def test_ngram_join_hub_with_rare_tokens(spark):
+    """A hub shares its rare tokens with one of two linked texts: they don't count twice."""
+    some = lambda name, n: [f"{name}{i}" for i in range(n)]
+    f, g, t, v = some("f", 190), some("g", 40), some("t", 20), some("v", 20)
+    texts = [f + g + t, f + t, f + v]
+    texts += [f + some(f"p{i}x", 40) for i in range(20)] + [g + some(f"q{i}x", 200) for i in range(60)]
+    got = ngram_join.ngram_jaccard_join(docs_frame(spark, [" ".join(x) for x in texts]), words=1, percent=80).collect()
+    want = components([frozenset(x) for x in texts], 80)
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want)) and want[2] == 0
+
+
 def test_ngram_join_odd_rows(spark):
     empty = docs_frame(spark, ["x"]).where("false")
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
