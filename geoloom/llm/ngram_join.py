@@ -443,22 +443,15 @@ def ngram_jaccard_join(
     named = materialize(docs.mapInArrow(name, f"id {id_type}, n long, node long"))
     postings = _postings(docs, words, percent, classes, frequent)
 
-    wanted = postings.select("node").distinct()
-    few = wanted.count() <= max_frequent  # then at most 8 MB are broadcast; else a join selects
-    chosen = (
-        spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64))) if few else None
-    )
+    wanted = materialize(postings.select("node").distinct())
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, seen = _Classes(*classes.value), set()
         for batch in texthash.slices(batches, "text"):
             tokens, offsets = texthash.shingle_sets(batch.column(0), words)
             node = nodes_of(tokens, offsets, lookup.of(tokens))
-            keep = np.diff(offsets) > 0
-            if chosen is not None:
-                keep &= np.isin(node, chosen.value)
             ids, blobs = [], []
-            for i in np.flatnonzero(keep):
+            for i in np.flatnonzero(np.diff(offsets)):
                 if (k := int(node[i])) not in seen:
                     seen.add(k)
                     ids.append(k)
@@ -466,9 +459,7 @@ def ngram_jaccard_join(
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["node", "tokens"])
 
     sets = docs.select("text").mapInArrow(sets_of, "node long, tokens binary")
-    if chosen is None:
-        sets = sets.join(wanted, "node", "left_semi")
-    sets = materialize(sets.dropDuplicates(["node"]))
+    sets = materialize(sets.join(broadcast_if_small(wanted), "node", "left_semi").dropDuplicates(["node"]))
 
     fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
     pair = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))

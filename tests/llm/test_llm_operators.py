@@ -115,6 +115,14 @@ def test_ngram_join_hub_with_rare_tokens(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want)) and want[2] == 0
 
 
+def test_ngram_join_sends_no_rows_of_sets_to_the_driver(spark, corpus, monkeypatch):
+    """Frequent tokens aside, no table is pulled row by row, so no fingerprints of all documents are."""
+    pulled, pull = [], type(spark.range(0)).toLocalIterator
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", lambda df, *a, **b: pulled.append(df.columns) or pull(df, *a, **b))
+    ngram_join.ngram_jaccard_join(docs_frame(spark, corpus[:20]), words=4, percent=85)
+    assert all("node" not in columns for columns in pulled)
+
+
 def test_ngram_join_odd_rows(spark):
     empty = docs_frame(spark, ["x"]).where("false")
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
