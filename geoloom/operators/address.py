@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import tags
-from geoloom.functions.geo import distance_m
+from geoloom.functions.geo import EARTH_KM, distance_m, wrap_longitude
 from geoloom.session import cut_lineage
 
 
@@ -119,31 +120,86 @@ def name_search(index: DataFrame, text: str) -> DataFrame:
     return index.where(F.col("prefix") == folded[:4]).where(F.contains(word, F.lit(" " + folded))) if len(folded) >= 4 else index.where(F.col("prefix").startswith(folded))
 
 
-def merge_streets(vertices: DataFrame, max_m: float = 900.0, rounds: int = 20) -> DataFrame:
-    """I12. (street_id, merged_id): streets of one city with one name (any case) whose vertices come
-    within `max_m` of each other, transitively. vertices: city_id, street_id, name, lat, lon.
+def _components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, root) of every node of the undirected links a, b; root is the component's smallest node.
 
-    Candidate pairs share a cell of a grid coarser than `max_m`, or neighbour it.
+    Each round nodes point at the neighbour of the smallest hash, pointers are doubled, and the
+    graph is contracted along them. It loses a constant share of its nodes each time, so rounds
+    are logarithmic; if it doesn't settle this raises.
     """
-    cell = max_m / 111_000.0 / 0.7
-    keyed = vertices.withColumn("name", F.lower("name")).withColumn("cy", F.floor(F.col("lat") / cell)).withColumn("cx", F.floor(F.col("lon") / cell))
-    around = F.sequence(F.lit(-1), F.lit(1))
-    other = keyed.select("city_id", "name", "cx", "cy", F.col("street_id").alias("o_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
-    spread = keyed.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    spread = spread.withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy")).drop("dx", "dy")
-    near = spread.join(other, ["city_id", "name", "cx", "cy"]).where(
-        (F.col("street_id") != F.col("o_id")) & (distance_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) <= max_m)
-    )
-    links = near.select(F.col("street_id").alias("a"), F.col("o_id").alias("b")).distinct()
-    labels = vertices.select(F.col("street_id")).distinct().withColumn("merged_id", F.col("street_id"))
-    for _ in range(rounds):
-        least = links.join(labels.select(F.col("street_id").alias("b"), "merged_id"), "b").groupBy(F.col("a").alias("street_id")).agg(F.min("merged_id").alias("m"))
-        step = labels.join(least, "street_id", "left").select("street_id", F.least("merged_id", F.coalesce("m", "merged_id")).alias("merged_id"), "merged_id")
-        step = cut_lineage(step.toDF("street_id", "merged_id", "before"))
-        labels = step.select("street_id", "merged_id")
-        if step.where("merged_id <> before").isEmpty():
+    links = cut_lineage(links.select("a", "b").distinct())
+    mapping = cut_lineage(links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node")))
+    links = links.where("a <> b")
+    for _ in range(max_rounds):
+        if links.isEmpty():
             break
-    return labels
+        both = links.union(links.select("b", "a"))
+        least = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("id"))).alias("m"))
+        own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("id"))
+        to = cut_lineage(least.select("a", F.least(own, "m")["id"].alias("to")))
+        for _ in range(2):
+            to = cut_lineage(to.join(to.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to")))
+        mapping = cut_lineage(mapping.join(to.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        ends = links.join(to.withColumnRenamed("to", "a_to"), "a").join(to.select(F.col("a").alias("b"), F.col("to").alias("b_to")), "b")
+        links = cut_lineage(ends.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b").distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    smallest = mapping.groupBy("root").agg(F.min("node").alias("least"))
+    return mapping.join(smallest, "root").select("node", F.col("least").alias("root"))
+
+
+def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
+    """I12. (street_id, merged_id): streets of one city with one name (any case) whose vertices come
+    within `max_m` of each other, transitively; merged_id is the smallest of them. Streets without
+    a name stay by themselves. vertices: city_id, street_id, name, lat, lon.
+
+    Vertices of one city and name fall into cells so small that all in a cell, or in two adjacent
+    ones, are within `max_m`: each is linked to its cell's first street. Cells are linked by their
+    boxes where these suffice. Only cells of different components that boxes leave open have their
+    distinct points compared, so a hot cell doesn't pair its vertices. Rows of cells have their own
+    width in degrees, and columns go round the antimeridian.
+    """
+    k = math.radians(1) * EARTH_KM * 1000  # metres a degree
+    side = max_m / math.sqrt(8) / k * 0.999
+    rows = math.ceil(max_m / k / side) + 1
+    # a row's columns are counted where it is widest; what is near is bounded where it is narrowest
+    near_lat = lambda cy: F.when(cy >= 0, cy * side).otherwise(-(cy + 1) * side)
+    columns = lambda cy: F.greatest(F.lit(1), F.ceil(360 * F.cos(F.radians(near_lat(cy))) / side))
+    column = lambda lon, cy: F.floor((lon + 180) * columns(cy) / 360)
+    keys = ["city_id", "name", "cy", "cx"]
+    points = vertices.select("city_id", "street_id", F.lower("name").alias("name"), "lat", wrap_longitude(F.col("lon")).alias("lon")).dropna()
+    points = points.withColumn("cy", F.floor(F.col("lat") / side)).withColumn("cx", F.pmod(column(F.col("lon"), F.col("cy")), columns(F.col("cy"))))
+    points = cut_lineage(points.distinct())
+    box = [f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))]
+    cells = cut_lineage(points.groupBy(*keys).agg(F.min("street_id").alias("rep"), *box))
+    own = points.join(cells.select(*keys, "rep"), keys).select(F.col("street_id").alias("a"), F.col("rep").alias("b"))
+
+    other = cells.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("rep", "lo_lat", "hi_lat", "lo_lon", "hi_lon")))
+    around = cells.withColumnsRenamed({"cy": "y", "cx": "x"}).withColumn("cy", F.explode(F.sequence(F.col("y") - rows, F.col("y") + rows)))
+    farthest = F.greatest(F.abs(F.col("lo_lat")), F.abs(F.col("hi_lat")), (F.abs(F.col("cy")) + 1) * side)
+    narrow = F.greatest(F.cos(F.radians(F.least(farthest, F.lit(90.0)))), F.lit(1e-12))
+    reach = 2 * F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(max_m / k) / 2) / narrow))) * 1.000001 + 1e-9
+    first, last = column(F.col("lo_lon") - reach, F.col("cy")), column(F.col("hi_lon") + reach, F.col("cy"))
+    last = F.least(last, first + columns(F.col("cy")) - 1)  # once round at most
+    around = around.withColumn("cx", F.explode(F.sequence(first, last))).withColumn("cx", F.pmod("cx", columns(F.col("cy"))))
+    pairs = around.join(other, keys).where((F.col("cy") > F.col("y")) | ((F.col("cy") == F.col("y")) & (F.col("cx") > F.col("x"))))
+    span = lambda c: F.greatest(f"hi_{c}", f"o_hi_{c}") - F.least(f"lo_{c}", f"o_lo_{c}")
+    gap = F.greatest(F.col("lo_lat") - F.col("o_hi_lat"), F.col("o_lo_lat") - F.col("hi_lat"))
+    pairs = pairs.where(gap * k <= max_m * 1.000001)
+    wide = F.cos(F.radians(F.greatest(F.lit(0.0), F.least("lo_lat", "o_lo_lat"), -F.greatest("hi_lat", "o_hi_lat"))))
+    sure = F.hypot(span("lat"), span("lon") * wide) * k <= max_m * 0.999999
+    pairs = cut_lineage(pairs.select("city_id", "name", "y", "x", "cy", "cx", F.col("rep").alias("a"), F.col("o_rep").alias("b"), sure.alias("sure")))
+    links = cut_lineage(own.union(pairs.where("sure").select("a", "b")).distinct())
+    roots = cut_lineage(_components(links))
+
+    open_ = pairs.where("not sure").join(roots.toDF("a", "a_root"), "a").join(roots.toDF("b", "b_root"), "b").where("a_root <> b_root")
+    spots = points.select(*keys, "lat", "lon").distinct()
+    met = open_.join(spots.withColumnsRenamed({"cy": "y", "cx": "x"}), ["city_id", "name", "y", "x"])
+    met = met.join(spots.withColumnsRenamed({"lat": "o_lat", "lon": "o_lon"}), keys)
+    met = met.where(distance_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) <= max_m)
+    more = cut_lineage(met.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    merged = roots.join(_components(more).toDF("root", "merged"), "root", "left").select(F.col("node").alias("street_id"), F.coalesce("merged", "root").alias("merged_id"))
+    return vertices.select("street_id").distinct().join(merged, "street_id", "left").select("street_id", F.coalesce("merged_id", "street_id").alias("merged_id"))
 
 
 def corner_streets(first: Column, second: Column) -> Column:

@@ -577,7 +577,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     from geoloom.operators import address
 
-    v = t.osm_way_node.where("way_id % 100 = 0").join(t.osm_node.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id").join(t.osm_way.select(F.col("id").alias("way_id"), "name"), "way_id")
+    v = t.osm_way_node.join(t.osm_node.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id").join(t.osm_way.select(F.col("id").alias("way_id"), "name"), "way_id")
     return address.merge_streets(v.select(F.lit(1).alias("city_id"), F.col("way_id").alias("street_id"), "name", "lat", "lon"))
 
 
