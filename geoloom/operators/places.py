@@ -6,12 +6,14 @@ they are in, and the equi-join is refined by the exact test.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.functions.geo import covering_tiles, distance_m, tile_x, tile_y
+from geoloom.functions.geo import EARTH_KM, covering_tiles, distance_m, tile_latitude, tile_x, tile_y
+from geoloom.session import cut_lineage
 
 #: fixed values: radius in metres by kind of place, 400 for other kinds
 RADIUS_M = {"city": 10000.0, "town": 5000.0, "village": 1300.0, "hamlet": 1000.0}
@@ -118,6 +120,49 @@ def nearest(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("m", m).groupBy("p_id").agg(F.min_by("o_id", F.struct("m", "o_id")).alias("o_id"), F.min("m").alias("m"))
 
 
+def nearest_object(points: DataFrame, objects: DataFrame) -> DataFrame:
+    """F8 over all objects. The nearest one of each point: (p_id, o_id, m), the smaller id of equals.
+
+    points and objects: id, lat, lon. A round looks in the 3 x 3 tiles around each point that is
+    left, starting where a tile holds about one object. A point is done once its nearest is nearer
+    than anything outside these tiles can be; the others go on to tiles of twice the width, at
+    last to the whole globe. Columns go round the antimeridian. Points and objects without a
+    position have no row; without objects there is none at all.
+    """
+    placed = objects.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy(F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    placed = cut_lineage(placed.agg(F.min("id").alias("o_id")))
+    rest = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("id").alias("p_id"), "lat", "lon")
+    box = placed.agg(F.count("*").alias("n"), (F.max("o_lat") - F.min("o_lat")).alias("h"), (F.max("o_lon") - F.min("o_lon")).alias("w")).first()
+    if not box["n"]:
+        return rest.select("p_id", F.lit(None).cast(dict(objects.dtypes)["id"]).alias("o_id"), F.lit(0.0).alias("m")).limit(0)
+    start = max(0, min(22, math.floor(math.log2(360 * math.sqrt(box["n"]) / max(box["h"], box["w"], 1e-4)))))
+    edge = EARTH_KM * 1000 * (1 - 1e-9)
+    found: list[DataFrame] = []
+    for z in range(start, -1, -1):
+        last = 2**z - 1
+        row = lambda c: F.greatest(F.lit(0), F.least(F.lit(last), F.floor(tile_y(F.col(c), z))))  # noqa: B023, E731
+        column = lambda c: F.least(F.lit(last), F.floor(tile_x(F.col(c), z)))  # noqa: B023, E731
+        at = rest.withColumn("tx", column("lon")).withColumn("ty", row("lat"))
+        part = tile_x(F.col("lon"), z) - F.col("tx")
+        turn = F.radians(F.least(F.lit(90.0), F.least(1 + part, 2 - part) * 360 / 2**z))
+        beside = F.asin(F.cos(F.radians("lat")) * F.sin(turn))
+        north = F.when(F.col("ty") >= 2, F.radians(tile_latitude(F.col("ty") - 1, z) - F.col("lat"))).otherwise(math.inf)
+        south = F.when(F.col("ty") <= last - 2, F.radians(F.col("lat") - tile_latitude(F.col("ty") + 2, z))).otherwise(math.inf)
+        safe = edge * F.least(beside if z >= 2 else F.lit(math.inf), north, south)
+        steps = F.sequence(F.lit(-1), F.lit(1))
+        near = at.withColumn("safe", safe).withColumn("dx", F.explode(steps)).withColumn("ky", F.explode(F.transform(steps, lambda d: F.col("ty") + d)))
+        near = near.withColumn("kx", F.pmod(F.col("tx") + F.col("dx"), F.lit(2**z)))
+        hit = near.join(placed.withColumn("kx", column("o_lon")).withColumn("ky", row("o_lat")), ["kx", "ky"])
+        m = distance_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon"))
+        best = hit.withColumn("m", m).groupBy("p_id", "lat", "lon", "safe").agg(F.min(F.struct("m", "o_id")).alias("best"))
+        done = cut_lineage(best.where(F.col("best.m") < F.col("safe")).select("p_id", "lat", "lon", "best"))
+        found.append(done.select("p_id", F.col("best.o_id").alias("o_id"), F.col("best.m").alias("m")))
+        rest = cut_lineage(rest.join(done.select("p_id", "lat", "lon"), ["p_id", "lat", "lon"], "left_anti"))
+        if rest.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
 def relative_order(candidates: DataFrame) -> DataFrame:
     """F3. Candidates (with kind) by distance over radius: adds rel and rank, nearest first."""
     rel = distance_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) / radius_m(F.col("kind"))
