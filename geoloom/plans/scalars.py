@@ -96,6 +96,16 @@ def _(t: Tables) -> DataFrame:
     return t.orders.where(k * 104729 < 2**31).select(k.alias("id"), geo.morton(k * 7919, k * 104729).alias("code"))
 
 
+# h31_morton and its oracle end at 31 bits of o_orderkey*104729; this one takes all orders
+@query(
+    "h31_morton_all",
+    "SELECT id, CAST(list_sum(list_transform(range(0,31), lambda b: (((x>>b)&1)<<(2*b+1)) + ((y>>b)&1)*(1<<(2*b)))) AS BIGINT) AS code FROM (SELECT o_orderkey AS id, (o_orderkey*7919)%2147483648 AS x, (o_orderkey*104729)%2147483648 AS y FROM orders) s",
+)
+def _(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey").cast("long")
+    return t.orders.select(F.col("o_orderkey").alias("id"), geo.morton(F.pmod(k * 7919, F.lit(2**31)), F.pmod(k * 104729, F.lit(2**31))).alias("code"))
+
+
 @query(
     "h31_short_code",
     """WITH c AS (SELECT id, CAST(trunc((lon+180)/360*4294967296e0) AS BIGINT) AS x, CAST(trunc((lat+90)/180*4294967296e0) AS BIGINT) AS y FROM osm_node),
