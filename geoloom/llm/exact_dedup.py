@@ -15,6 +15,7 @@ key, which is how rows of `withdrawn` texts leave the index.
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -211,6 +212,8 @@ def exact_dedup(
 
 
 def keep_last_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the copies that `exact_dedup` drops."""
-    drop = exact_dedup(docs, id_col, text_col).where("not kept").select(id_col).distinct()
-    return docs.join(drop, id_col, "left_anti")
+    """`docs` without the copies that `exact_dedup` drops: by id, null or not, and text."""
+    drop = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("id"), "text_sha256").distinct().alias("drop")
+    lower = F.translate(F.coalesce(docs[text_col], F.lit("")), string.ascii_uppercase, string.ascii_lowercase)  # as the digests
+    same = docs[id_col].cast("long").eqNullSafe(F.col("drop.id")) & (F.sha2(lower, 256) == F.col("drop.text_sha256"))
+    return docs.join(drop, same, "left_anti")

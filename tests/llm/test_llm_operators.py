@@ -220,6 +220,12 @@ def test_exact_dedup_odd_rows(spark):
     assert live[0]["kept"] and not live[1]["kept"] and live[1]["group_size"] == 0
 
 
+def test_exact_dedup_stage_keeps_texts_of_repeated_ids(spark):
+    df = docs_frame(spark, ["a", "b", "a", "b", "c", None, ""], ids=[1, 1, 2, None, None, 5, 6])
+    kept = exact_dedup.keep_last_copies(df)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, "b"), (2, "a"), (None, "c"), (6, "")], key=str)
+
+
 def test_cuckoo_index():
     rnd = random.Random(4)
     index, live = exact_dedup.CuckooIndex(4), {}
