@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and everything runs on one machine (tests) a temporary
+    folder is set; on a cluster that is an error, since executors wouldn't see each other's files.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="geoloom-")
         atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
@@ -34,6 +40,56 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the system. Workers are kept and reused, so
+    without this each would hold on to its largest batch beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for mapInArrow that releases its memory when its task is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def lean_group(function: Callable[[pa.Table], pa.Table]):
+    """A function for applyInArrow that releases its memory after each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return function(table)
+        finally:
+            release_memory()
+
+    return run
+
+
+def without_rows(docs: DataFrame, id_col: str, key: Column, drop: DataFrame, twice: DataFrame) -> DataFrame:
+    """`docs` without the rows in `drop`, and with one of the rows that `twice` names.
+
+    Both tables are (id, key); a row is told by its id, null or not, together with `key`, a digest
+    of its text, so rows of one id and different texts are different rows. Rows that agree in id
+    and text are interchangeable: of those in `twice` any one stays.
+    """
+    same = lambda t: docs[id_col].eqNullSafe(F.col(f"{t}.id")) & (key == F.col(f"{t}.key"))
+    once = docs.join(drop.alias("drop"), same("drop"), "left_anti")
+    if twice.isEmpty():
+        return once
+    few = docs.join(twice.alias("few"), same("few"), "left_semi").withColumn("__key", key)
+    few = few.dropDuplicates([id_col, "__key"]).drop("__key")
+    return once.join(twice.alias("few"), same("few"), "left_anti").unionByName(few)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash
-from .common import shuffle_partitions
+from .common import lean, materialize, shuffle_partitions, without_rows
 
 SLOTS = 4
 KICKS = 64
@@ -123,7 +123,7 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, digest) of every row, in input order; null text counts as empty."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in texthash.slices(batches, "text", 4 << 20):
             data, offsets = texthash.buffers(batch.column(1))
             view = memoryview(data)
             out = [
@@ -133,7 +133,7 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "digest"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(digest, "id long, digest binary")
+    return docs.mapInArrow(lean(digest), "id long, digest binary")
 
 
 def _groups(rows: DataFrame, withdrawn: DataFrame | None) -> DataFrame:
@@ -178,7 +178,7 @@ def _groups(rows: DataFrame, withdrawn: DataFrame | None) -> DataFrame:
             index.delete(d)
         return pa.table(emit(index), ["digest", "keep_id", "group_size"])
 
-    entries = rows.mapInArrow(combine, "digest binary, keep_id long, group_size long")
+    entries = rows.mapInArrow(lean(combine), "digest binary, keep_id long, group_size long")
     if withdrawn is not None:
         entries = entries.unionByName(
             withdrawn.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"))
@@ -199,7 +199,7 @@ def exact_dedup(
     two columns) deletes its texts from the index: rows with such a text get keep_id null,
     group_size 0 and kept false. An empty table gives an empty result.
     """
-    rows = _digests(docs, id_col, text_col)
+    rows = materialize(_digests(docs, id_col, text_col))  # the texts are read and hashed once
     gone = None if withdrawn is None else _digests(withdrawn, id_col, text_col).select("digest").distinct()
     groups = _groups(rows, gone)
     return rows.join(groups, "digest", "left").select(
@@ -212,8 +212,14 @@ def exact_dedup(
 
 
 def keep_last_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the copies that `exact_dedup` drops: by id, null or not, and text."""
-    drop = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("id"), "text_sha256").distinct().alias("drop")
+    """One row of each group of equal texts: that of the largest id, with all of its columns.
+
+    A row is told by id and text: rows that share their id, null or not, with a row that goes stay
+    if their own text does. Of rows that repeat both the largest id and the text, or of a group
+    without any id, one stays. Null and empty texts are equal. An empty table stays empty.
+    """
+    rows = materialize(exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("key"), "kept"))
+    drop = rows.where("not kept").select("id", "key").distinct()
+    twice = rows.where("kept").groupBy("id", "key").count().where("count > 1").select("id", "key")
     lower = F.translate(F.coalesce(docs[text_col], F.lit("")), string.ascii_uppercase, string.ascii_lowercase)  # as the digests
-    same = docs[id_col].cast("long").eqNullSafe(F.col("drop.id")) & (F.sha2(lower, 256) == F.col("drop.text_sha256"))
-    return docs.join(drop, same, "left_anti")
+    return without_rows(docs, id_col, F.sha2(lower, 256), drop, materialize(twice))

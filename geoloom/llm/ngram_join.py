@@ -32,14 +32,23 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash
-from .common import broadcast_if_small, connected_components, materialize, shuffle_partitions
-
-FLUSH = 1_000_000  # tokens that a task packs at once
+from .common import (
+    broadcast_if_small,
+    connected_components,
+    lean,
+    lean_group,
+    materialize,
+    shuffle_partitions,
+    without_rows,
+)
+
+FLUSH = 500_000  # tokens that a task packs at once
 NODE_BITS = np.uint64(2**56 - 1)
+RECENT = 1 << 14  # sets that a task remembers, so as to pass over their copies
 
 
 def _pack_sorted(values: np.ndarray) -> bytes:
@@ -100,7 +109,7 @@ def _frequencies(docs: DataFrame, words: int, parts: int) -> DataFrame:
         if held:
             yield send(held)
 
-    return docs.select("text").mapInArrow(partial, "bucket int, once binary, keys binary, counts binary")
+    return docs.select("text").mapInArrow(lean(partial), "bucket int, once binary, keys binary, counts binary")
 
 
 def _frequent_tokens(docs: DataFrame, words: int, frequent: int, max_frequent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +141,7 @@ def _frequent_tokens(docs: DataFrame, words: int, frequent: int, max_frequent: i
         )
 
     found = materialize(
-        _frequencies(docs, words, parts).groupBy("bucket").applyInArrow(merge, "power int, n long, keys binary")
+        _frequencies(docs, words, parts).groupBy("bucket").applyInArrow(lean_group(merge), "power int, n long, keys binary")
     )
     sizes = {r["power"]: r["n"] for r in found.groupBy("power").agg(F.sum("n").alias("n")).collect()}
     first = next(p for p in range(64) if 2**p >= frequent)
@@ -166,15 +175,41 @@ class _Classes:
         return out
 
 
-def nodes_of(tokens: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """A 63-bit id of each set: 7 bits of unusualness (share of rare tokens), 56 of fingerprint."""
+def nodes_of(
+    tokens: np.ndarray, offsets: np.ndarray, classes: np.ndarray, clashes: frozenset[int] = frozenset()
+) -> tuple[np.ndarray, np.ndarray]:
+    """A 63-bit id of each set, 7 bits of unusualness (share of rare tokens) and 56 of fingerprint,
+    and a second fingerprint of 64 bits. Ids that `clashes` names stand for several sets; there the
+    second fingerprint gives the id."""
     n = np.diff(offsets)
     sums = lambda x: np.r_[x.dtype.type(0), np.cumsum(x, dtype=x.dtype)]
-    total = sums(texthash.mix(tokens, 3))
-    rare = sums((classes == 0).astype(np.int64))
-    print_ = texthash.mix(total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64), 5) & NODE_BITS
-    share = (127 * (rare[offsets[1:]] - rare[offsets[:-1]]) // np.maximum(n, 1)).astype(np.uint64)
-    return ((share << np.uint64(56)) | print_).astype(np.int64)
+    of = lambda total: total[offsets[1:]] - total[offsets[:-1]]
+    print_ = texthash.mix(of(sums(texthash.mix(tokens, 3))) + n.astype(np.uint64), 5) & NODE_BITS
+    second = texthash.mix(of(sums(texthash.mix(tokens, 61))) + n.astype(np.uint64), 67)
+    share = (127 * of(sums((classes == 0).astype(np.int64))) // np.maximum(n, 1)).astype(np.uint64) << np.uint64(56)
+    node = share | print_
+    if clashes:
+        again = np.isin(node, np.fromiter(clashes, np.uint64, len(clashes)))
+        node = np.where(again, share | (texthash.mix(second, 71) & NODE_BITS), node)
+    return node.astype(np.int64), second.view(np.int64)
+
+
+class _Fresh:
+    """Which sets a task hasn't met lately: a table of fixed size, so a set may come up again after
+    others took its place (copies are merged for good after the shuffle)."""
+
+    def __init__(self):
+        self._slots = np.full(RECENT, -1, np.int64)
+
+    def of(self, nodes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Positions of non-empty sets that are new, each set once."""
+        _, first = np.unique(nodes, return_index=True)
+        first = np.sort(first)
+        first = first[np.diff(offsets)[first] > 0]
+        slot = nodes[first] & (RECENT - 1)
+        new = self._slots[slot] != nodes[first]
+        self._slots[slot] = nodes[first]
+        return first[new]
 
 
 def required(n: int, percent: int) -> int:
@@ -220,14 +255,15 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int, k: int = 2
     return rare, np.concatenate(combos) if combos else tokens[:0]
 
 
-def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int) -> DataFrame:
+def _postings(docs: DataFrame, words: int, percent: int, classes, clashes: frozenset[int]) -> DataFrame:
     """(sig, node, n, hub, hub_n, r, hub_r) of every signature that two different sets share. n: the
     set's size; r: its rare tokens, in lists of combinations; -1 in lists of a rare token."""
     spark = docs.sparkSession
     parts = 4 * shuffle_partitions(spark)
 
-    def send(sigs: list[np.ndarray], nodes: list[np.ndarray], sizes: list[np.ndarray], combos: bool) -> pa.RecordBatch:
-        sig, node, n = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(sizes)
+    def send(sigs: list[np.ndarray], nodes: list[int], sizes: list[int], combos: bool) -> pa.RecordBatch:
+        each = [len(x) for x in sigs]
+        sig, node, n = np.concatenate(sigs), np.repeat(nodes, each), np.repeat(sizes, each)
         order = np.argsort(sig)
         sig, node, n = sig[order], node[order], n[order]
         cut = [0, len(sig)] if combos else _split_by_range(sig, parts, 64)
@@ -242,20 +278,19 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
         )
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, seen = _Classes(*classes.value), set()
+        lookup, fresh = _Classes(*classes.value), _Fresh()
         held: dict[bool, list] = {False: [], True: []}
         size = {False: 0, True: 0}
         for batch in texthash.slices(batches, "text"):
             tokens, offsets = texthash.shingle_sets(batch.column(0), words)
             kinds = lookup.of(tokens)
-            for node, a, b in zip(nodes_of(tokens, offsets, kinds).tolist(), offsets[:-1], offsets[1:], strict=True):
-                if a == b or node in seen:
-                    continue
-                seen.add(node)
+            nodes, _ = nodes_of(tokens, offsets, kinds, clashes)
+            for i in fresh.of(nodes, offsets):
+                node, a, b = int(nodes[i]), offsets[i], offsets[i + 1]
                 rare = int((kinds[a:b] == 0).sum())
                 for combos, sigs in zip((False, True), signatures(tokens[a:b], kinds[a:b], percent), strict=True):
                     if len(sigs):
-                        held[combos].append((sigs, np.full(len(sigs), node), np.full(len(sigs), (int(b - a) << 32) + rare)))
+                        held[combos].append((sigs, node, (int(b - a) << 32) + rare))
                         size[combos] += len(sigs)
             for combos in (False, True):
                 if size[combos] >= FLUSH:
@@ -306,10 +341,10 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, frequent: int)
                 columns = (sig.view(np.int64), node, (n >> 32).astype(np.int32), (n & 0xFFFFFFFF).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "n", "r"])
 
-    packed = materialize(docs.select("text").mapInArrow(index, "bucket int, sigs binary, nodes binary, sizes binary"))
+    packed = materialize(docs.select("text").mapInArrow(lean(index), "bucket int, sigs binary, nodes binary, sizes binary"))
     schema = "sig long, node long, n int, hub long, hub_n int, r int, hub_r int"
-    rare = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(shared, schema)
-    combos = packed.where("bucket < 0").mapInArrow(rows, "sig long, node long, n int, r int")
+    rare = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(lean_group(shared), schema)
+    combos = packed.where("bucket < 0").mapInArrow(lean(rows), "sig long, node long, n int, r int")
     hubs = combos.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     sizes = combos.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r")).distinct()
     lists = combos.distinct().join(hubs.select("sig", "hub"), "sig").join(sizes, "hub").select("sig", "node", "n", "hub", "hub_n", "r", "hub_r")
@@ -335,7 +370,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_set"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
-    return materialize(joined.mapInArrow(count, "a long, b long, both int, linked boolean"))
+    return materialize(joined.mapInArrow(lean(count), "a long, b long, both int, linked boolean"))
 
 
 def _open_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
@@ -420,45 +455,64 @@ def ngram_jaccard_join(
     a row with a null id gets the component's smallest id, or null. Equal rows and repeated ids
     are kept, each as its own row. An empty table gives an empty result.
 
-    percent: the least Jaccard similarity in hundredths. Set ids have 63 bits and shingles 64 in
-    the index, 48 in the final comparison, so an error needs a hash collision inside a pair.
+    percent: the least Jaccard similarity in hundredths. Sets are told apart by 63 bits, held
+    against a second fingerprint of 64; shingles have 64 bits in the index and 48 in the final
+    comparison, so an error there needs a hash collision inside a pair.
     """
+    named, labels = _components(docs, id_col, text_col, words, percent, frequent, max_frequent)
+    return named.join(labels, "node", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+    )
+
+
+def _components(
+    docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, frequent: int, max_frequent: int
+) -> tuple[DataFrame, DataFrame]:
+    """(id, n, node, key) of every row, key being the SHA-256 of its text, and (node, component_id,
+    component_key): the least (id, key) of the component, null ids last."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     classes = spark.sparkContext.broadcast(_frequent_tokens(docs, words, frequent, max_frequent))
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Classes(*classes.value)
-        for batch in texthash.slices(batches, "text"):
-            tokens, offsets = texthash.shingle_sets(batch.column("text"), words)
-            node = nodes_of(tokens, offsets, lookup.of(tokens))
-            n = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n), pa.array(node, mask=n == 0)], ["id", "n", "node"]
-            )
-
     id_type = docs.schema["id"].dataType.simpleString()
-    named = materialize(docs.mapInArrow(name, f"id {id_type}, n long, node long"))
-    postings = _postings(docs, words, percent, classes, frequent)
+
+    def named_by(clashes: frozenset[int]) -> DataFrame:
+        def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lookup = _Classes(*classes.value)
+            for batch in texthash.slices(batches, "text"):
+                tokens, offsets = texthash.shingle_sets(batch.column("text"), words)
+                node, second = nodes_of(tokens, offsets, lookup.of(tokens), clashes)
+                n = np.diff(offsets)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), pa.array(n), pa.array(node, mask=n == 0), pa.array(second), batch.column("key")],
+                    ["id", "n", "node", "second", "key"],
+                )
+
+        keyed = docs.withColumn("key", text_key("text"))
+        return materialize(keyed.mapInArrow(lean(name), f"id {id_type}, n long, node long, second long, key binary"))
+
+    named = named_by(frozenset())
+    # ids that stand for two sets: none are expected below 10^8 sets, a handful at 10^9; they are made anew
+    twins = named.groupBy("node").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).where("lo <> hi and node is not null")
+    clashes = frozenset(r["node"] for r in twins.select("node").collect())
+    if clashes:
+        named = named_by(clashes)
+    postings = _postings(docs, words, percent, classes, clashes)
 
     wanted = materialize(postings.select("node").distinct())
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, seen = _Classes(*classes.value), set()
+        lookup, fresh = _Classes(*classes.value), _Fresh()
         for batch in texthash.slices(batches, "text"):
             tokens, offsets = texthash.shingle_sets(batch.column(0), words)
-            node = nodes_of(tokens, offsets, lookup.of(tokens))
-            ids, blobs = [], []
-            for i in np.flatnonzero(np.diff(offsets)):
-                if (k := int(node[i])) not in seen:
-                    seen.add(k)
-                    ids.append(k)
-                    blobs.append(_pack_sorted(np.unique(tokens[offsets[i] : offsets[i + 1]] >> np.uint64(16))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["node", "tokens"])
-
-    sets = docs.select("text").mapInArrow(sets_of, "node long, tokens binary")
+            node, _ = nodes_of(tokens, offsets, lookup.of(tokens), clashes)
+            at = fresh.of(node, offsets)
+            blobs = [_pack_sorted(np.unique(tokens[offsets[i] : offsets[i + 1]] >> np.uint64(16))) for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(node[at], pa.int64()), pa.array(blobs, pa.binary())], ["node", "tokens"])
+
+    sets = docs.select("text").mapInArrow(lean(sets_of), "node long, tokens binary")
     sets = materialize(sets.join(broadcast_if_small(wanted), "node", "left_semi").dropDuplicates(["node"]))
 
     fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
@@ -474,20 +528,39 @@ def ngram_jaccard_join(
     more = _overlaps(_open_pairs(postings, roots, stars, percent), sets, percent).where("linked").select("a", "b")
     if not more.isEmpty():
         roots = materialize(connected_components(links.unionByName(more)))
-    folded = named.where("node is not null").groupBy("node").agg(F.min("id").alias("first"))
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    folded = named.where("node is not null").groupBy("node").agg(F.min(least).alias("first"))
     labels = folded.join(broadcast_if_small(roots), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    smallest = labels.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = labels.join(smallest, "root").select("node", "component_id")
-    return named.join(labels, "node", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
-    )
+    smallest = labels.groupBy("root").agg(F.min("first").alias("first"))
+    labels = labels.select("node", "root").join(smallest, "root")
+    return named, labels.select("node", F.col("first.id").alias("component_id"), F.col("first.key").alias("component_key"))
+
+
+def text_key(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` with one row of each component of near-copies: that of the smallest id.
+def keep_representatives(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    words: int = 5,
+    percent: int = 80,
+    frequent: int = 16,
+    max_frequent: int = 1 << 20,
+) -> DataFrame:
+    """One row of each component of near-copies: that of the smallest id, with all its columns.
 
-    Rows that share this id (repeated ids) stay, as do rows with a null id.
+    A row is told by id and text: rows that share their id, null or not, with a row that goes stay
+    if they are in another component. Of a component's rows with the smallest id the one with the
+    smallest SHA-256 of its text stays; of rows that repeat both, one; ids come before null. Rows
+    without words link with nothing and all stay. An empty table stays empty.
     """
-    groups = ngram_jaccard_join(docs, id_col, text_col, **how)
-    drop = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(drop, id_col, "left_anti")
+    named, labels = _components(docs, id_col, text_col, words, percent, frequent, max_frequent)
+    rows = named.where("node is not null").join(labels, "node")
+    first = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("component_key"))
+    rows = materialize(rows.select("id", "key", first.alias("first")))
+    drop = rows.where("not first").select("id", "key").distinct()
+    twice = rows.where("first").groupBy("id", "key").count().where("count > 1").select("id", "key")
+    return without_rows(docs, id_col, text_key(text_col), drop, materialize(twice))

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from . import texthash
+from .common import lean, materialize
 
 #: Labelled rows to learn from, those of the smallest hash: a bound on what is learned, not scored.
 SAMPLE_ROWS = 20_000
@@ -271,7 +272,7 @@ def toxicity_scores(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = scorer.value
-        for batch in batches:
+        for batch in texthash.slices(batches, "text"):
             scores = [of.score(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["id", "held_out", "score"])
 
@@ -281,7 +282,7 @@ def toxicity_scores(
         F.col(text_col).alias("text"),
     )
     id_type = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"id {id_type}, held_out boolean, score double")
+    scored = rows.mapInArrow(lean(score), f"id {id_type}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -293,8 +294,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = scorer.value
-        for batch in batches:
+        for batch in texthash.slices(batches, text_col):
             clean = [of.score(t or "") < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
