@@ -19,12 +19,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import texthash
+from .common import lean, release_memory
+
 LONG_CHARS = 32_768
-PIECE_CHARS = 16_384
+PIECE_BYTES = 16_384
 #: The byte-level split pattern that the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BREAKS = b" \n\t\r"
@@ -41,6 +43,8 @@ class Codec:
     """Encodes and decodes with a byte-level BPE vocabulary file (JSON)."""
 
     def __init__(self, path: str):
+        import tiktoken
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -126,11 +130,12 @@ def _encode_column(docs: DataFrame, vocabulary: str, kept: list[str], result_sch
     """Replace the last column (text) by what `result` makes of its encoding."""
 
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    text = docs.columns[-1]
     fields = [f.split(" ") for f in result_schema.split(", ")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(vocabulary)
-        for batch in batches:
+        for batch in texthash.slices(batches, text):
             out = [result(of, of.encode(t.as_py() or "")) for t in batch.column(len(kept))]
             made = [pa.array([r[i] for r in out], arrow[kind]) for i, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays(
@@ -138,7 +143,7 @@ def _encode_column(docs: DataFrame, vocabulary: str, kept: list[str], result_sch
             )
 
     types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(encode, f"{types}, {result_schema}")
+    return docs.mapInArrow(lean(encode), f"{types}, {result_schema}")
 
 
 def bpe_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,10 +167,30 @@ def bpe_roundtrip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     short = _encode_column(rows.where(~is_long), vocabulary, ["id"], schema, _result)
 
     distinct = rows.where(is_long).groupBy("id", "text").agg(F.count("*").alias("copies"))
-    starts = F.sequence(F.lit(1), F.length("text"), F.lit(PIECE_CHARS))
-    pieces = distinct.select(
-        "id", "copies", F.sha2("text", 256).alias("of"), F.posexplode(F.transform(starts, lambda s: F.substring("text", s, F.lit(PIECE_CHARS))))
-    ).toDF("id", "copies", "of", "piece", "text")
+    id_type = rows.schema["id"].dataType.simpleString()
+    piece_bytes = PIECE_BYTES
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of about `piece_bytes`, which end before a whole character; one walk over a text."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = memoryview(batch.column("text")[i].as_buffer())
+                ends = [0]
+                while ends[-1] < len(held):
+                    to = min(len(held), ends[-1] + piece_bytes)
+                    while to < len(held) and held[to] & 0xC0 == 0x80:
+                        to += 1
+                    ends.append(to)
+                n = len(ends) - 1
+                same = lambda c: pa.array([batch.column(c)[i].as_py()] * n, batch.schema.field(c).type)  # noqa: B023, E731
+                texts = pa.array([str(held[a:b], "utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [same("id"), same("copies"), same("of"), pa.array(range(n), pa.int32()), texts], ["id", "copies", "of", "piece", "text"]
+                )
+
+    pieces = distinct.select("id", "copies", F.sha2("text", 256).alias("of"), "text").mapInArrow(
+        lean(cut), f"id {id_type}, copies long, of string, piece int, text string"
+    )
     pieces = pieces.repartition("of", "piece").select("id", "copies", "of", "piece", "text")
     coded = _encode_column(
         pieces, vocabulary, ["id", "copies", "of", "piece"], "ids binary", lambda of, ids: (np.array(ids, "<i4").tobytes(),)
@@ -179,9 +204,9 @@ def bpe_roundtrip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         first = table.slice(0, 1).select(["id", "copies"])
         for name, value in zip(("n_tokens", "ids_sha256", "decoded_sha256"), _result(of, ids), strict=True):
             first = first.append_column(name, pa.array([value]))
+        release_memory()
         return first
 
-    id_type = rows.schema["id"].dataType.simpleString()
     long_ = coded.groupBy("id", "of").applyInArrow(join, f"id {id_type}, copies long, {schema}")
     long_ = long_.select("*", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(short.columns)
     return short.unionByName(long_).withColumnRenamed("id", id_col)

@@ -8,7 +8,7 @@ by itself: its own vectors against them and the replicas, so every vector meets
 neighbours in its home cell. Cells over a bound are dealt into a grid of blocks. A block returns
 one count a vector and a spanning forest of its links, never the pairs.
 
-Equal vectors are folded before the join.
+Equal vectors of a label are folded into one node before the join, by their components.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, lean, lean_group, materialize
 
 PER_PIVOT = 2_000
-MAX_PIVOTS = 2_048  # broadcast as float64: 16 KB a dimension at most
+PIVOT_BYTES = 32 << 20  # of pivots that are broadcast; beyond it cells grow, and are dealt into more blocks
 BLOCK = 2_048
+SLACK = 1e-7  # over the error of a distance taken from a cosine
 
 
 def _unit(vectors: list[np.ndarray]) -> np.ndarray:
@@ -60,21 +61,23 @@ def cosine_near_dedup(
         & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
         & F.exists(v, lambda c: c != 0)
     )
+    plain = F.transform(v.cast("array<double>"), lambda c: c + F.lit(0.0))  # one zero
+    space = F.concat_ws("/", F.col(label_col).cast("string"), F.size(v))
     rows = vectors.select(
-        F.col(id_col).alias("id"),
-        F.when(sound, F.xxhash64(label_col, vector_col)).alias("key"),
-        F.when(sound, F.concat_ws("/", F.col(label_col).cast("string"), F.size(v))).alias("space"),
-        v.cast("array<double>").alias("vector"),
-    )
+        F.col(id_col).alias("id"), F.when(sound, space).alias("space"), F.when(sound, plain).alias("vector")
+    ).withColumn("print", F.when(F.col("space").isNotNull(), F.struct(F.xxhash64("space", "vector"), F.xxhash64("vector", F.lit(1)))))
     folded = (
-        rows.where("key is not null")
-        .groupBy("key", "space")
-        .agg(F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("id").alias("first"))
+        rows.where("space is not null")
+        .groupBy("print", "space", "vector")
+        .agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+        .withColumn("key", F.monotonically_increasing_id())  # written next, so it is settled
     )
     folded = materialize(folded)
-    total = folded.count()
-    wanted = min(MAX_PIVOTS, max(1, total // PER_PIVOT))
-    drawn = folded.select("space", "vector", "key").orderBy("key").limit(wanted).collect()
+    width = F.max(F.size("vector")).alias("width")
+    total, width = folded.agg(F.count("*"), width).first()
+    per_pivot = max(PER_PIVOT, -(-(total or 0) * 8 * (width or 1) // PIVOT_BYTES))
+    # about one vector of per_pivot, of every label: what is gathered has PIVOT_BYTES at most, give or take its spread
+    drawn = folded.where(F.pmod(F.xxhash64("print", F.lit(7)), F.lit(per_pivot)) == 0).select("space", "vector").collect()
     pivots: dict[str, np.ndarray] = {}
     for space in {r["space"] for r in drawn}:
         pivots[space] = _unit([np.array(r["vector"]) for r in drawn if r["space"] == space])
@@ -91,12 +94,17 @@ def cosine_near_dedup(
                 x = _unit([np.array(held[i], np.float64) for i in at])
                 own = shared.value.get(space)
                 if own is None:
-                    home, near = np.zeros(len(at), np.int64), np.ones((len(at), 1), bool)
+                    home, row, cell = np.zeros(len(at), np.int64), np.arange(len(at)), np.zeros(len(at), np.int64)
                 else:
-                    d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ own.T)))
-                    home = d.argmin(axis=1)
-                    near = d - d.min(axis=1, keepdims=True) <= 2 * radius + 1e-9
-                row, cell = np.nonzero(near)
+                    home = np.zeros(len(at), np.int64)
+                    row, cell = [], []
+                    for i in range(0, len(at), step := max(1, (1 << 20) // len(own))):
+                        d = np.sqrt(np.maximum(0.0, 2 - 2 * (x[i : i + step] @ own.T)))
+                        home[i : i + step] = d.argmin(axis=1)
+                        near = np.nonzero(d - d.min(axis=1, keepdims=True) <= 2 * radius + SLACK)
+                        row.append(near[0] + i)
+                        cell.append(near[1])
+                    row, cell = np.concatenate(row), np.concatenate(cell)
                 out[0] += [space] * len(row)
                 out[1] += cell.tolist()
                 out[2] += keys[at[row]].tolist()
@@ -109,7 +117,7 @@ def cosine_near_dedup(
             )
 
     schema = "space string, cell int, key long, copies long, home boolean, x binary"
-    placed = materialize(folded.mapInArrow(assign, schema))
+    placed = materialize(folded.select("space", "vector", "key", "copies").mapInArrow(lean(assign), schema))
     sizes = placed.groupBy("space", "cell").agg(
         F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).cast("int").alias("h_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("m_blocks")
     )
@@ -151,17 +159,18 @@ def cosine_near_dedup(
             {"key": node, "to": to, "links": np.r_[links, np.zeros(int(linked_b.sum()), np.int64)].astype(np.int64)}
         )
 
-    met = as_home.unionByName(as_member).groupBy("space", "cell", "hb", "mb").applyInArrow(join, "key long, to long, links long")
+    met = as_home.unionByName(as_member).groupBy("space", "cell", "hb", "mb").applyInArrow(lean_group(join), "key long, to long, links long")
     met = materialize(met)
     roots = connected_components(met.where("key <> to").select(F.col("key").alias("a"), F.col("to").alias("b")))
     counts = met.groupBy("key").agg(F.sum("links").alias("links"))
-    groups = folded.select("key", "copies", "first").join(counts, "key", "left")
+    groups = folded.select("key", "print", "copies", "first").join(counts, "key", "left")
     groups = groups.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", "first", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "print", "first", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     smallest = groups.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = groups.join(smallest, "root").select("key", "n_links", "component_id")
-    done = rows.select("id", "key").join(groups, "key", "left").select(
+    groups = groups.join(smallest, "root").select("print", "n_links", "component_id")
+    # a row finds its node by 128 bits of its label and vector
+    done = rows.select("id", "print").join(groups, "print", "left").select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),

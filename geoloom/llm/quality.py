@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash
-from .common import materialize
+from .common import lean, materialize
 
-#: Labelled rows to learn from, those of the smallest hash: a bound on what is learned, not scored.
+#: Labelled rows to learn from, those of the smallest hash: the default of `sample_rows`, a bound on what is
+#: learned, not on what is scored.
 SAMPLE_ROWS = 20_000
 BINS = 24
 PAIR_BINS = 8
@@ -200,15 +201,17 @@ def quality_scores(
     label_col: str = "quality",
     training: str = "pmod(crc32(cast({id} as string)), 3) <> 1",
     threshold: float = 0.5,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """(<id_col>, held_out, score, predicted), one row per input row.
 
     labels: <id_col> and `label_col` (0 or 1; null rows are unlabelled; of repeated ids the
     larger label counts). training: SQL for the ids whose labels may be used, {id} stands for
-    the id. Null and empty texts have features of zero and get the score of that. At most
-    SAMPLE_ROWS labelled rows are learned from; all rows are scored, whole texts. Without labels
-    the score is 0.5. Rows with a null id are held out. Repeated rows are scored each. Only the
-    named columns are read. An empty table gives an empty result.
+    the id. Null and empty texts have features of zero and get the score of that. sample_rows: the
+    bound of labelled rows that are learned from (those of the smallest hash of the id; of a repeated
+    id one text); all rows are scored, whole texts. Without labels the score is 0.5. Rows with a null
+    id are held out. Repeated rows are scored each. A score equal to the threshold is predicted 1.
+    Only the named columns are read. An empty table gives an empty result.
     """
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -225,15 +228,16 @@ def quality_scores(
             )
 
     schema = ", ".join(f"{f} double" for f in FEATURES)
-    measured = materialize(rows.mapInArrow(measure, f"id {id_type}, held_out boolean, {schema}"))
+    measured = materialize(rows.mapInArrow(lean(measure), f"id {id_type}, held_out boolean, {schema}"))
     chosen = (
         labels.where(F.expr(training.format(id=f"`{id_col}`")) & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("id"))
         .agg(F.max(label_col).cast("double").alias("y"))
         .orderBy(F.xxhash64("id"), "id")
-        .limit(SAMPLE_ROWS)
+        .limit(sample_rows)
     )
-    sample = measured.join(F.broadcast(chosen), "id").select("y", *FEATURES).orderBy("y", *FEATURES).limit(2 * SAMPLE_ROWS).toArrow()
+    sample = measured.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.struct(*FEATURES)).alias("x"))
+    sample = sample.orderBy("id").select("y", "x.*").toArrow()  # a row for each of the chosen ids
     x = np.column_stack([sample.column(f).to_numpy() for f in FEATURES]).astype(np.float64)
     model = docs.sparkSession.sparkContext.broadcast(fit_gam(x, sample.column("y").to_numpy().astype(np.float64)))
 

@@ -8,6 +8,7 @@ from functools import cache
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, embed_dedup, exact_dedup, lm, mixing, ngram_join, quality, sharding, toxicity, url_filter
 
@@ -52,7 +53,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, passes=2)
+    """position: when the first pass takes the document; position_2: the second."""
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, passes=2)
+    due = lambda i: F.try_element_at("positions", F.lit(i))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", due(1).alias("position"), due(2).alias("position_2"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +100,7 @@ SELECT d.doc_id, g.keep_id, g.n AS group_size, d.doc_id = g.keep_id AS kept, d.h
 """,
     "op7_mixing": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  CAST(('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':17')), 1, 15)) AS BIGINT) AS key, md5(coalesce(text, '')) AS tie FROM documents),
+  CAST(('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text,''))), ':17')), 1, 15)) AS BIGINT) AS key, md5(coalesce(text, '')) AS tie FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
 w AS (SELECT *, CASE k % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 f AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -105,8 +109,11 @@ t AS (SELECT source, source_size, round(least(cap, coalesce(weight * (SELECT max
   CASE k % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS a, CASE k % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS b FROM f),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.a, t.b, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.tie, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, CAST(greatest(0, least(size, floor(target) - ahead)) + greatest(0, least(size, floor(target) - ahead - source_size)) AS BIGINT) AS taken, CASE WHEN target > 0 THEN ahead / target * ((a + b) / 2) END AS due FROM p)
-SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE WHEN a = b THEN due / a ELSE (sqrt(greatest(0, a * a + 2 * (b - a) * due)) - a) / (b - a) END, 9) + 0 END AS position FROM q
+q AS (SELECT *, CAST(greatest(0, least(size, floor(target) - ahead)) AS BIGINT) AS taken_1, CAST(greatest(0, least(size, floor(target) - ahead - source_size)) AS BIGINT) AS taken_2,
+  CASE WHEN target > 0 THEN ahead / target * ((a + b) / 2) END AS due_1, CASE WHEN target > 0 THEN (ahead + source_size) / target * ((a + b) / 2) END AS due_2 FROM p)
+SELECT doc_id, size, source_size, target, taken_1 + taken_2 AS taken,
+  CASE WHEN taken_1 > 0 THEN round(CASE WHEN a = b THEN due_1 / a ELSE (sqrt(greatest(0, a * a + 2 * (b - a) * due_1)) - a) / (b - a) END, 9) + 0 END AS position,
+  CASE WHEN taken_2 > 0 THEN round(CASE WHEN a = b THEN due_2 / a ELSE (sqrt(greatest(0, a * a + 2 * (b - a) * due_2)) - a) / (b - a) END, 9) + 0 END AS position_2 FROM q
 """,
     "op10_url_filter": r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,

@@ -49,6 +49,17 @@ def shard_documents(
         row_hash(id_col, text_col).alias("h"),
     )
     rows = materialize(rows)
+    out = None
+    for fine, named in _directory(rows, limit_bytes):
+        part = rows.withColumn("cell", _leading(F.col("h"), fine)).join(named, "cell")
+        part = part.select(F.col("id").alias(id_col), "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _directory(rows: DataFrame, limit_bytes: int) -> list[tuple[int, DataFrame]]:
+    """The directory for rows (n_bytes, h): tables (cell, shard, depth, shard_bytes, shard_rows), cell
+    being so many leading bits; a row is in one cell of one of the tables."""
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     depth = min(BITS, math.ceil(math.log2(max(1, total / limit_bytes))) + MARGIN)
     todo, base, done = rows, 0, []
@@ -75,22 +86,28 @@ def shard_documents(
             break
         todo = materialize(todo.withColumn("cell", _leading(F.col("h"), depth)).join(deeper, "cell", "left_semi").drop("cell"))
         base, depth = depth, min(BITS, depth + 8)
-    out = None
+    out = []
     for fine, placed in done:
         bits = F.lpad(F.bin("cell"), fine, "0") if fine else F.lit("")
         named = placed.withColumn("shard", F.substring(bits, F.lit(1), F.col("depth")))
         sums = named.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
-        named = named.join(sums, "shard").select("cell", "shard", "depth", "shard_bytes", "shard_rows")
-        part = rows.withColumn("cell", _leading(F.col("h"), fine)).join(named, "cell")
-        part = part.select(F.col("id").alias(id_col), "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
-        out = part if out is None else out.unionByName(part)
+        out.append((fine, named.join(sums, "shard").select("cell", "shard", "depth", "shard_bytes", "shard_rows")))
     return out
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, limit_bytes: int = 1 << 27) -> None:
-    """Write `docs` as Parquet, one folder a shard. Ids are expected to be unique here."""
-    shards = shard_documents(docs, id_col, text_col, limit_bytes=limit_bytes).select(
-        F.col(id_col).alias("__id"), F.concat(F.lit("s"), F.col("shard")).alias("shard")
-    )
-    placed = docs.join(shards, docs[id_col].eqNullSafe(shards["__id"])).drop("__id")
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write `docs` as Parquet, one folder a shard, each row once: rows find their shard by hash, so
+    repeated and null ids don't multiply or lose rows. Null texts count as empty. The folders are
+    named by the column shard (shard_ if `docs` has one of that name). An empty table gives no file
+    with rows."""
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn("__h", row_hash(id_col, text_col))
+    rows = materialize(keyed.select(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col("__h").alias("h")))
+    out = None
+    for fine, named in _directory(rows, limit_bytes):
+        cells = named.select(F.col("cell").alias("__cell"), F.concat(F.lit("s"), F.col("shard")).alias(name))
+        part = keyed.withColumn("__cell", _leading(F.col("__h"), fine)).join(cells, "__cell").drop("__cell", "__h")
+        out = part if out is None else out.unionByName(part)
+    out.repartition(name).write.partitionBy(name).parquet(path)

@@ -71,7 +71,6 @@ def url_filter(
     ).withColumn("r_prefix", F.substring("r_digest", 1, PREFIX_HEX))
     profile = rules.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("r_len")).alias("lengths")).first()
     keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    keyed = keyed.groupBy("id", "url").agg(F.count("*").alias("copies"))
     keyed = keyed.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     lengths = F.array(*(F.lit(n) for n in profile["lengths"])) if profile["lengths"] else F.array().cast("array<int>")
     labels = F.split("host", r"\.")
@@ -82,8 +81,8 @@ def url_filter(
     expressions = F.flatten(
         F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.concat_ws("\n", s, F.substring(F.col("path"), F.lit(1), n))))
     )
-    # one empty expression keeps URLs without any
-    spread = keyed.withColumn("expression", F.explode(F.array_union(expressions, F.array(F.lit("")))))
+    # expanded and met where the pages are read; one empty expression a row keeps and counts the rows
+    spread = keyed.withColumn("expression", F.explode(F.concat(expressions, F.array(F.lit("")))))
     spread = spread.withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
     side = F.broadcast(rules) if profile["n"] <= BROADCAST_RULES else rules
     met = spread.join(side, F.col("prefix") == F.col("r_prefix"), "left")
@@ -96,8 +95,8 @@ def url_filter(
     )
     # longest first: min over negated length
     rank = F.struct((-rank["length"]).alias("short"), rank["mild"].alias("mild"), rank["rule"].alias("rule"), rank["verdict"].alias("verdict"))
-    best = met.groupBy("id", "url").agg(
-        F.first("host").alias("host"), F.first("path").alias("path"), F.first("copies").alias("copies"), F.min(F.when(hit, rank)).alias("best")
+    best = met.groupBy("id", "url", "host", "path").agg(
+        F.count_if(F.col("expression") == "").alias("copies"), F.min(F.when(hit, rank)).alias("best")
     )
     return best.select(
         F.col("id").alias(id_col),

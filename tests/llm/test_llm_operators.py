@@ -115,6 +115,22 @@ def test_ngram_join_hub_with_rare_tokens(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want)) and want[2] == 0
 
 
+def test_set_ids_that_clash_are_made_anew():
+    tokens = np.arange(40, dtype=np.uint64)
+    offsets, kinds = np.array([0, 20, 40]), np.zeros(40, np.uint8)
+    node, second = ngram_join.nodes_of(tokens, offsets, kinds)
+    again, same = ngram_join.nodes_of(tokens, offsets, kinds, frozenset([int(node[0])]))
+    assert again[0] != node[0] and again[1] == node[1] and (again >= 0).all() and (same == second).all()
+
+
+def test_a_task_remembers_few_sets():
+    fresh = ngram_join._Fresh()
+    nodes = np.array([5, 9, 5, 7])
+    assert fresh.of(nodes, np.array([0, 1, 2, 3, 3])).tolist() == [0, 1]
+    assert fresh.of(np.array([9, 5 + ngram_join.RECENT]), np.array([0, 1, 2])).tolist() == [1]
+    assert fresh.of(np.array([5]), np.array([0, 1])).tolist() == [0]
+
+
 def test_ngram_join_sends_no_rows_of_sets_to_the_driver(spark, corpus, monkeypatch):
     """Frequent tokens aside, no table is pulled row by row, so no fingerprints of all documents are."""
     pulled, pull = [], type(spark.range(0)).toLocalIterator
@@ -263,11 +279,65 @@ def test_grammar_marks():
     assert marks("you are not an idiot") == {4}
     assert marks("she said you are an idiot") == {6}
     assert marks("not you. an idiot") == {1}
-    assert marks("i will kill you") == {9} and marks("you, i will hurt") == {10}
+    assert marks("idiot, you are") == {2} and marks("you idiot, he said") == {6}
+    assert marks("you " + "w " * 60 + "idiot") == {2}
+    assert marks("not nice but an idiot") == {1} and marks("so idiot") == {9}
+    assert marks("i will kill you") == {26} and marks("you, i will hurt") == {26} and marks("ich werde dich töten") == {26}
+    assert marks("he kills you") == {18} and marks("they kill the lights") == set()
     assert marks("") == set() and marks("plain words") == set()
     assert scorer.features("idiot " * 50_000).shape == (toxicity.CLASSES + 2,)
 
 
+def test_grammar_equals_brute_force():
+    """The bimachine against the rules read off each clause by itself."""
+    terms = {"idiot": 2.0, "scum": 1.5}
+    scorer = toxicity.Scorer(terms, np.zeros(toxicity.CLASSES + 3))
+    lists = [
+        ("target", toxicity.TARGETS), ("negator", toxicity.NEGATORS), ("reporter", toxicity.REPORTERS), ("turn", toxicity.TURNS),
+        ("insult", terms), ("harm", toxicity.HARM_FORMS), ("intent", toxicity.INTENTS), ("stress", toxicity.STRESS),
+    ]
+    kind_of = lambda w: next((k for k, held in lists if w in held), "")
+    rnd = random.Random(3)
+    pool = ["idiot", "scum", "you", "dich", "not", "said", "but", "kill", "hurts", "will", "so", "der", "x", "y", "z", "plain"]
+    for _ in range(400):
+        text = "".join(rnd.choice(pool) + rnd.choice([" ", " ", " ", ", ", ". ", "\n"]) for _ in range(rnd.randint(1, 40)))
+        want = [0.0] * toxicity.CLASSES
+        for clause in re.split(r"[.!?;\n]", text):
+            ws = re.findall(r"\w+", clause)
+            kinds = [kind_of(w) for w in ws]
+            if not set(kinds) & {"insult", "harm"}:
+                continue
+            for i, k in enumerate(kinds):
+                others, seen, before = kinds[:i] + kinds[i + 1 :], set(kinds[: i + 1]), set(kinds[:i])
+                both = {"harm", "target"}
+                if k == "insult":
+                    kind, weight = (1 if i and kinds[i - 1] in ("insult", "stress") else 0), terms[ws[i]]
+                elif both <= seen and (not both <= before or k == "harm" or (k == "intent" and "intent" not in before)):
+                    kind, weight = (3 if "intent" in seen else 2), 1.0
+                else:
+                    continue
+                negated = any(kinds[j] == "negator" and "turn" not in kinds[j:i] for j in range(max(0, i - 3), i))
+                bits = (kind >= 2 or "target" in others) + 2 * negated + 4 * ("reporter" in others)
+                want[1 + 8 * kind + bits] += weight
+        assert np.expm1(scorer.features(text)[: toxicity.CLASSES]) == pytest.approx(want), text
+
+
+@pytest.mark.parametrize("run", [toxicity.toxicity_scores, quality.quality_scores])
+def test_classifiers_on_odd_rows(spark, run):
+    """Null and repeated ids, repeated labels, null and very long texts, a threshold that is hit exactly."""
+    docs, labels, _ = labelled(spark, 200)
+    odd = docs_frame(spark, [None, "", "zzidiot you", "zzidiot you", "word " * 200_000], ids=[None, None, 7, 7, 5000])
+    again = labels.unionByName(labels.selectExpr("doc_id", "CAST(NULL AS INT) AS quality", "CAST(NULL AS INT) AS toxic"))
+    rows = run(docs.unionByName(odd), again).collect()
+    assert len(rows) == 207
+    score = next(r["score"] for r in rows if r["doc_id"] == 5000)
+    assert all(r["held_out"] for r in rows if r["doc_id"] is None)
+    edge = {r["doc_id"]: r for r in run(docs.unionByName(odd), again, threshold=score).collect()}
+    assert edge[5000]["predicted"] == 1
+    few = run(docs, labels, sample_rows=20).collect()
+    assert len(few) == 202 and all(0 <= r["score"] <= 1 for r in few)
+
+
 def labelled(spark, n=900):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6)))
@@ -330,25 +400,51 @@ def test_gam_learns_an_interaction():
 # ---- language model
 
 
-def test_lm_matches_brute_force(spark, corpus):
-    got = {r["doc_id"]: r for r in lm.lm_score(docs_frame(spark, corpus)).collect()}
+class Backoff:
+    """The model by its recursion: an n-gram that was seen, or the weight of failing and a shorter one."""
+
+    def __init__(self, texts, strengths):
+        self.counts, self.strengths = Counter(), strengths
+        for t in texts:
+            at = ["\0end", *t]
+            for k in range(1, len(strengths) + 2):
+                self.counts.update(tuple(at[i : i + k]) for i in range(1 if k == 1 else 0, len(at) - k + 1))
+        self.n = sum(c for g, c in self.counts.items() if len(g) == 1)
+        self.v = sum(len(g) == 1 for g in self.counts)
+
+    def p(self, history, w):
+        if not history:
+            return (self.counts[w,] + 1) / (self.n + self.v + 1)
+        c, k = self.counts[history], self.strengths[len(history) - 1]
+        if not c:
+            return self.p(history[1:], w)
+        fail = k / (c + k)
+        return self.counts[*history, w] / (c + k) + fail * self.p(history[1:], w)
+
+    def text(self, t):
+        at, longest = ["\0end", *t], len(self.strengths)
+        return sum(math.log10(self.p(tuple(at[max(0, i - longest) : i]), at[i])) for i in range(1, len(at)))
+
+
+@pytest.mark.parametrize("strengths", [(20.0, 5.0), (3.0,), (8.0, 4.0, 2.0), ()])
+def test_lm_matches_brute_force(spark, corpus, strengths, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 4000)
+    got = {r["doc_id"]: r for r in lm.lm_score(docs_frame(spark, corpus), strengths=strengths).collect()}
     tokens = {i: [*words(t), "\0end"] for i, t in enumerate(corpus)}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(w for i in train for w in tokens[i])
-    pairs = Counter(p for i in train for p in zip(["\0end", *tokens[i][:-1]], tokens[i], strict=True))
-    n, v = sum(c.values()), len(c)
-    uni = lambda w: (c[w] + 1) / (n + v + 1)
+    model = Backoff([tokens[i] for i in train], strengths)
+    uni = lambda w: model.p((), w)
     for i, t in tokens.items():
         r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (i not in train, len(t), n)
-        assert r["n_known"] == sum(c[w] > 0 for w in t)
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (i not in train, len(t), model.n)
+        assert r["n_known"] == sum(model.counts[w,] > 0 for w in t)
         assert r["base_score"] == pytest.approx(sum(math.log10(uni(w)) for w in t))
-        want = sum(math.log10((pairs[h, w] + 20 * uni(w)) / (c[h] + 20)) for h, w in zip(["\0end", *t[:-1]], t, strict=True))
-        assert r["score"] == pytest.approx(want)
+        assert r["score"] == pytest.approx(model.text(t))
     # a state's arcs and its failure arc sum to one
-    h = tokens[0][0]
-    mass = sum((pairs[h, w] + 20 * uni(w)) / (c[h] + 20) for w in c) + 20 * (1 / (n + v + 1)) / (c[h] + 20)
-    assert mass == pytest.approx(1)
+    words_seen = [g[0] for g in model.counts if len(g) == 1]
+    for history in list(model.counts)[:40:7]:
+        history = history[: len(strengths)]
+        assert sum(model.p(history, w) for w in words_seen) + model.p(history, "never seen") == pytest.approx(1)
 
 
 def test_lm_odd_tables(spark):
@@ -427,17 +523,26 @@ def test_mixing_targets_and_positions(spark):
         i = r["doc_id"]
         assert r["size"] == len(words(texts[i])) and 0 <= r["taken"] <= 2 * r["size"]
         assert r["target"] == pytest.approx(target[sources[i]]) and r["source_size"] == sizes[order.index(sources[i])]
-        assert (r["position"] is None) == (r["taken"] == 0) and (r["position"] is None or 0 <= r["position"] <= 1)
+        assert len(r["positions"]) == math.ceil(r["taken"] / max(1, r["size"])) and all(0 <= p <= 1 for p in r["positions"])
         taken[sources[i]] += r["taken"]
     for s in order:
         assert abs(taken[s] - target[s]) <= 1
-    positions = [r["position"] for r in got]
-    assert [p for p in positions if p is not None] == sorted(p for p in positions if p is not None)
+    first = [r["positions"][0] for r in got if r["positions"]]
+    assert first == sorted(first)
     again = mixing.mix_sources(docs.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
-    # position inverts the source's cumulative demand
-    half = [r for r in got if sources[r["doc_id"]] == "Z" and r["position"] is not None]
-    assert half and max(r["position"] for r in half) <= 1
+    # positions invert the source's cumulative demand, over all passes
+    for k, s in enumerate(order):
+        a, b = mixing.SCHEDULES[k % 3]
+        demand = lambda t: (a * t + (b - a) * t * t / 2) / ((a + b) / 2)  # noqa: B023, E731
+        stream = sorted((p, r["size"], n) for r in got if sources[r["doc_id"]] == s for n, p in enumerate(r["positions"]))
+        begin = 0
+        for p, size, _ in stream:
+            assert demand(p) * target[s] == pytest.approx(begin, abs=1e-3 * max(1, target[s]))
+            begin += size
+        if target[s] == 2 * sizes[k]:
+            assert {n for *_, n in stream} == {0, 1} and stream[-1][0] > 0.8
+            assert max(p for p, _, n in stream if n == 0) < min(p for p, _, n in stream if n == 1)
     mix = mixing.take_mix(docs)
     assert mix.columns == docs.columns
     times = Counter(r["doc_id"] for r in mix.collect())
@@ -447,7 +552,7 @@ def test_mixing_targets_and_positions(spark):
 def test_mixing_odd_tables(spark):
     assert mixing.mix_sources(docs_frame(spark, ["x"]).where("false")).count() == 0
     got = mixing.mix_sources(docs_frame(spark, ["", None, " "])).collect()
-    assert [(r["size"], r["taken"], r["position"]) for r in got] == [(0, 0, None)] * 3
+    assert [(r["size"], r["taken"], r["positions"]) for r in got] == [(0, 0, [])] * 3
     twice = mixing.mix_sources(docs_frame(spark, ["a b", "a b"], ids=[1, 1])).collect()
     assert sum(r["taken"] for r in twice) == 6
 
@@ -494,6 +599,11 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), limit_bytes=1500)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 60 and back.select("shard").distinct().count() > 1
+    twice = docs_frame(spark, ["a", "a", "b", "c", None], ids=[1, 1, 1, None, None]).withColumnRenamed("a", "shard")
+    sharding.write_shards(twice, str(tmp_path / "odd"), limit_bytes=1)
+    got = sorted(((r["doc_id"], r["text"], r["shard"]) for r in spark.read.parquet(str(tmp_path / "odd")).collect()), key=str)
+    assert got == sorted([(1, "a", "x"), (1, "a", "x"), (1, "b", "x"), (None, "c", "x"), (None, None, "x")], key=str)
+    sharding.write_shards(twice.where("false"), str(tmp_path / "none"))
 
 
 # ---- BPE
@@ -537,7 +647,7 @@ def test_bpe_roundtrip(spark, library, monkeypatch):
     texts = [*odd_texts(), None, "one two " * 20_000, "one two " * 20_000]
     ids = [*range(len(texts) - 1), len(texts) - 2]
     monkeypatch.setattr(bpe, "LONG_CHARS", 2000)
-    monkeypatch.setattr(bpe, "PIECE_CHARS", 900)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 900)
     got = Counter(tuple(r) for r in bpe.bpe_roundtrip(docs_frame(spark, texts, ids=ids), path).collect())
     want = Counter()
     for i, t in zip(ids, texts, strict=True):
