@@ -38,6 +38,7 @@ from .ngram_join import _pack_sorted, _split_by_range, _unpack_sorted
 CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20  # of text for each hash range of an order
 LANE = 256
+GRAM_BITS = 54  # of an n-gram's key: 2 in 10^6 keys clash in a model of 10^11 n-grams
 END = np.uint64(0x51ED270B9A3C5F17)
 
 
@@ -52,30 +53,38 @@ def _tokens(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return out, counts + 1
 
 
-def _grams(tokens: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For 1 .. order: the hash of the n-gram that ends at each token, and which of them exist. The
-    word before a text is an end token; nothing is before that."""
-    out = [(tokens, np.ones(len(tokens), bool))]
+def _grams(tokens: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 .. order: the key of the n-gram that ends at each token, and which of them exist. The word
+    before a text is an end token; nothing is before that. Single words have 64-bit keys, longer n-grams
+    GRAM_BITS."""
+    keys, there = tokens, np.ones(len(tokens), bool)
+    yield keys, there
     for k in range(2, order + 1):
-        keys, there = out[-1]
         before = np.r_[END, keys[:-1]][: len(keys)]
         exists = np.r_[True, there[:-1]][: len(keys)]
         if k == 2:
             before[first] = END
         else:
             exists[first] = False
-        out.append((texthash.mix(texthash.mix(before, 41) + tokens, 43), exists))
-    return out
+        keys, there = texthash.mix(texthash.mix(before, 41) + tokens, 43), exists
+        yield keys >> np.uint64(64 - GRAM_BITS), there
 
 
 def _pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
-    """A byte for each count; those of 255 and more follow in full."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype("<u8").tobytes()
-
-
-def _unpack_counts(small: bytes, large: bytes) -> np.ndarray:
-    out = np.frombuffer(small, np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(large, "<u8").astype(np.int64)
+    """Two bits for each count; those of 3 and more follow as a byte, those of 255 and more in full."""
+    low = np.minimum(counts, 3).astype(np.uint8)
+    low = np.r_[low, np.zeros(-len(low) % 4, np.uint8)].reshape(-1, 4)
+    bits = (low << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    more = counts[counts >= 3]
+    return bits.tobytes(), np.minimum(more, 255).astype(np.uint8).tobytes() + more[more >= 255].astype("<u8").tobytes()
+
+
+def _unpack_counts(bits: bytes, more: bytes, n: int) -> np.ndarray:
+    low = np.frombuffer(bits, np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3
+    out = low.ravel()[:n].astype(np.int64)
+    at = np.flatnonzero(out == 3)
+    out[at] = np.frombuffer(more, np.uint8, len(at))
+    out[at[out[at] == 255]] = np.frombuffer(more, "<u8", offset=len(at)).astype(np.int64)
     return out
 
 
@@ -237,7 +246,7 @@ def lm_score(
                 for kind, (keys, exists) in enumerate(_grams(tokens, first, order)):
                     distinct, number = np.unique(keys[exists], return_inverse=True)
                     counts = np.bincount(number, learn[exists], len(distinct)).astype(np.int64)
-                    cut = _split_by_range(distinct, ranges, 64)
+                    cut = _split_by_range(distinct, ranges, 64 if kind == 0 else GRAM_BITS)
                     out = [
                         (chunk, kind, r, _pack_sorted(distinct[a:b]), *_pack_counts(counts[a:b]))
                         for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))
@@ -250,11 +259,14 @@ def lm_score(
     def answer(table: pa.Table) -> pa.Table:
         """Total counts, for each request in its own order; and the range's N and V."""
         asked = [_unpack_sorted(b) for b in table.column("keys").to_pylist()]
-        counts = [_unpack_counts(*c) for c in zip(table.column("counts").to_pylist(), table.column("large").to_pylist(), strict=True)]
+        packed = zip(table.column("counts").to_pylist(), table.column("large").to_pylist(), map(len, asked), strict=True)
+        counts = [_unpack_counts(*c) for c in packed]
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
         stops = np.r_[0, np.cumsum([len(a) for a in asked])]
         replies = [_pack_counts(total[at[a:b]]) for a, b in zip(stops[:-1], stops[1:], strict=True)]
+        sizes = [len(a) for a in asked]
+        del asked, counts, keys
         words = table.column("kind")[0].as_py() == 0
         n, v = (int(total.sum()), int((total > 0).sum())) if words else (0, 0)
         rest = [0] * (table.num_rows - 1)
@@ -265,6 +277,7 @@ def lm_score(
                 "range": table.column("range"),
                 "counts": pa.array([r[0] for r in replies], pa.binary()),
                 "large": pa.array([r[1] for r in replies], pa.binary()),
+                "size": pa.array(sizes, pa.int32()),
                 "n": pa.array([n, *rest], pa.int64()),
                 "v": pa.array([v, *rest], pa.int64()),
             }
@@ -274,7 +287,7 @@ def lm_score(
         lean(request), "chunk long, kind int, range int, keys binary, counts binary, large binary"
     )
     answers = requests.groupBy("kind", "range").applyInArrow(
-        lean_group(answer), "chunk long, kind int, range int, counts binary, large binary, n long, v long"
+        lean_group(answer), "chunk long, kind int, range int, counts binary, large binary, size int, n long, v long"
     )
     answers = materialize(answers)
     totals = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
@@ -282,7 +295,7 @@ def lm_score(
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         tokens, first, sizes = decode(*(texts.column(c)[0].as_py() for c in ("words", "numbers", "sizes")))
-        parts = sorted(zip(*(known.column(c).to_pylist() for c in ("kind", "range", "counts", "large")), strict=True), key=lambda r: r[:2])
+        parts = sorted(zip(*(known.column(c).to_pylist() for c in ("kind", "range", "counts", "large", "size")), strict=True), key=lambda r: r[:2])
         counts = [np.concatenate([np.zeros(0, np.int64), *(_unpack_counts(*r[2:]) for r in parts if r[0] == k)]) for k in range(order)]
         machine = Automaton(tokens, first, counts, n_train, vocabulary, strengths)
         add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
@@ -304,7 +317,7 @@ def lm_score(
         return out
 
     scored = chunks.select("chunk", "ids", "train", "sizes", "words", "numbers").groupBy("chunk").cogroup(
-        answers.select("chunk", "kind", "range", "counts", "large").groupBy("chunk")
+        answers.select("chunk", "kind", "range", "counts", "large", "size").groupBy("chunk")
     ).applyInArrow(
         score,
         f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

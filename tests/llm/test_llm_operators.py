@@ -447,6 +447,12 @@ def test_lm_matches_brute_force(spark, corpus, strengths, monkeypatch):
         assert sum(model.p(history, w) for w in words_seen) + model.p(history, "never seen") == pytest.approx(1)
 
 
+def test_packed_counts_round_trip():
+    for counts in ([], [0], [3, 2, 1, 0, 254, 255, 256, 2**40], list(range(600))):
+        a = np.array(counts, np.int64)
+        assert lm._unpack_counts(*lm._pack_counts(a), len(a)).tolist() == counts
+
+
 def test_lm_odd_tables(spark):
     assert lm.lm_score(docs_frame(spark, ["x"]).where("false")).count() == 0
     got = lm.lm_score(docs_frame(spark, ["a b", "a b", None], ids=[None, None, None])).collect()
