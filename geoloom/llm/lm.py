@@ -35,7 +35,7 @@ from . import texthash
 from .common import lean, lean_group, materialize, release_memory, shuffle_partitions
 from .ngram_join import _pack_sorted, _split_by_range, _unpack_sorted
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 RANGE_BYTES = 16 << 20  # of text for each hash range of an order
 LANE = 256
 GRAM_BITS = 54  # of an n-gram's key: 2 in 10^6 keys clash in a model of 10^11 n-grams
@@ -104,13 +104,14 @@ class Automaton:
         self.arc, self.weight, self.to, at = [], [], [], []
         for keys, exists in _grams(tokens, first, order):
             _, index, inverse = np.unique(keys[exists], return_index=True, return_inverse=True)
-            number = np.full(len(tokens), -1, np.int64)
+            number = np.full(len(tokens), -1, np.int32)
             number[exists] = inverse
             self.arc.append(number)
-            at.append(np.flatnonzero(exists)[index])  # a token that ends each n-gram
+            at.append(np.flatnonzero(exists)[index].astype(np.int32))  # a token that ends each n-gram
+            del keys, exists, index, inverse
         base = np.cumsum([1, *(len(c) for c in counts[: order - 1])])  # the first state of 1, 2, ... words
-        self.depth = np.repeat(np.arange(order), np.diff(np.r_[0, base]))
-        self.fail_to = np.zeros(len(self.depth), np.int64)
+        self.depth = np.repeat(np.arange(order, dtype=np.int8), np.diff(np.r_[0, base]))
+        self.fail_to = np.zeros(len(self.depth), np.int32)
         self.fail_weight = np.zeros(len(self.depth))
         for k in range(1, order):
             state = slice(base[k - 1], base[k])
@@ -130,7 +131,7 @@ class Automaton:
             self.weight.append(np.where((counts[k] > 0) | (k == 0), np.log10(p), np.nan))
             suffix = min(k + 1, order - 1)
             to = base[suffix - 1] + self.arc[suffix - 1][at[k]] if suffix else np.zeros(len(p), np.int64)
-            self.to.append(np.where(counts[k] > 0, to, 0))
+            self.to.append(np.where(counts[k] > 0, to, 0).astype(np.int32))
 
     def traverse(self, sizes: np.ndarray) -> np.ndarray:
         """The log10 probability of every token, read from left to right."""
@@ -203,14 +204,14 @@ def lm_score(
             words, number = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
             ids = pa.concat_arrays([h[0] for h in held])
             train = pa.concat_arrays([h[1] for h in held])
-            width = "<u2" if len(words) < 2**16 else "<u4"
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([(task << 32) + made], pa.int64()), one(ids), one(train), pa.array([np.concatenate([h[3] for h in held]).astype("<u4").tobytes()]),
-                    pa.array([_pack_sorted(words)]), pa.array([number.astype(width).tobytes()]),
+                    pa.array([_pack_sorted(words)]), pa.array([(number & 0xFFFF).astype("<u2").tobytes()]),
+                    *(pa.array([x], pa.binary()) for x in _pack_counts(number >> 16)),
                 ],
-                ["chunk", "ids", "train", "sizes", "words", "numbers"],
+                ["chunk", "ids", "train", "sizes", "words", "numbers", "high", "higher"],
             )
 
         for batch in texthash.slices(batches, "text"):
@@ -223,15 +224,15 @@ def lm_score(
         if held:
             yield emit()
 
-    chunks = rows.mapInArrow(lean(encode), f"chunk long, ids array<{id_type}>, train array<boolean>, sizes binary, words binary, numbers binary")
+    chunks = rows.mapInArrow(lean(encode), f"chunk long, ids array<{id_type}>, train array<boolean>, sizes binary, words binary, numbers binary, high binary, higher binary")
     chunks = materialize(chunks)
 
-    def decode(words: bytes, numbers: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        distinct = _unpack_sorted(words)
+    def decode(words: bytes, numbers: bytes, high: bytes, higher: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low = np.frombuffer(numbers, "<u2").astype(np.int64)
         n = np.frombuffer(sizes, "<u4").astype(np.int64)
-        width = "<u2" if len(distinct) < 2**16 else "<u4"
-        return distinct[np.frombuffer(numbers, width)], np.cumsum(n) - n, n
+        return _unpack_sorted(words)[low + (_unpack_counts(high, higher, len(low)) << 16)], np.cumsum(n) - n, n
 
+    packed = ("words", "numbers", "high", "higher", "sizes")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     ranges = max(4, 2 * shuffle_partitions(spark), math.ceil(size / RANGE_BYTES))
 
@@ -241,7 +242,7 @@ def lm_score(
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk, train = batch.column("chunk")[i].as_py(), batch.column("train")[i].values
-                tokens, first, sizes = decode(*(batch.column(c)[i].as_py() for c in ("words", "numbers", "sizes")))
+                tokens, first, sizes = decode(*(batch.column(c)[i].as_py() for c in packed))
                 learn = np.repeat(train.to_numpy(zero_copy_only=False), sizes)
                 for kind, (keys, exists) in enumerate(_grams(tokens, first, order)):
                     distinct, number = np.unique(keys[exists], return_inverse=True)
@@ -259,8 +260,8 @@ def lm_score(
     def answer(table: pa.Table) -> pa.Table:
         """Total counts, for each request in its own order; and the range's N and V."""
         asked = [_unpack_sorted(b) for b in table.column("keys").to_pylist()]
-        packed = zip(table.column("counts").to_pylist(), table.column("large").to_pylist(), map(len, asked), strict=True)
-        counts = [_unpack_counts(*c) for c in packed]
+        coded = zip(table.column("counts").to_pylist(), table.column("large").to_pylist(), map(len, asked), strict=True)
+        counts = [_unpack_counts(*c) for c in coded]
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
         stops = np.r_[0, np.cumsum([len(a) for a in asked])]
@@ -283,7 +284,7 @@ def lm_score(
             }
         )
 
-    requests = chunks.select("chunk", "train", "sizes", "words", "numbers").mapInArrow(
+    requests = chunks.select("chunk", "train", *packed).mapInArrow(
         lean(request), "chunk long, kind int, range int, keys binary, counts binary, large binary"
     )
     answers = requests.groupBy("kind", "range").applyInArrow(
@@ -294,10 +295,12 @@ def lm_score(
     n_train, vocabulary = totals["n"] or 0, totals["v"] or 0
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        tokens, first, sizes = decode(*(texts.column(c)[0].as_py() for c in ("words", "numbers", "sizes")))
+        tokens, first, sizes = decode(*(texts.column(c)[0].as_py() for c in packed))
+        known = known.drop_columns(["chunk"])
         parts = sorted(zip(*(known.column(c).to_pylist() for c in ("kind", "range", "counts", "large", "size")), strict=True), key=lambda r: r[:2])
         counts = [np.concatenate([np.zeros(0, np.int64), *(_unpack_counts(*r[2:]) for r in parts if r[0] == k)]) for k in range(order)]
         machine = Automaton(tokens, first, counts, n_train, vocabulary, strengths)
+        del tokens, parts
         add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
         word = machine.arc[0]
         held_out = ~texts.column("train")[0].values.to_numpy(zero_copy_only=False).astype(bool)
@@ -312,11 +315,11 @@ def lm_score(
                 "score": pa.array(add(machine.traverse(sizes))),
             }
         )
-        del machine, tokens, parts
+        del machine
         release_memory()
         return out
 
-    scored = chunks.select("chunk", "ids", "train", "sizes", "words", "numbers").groupBy("chunk").cogroup(
+    scored = chunks.select("chunk", "ids", "train", *packed).groupBy("chunk").cogroup(
         answers.select("chunk", "kind", "range", "counts", "large", "size").groupBy("chunk")
     ).applyInArrow(
         score,
