@@ -51,8 +51,10 @@ def intersections(vertices: DataFrame) -> DataFrame:
     shared vertex of each pair. vertices: city_id, street_id, node_id."""
     v = vertices.distinct()
     other = v.select("city_id", "node_id", F.col("street_id").alias("other_id"))
-    pairs = v.join(other, ["city_id", "node_id"]).where("street_id <> other_id")
-    return pairs.groupBy("street_id", "other_id").agg(F.min("node_id").alias("node_id"))
+    pairs = v.join(other, ["city_id", "node_id"]).where("street_id < other_id")
+    once = pairs.groupBy("street_id", "other_id").agg(F.min("node_id").alias("node_id"))
+    both = F.array(F.struct("street_id", "other_id"), F.struct(F.col("other_id").alias("street_id"), F.col("street_id").alias("other_id")))
+    return once.select(F.explode(both).alias("pair"), "node_id").select("pair.*", "node_id")
 
 
 def interpolation_pairs(vertices: DataFrame) -> DataFrame:

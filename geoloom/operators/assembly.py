@@ -31,15 +31,10 @@ def decode_plain(nodes: DataFrame, strings: DataFrame, granularity: int = 100) -
 
 
 def explode_ways(ways: DataFrame) -> DataFrame:
-    """A4. (id, refs as deltas, tags) to (way_id, ord, node_id, is_boundary)."""
-    undo = F.aggregate(
-        "refs",
-        F.array().cast("array<bigint>"),
-        lambda acc, d: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + d)),
-    )
-    return ways.select(
-        F.col("id").alias("way_id"), F.map_contains_key("tags", "boundary").alias("is_boundary"), F.posexplode(undo).alias("ord", "node_id")
-    ).select("way_id", "ord", "node_id", "is_boundary")
+    """A4. (id, refs as deltas, tags) to (way_id, ord, node_id, is_boundary): a running sum by way."""
+    spread = ways.select(F.col("id").alias("way_id"), F.map_contains_key("tags", "boundary").alias("is_boundary"), F.posexplode("refs").alias("ord", "step"))
+    so_far = Window.partitionBy("way_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    return spread.select("way_id", "ord", F.sum("step").over(so_far).alias("node_id"), "is_boundary")
 
 
 def explode_members(members: DataFrame) -> DataFrame:
@@ -70,25 +65,27 @@ def assemble_ways(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def resolve_members(members: DataFrame, nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
     """C3. Members with what they refer to: (rel_id, ord, member_id, member_type, role, lat, lon,
-    n_vertices, n_members).
+    n_vertices, members).
 
-    A node that is missing is dropped; a way is kept even without vertices; of a nested relation
-    only the number of its members is looked up. nodes: id, lat, lon; ways: way_id, ord, node_id;
-    relations: rel_id, member_id.
+    A node that is missing is dropped; a way is kept even without vertices; a nested relation has its
+    member list (structs ord, member_id, role, in order), but what these refer to isn't looked up.
+    nodes: id, lat, lon; ways: way_id, ord, node_id; relations: rel_id, ord, member_id, role.
     """
     base = ["rel_id", "ord", "member_id", "member_type", "role"]
     none = F.lit(None).cast("bigint")
+    nobody = F.lit(None).cast(f"array<struct<ord:{dict(relations.dtypes)['ord']},member_id:{dict(relations.dtypes)['member_id']},role:string>>")
     of = lambda kind: members.where(F.col("member_type") == kind).select(base)
     as_node = of(NODE).join(nodes.select(F.col("id").alias("member_id"), "lat", "lon"), "member_id")
-    as_node = as_node.select(*base, "lat", "lon", none.alias("n_vertices"), none.alias("n_members"))
+    as_node = as_node.select(*base, "lat", "lon", none.alias("n_vertices"), nobody.alias("members"))
     empty = F.lit(None).cast("double")
     sizes = ways.groupBy(F.col("way_id").alias("member_id")).agg(F.count("*").alias("n_vertices"))
     as_way = of(WAY).join(sizes, "member_id", "left").select(
-        *base, empty.alias("lat"), empty.alias("lon"), F.coalesce("n_vertices", F.lit(0)).alias("n_vertices"), none.alias("n_members")
+        *base, empty.alias("lat"), empty.alias("lon"), F.coalesce("n_vertices", F.lit(0)).alias("n_vertices"), nobody.alias("members")
     )
-    lists = relations.groupBy(F.col("rel_id").alias("of")).agg(F.count("*").alias("n_members"))
+    nested = relations.join(of(RELATION).select(F.col("member_id").alias("rel_id")).distinct(), "rel_id", "left_semi")
+    lists = nested.groupBy(F.col("rel_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("ord", "member_id", "role"))).alias("members"))
     as_relation = of(RELATION).join(lists, F.col("member_id") == F.col("of"), "left").select(
-        *base, empty.alias("lat"), empty.alias("lon"), none.alias("n_vertices"), "n_members"
+        *base, empty.alias("lat"), empty.alias("lon"), none.alias("n_vertices"), "members"
     )
     return as_node.unionByName(as_way).unionByName(as_relation)
 

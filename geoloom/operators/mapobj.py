@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
+from geoloom.session import ranked
 
 
 def box_intersects(min_x: int, min_y: int, max_x: int, max_y: int) -> Column:
@@ -85,6 +86,11 @@ def draw_order(primitives: DataFrame) -> DataFrame:
     return primitives.orderBy("z", "type_index", "n_points", "id")
 
 
+def draw_ranks(primitives: DataFrame) -> DataFrame:
+    """F4. Adds n, the place in draw order from 1."""
+    return ranked(primitives, "z", "type_index", "n_points", "id")
+
+
 def thin_by_density(lines: DataFrame, zoom: int, delta: int, most: int) -> DataFrame:
     """D13. Ids of the lines that win a tile: at most `most` in each tile of zoom + delta, those
     drawn last first. lines: id, z, pts of structs (x, y)."""

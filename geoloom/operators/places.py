@@ -84,31 +84,33 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, zoom: int = TOWN_
     return points_in_boxes(points, polygons, zoom).where(in_polygon(F.col("b_outer"), F.col("b_inner"), F.col("lat"), F.col("lon")))
 
 
-def closest_candidates(points: DataFrame, objects: DataFrame, zoom: int, step: int = 3, doublings: int = 6) -> DataFrame:
+def closest_candidates(points: DataFrame, objects: DataFrame, zoom: int, step: int = 3) -> DataFrame:
     """C11. For each point all objects in the tiles within ring distance `step`, doubled until
     there are some: (p_id, o_id, lat, lon, o_lat, o_lon, ring).
 
-    points and objects: id, lat, lon. Every round works only on points that have found nothing,
-    at a coarser tile for wider rings, so that a round joins at most 49 tiles a point. Points
-    without any object within the widest ring have no row.
+    points and objects: id, lat, lon. Rounds go on until every point has found something; the last
+    ring covers the whole grid, so only without any object are there no rows. Every round works on
+    the points that are left, at a coarser tile for wider rings; the objects, the smaller side, are
+    repeated for the tiles around them (81 at most), so points are dealt once a round.
     """
-    rest = point_tile(points.select(F.col("id").alias("p_id"), "lat", "lon"), zoom)
+    place = lambda df, p, lat, lon: point_tile(df.select(F.col("id").alias(p), F.col("lat").alias(lat), F.col("lon").alias(lon)), zoom, lat, lon)
+    rest = place(points, "p_id", "lat", "lon")
+    placed = cut_lineage(place(objects, "o_id", "o_lat", "o_lon").withColumnsRenamed({"tx": "ox", "ty": "oy"}))
     found: list[DataFrame] = []
-    placed = point_tile(objects.select(F.col("id").alias("o_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon")), zoom, "o_lat", "o_lon")
-    placed = placed.withColumnRenamed("tx", "ox").withColumnRenamed("ty", "oy")
-    for k in range(doublings + 1):
+    some = not placed.isEmpty()
+    for k in range(zoom + 1):
         reach = step * 2**k
         coarse = lambda c: F.shiftright(c, k)  # noqa: B023, E731
         tiles = F.sequence(F.lit(-step - 1), F.lit(step + 1))
-        near = rest.withColumn("dx", F.explode(tiles)).withColumn("dy", F.explode(tiles))
-        near = near.withColumn("kx", coarse(F.col("tx")) + F.col("dx")).withColumn("ky", coarse(F.col("ty")) + F.col("dy"))
-        keyed = placed.withColumn("kx", coarse(F.col("ox"))).withColumn("ky", coarse(F.col("oy")))
-        hit = near.join(keyed, ["kx", "ky"]).where((F.abs(F.col("ox") - F.col("tx")) <= reach) & (F.abs(F.col("oy") - F.col("ty")) <= reach))
-        hit = hit.select("p_id", "o_id", "lat", "lon", "o_lat", "o_lon", F.lit(reach).alias("ring"))
+        spread = placed.withColumn("dx", F.explode(tiles)).withColumn("dy", F.explode(tiles))
+        spread = spread.withColumn("kx", coarse(F.col("ox")) + F.col("dx")).withColumn("ky", coarse(F.col("oy")) + F.col("dy"))
+        keyed = rest.withColumn("kx", coarse(F.col("tx"))).withColumn("ky", coarse(F.col("ty")))
+        hit = keyed.join(spread, ["kx", "ky"]).where((F.abs(F.col("ox") - F.col("tx")) <= reach) & (F.abs(F.col("oy") - F.col("ty")) <= reach))
+        hit = cut_lineage(hit.select("p_id", "o_id", "lat", "lon", "o_lat", "o_lon", F.lit(reach).alias("ring")))
         found.append(hit)
-        if k == doublings:
+        if not some or reach >= 2**zoom:
             break
-        rest = rest.join(hit.select("p_id").distinct(), "p_id", "left_anti")
+        rest = cut_lineage(rest.join(hit.select("p_id").distinct(), "p_id", "left_anti"))
         if rest.isEmpty():
             break
     return reduce(DataFrame.unionByName, found)

@@ -16,17 +16,17 @@ def with_tile(points: DataFrame, zoom: int, lat: str = "lat", lon: str = "lon")
 def tile_pyramid(pois: DataFrame, low: int = 6, high: int = 16) -> DataFrame:
     """D5. (zoom, tx, ty, n, kinds): POIs and their distinct category/subtype by tile of every zoom.
 
-    The deepest level is aggregated first; the levels above are rolled up from it, so that the
-    explosion is over tiles, not over POIs.
+    The deepest level is counted by tile and kind first; the levels above are rolled up from these
+    counts, so what is repeated for each level are counts, not POIs, and they are added up before
+    they are dealt out. A tile's list is only made of its distinct kinds, which the dictionary of
+    categories bounds.
     """
-    base = with_tile(pois, high).groupBy("tx", "ty").agg(
-        F.count("*").alias("n"), F.collect_set(F.concat_ws("/", "category", "subtype")).alias("kinds")
-    )
+    kind = F.concat_ws("/", "category", "subtype")
+    base = with_tile(pois, high).groupBy("tx", "ty", kind.alias("kind")).agg(F.count("*").alias("n"))
     levels = base.withColumn("zoom", F.explode(F.sequence(F.lit(low), F.lit(high))))
     up = lambda c: F.call_function("shiftright", F.col(c), F.lit(high) - F.col("zoom"))
-    return levels.groupBy("zoom", up("tx").alias("tx"), up("ty").alias("ty")).agg(
-        F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds")
-    )
+    by_kind = levels.groupBy("zoom", up("tx").alias("tx"), up("ty").alias("ty"), "kind").agg(F.sum("n").alias("n"))
+    return by_kind.groupBy("zoom", "tx", "ty").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("kind")).alias("kinds"))
 
 
 def pyramid_root(pyramid: DataFrame, most: int = 8, low: int = 6) -> DataFrame:
@@ -98,7 +98,8 @@ def tile_offsets(points: DataFrame, zoom: int) -> DataFrame:
 
 
 def name_index(named: DataFrame, zoom: int = 16) -> DataFrame:
-    """K1. (prefix, tiles): the distinct tiles in which a name prefix occurs."""
+    """K1. (prefix, tile): the tiles in which a name prefix occurs, a row each, so that a prefix that
+    stands everywhere isn't one row."""
     tiled = with_tile(named.where("name IS NOT NULL"), zoom)
     spread = tiled.select(F.explode(tags.name_prefixes(F.col("name"))).alias("prefix"), geo.tile_key(F.col("tx"), F.col("ty"), zoom).alias("tile"))
-    return spread.groupBy("prefix").agg(F.array_sort(F.collect_set("tile")).alias("tiles"))
+    return spread.distinct()

@@ -151,6 +151,33 @@ def propagate(relations: DataFrame, members: DataFrame, rules: DataFrame) -> Dat
     return by_key.groupBy("member_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("tags"))
 
 
+def _first_handed(handed: DataFrame, members: DataFrame) -> DataFrame:
+    """(member_id, tags): for each member and key the value of its first relation by id."""
+    met = handed.join(members.select("rel_id", "member_id").distinct(), "rel_id")
+    by_key = met.groupBy("member_id", "k").agg(F.min_by("v", "rel_id").alias("v"))
+    return by_key.groupBy("member_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("tags"))
+
+
+def propagate_roads(relations: DataFrame, members: DataFrame, route_rules: DataFrame) -> DataFrame:
+    """C7 for roads. (member_id, tags): relations with a tag that a rule of mode relation accepts hand on
+    their text tags (mode text), accepted tags (register) and tags with an amended prefix (amend);
+    true and false count as yes and no. relations: id, tags; route_rules: mode, tag, value."""
+    long_tags = relations.select(F.col("id").alias("rel_id"), F.explode("tags").alias("k", "v")).withColumn("v", T.yes_no(F.col("v")))
+    same = F.col("value").isNull() | (F.col("value") == F.col("v"))
+    tables = lambda *modes: bounded(route_rules.where(F.col("mode").isin(*modes)).select("mode", "tag", "value"))
+    carriers = long_tags.join(tables("relation"), (F.col("k") == F.col("tag")) & same, "left_semi").select("rel_id").distinct()
+    exact = F.col("mode").isin("text", "register") & (F.col("k") == F.col("tag"))
+    fits = (exact | ((F.col("mode") == "amend") & F.col("k").startswith(F.col("tag")))) & ((F.col("mode") == "text") | same)
+    handed = long_tags.join(carriers, "rel_id", "left_semi").join(tables("text", "register", "amend"), fits, "left_semi")
+    return _first_handed(handed, members)
+
+
+def propagate_pois(relations: DataFrame, members: DataFrame, rules: DataFrame) -> DataFrame:
+    """C7 for POIs. (member_id, tags): tags of relations that are a POI category for relations."""
+    long_tags = relations.select(F.col("id").alias("rel_id"), F.explode("tags").alias("k", "v"))
+    return _first_handed(lookup(long_tags, rules.where("poi_category IS NOT NULL AND relation")).select("rel_id", "k", "v"), members)
+
+
 def with_propagated(entities: DataFrame, propagated: DataFrame) -> DataFrame:
     """C7. Entities with handed tags where they lack them (own tags win)."""
     handed = propagated.select(F.col("member_id").alias("id"), F.col("tags").alias("handed"))

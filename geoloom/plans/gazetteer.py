@@ -99,12 +99,10 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "k1_poi_name_index",
-    f"""WITH s AS (SELECT name, {TILE.format(lon='lon', lat='lat', n=65536)} FROM osm_node WHERE name IS NOT NULL), w AS (SELECT substr(w,1,4) AS prefix, tx*65536+ty AS tile FROM (SELECT unnest(string_split_regex(lower(name), '[^a-z0-9'']+')) AS w, tx, ty FROM s) q WHERE w<>'')
- SELECT prefix, string_agg(DISTINCT CAST(tile AS VARCHAR), ',' ORDER BY CAST(tile AS VARCHAR)) AS tiles FROM w GROUP BY prefix""",
+    f"""WITH s AS (SELECT name, {TILE.format(lon='lon', lat='lat', n=65536)} FROM osm_node WHERE name IS NOT NULL) SELECT DISTINCT substr(w,1,4) AS prefix, CAST(tx*65536+ty AS BIGINT) AS tile FROM (SELECT unnest(string_split_regex(lower(name), '[^a-z0-9'']+')) AS w, tx, ty FROM s) q WHERE w<>''""",
 )
 def _(t: Tables) -> DataFrame:
-    index = poi.name_index(t.osm_node)
-    return index.select("prefix", F.array_join(F.array_sort(F.col("tiles").cast("array<string>")), ",").alias("tiles"))
+    return poi.name_index(t.osm_node)
 
 
 IN_BOX = "p.lat BETWEEN b.min_lat AND b.max_lat AND p.lon BETWEEN b.min_lon AND b.max_lon"
@@ -169,9 +167,9 @@ def _(t: Tables) -> DataFrame:
     return places.free_city_boundaries(cities, taken, _inside(t).select("city_id", "b_id", "level"))
 
 
-RING = "abs(p.tx-o.tx)<=3 AND abs(p.ty-o.ty)<=3"
 NEAR = f"""{PLACES}, o AS (SELECT id, lat, lon, kind, {TILE.format(lon='lon', lat='lat', n=8192)} FROM pl), p AS (SELECT id, lat, lon, {TILE.format(lon='lon', lat='lat', n=8192)} FROM address),
- c AS (SELECT p.id AS p_id, o.id AS o_id, p.lat, p.lon, o.lat AS o_lat, o.lon AS o_lon, o.kind FROM p JOIN o ON {RING})"""
+ x AS (SELECT p.id AS p_id, o.id AS o_id, p.lat, p.lon, o.lat AS o_lat, o.lon AS o_lon, o.kind, greatest(abs(p.tx-o.tx), abs(p.ty-o.ty)) AS apart FROM p CROSS JOIN o),
+ g AS (SELECT p_id, CAST(3*pow(2, greatest(0, ceil(log2(greatest(min(apart), 1)/3e0)))) AS BIGINT) AS ring FROM x GROUP BY p_id), c AS (SELECT x.*, g.ring FROM x JOIN g USING (p_id) WHERE apart<=ring)"""
 CAND_DIST = HAVERSINE.format(a="lat", b="o_lat", c="lon", d="o_lon")
 
 
@@ -179,21 +177,21 @@ def _candidates(t: Tables) -> DataFrame:
     return places.closest_candidates(t.address, _cities(t), places.TOWN_ZOOM)
 
 
-@query("c11_nearest_candidates", f"WITH {NEAR} SELECT p_id, o_id FROM c UNION ALL SELECT p_id, o_id FROM (SELECT p.id AS p_id, o.id AS o_id FROM p JOIN o ON abs(p.tx-o.tx)<=6 AND abs(p.ty-o.ty)<=6 WHERE p.id NOT IN (SELECT p_id FROM c)) q")
+@query("c11_nearest_candidates", f"WITH {NEAR} SELECT p_id, o_id, CAST(ring AS INT) AS ring FROM c")
 def _(t: Tables) -> DataFrame:
-    return _candidates(t).select("p_id", "o_id")
+    return _candidates(t).select("p_id", "o_id", "ring")
 
 
-@query("c11_nearest_city", f"WITH {NEAR}, d AS (SELECT p_id, o_id, {CAND_DIST} AS m FROM c) SELECT p_id, o_id, round(m, 3) AS m FROM (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY m, o_id) AS n FROM d) q WHERE n=1 AND p_id IN (SELECT p_id FROM c)")
+@query("c11_nearest_city", f"WITH {NEAR}, d AS (SELECT p_id, o_id, {CAND_DIST} AS m FROM c) SELECT p_id, arg_min(o_id, m) AS o_id, round(min(m), 3) AS m FROM d GROUP BY p_id")
 def _(t: Tables) -> DataFrame:
-    return places.nearest(_candidates(t).where("ring = 3")).select("p_id", "o_id", F.round("m", 3).alias("m"))
+    return places.nearest(_candidates(t)).select("p_id", "o_id", F.round("m", 3).alias("m"))
 
 
 RADIUS = "CASE kind WHEN 'CITY' THEN 10000e0 WHEN 'TOWN' THEN 5000e0 WHEN 'VILLAGE' THEN 1300e0 WHEN 'HAMLET' THEN 1000e0 ELSE 400e0 END"
 
 
 def _with_kind(t: Tables) -> DataFrame:
-    return _candidates(t).where("ring = 3").join(_cities(t).select(F.col("id").alias("o_id"), "kind"), "o_id")
+    return _candidates(t).join(_cities(t).select(F.col("id").alias("o_id"), "kind"), "o_id")
 
 
 @query("f3_relative_distance", f"WITH {NEAR}, d AS (SELECT p_id, o_id, {CAND_DIST}/{RADIUS} AS rel FROM c) SELECT p_id, o_id, round(rel, 6) AS rel, row_number() OVER (PARTITION BY p_id ORDER BY rel, o_id) AS rank FROM d")
@@ -415,15 +413,12 @@ def _(t: Tables) -> DataFrame:
     return blocks.select("city_id", F.coalesce(F.size("streets"), F.lit(0)).cast("long").alias("n_streets")).withColumn("n_streets", F.greatest("n_streets", F.lit(0)))
 
 
-@query("f8_nearest_single", f"SELECT a.id AS p_id, round(min({DIST}), 4) AS m FROM address a CROSS JOIN (SELECT * FROM place WHERE id<10) b GROUP BY a.id")
+@query("f8_nearest_single", f"WITH {PLACES} SELECT a.id AS p_id, round(min({DIST}), 4) AS m FROM address a CROSS JOIN pl b GROUP BY a.id")
 def _(t: Tables) -> DataFrame:
-    few = t.place.where("id < 10").select(F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.lit(1).alias("one"))
-    near = t.address.withColumn("one", F.lit(1)).join(F.broadcast(few), "one")  # ten places at most
-    m = distance_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon"))
-    return near.groupBy(F.col("id").alias("p_id")).agg(F.round(F.min(m), 4).alias("m"))
+    """The nearest of the places that are cities or towns in the wider sense."""
+    return places.nearest_object(t.address, _cities(t)).select("p_id", F.round("m", 4).alias("m"))
 
 
-# f8_nearest_single and its oracle are bound to ids under 10; this one takes all places
 @query("f8_nearest_place", f"SELECT a.id AS p_id, round(min({DIST}), 4) AS m FROM address a CROSS JOIN place b GROUP BY a.id")
 def _(t: Tables) -> DataFrame:
     return places.nearest_object(t.address, t.place).select("p_id", F.round("m", 4).alias("m"))

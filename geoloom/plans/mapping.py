@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +120,36 @@ def _(t: Tables) -> DataFrame:
     return out.select("id", F.col("tags")["route"].alias("route"), F.col("tags")["name"].alias("name"))
 
 
+@query(
+    "c7_road_propagation",
+    """SELECT m.member_id, arg_min(r.name, r.id) AS name, arg_min(CAST(r.id%3 AS VARCHAR), r.id) AS lanes, CASE WHEN count(*) FILTER (WHERE r.id%2=0) > 0 THEN 'yes' END AS oneway
+ FROM osm_relation_member m JOIN osm_relation r ON r.id=m.rel_id WHERE r.rel_type='route' GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    modes = [("relation", "route", "road"), ("text", "name", None), ("amend", "lanes", None), ("register", "oneway", "yes")]
+    route_rules = t.spark.createDataFrame(modes, "mode string, tag string, value string")
+    k = F.col("id")
+    relations = t.osm_relation.withColumns(
+        {"route": F.when(F.col("rel_type") == "route", "road"), "lanes:forward": (k % 3).cast("string"), "oneway": F.when(k % 2 == 0, "true").otherwise("false"), "left": F.lit("x")}
+    )
+    handed = rules.propagate_roads(_tagged(relations, "route", "name", "lanes:forward", "oneway", "left").select("id", "tags"), t.osm_relation_member, route_rules)
+    return handed.select("member_id", F.col("tags")["name"].alias("name"), F.col("tags")["lanes:forward"].alias("lanes"), F.col("tags")["oneway"].alias("oneway"))
+
+
+@query(
+    "c7_poi_propagation",
+    """WITH g AS (SELECT m.member_id, CASE min(r.id%3) WHEN 0 THEN 'cafe' END AS amenity FROM osm_relation_member m JOIN osm_relation r ON r.id=m.rel_id GROUP BY 1)
+ SELECT y.id, coalesce(CASE WHEN y.id%4=0 THEN 'bank' END, g.amenity) AS amenity FROM osm_way y LEFT JOIN g ON g.member_id=y.id""",
+)
+def _(t: Tables) -> DataFrame:
+    catalogue = [{"tag": "amenity", "value": "cafe", "poi_category": "food", "relation": True}, {"tag": "amenity", "value": "bank", "poi_category": "finance"}]
+    kind = F.when(F.col("id") % 3 == 0, "cafe").when(F.col("id") % 3 == 1, "bank")
+    relations = _tagged(t.osm_relation.withColumn("amenity", kind), "amenity", "name").select("id", "tags")
+    handed = rules.propagate_pois(relations, t.osm_relation_member, rules.rule_table(t.spark, catalogue))
+    ways = _tagged(t.osm_way.withColumn("amenity", F.when(F.col("id") % 4 == 0, "bank")), "amenity").select("id", "tags")
+    return rules.with_propagated(ways, handed).select("id", F.col("tags")["amenity"].alias("amenity"))
+
+
 @query("c16_exclude_polygon_types", "SELECT y.id, CASE WHEN EXISTS (SELECT 1 FROM osm_relation_member m JOIN osm_relation r ON r.id=m.rel_id AND r.rel_type='multipolygon' WHERE m.member_id=y.id) THEN '2' ELSE '1,2' END AS types FROM osm_way y")
 def _(t: Tables) -> DataFrame:
     members = t.osm_relation_member.join(t.osm_relation.where("rel_type = 'multipolygon'").select(F.col("id").alias("rel_id")), "rel_id")
@@ -243,8 +276,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("f4_draw_order", "SELECT id, row_number() OVER (ORDER BY id%7, id%5, id%3, id) AS n FROM osm_way")
 def _(t: Tables) -> DataFrame:
-    ordered = mapobj.draw_order(t.osm_way.selectExpr("id", "id%7 AS z", "id%5 AS type_index", "id%3 AS n_points"))
-    return ordered.select("id", F.row_number().over(Window.orderBy("z", "type_index", "n_points", "id")).cast("long").alias("n"))
+    return mapobj.draw_ranks(t.osm_way.selectExpr("id", "id%7 AS z", "id%5 AS type_index", "id%3 AS n_points")).select("id", "n")
 
 
 @query(
@@ -613,8 +645,6 @@ def _(t: Tables) -> DataFrame:
 
 def _written(t: Tables, write) -> DataFrame:  # noqa: ANN001
     """What `write(path)` has written, read back."""
-    import uuid
-
     path = f"{shared_folder(t.spark)}/geoloom-{uuid.uuid4().hex}"
     write(path)
     return t.spark.read.parquet(path)
@@ -634,26 +664,49 @@ def _(t: Tables) -> DataFrame:
     return back.where(F.col("base").cast("boolean")).select("id", "highway")
 
 
-@query("a7_staging_sink", "SELECT id FROM osm_way")
-def _(t: Tables) -> DataFrame:
-    def write(path: str) -> None:
-        mapobj.write_tables({"table=way": (t.osm_way.unionByName(t.osm_way), ["id"])}, path)
-
-    return _written(t, write).select("id")
+def _tables_written(t: Tables, tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(tbl, k) of every row of the tables, each given twice, written and read back; k: its key."""
+    path = f"{shared_folder(t.spark)}/geoloom-{uuid.uuid4().hex}"
+    mapobj.write_tables({name: (df.unionByName(df), key) for name, (df, key) in tables.items()}, path)
+    key = lambda columns: F.concat_ws("/", *(F.col(c).cast("string") for c in columns))
+    back = [t.spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("tbl"), key(columns).alias("k")) for name, (_, columns) in tables.items()]
+    return reduce(DataFrame.unionByName, back)
 
 
-@query("a8_result_sink", "SELECT id, category, subtype FROM poi")
+@query(
+    "a7_staging_sink",
+    """SELECT 'node' AS tbl, CAST(id AS VARCHAR) AS k FROM osm_node UNION ALL SELECT 'way_node', concat_ws('/', way_id, ord) FROM osm_way_node
+ UNION ALL SELECT 'relation_member', concat_ws('/', rel_id, ord) FROM osm_relation_member""",
+)
 def _(t: Tables) -> DataFrame:
-    def write(path: str) -> None:
-        mapobj.write_tables({"table=poi": (t.poi.select("id", "category", "subtype").unionByName(t.poi.select("id", "category", "subtype")), ["id", "category", "subtype"])}, path)
+    tables = {"node": (t.osm_node, ["id"]), "way_node": (t.osm_way_node, ["way_id", "ord"]), "relation_member": (t.osm_relation_member, ["rel_id", "ord"])}
+    return _tables_written(t, tables)
+
 
-    return _written(t, write).select("id", "category", "subtype")
+@query(
+    "a8_result_sink",
+    """WITH st AS (SELECT DISTINCT id%20 AS city_id, street FROM address)
+ SELECT 'map' AS tbl, CAST(id AS VARCHAR) AS k FROM osm_way UNION ALL SELECT 'low_level_map', CAST(id AS VARCHAR) FROM osm_way WHERE highway IN ('motorway','primary')
+ UNION ALL SELECT 'road', CAST(id AS VARCHAR) FROM osm_way WHERE highway<>'footway' UNION ALL SELECT 'base_road', CAST(id AS VARCHAR) FROM osm_way WHERE highway IN ('motorway','primary','secondary')
+ UNION ALL SELECT 'street', concat_ws('/', city_id, street) FROM st UNION ALL SELECT 'building', CAST(id AS VARCHAR) FROM address
+ UNION ALL SELECT 'street_node', concat_ws('/', name, node_id) FROM (SELECT DISTINCT y.name, w.node_id FROM osm_way y JOIN osm_way_node w ON w.way_id=y.id) q
+ UNION ALL SELECT 'city', CAST(id AS VARCHAR) FROM place UNION ALL SELECT 'poi', concat_ws('/', id, category, subtype) FROM poi""",
+)
+def _(t: Tables) -> DataFrame:
+    ways, kind = t.osm_way, F.col("highway")
+    vertices = t.osm_way.select(F.col("id").alias("way_id"), "name").join(t.osm_way_node, "way_id").select("name", "node_id")
+    return _tables_written(t, {
+        "map": (ways, ["id"]), "low_level_map": (ways.where(kind.isin("motorway", "primary")), ["id"]),
+        "road": (ways.where(kind != "footway"), ["id"]), "base_road": (ways.where(kind.isin("motorway", "primary", "secondary")), ["id"]),
+        "street": (t.address.select((F.col("id") % 20).alias("city_id"), "street"), ["city_id", "street"]), "building": (t.address, ["id"]),
+        "street_node": (vertices, ["name", "node_id"]), "city": (t.place, ["id"]), "poi": (t.poi, ["id", "category", "subtype"]),
+    })
 
 
-@query("f6_type_order", "SELECT id, concat(least(id%5,id%7), ',', greatest(id%5,id%7)) AS types FROM osm_way WHERE id%5<>id%7")
+@query("f6_type_order", "SELECT id, concat(least(id%5,id%7), ',', greatest(id%5,id%7)) AS types FROM osm_way")
 def _(t: Tables) -> DataFrame:
     types = F.array_sort(F.array(F.col("id") % 7, F.col("id") % 5))
-    return t.osm_way.where("id % 5 <> id % 7").select("id", F.array_join(types.cast("array<string>"), ",").alias("types"))
+    return t.osm_way.select("id", F.array_join(types.cast("array<string>"), ",").alias("types"))
 
 
 @query("i7_point_in_ring", "SELECT p.id, p.lat >= 40.05e0 AND p.lat < 40.15e0 AND p.lon >= -4.95e0 AND p.lon < -4.85e0 AS inside FROM poi p")

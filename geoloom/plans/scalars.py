@@ -89,14 +89,13 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "h31_morton",
-    "SELECT o_orderkey AS id, CAST(list_sum(list_transform(range(0,31), lambda b: ((((o_orderkey*7919)>>b)&1)<<(2*b+1)) + (((o_orderkey*104729)>>b)&1)*(1<<(2*b)))) AS BIGINT) AS code FROM orders WHERE o_orderkey*104729<2147483648",
+    "SELECT id, CAST(list_sum(list_transform(range(0,31), lambda b: (((x>>b)&1)<<(2*b+1)) + ((y>>b)&1)*(1<<(2*b)))) AS BIGINT) AS code FROM (SELECT o_orderkey AS id, (o_orderkey*7919)%2147483648 AS x, (o_orderkey*7919+12345)%2147483648 AS y FROM orders) s",
 )
 def _(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey")
-    return t.orders.where(k * 104729 < 2**31).select(k.alias("id"), geo.morton(k * 7919, k * 104729).alias("code"))
+    k = F.col("o_orderkey").cast("long") * 7919
+    return t.orders.select(F.col("o_orderkey").alias("id"), geo.morton(F.pmod(k, F.lit(2**31)), F.pmod(k + 12345, F.lit(2**31))).alias("code"))
 
 
-# h31_morton and its oracle end at 31 bits of o_orderkey*104729; this one takes all orders
 @query(
     "h31_morton_all",
     "SELECT id, CAST(list_sum(list_transform(range(0,31), lambda b: (((x>>b)&1)<<(2*b+1)) + ((y>>b)&1)*(1<<(2*b)))) AS BIGINT) AS code FROM (SELECT o_orderkey AS id, (o_orderkey*7919)%2147483648 AS x, (o_orderkey*104729)%2147483648 AS y FROM orders) s",

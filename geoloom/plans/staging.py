@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geo, tags
 from geoloom.operators import assembly, roads
+from geoloom.session import ranked
 
 from .registry import Tables, query
 
@@ -138,12 +139,13 @@ def mixed_members(t: Tables) -> DataFrame:
 
 @query(
     "c3_member_resolution",
-    f"""WITH {MEMBERS}, v AS (SELECT way_id, count(*) AS n FROM osm_way_node GROUP BY way_id), l AS (SELECT rel_id, count(*) AS n FROM osm_relation_member GROUP BY rel_id)
- SELECT m.rel_id, m.ord, m.member_id, m.member_type, m.role, n.lat, n.lon, CASE WHEN member_type=1 THEN coalesce(v.n,0) END AS n_vertices, CASE WHEN member_type=2 THEN l.n END AS n_members
+    f"""WITH {MEMBERS}, v AS (SELECT way_id, count(*) AS n FROM osm_way_node GROUP BY way_id), l AS (SELECT rel_id, string_agg(concat(ord, ':', member_id, ':', role), ',' ORDER BY ord) AS n FROM osm_relation_member GROUP BY rel_id)
+ SELECT m.rel_id, m.ord, m.member_id, m.member_type, m.role, n.lat, n.lon, CASE WHEN member_type=1 THEN coalesce(v.n,0) END AS n_vertices, CASE WHEN member_type=2 THEN l.n END AS members
  FROM m LEFT JOIN osm_node n ON member_type=0 AND n.id=m.member_id LEFT JOIN v ON member_type=1 AND v.way_id=m.member_id LEFT JOIN l ON member_type=2 AND l.rel_id=m.member_id WHERE member_type<>0 OR n.id IS NOT NULL""",
 )
 def _(t: Tables) -> DataFrame:
-    return assembly.resolve_members(mixed_members(t), t.osm_node, t.osm_way_node, t.osm_relation_member)
+    found = assembly.resolve_members(mixed_members(t), t.osm_node, t.osm_way_node, t.osm_relation_member)
+    return found.withColumn("members", F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["ord"].cast("string"), m["member_id"].cast("string"), m["role"])), ","))
 
 
 @query("c4_members_by_role", "SELECT rel_id, ord, member_id FROM osm_relation_member WHERE role IN ('inner','outer')")
@@ -322,8 +324,8 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "f2_sort_by_distance",
-    f"""WITH d AS (SELECT id, {HAVERSINE.format(a="lat", b="40.1e0", c="lon", d="(-4.9e0)")} AS m FROM osm_node) SELECT id, round(m,4) AS m, row_number() OVER (ORDER BY m, id) AS rank FROM d ORDER BY m, id LIMIT 100""",
+    f"""WITH d AS (SELECT id, {HAVERSINE.format(a="lat", b="40.1e0", c="lon", d="(-4.9e0)")} AS m FROM osm_node) SELECT id, round(m,4) AS m, row_number() OVER (ORDER BY round(m,4), id) AS rank FROM d""",
 )
 def _(t: Tables) -> DataFrame:
-    near = t.osm_node.select("id", geo.distance_m(F.col("lat"), F.col("lon"), F.lit(40.1), F.lit(-4.9)).alias("m")).orderBy("m", "id").limit(100)
-    return near.select("id", F.round("m", 4).alias("m"), F.row_number().over(Window.orderBy("m", "id")).cast("long").alias("rank"))
+    near = t.osm_node.select("id", F.round(geo.distance_m(F.col("lat"), F.col("lon"), F.lit(40.1), F.lit(-4.9)), 4).alias("m"))
+    return ranked(near, "m", "id").select("id", "m", F.col("n").alias("rank"))

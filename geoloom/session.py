@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,11 +24,13 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, spark.checkpoint.dir; only where the session names none
-    (tests on one machine), a temporary one."""
+    """The folder that all executors share, spark.checkpoint.dir; only where the session names none and
+    everything runs on one machine (tests), a temporary one. On a cluster that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(named)
     return named
@@ -40,6 +42,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ranked(df: DataFrame, *columns: str) -> DataFrame:
+    """Adds n, each row's place from 1 in the order of `columns`. The rows are sorted by range; a row's
+    place is its number inside its range after the sizes of the ranges before, so no task sees them all."""
+    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    placed = placed.withColumn("__at", F.monotonically_increasing_id())  # the range, then the row inside it
+    placed = cut_lineage(placed.select("*", F.shiftright("__at", 33).alias("__range"), F.col("__at").bitwiseAND(2**33 - 1).alias("__row")))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("size"))
+    sizes = sizes.select("__range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__ahead"))
+    numbered = placed.join(sizes, "__range").withColumn("n", F.col("__ahead") + F.col("__row") + 1)
+    return numbered.drop("__at", "__range", "__row", "__ahead")
+
+
 def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A dimension table (rules, layers) with a broadcast hint if it has at most `rows` rows; a larger
     one is joined by shuffle."""

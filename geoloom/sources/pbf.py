@@ -1,6 +1,8 @@
 """A data source for map extracts in the block format (.osm.pbf): format("osmpbf").
 
-One partition reads a run of blobs of one file; blocks are decoded where they are read. Rows:
+One partition reads the blobs that begin in one range of bytes of one file; the driver only lists
+files and sizes. A range finds its first blob by the mark of a header, held against the next header.
+Blocks are decoded where they are read. Files may lie in any store that Arrow's file systems reach. Rows:
 (kind, id, lat, lon, tags, refs, members), kind being node, way or relation. Way references are
 node ids, members are (id, type, role).
 """
@@ -8,20 +10,26 @@ node ids, members are (id, type, role).
 from __future__ import annotations
 
 import fnmatch
-import os
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from geoloom.sources.stores import store_of, write_file
+
 SCHEMA = (
     "kind string, id bigint, lat double, lon double, tags map<string,string>, refs array<bigint>, "
     "members array<struct<id:bigint,type:int,role:string>>"
 )
 MAX_HEADER = 65_536
-BLOBS_PER_PARTITION = 16
+RANGE_BYTES = 32 << 20
+MARK = b"\x0a\x07OSMData"  # how a data blob's header begins, after its length
 
 
 def varint(buf: bytes, at: int) -> tuple[int, int]:
@@ -69,25 +77,50 @@ def packed(buf: bytes, zigzag: bool = False, delta: bool = False) -> list[int]:
     return out
 
 
-def blob_ranges(path: str) -> list[tuple[int, int]]:
-    """Offset and length of each data blob's message; only headers are read."""
-    out = []
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        at = 0
-        while at < size:
-            f.seek(at)
-            n = struct.unpack(">I", f.read(4))[0]
-            if n > MAX_HEADER:
-                raise ValueError(f"{path}: a header of {n} bytes at {at}")
-            head = dict(fields(f.read(n)))
-            length = int(head[3])
-            if head[1] == b"OSMData":
-                out.append((at + 4 + n, length))
-            elif head[1] != b"OSMHeader":
-                raise ValueError(f"{path}: unknown blob {head[1]!r}")
-            at += 4 + n + length
-    return out
+def header_at(f: pafs.FileSystem, at: int, size: int) -> tuple[bytes, int, int] | None:
+    """(type, offset of the blob's message, its length) of the header at a place, or None at the end."""
+    if at >= size:
+        return None
+    n = struct.unpack(">I", f.read_at(4, at))[0]
+    if n > MAX_HEADER:
+        raise ValueError(f"a header of {n} bytes at {at}")
+    head = dict(fields(f.read_at(n, at + 4)))
+    if head.get(1) not in (b"OSMData", b"OSMHeader"):
+        raise ValueError(f"unknown blob {head.get(1)!r} at {at}")
+    return head[1], at + 4 + n, int(head[3])
+
+
+def first_blob(f: pafs.FileSystem, start: int, stop: int, size: int) -> int | None:
+    """Where the first data blob that begins in start .. stop begins. The mark may stand in a blob's
+    content by chance: a place counts if its header is whole and another, or the end, follows its blob."""
+    if start == 0:
+        return 0
+    window, at = 1 << 20, start
+    while at < stop:
+        held = f.read_at(min(window + 4 + len(MARK), size - at), at)
+        found = held.find(MARK, 4)
+        while found >= 0 and at + found - 4 < stop:
+            try:
+                _, offset, length = header_at(f, at + found - 4, size)
+                if offset + length <= size:
+                    header_at(f, offset + length, size)
+                    return at + found - 4
+            except (ValueError, IndexError, KeyError, struct.error):
+                pass
+            found = held.find(MARK, found + 1)
+        at += window
+    return None
+
+
+def blob_ranges(f: pafs.FileSystem, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of each data blob whose header begins in start .. stop."""
+    size = f.size()
+    at = first_blob(f, start, stop, size)
+    while at is not None and at < stop and (head := header_at(f, at, size)):
+        kind, offset, length = head
+        if kind == b"OSMData":
+            yield offset, length
+        at = offset + length
 
 
 def blob_content(blob: bytes) -> bytes:
@@ -160,35 +193,40 @@ def _tags(strings: list[str], keys: list[int], values: list[int]) -> dict[str, s
 @dataclass
 class Blobs(InputPartition):
     path: str
-    ranges: list[tuple[int, int]]
+    start: int
+    stop: int
 
 
 class PbfReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        path = options["path"]
-        if os.path.isdir(path):
-            mask = options.get("pathglobfilter", "*.pbf")
-            self.files = [os.path.join(d, f) for d, _, names in os.walk(path) for f in sorted(names) if fnmatch.fnmatch(f.lower(), mask.lower())]
-        else:
-            self.files = [path]
+        self.path, self.mask = options["path"], options.get("pathglobfilter", "*.pbf").lower()
+        self.range = int(options.get("rangebytes", RANGE_BYTES))
 
     def partitions(self) -> list[Blobs]:
-        out = []
-        for path in self.files:
-            ranges = blob_ranges(path)
-            out += [Blobs(path, ranges[i : i + BLOBS_PER_PARTITION]) for i in range(0, len(ranges), BLOBS_PER_PARTITION)]
-        return out
+        store, inside = store_of(self.path)
+        info = store.get_file_info(inside)
+        if info.type == pafs.FileType.Directory:
+            held = store.get_file_info(pafs.FileSelector(inside, recursive=True))
+            held = [i for i in held if i.is_file and fnmatch.fnmatch(i.base_name.lower(), self.mask)]
+        else:
+            held = [info]
+        prefix = self.path[: len(self.path) - len(inside)] if self.path.endswith(inside) else ""
+        return [
+            Blobs(prefix + i.path, at, min(at + self.range, i.size))
+            for i in sorted(held, key=lambda i: i.path)
+            for at in range(0, i.size, self.range)
+        ]
 
     def read(self, partition: Blobs) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            for offset, length in partition.ranges:
-                f.seek(offset)
-                yield from block_rows(blob_content(f.read(length)))
+        store, inside = store_of(partition.path)
+        with store.open_input_file(inside) as f:
+            for offset, length in blob_ranges(f, partition.start, partition.stop):
+                yield from block_rows(blob_content(f.read_at(length, offset)))
 
 
 class PbfSource(DataSource):
-    """spark.dataSource.register(PbfSource), then spark.read.format("osmpbf").load(path). Files lie on a
-    path that driver and executors share."""
+    """spark.dataSource.register(PbfSource), then spark.read.format("osmpbf").load(path), a file or a folder
+    (option pathGlobFilter, any case). Option rangeBytes: bytes a partition."""
 
     @classmethod
     def name(cls) -> str:
@@ -199,3 +237,76 @@ class PbfSource(DataSource):
 
     def reader(self, schema) -> PbfReader:  # noqa: ANN001
         return PbfReader(self.options)
+
+
+# ---- writing
+
+
+def to_varint(v: int) -> bytes:
+    out = bytearray()
+    while v > 0x7F:
+        out.append(v & 0x7F | 0x80)
+        v >>= 7
+    out.append(v)
+    return bytes(out)
+
+
+def message(field: int, value: bytes | int) -> bytes:
+    if isinstance(value, int):
+        return to_varint(field << 3) + to_varint(value)
+    return to_varint(field << 3 | 2) + to_varint(len(value)) + value
+
+
+def to_packed(values: list[int], zigzag: bool = False, delta: bool = False) -> bytes:
+    if delta:
+        values = [b - a for a, b in zip([0, *values], values, strict=False)]
+    return b"".join(to_varint((v << 1) ^ (v >> 63) if zigzag else v) for v in values)
+
+
+def blob(kind: bytes, data: bytes) -> bytes:
+    body = message(2, len(data)) + message(3, zlib.compress(data))
+    head = message(1, kind) + message(3, len(body))
+    return struct.pack(">I", len(head)) + head + body
+
+
+def block(rows: list[tuple]) -> bytes:
+    """A block of elements of one kind: (kind, id, lat, lon, tags, refs, members) as they are read."""
+    strings: dict[str, int] = {"": 0}
+    number = lambda s: strings.setdefault(s, len(strings))
+    kind = rows[0][0]
+    if kind == "node":
+        degrees = lambda c: [round(r[c] * 1e7) for r in rows]
+        runs = [n for r in rows for n in (*(number(x) for kv in (r[4] or {}).items() for x in kv), 0)]
+        dense = message(1, to_packed([r[1] for r in rows], True, True)) + message(8, to_packed(degrees(2), True, True))
+        group = message(2, dense + message(9, to_packed(degrees(3), True, True)) + message(10, to_packed(runs)))
+    else:
+        group = b""
+        for _, i, _, _, tags, refs, members in rows:
+            one = message(1, i) + message(2, to_packed([number(k) for k in tags or {}])) + message(3, to_packed([number(v) for v in (tags or {}).values()]))
+            if kind == "way":
+                group += message(3, one + message(8, to_packed(list(refs), True, True)))
+            else:
+                roles, types = to_packed([number(m["role"]) for m in members]), to_packed([m["type"] for m in members])
+                group += message(4, one + message(8, roles) + message(9, to_packed([m["id"] for m in members], True, True)) + message(10, types))
+    return message(1, b"".join(message(1, s.encode()) for s in strings)) + message(2, group)
+
+
+def write_extract(elements: DataFrame, path: str, per_block: int = 8000) -> None:
+    """Elements of the schema above as one file a partition; a task that is run again replaces its file."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {"node": [], "way": [], "relation": []}
+        out = [blob(b"OSMHeader", message(4, b"OsmSchema-V0.6") + message(4, b"DenseNodes"))]
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "id", "lat", "lon", "tags", "refs", "members")), strict=True):
+                kind = held[row[0]]
+                kind.append((*row[:4], dict(row[4] or []), *row[5:]))
+                if len(kind) == per_block:
+                    out.append(blob(b"OSMData", block(kind)))
+                    kind.clear()
+        out += [blob(b"OSMData", block(rows)) for rows in held.values() if rows]
+        name = f"{path}/part-{TaskContext.get().partitionId():05d}.osm.pbf"
+        write_file(name, b"".join(out))
+        yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+
+    elements.mapInArrow(write, "file string").count()

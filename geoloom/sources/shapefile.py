@@ -1,4 +1,9 @@
-"""Shape (.shp) and attribute (.dbf) files as DataFrames, through Spark's binary file reader."""
+"""Shape (.shp) and attribute (.dbf) files as DataFrames.
+
+Spark lists the files; a file is then read in ranges of records, a task each: shapes by the offsets
+of the record index (.shx), attributes by the fixed width of their records. Files may lie in any
+store that Arrow's file systems reach.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +13,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from geoloom.sources.stores import read_range, write_file
+
 SHAPE_SCHEMA = (
     "file string, rec_no int, type int, parts array<int>, part_types array<int>, x array<double>, y array<double>, z array<double>, m array<double>, "
     "minx double, miny double, maxx double, maxy double"
 )
 
+RECORDS = 100_000  # that a task reads of a file
+
 #: fixed values: type codes; 0 is the null shape
 POINTS, ARCS, POLYGONS, MULTIPOINTS, MULTIPATCH = (1, 11, 21), (3, 13, 23), (5, 15, 25), (8, 18, 28), 31
 
 
-def records(data: bytes) -> Iterator[tuple]:
-    """(rec_no, type, parts, part_types, x, y, z, m) of a .shp file's records, numbered from 0."""
-    at, number = 100, 0
+def records(data: bytes, number: int = 0) -> Iterator[tuple]:
+    """(rec_no, type, parts, part_types, x, y, z, m) of a run of a .shp file's records from `number` on."""
+    at = 0
     while at + 12 <= len(data):
         words = struct.unpack(">i", data[at + 4 : at + 8])[0]
         body = data[at + 8 : at + 8 + 2 * words]
@@ -62,20 +70,40 @@ def _shape(b: bytes) -> tuple:
     return kind, parts, part_types, xy[0::2].tolist(), xy[1::2].tolist(), z, m
 
 
-def read_shapes(spark: SparkSession, path: str, mask: str = "*.shp") -> DataFrame:
-    """A11. One row for each record of the files under `path` that the mask fits."""
+def _ranges(spark: SparkSession, rows: list[tuple[str, int, int]]) -> DataFrame:
+    """(path, first, last), a partition each."""
+    ranges = spark.createDataFrame(rows, "path string, first bigint, last bigint")
+    return ranges.repartition(max(1, len(rows)), "path", "first")
+
+
+def read_shapes(spark: SparkSession, path: str, mask: str = "*.shp", records_per_task: int = RECORDS) -> DataFrame:
+    """A11. One row for each record of the files under `path` that the mask fits. A file without a
+    record index (.shx) is walked by one task."""
+    held = [r["path"] for r in files(spark, path, mask).select("path").collect()]
+    index = {r["path"][:-4].lower(): (r["path"], r["length"]) for r in files(spark, path, "*.shx").select("path", "length").collect()}
+    rows = []
+    for name in sorted(held):
+        _, size = index.get(name[:-4].lower(), ("", 0))
+        n = (size - 100) // 8
+        rows += [(name, a, min(a + records_per_task, n)) for a in range(0, n, records_per_task)] if size else [(name, 0, -1)]
+    indexes = {k: v[0] for k, v in index.items()}
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"], strict=True):
+            for name, first, last in zip(batch["path"], batch["first"], batch["last"], strict=True):
+                if last < 0:
+                    data = read_range(name, 100)
+                else:
+                    at = np.frombuffer(read_range(indexes[name[:-4].lower()], 100 + 8 * int(first), 100 + 8 * int(last)), ">i4").astype(np.int64) * 2
+                    data = read_range(name, int(at[0]), int(at[-2] + 8 + at[-1]))
                 rows = []
-                for number, kind, parts, part_types, x, y, z, m in records(data):
+                for number, kind, parts, part_types, x, y, z, m in records(data, int(first)):
                     box = (min(x), min(y), max(x), max(y)) if x else (None,) * 4
                     rows.append((name, number, kind, parts, part_types, x, y, z, m, *box))
                 if rows:
                     yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in SHAPE_SCHEMA.split(", ")])
 
-    return files(spark, path, mask).select("path", "content").mapInPandas(decode, SHAPE_SCHEMA)
+    return _ranges(spark, rows).mapInPandas(decode, SHAPE_SCHEMA)
 
 
 def files(spark: SparkSession, path: str, mask: str) -> DataFrame:
@@ -120,38 +148,97 @@ def _value(raw: str, kind: str, decimals: int, width: int):  # noqa: ANN202
     return text or None
 
 
-def read_attributes(spark: SparkSession, path: str, mask: str = "*.dbf") -> DataFrame:
+def read_attributes(spark: SparkSession, path: str, mask: str = "*.dbf", records_per_task: int = RECORDS) -> DataFrame:
     """A12. (file, rec_no, deleted, fields...): the schema is that of the first file by name."""
-    found = files(spark, path, mask)
-    first = found.select("path", F.substring("content", 1, 1 << 16).alias("head")).orderBy("path").first()
-    if first is None:
+    held = sorted(r["path"] for r in files(spark, path, mask).select("path").collect())
+    if not held:
         return spark.createDataFrame([], "file string, rec_no int, deleted boolean")
-    schema_fields = table_fields(bytes(first["head"]))
+    schema_fields = table_fields(_table_head(held[0]))
     schema = StructType(
         [StructField("file", StringType()), StructField("rec_no", IntegerType()), StructField("deleted", BooleanType())]
         + [StructField(n, _spark_type(k, w, d)) for n, k, w, d in schema_fields]
     )
+    rows = []
+    for name in held:
+        n = struct.unpack("<I", read_range(name, 4, 8))[0]
+        rows += [(name, a, min(a + records_per_task, n)) for a in range(0, n, records_per_task)]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                own = {n: (k, w, d) for n, k, w, d in table_fields(data)}
-                count, head, width = struct.unpack("<IHH", data[4:12])
+            for name, first, last in zip(batch["path"], batch["first"], batch["last"], strict=True):
+                front = _table_head(name)
+                own = {n: (k, w, d) for n, k, w, d in table_fields(front)}
+                head, width = struct.unpack("<HH", front[8:12])
+                data = read_range(name, head + int(first) * width, head + int(last) * width)
                 columns: dict[str, list] = {n: [] for n, *_ in schema_fields}
                 deleted = []
-                for i in range(count):
-                    record = data[head + i * width : head + (i + 1) * width].decode("latin-1")
+                for i in range(len(data) // width):
+                    record = data[i * width : (i + 1) * width].decode("latin-1")
                     deleted.append(record[:1] == "*")
                     at = 1
                     for n, (k, w, d) in own.items():
                         if n in columns:
                             columns[n].append(_value(record[at : at + w], k, d, w))
                         at += w
+                count = len(deleted)
                 if count:
-                    out = pd.DataFrame({"file": name, "rec_no": range(count), "deleted": deleted})
+                    out = pd.DataFrame({"file": name, "rec_no": range(int(first), int(first) + count), "deleted": deleted})
                     for n, k, w, d in schema_fields:
                         kind = "boolean" if k == "L" else None if k in "CD" else "float64" if d or k == "F" else "Int64"
                         out[n] = pd.Series(columns[n] or [None] * count, dtype=kind or object)
                     yield out
 
-    return found.select("path", "content").mapInPandas(decode, schema)
+    return _ranges(spark, rows).mapInPandas(decode, schema)
+
+
+def _table_head(path: str) -> bytes:
+    return read_range(path, 0, struct.unpack("<H", read_range(path, 8, 10))[0])
+
+
+# ---- writing
+
+
+def _shape_header(words: int, kind: int, box: tuple[float, float, float, float]) -> bytes:
+    return struct.pack(">i5ii", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<ii8d", 1000, kind, *box, 0, 0, 0, 0)
+
+
+def write_layers(rings: DataFrame, path: str, name: str, fields: list[tuple[str, str, int, int]]) -> DataFrame:
+    """Polygons of one closed ring as layers: for each value of the column `name` a .shp, .shx and .dbf
+    file, written by one task (the format ends at 2 GB). rings: name, x, y (arrays), order, deleted and
+    the fields, (name, type, width, decimals). Returns (layer, n)."""
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("order")
+        shapes, index, at = [], [], 50
+        lows = [min(v) for c in "xy" for v in [[min(a) for a in pdf[c]]]]
+        highs = [max(v) for c in "xy" for v in [[max(a) for a in pdf[c]]]]
+        for number, (x, y) in enumerate(zip(pdf["x"], pdf["y"], strict=True), 1):
+            points = np.column_stack([x, y]).astype("<f8").tobytes()
+            body = struct.pack("<i4d3i", 5, min(x), min(y), max(x), max(y), 1, len(x), 0) + points
+            shapes.append(struct.pack(">ii", number, len(body) // 2) + body)
+            index.append(struct.pack(">ii", at, len(body) // 2))
+            at += 4 + len(body) // 2
+        box = (*lows, *highs)
+        stem = f"{path}/{key[0]}"
+        write_file(f"{stem}.shp", _shape_header(at, 5, box) + b"".join(shapes))
+        write_file(f"{stem}.shx", _shape_header(50 + 4 * len(index), 5, box) + b"".join(index))
+        heads = b"".join(n.encode().ljust(11, b"\0") + k.encode() + b"\0" * 4 + bytes([w, d]) + b"\0" * 14 for n, k, w, d in fields)
+        rows = []
+        for row in pdf.to_dict("records"):
+            out = "*" if row["deleted"] else " "
+            for n, k, w, d in fields:
+                v = row[n]
+                if k == "L":
+                    text = "?" if v is None else "T" if v else "F"
+                elif k in "NF":
+                    text = "*" * w if v is None or v != v else f"{v:.{d}f}" if d else str(int(v))
+                else:
+                    text = v or ""
+                out += text[:w].rjust(w) if k in "NF" else text[:w].ljust(w)
+            rows.append(out)
+        width = 1 + sum(f[2] for f in fields)
+        front = b"\x03\0\0\0" + struct.pack("<IHH", len(rows), 33 + len(heads), width) + b"\0" * 20
+        write_file(f"{stem}.dbf", front + heads + b"\r" + "".join(rows).encode("latin-1", "replace"))
+        return pd.DataFrame({"layer": [key[0]], "n": [len(rows)]})
+
+    return rings.groupBy(name).applyInPandas(write, "layer string, n long")

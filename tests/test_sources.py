@@ -6,7 +6,7 @@ import zlib
 import pytest
 
 from geoloom.operators import rules
-from geoloom.sources import pbf, shapefile
+from geoloom.sources import pbf, shapefile, stores
 
 
 def varint(v):
@@ -76,8 +76,30 @@ def test_extract_scan(spark, extract):
 def test_long_header_is_refused(tmp_path):
     path = tmp_path / "bad.pbf"
     path.write_bytes(struct.pack(">I", 70_000) + b"x" * 10)
-    with pytest.raises(ValueError, match="header"):
-        pbf.blob_ranges(str(path))
+    store, inside = stores.store_of(f"file:{path}")
+    with store.open_input_file(inside) as f, pytest.raises(ValueError, match="header"):
+        list(pbf.blob_ranges(f, 0, 100))
+
+
+def test_ranges_cover_each_blob_once(spark, extract):
+    """Whatever the ranges, also where a header's mark stands inside a blob."""
+    spark.dataSource.register(pbf.PbfSource)
+    trap = extract.parent / "trap.osm.pbf"
+    trap.write_bytes(extract.read_bytes() + blob(b"OSMData", msg(1, msg(1, b"x\0\0\0\x0b" + pbf.MARK + b"\x18\x05" * 40)), False))
+    for step in (7, 64, 100, 1000):
+        rows = spark.read.format("osmpbf").option("rangeBytes", step).load(str(trap)).collect()
+        assert sorted((r["kind"], r["id"]) for r in rows) == [("node", 10), ("node", 11), ("node", 13), ("relation", 7), ("way", 5), ("way", 6)]
+    both = spark.read.format("osmpbf").option("pathGlobFilter", "T*.PBF").load(f"file:{extract.parent}")
+    assert both.count() == 12
+
+
+def test_written_extract_reads_back(spark, extract, tmp_path):
+    spark.dataSource.register(pbf.PbfSource)
+    rows = spark.read.format("osmpbf").load(str(extract))
+    pbf.write_extract(rows, str(tmp_path / "out"), per_block=2)
+    back = spark.read.format("osmpbf").load(str(tmp_path / "out"))
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(back) == plain(rows)
 
 
 def record(number, body):
@@ -109,6 +131,16 @@ def test_shapes_and_attributes(spark, tmp_path):
     assert (attr[0]["ID"], attr[0]["NAME"], attr[0]["AMOUNT"], attr[0]["FLAG"]) == (7, "seven", 1.5, True)
     assert (attr[1]["ID"], attr[1]["NAME"], attr[1]["AMOUNT"], attr[1]["FLAG"], attr[1]["deleted"]) == (None, None, None, None, True)
     assert attr[2]["AMOUNT"] == -2.0 and attr[2]["FLAG"] is False
+    few = shapefile.read_attributes(spark, str(tmp_path), records_per_task=1)
+    assert sorted(map(str, few.collect())) == sorted(map(str, attr.values()))
+    at, index = 50, b""
+    for length in (len(polygon), len(pointz), 4, len(multi)):
+        index += struct.pack(">ii", at, length // 2)
+        at += 4 + length // 2
+    (tmp_path / "a.shx").write_bytes(b"\0" * 100 + index)
+    for step in (1, 3, 100):
+        ranged = shapefile.read_shapes(spark, str(tmp_path), records_per_task=step).collect()
+        assert sorted(map(str, ranged)) == sorted(map(str, got.values()))
     assert shapefile.files(spark, str(tmp_path), "a.s?p").count() == 1
 
 
