@@ -72,5 +72,5 @@ def test_nearest_grows_its_ring(spark):
     out = places.closest_candidates(p, far, 13).collect()
     assert [(r["o_id"], r["ring"]) for r in out] == [(9, 24)]
     nowhere = spark.createDataFrame([(9, -40.0, 120.0)], "id long, lat double, lon double")
-    assert [(r["o_id"], r["ring"]) for r in places.closest_candidates(p, nowhere, 13).collect()] == [(9, 6144)]
+    assert [(r["o_id"], r["ring"]) for r in places.closest_candidates(p, nowhere, 13).collect()] == [(9, 3072)]
     assert places.closest_candidates(p, nowhere.where("false"), 13).count() == 0
