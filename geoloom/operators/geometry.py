@@ -7,7 +7,7 @@ tile or line class. Plain arrays of numbers go in and out.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
@@ -252,11 +252,11 @@ def build_multipolygons(rings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return made.where("reason = ''").drop("reason"), made.where("reason <> ''").select("rel_id", "inners", "reason")
 
 
-def merge_lines(lines: DataFrame, node_limit: int = 1000) -> DataFrame:
+def merge_lines(lines: DataFrame) -> DataFrame:
     """C24. (level, types, line_ids, node_ids, name): lines of one level and types chained at shared ends.
 
     From the first unvisited line by id, backwards then forwards, by the smallest fitting line. A
-    name that differs is cleared. Chains stop at `node_limit` nodes. lines: id, level, types (array),
+    name that differs is cleared. A chain goes on until nothing fits. lines: id, level, types (array),
     name, node_ids.
     """
 
@@ -273,7 +273,7 @@ def merge_lines(lines: DataFrame, node_limit: int = 1000) -> DataFrame:
             if seen[i]:
                 continue
             seen[i] = True
-            chain, path, name = [i], list(nodes[i]), pdf["name"].iloc[i]
+            chain, first, last, name = deque([i]), nodes[i][0], nodes[i][-1], pdf["name"].iloc[i]
 
             def take(options: list[int]) -> int | None:
                 j = next((j for j in options if not seen[j]), None)  # noqa: B023
@@ -281,12 +281,15 @@ def merge_lines(lines: DataFrame, node_limit: int = 1000) -> DataFrame:
                     seen[j] = True  # noqa: B023
                 return j
 
-            while len(path) < node_limit and (j := take(ends[path[0]])) is not None:
-                path, chain = nodes[j][:-1] + path, [j, *chain]
+            while (j := take(ends[first])) is not None:
+                first = nodes[j][0]
+                chain.appendleft(j)
                 name = name if pdf["name"].iloc[j] == name else None
-            while len(path) < node_limit and (j := take(starts[path[-1]])) is not None:
-                path, chain = path + nodes[j][1:], [*chain, j]
+            while (j := take(starts[last])) is not None:
+                last = nodes[j][-1]
+                chain.append(j)
                 name = name if pdf["name"].iloc[j] == name else None
+            path = nodes[chain[0]] + [n for c in list(chain)[1:] for n in nodes[c][1:]]
             out.append((int(pdf["level"].iloc[0]), [int(t) for t in pdf["types"].iloc[0]], [int(pdf["id"].iloc[c]) for c in chain], path, name))
         return pd.DataFrame(out, columns=["level", "types", "line_ids", "node_ids", "name"])
 

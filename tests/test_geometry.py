@@ -92,6 +92,13 @@ def test_merged_lines_use_each_line_once(spark):
     assert list(chain["node_ids"]) == [0, 1, 2, 3] and chain["name"] is None
 
 
+def test_merged_lines_have_no_limit(spark):
+    rows = [(i, 1, [1], "a", [i, i + 1]) for i in range(1, 1501)]
+    df = spark.createDataFrame(rows, "id long, level int, types array<int>, name string, node_ids array<long>")
+    (r,) = g.merge_lines(df).collect()
+    assert list(r["line_ids"]) == list(range(1, 1501)) and list(r["node_ids"]) == list(range(1, 1502)) and r["name"] == "a"
+
+
 def test_anchor_spacing(spark):
     df = spark.createDataFrame([(1, [0.0, 100.0], [0.0, 0.0])], "id long, xs array<double>, ys array<double>")
     out = g.line_anchors(df, 30.0).orderBy("n").collect()
