@@ -40,6 +40,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete what `materialize` wrote for `table`, once the only tables made from it are written
+    themselves; it can't be read afterwards."""
+    jvm = table.sparkSession._jvm
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_memory() -> None:
     """Give what a Python worker has freed back to the system. Workers are kept and reused, so
     without this each would hold on to its largest batch beside the executor's heap."""

@@ -39,6 +39,7 @@ from . import texthash
 from .common import (
     broadcast_if_small,
     connected_components,
+    discard,
     lean,
     lean_group,
     materialize,
@@ -52,24 +53,42 @@ RECENT = 1 << 14  # sets that a task remembers, so as to pass over their copies
 
 
 def _pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted uint64 values as a width, the first value and differences of that width."""
+    """Sorted uint64 values as the first one and the steps between them in Rice code: the low bits of
+    each step, about as many as the mean step has, as whole bytes and then the bits left of a byte;
+    what is above them in unary. At most three bits a value come on top of the low ones."""
     if not len(values):
         return b""
     steps = np.diff(values)
-    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
-    body = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() if width else b""
-    return bytes([width]) + int(values[0]).to_bytes(8, "little") + len(values).to_bytes(8, "little") + body
+    low = max((int(values[-1] - values[0]) // len(steps)).bit_length() - 1, 0) if len(steps) else 0
+    head = bytes([low]) + int(values[0]).to_bytes(8, "little") + len(values).to_bytes(8, "little")
+    if not len(steps):
+        return head
+    whole, left = divmod(low, 8)
+    body = steps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    stops = np.cumsum((steps >> np.uint64(low)).astype(np.int64) + 1) - 1
+    unary = np.zeros(stops[-1] + 1, bool)
+    unary[stops] = True
+    rest = np.unpackbits(body[:, whole : whole + 1], axis=1)[:, 8 - left :] if left else body[:, :0]
+    return head + body[:, :whole].tobytes() + np.packbits(rest).tobytes() + np.packbits(unary).tobytes()
 
 
 def _unpack_sorted(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.uint64)
-    width, first, n = blob[0], int.from_bytes(blob[1:9], "little"), int.from_bytes(blob[9:17], "little")
-    steps = np.zeros((n, 8), np.uint8)
-    if width:
-        steps[1:, :width] = np.frombuffer(blob, np.uint8, offset=17).reshape(n - 1, width)
-    out = steps.view("<u8").ravel().astype(np.uint64)
-    out[0] = first
+    low, first, n = blob[0], int.from_bytes(blob[1:9], "little"), int.from_bytes(blob[9:17], "little")
+    out = np.full(n, first, np.uint64)
+    if n == 1:
+        return out
+    whole, left = divmod(low, 8)
+    held = np.frombuffer(blob, np.uint8, offset=17)
+    ends = np.cumsum([(n - 1) * whole, ((n - 1) * left + 7) // 8])
+    steps = np.zeros((n - 1, 8), np.uint8)
+    steps[:, :whole] = held[: ends[0]].reshape(n - 1, whole)
+    if left:
+        bits = np.unpackbits(held[ends[0] : ends[1]], count=(n - 1) * left).reshape(n - 1, left)
+        steps[:, whole] = np.packbits(bits, axis=1).ravel() >> (8 - left)
+    above = np.diff(np.flatnonzero(np.unpackbits(held[ends[1] :])), prepend=-1) - 1
+    out[1:] = steps.view("<u8").ravel() + (above.astype(np.uint64) << np.uint64(low))
     return np.cumsum(out, dtype=np.uint64)
 
 
@@ -348,7 +367,9 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, clashes: froze
     hubs = combos.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     sizes = combos.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r")).distinct()
     lists = combos.distinct().join(hubs.select("sig", "hub"), "sig").join(sizes, "hub").select("sig", "node", "n", "hub", "hub_n", "r", "hub_r")
-    return materialize(rare.unionByName(lists))
+    shared_ = materialize(rare.unionByName(lists))
+    discard(packed)
+    return shared_
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -176,6 +177,21 @@ def test_packed_values_round_trip():
     for values in ([], [5], [0, 0, 1], [3, 2**63, 2**64 - 1]):
         a = np.array(values, np.uint64)
         assert ngram_join._unpack_sorted(ngram_join._pack_sorted(a)).tolist() == values
+    rng = np.random.default_rng(7)
+    for bits in (1, 7, 8, 17, 48, 64):
+        for n in (2, 3, 9, 4000):
+            a = np.sort(rng.integers(0, 2**bits - 1, n, dtype=np.uint64, endpoint=True))
+            assert (ngram_join._unpack_sorted(ngram_join._pack_sorted(a)) == a).all()
+    even = np.sort(rng.integers(0, 2**48, 4000, dtype=np.uint64))
+    assert len(ngram_join._pack_sorted(even)) < 4000 * (48 - 12 + 3) / 8 + 17
+
+
+def test_discarded_tables_leave_the_shared_folder(spark):
+    kept, gone = common.materialize(spark.range(10)), common.materialize(spark.range(20))
+    folder = gone.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    common.discard(gone)
+    assert not os.path.exists(folder) and kept.count() == 10
 
 
 def test_word_hashes(monkeypatch):
