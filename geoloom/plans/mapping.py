@@ -316,13 +316,23 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "i14_segment_clip",
-    """WITH s AS (SELECT o_orderkey AS id, CAST(o_orderkey%1000 AS DOUBLE) AS ax, CAST(o_orderkey%777 AS DOUBLE) AS ay, CAST(o_custkey%900 AS DOUBLE) AS bx, CAST(o_custkey%650 AS DOUBLE) AS b_y FROM orders), p AS (SELECT id, ax, ay, bx-ax AS dx, b_y-ay AS dy FROM s WHERE ax<>bx AND ay<>b_y),
- k AS (SELECT *, greatest(0, least((200-ax)/dx,(600-ax)/dx), least((100-ay)/dy,(500-ay)/dy)) AS t0, least(1, greatest((200-ax)/dx,(600-ax)/dx), greatest((100-ay)/dy,(500-ay)/dy)) AS t1 FROM p)
+    """WITH s AS (SELECT o_orderkey AS id, CAST(o_orderkey%1000 AS DOUBLE) AS ax, CAST(o_orderkey%777 AS DOUBLE) AS ay, CAST(o_custkey%900 AS DOUBLE) AS bx, CAST(o_custkey%650 AS DOUBLE) AS b_y FROM orders
+ UNION ALL SELECT -o_orderkey, CAST(o_orderkey%1000 AS DOUBLE), CAST(o_orderkey%777 AS DOUBLE), CAST(CASE WHEN o_custkey%2=0 THEN o_orderkey%1000 ELSE o_custkey%900 END AS DOUBLE), CAST(CASE WHEN o_custkey%3<>1 THEN o_orderkey%777 ELSE o_custkey%650 END AS DOUBLE) FROM orders),
+ p AS (SELECT id, ax, ay, bx-ax AS dx, b_y-ay AS dy FROM s),
+ k AS (SELECT *, greatest(0, CASE WHEN dx<>0 THEN least((200-ax)/dx,(600-ax)/dx) ELSE 0 END, CASE WHEN dy<>0 THEN least((100-ay)/dy,(500-ay)/dy) ELSE 0 END) AS t0,
+  least(1, CASE WHEN dx<>0 THEN greatest((200-ax)/dx,(600-ax)/dx) ELSE 1 END, CASE WHEN dy<>0 THEN greatest((100-ay)/dy,(500-ay)/dy) ELSE 1 END) AS t1
+  FROM p WHERE (dx<>0 OR ax BETWEEN 200 AND 600) AND (dy<>0 OR ay BETWEEN 100 AND 500))
  SELECT id, round(ax+t0*dx,6) AS ax, round(ay+t0*dy,6) AS ay, round(ax+t1*dx,6) AS bx, round(ay+t1*dy,6) AS b_y FROM k WHERE t0<=t1""",
 )
 def _(t: Tables) -> DataFrame:
-    s = t.orders.selectExpr("o_orderkey AS id", "CAST(o_orderkey%1000 AS DOUBLE) AS ax", "CAST(o_orderkey%777 AS DOUBLE) AS ay", "CAST(o_custkey%900 AS DOUBLE) AS bx", "CAST(o_custkey%650 AS DOUBLE) AS by")
-    out = geometry.clip_segments(s.where("ax <> bx AND ay <> by"), (200.0, 100.0, 600.0, 500.0))
+    """A segment an order, and under its negative key one that may be upright, level or a point."""
+    start = ["CAST(o_orderkey%1000 AS DOUBLE) AS ax", "CAST(o_orderkey%777 AS DOUBLE) AS ay"]
+    s = t.orders.selectExpr("o_orderkey AS id", *start, "CAST(o_custkey%900 AS DOUBLE) AS bx", "CAST(o_custkey%650 AS DOUBLE) AS by")
+    straight = t.orders.selectExpr(
+        "-o_orderkey AS id", *start,
+        "CAST(IF(o_custkey%2=0, o_orderkey%1000, o_custkey%900) AS DOUBLE) AS bx", "CAST(IF(o_custkey%3<>1, o_orderkey%777, o_custkey%650) AS DOUBLE) AS by",
+    )
+    out = geometry.clip_segments(s.unionByName(straight), (200.0, 100.0, 600.0, 500.0))
     return out.select("id", *(F.round(c, 6).alias(n) for c, n in (("ax", "ax"), ("ay", "ay"), ("bx", "bx"), ("by", "b_y"))))
 
 
