@@ -112,6 +112,68 @@ def test_chained_roads(spark):
     assert sorted(sorted(r["road_ids"]) for r in g.chain_roads(df).collect()) == [[1, 2], [3]]
 
 
+def _reduced(points, epsilon, fixed=()):
+    """Indexes that Douglas-Peucker keeps, by recursion; `fixed` ones stay."""
+
+    def off(p, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        whole = dx * dx + dy * dy
+        k = min(max(((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / whole, 0), 1) if whole else 0
+        return math.hypot(p[0] - a[0] - k * dx, p[1] - a[1] - k * dy)
+
+    def between(a, b):
+        if b - a < 2:
+            return []
+        far, i = max((off(points[i], points[a], points[b]), -i) for i in range(a + 1, b))
+        return [*between(a, -i), -i, *between(-i, b)] if far >= epsilon else []
+
+    stops = sorted({0, len(points) - 1, *fixed})
+    return sorted({*stops, *(i for a, b in zip(stops[:-1], stops[1:], strict=True) for i in between(a, b))})
+
+
+def test_roads_keep_what_is_off_by_metres(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(30):
+        lats, lons = [48.0], [11.0]
+        for _ in range(rnd.randint(1, 40)):
+            lats.append(lats[-1] + rnd.uniform(-2e-4, 3e-4))
+            lons.append(lons[-1] + rnd.uniform(-2e-4, 4e-4))
+        rows.append((i, lats, lons, [rnd.random() < 0.1 for _ in lats]))
+    df = spark.createDataFrame(rows, "id long, lats array<double>, lons array<double>, fixed array<boolean>")
+    got = {r["id"]: r["kept"] for r in g.simplify_roads(df, 15.0).collect()}
+    metres = math.radians(1) * 6372800
+    for i, lats, lons, fixed in rows:
+        narrow = math.cos(math.radians(sum(lats) / len(lats)))
+        points = [(o * metres * narrow, a * metres) for a, o in zip(lats, lons, strict=True)]
+        assert got[i] == _reduced(points, 15.0, [k for k, f in enumerate(fixed) if f])
+    assert any(len(got[i]) < len(lats) for i, lats, _, _ in rows)
+
+
+def test_cycles_go_or_are_simplified(spark):
+    def ring(size):  # a circle of so many degrees across, closed
+        at = [2 * math.pi * k / 48 for k in range(48)]
+        lats, lons = [48 + size / 2 * math.sin(t) for t in at], [11 + size / 2 * math.cos(t) for t in at]
+        return lats + lats[:1], lons + lons[:1]
+
+    zoom, smoothness = 10, 2
+    sizes = [1e-5, 1e-4, 1e-3, 5e-3, 2e-2, 0.2, 3.0]
+    df = spark.createDataFrame([(i, *ring(s)) for i, s in enumerate(sizes)] + [(99, [48.0], [11.0])], "id long, lats array<double>, lons array<double>")
+    got = {r["id"]: r["kept"] for r in g.simplify_cycles(df, zoom, smoothness).collect()}
+    y_of = lambda lat: (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2
+    want = {}
+    for i, s in enumerate(sizes):
+        points = [((o + 180) / 360, y_of(a)) for a, o in zip(*ring(s), strict=True)]
+        spans = [[math.floor(p[k] * 2 ** (zoom + 1) * 256) for p in points] for k in (0, 1)]
+        w, h = (max(v) - min(v) for v in spans)
+        n = 2 ** (zoom + 8 + smoothness)
+        scaled = [(x * n, y * n) for x, y in points]
+        last = max((k for k, p in enumerate(scaled) if abs(p[0] - scaled[0][0]) + abs(p[1] - scaled[0][1]) >= 1e-3), default=0)
+        if last and not ((w <= 2 and h <= 4) or (w <= 4 and h <= 2)):
+            want[i] = [*_reduced(scaled[: last + 1], 3.0), 0]
+    assert got == want and 0 < len(want) < len(sizes)
+
+
 def test_close_points_go():
     assert g.skip_close_points(np.array([0.0, 50, 100]), np.array([0.0, 5, 0])) == [0, 2]
     assert g.skip_close_points(np.array([0.0, 50, 100]), np.array([0.0, 500, 0])) == [0, 1, 2]
