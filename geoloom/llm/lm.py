@@ -37,6 +37,7 @@ from .ngram_join import _pack_sorted, _split_by_range, _unpack_sorted
 
 CHUNK_BYTES = 6 << 20
 RANGE_BYTES = 16 << 20  # of text for each hash range of an order
+MOST_TASKS = 20_000  # of a shuffle; beyond that a task takes several ranges or chunks, one after the other
 LANE = 256
 GRAM_BITS = 54  # of an n-gram's key: 2 in 10^6 keys clash in a model of 10^11 n-grams
 END = np.uint64(0x51ED270B9A3C5F17)
@@ -287,6 +288,8 @@ def lm_score(
     requests = chunks.select("chunk", "train", *packed).mapInArrow(
         lean(request), "chunk long, kind int, range int, keys binary, counts binary, large binary"
     )
+    # as many tasks as ranges, later as chunks: what a task reads doesn't grow with the corpus
+    requests = requests.repartition(min(order * ranges, MOST_TASKS), "kind", "range")
     answers = requests.groupBy("kind", "range").applyInArrow(
         lean_group(answer), "chunk long, kind int, range int, counts binary, large binary, size int, n long, v long"
     )
@@ -319,8 +322,9 @@ def lm_score(
         release_memory()
         return out
 
-    scored = chunks.select("chunk", "ids", "train", *packed).groupBy("chunk").cogroup(
-        answers.select("chunk", "kind", "range", "counts", "large", "size").groupBy("chunk")
+    tasks = min(max(shuffle_partitions(spark), chunks.count()), MOST_TASKS)
+    scored = chunks.select("chunk", "ids", "train", *packed).repartition(tasks, "chunk").groupBy("chunk").cogroup(
+        answers.select("chunk", "kind", "range", "counts", "large", "size").repartition(tasks, "chunk").groupBy("chunk")
     ).applyInArrow(
         score,
         f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
