@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import tags
 from geoloom.functions.geo import EARTH_KM, distance_m, wrap_longitude
+from geoloom.operators.components import components
 from geoloom.session import cut_lineage
 
 
@@ -122,34 +123,6 @@ def name_search(index: DataFrame, text: str) -> DataFrame:
     return index.where(F.col("prefix") == folded[:4]).where(F.contains(word, F.lit(" " + folded))) if len(folded) >= 4 else index.where(F.col("prefix").startswith(folded))
 
 
-def _components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of the undirected links a, b; root is the component's smallest node.
-
-    Each round nodes point at the neighbour of the smallest hash, pointers are doubled, and the
-    graph is contracted along them. It loses a constant share of its nodes each time, so rounds
-    are logarithmic; if it doesn't settle this raises.
-    """
-    links = cut_lineage(links.select("a", "b").distinct())
-    mapping = cut_lineage(links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node")))
-    links = links.where("a <> b")
-    for _ in range(max_rounds):
-        if links.isEmpty():
-            break
-        both = links.union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("id"))).alias("m"))
-        own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("id"))
-        to = cut_lineage(least.select("a", F.least(own, "m")["id"].alias("to")))
-        for _ in range(2):
-            to = cut_lineage(to.join(to.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to")))
-        mapping = cut_lineage(mapping.join(to.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        ends = links.join(to.withColumnRenamed("to", "a_to"), "a").join(to.select(F.col("a").alias("b"), F.col("to").alias("b_to")), "b")
-        links = cut_lineage(ends.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b").distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    smallest = mapping.groupBy("root").agg(F.min("node").alias("least"))
-    return mapping.join(smallest, "root").select("node", F.col("least").alias("root"))
-
-
 def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
     """I12. (street_id, merged_id): streets of one city with one name (any case) whose vertices come
     within `max_m` of each other, transitively; merged_id is the smallest of them. Streets without
@@ -192,7 +165,7 @@ def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
     sure = F.hypot(span("lat"), span("lon") * wide) * k <= max_m * 0.999999
     pairs = cut_lineage(pairs.select("city_id", "name", "y", "x", "cy", "cx", F.col("rep").alias("a"), F.col("o_rep").alias("b"), sure.alias("sure")))
     links = cut_lineage(own.union(pairs.where("sure").select("a", "b")).distinct())
-    roots = cut_lineage(_components(links))
+    roots = cut_lineage(components(links))
 
     open_ = pairs.where("not sure").join(roots.toDF("a", "a_root"), "a").join(roots.toDF("b", "b_root"), "b").where("a_root <> b_root")
     spots = points.select(*keys, "lat", "lon").distinct()
@@ -200,7 +173,7 @@ def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
     met = met.join(spots.withColumnsRenamed({"lat": "o_lat", "lon": "o_lon"}), keys)
     met = met.where(distance_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) <= max_m)
     more = cut_lineage(met.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
-    merged = roots.join(_components(more).toDF("root", "merged"), "root", "left").select(F.col("node").alias("street_id"), F.coalesce("merged", "root").alias("merged_id"))
+    merged = roots.join(components(more).toDF("root", "merged"), "root", "left").select(F.col("node").alias("street_id"), F.coalesce("merged", "root").alias("merged_id"))
     return vertices.select("street_id").distinct().join(merged, "street_id", "left").select("street_id", F.coalesce("merged_id", "street_id").alias("merged_id"))
 
 

@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators.components import components, dealt
+from geoloom.session import cut_lineage
+
 MERCATOR_LIMIT = 85.0511
 
 
@@ -85,18 +88,19 @@ def simplified_points(lat: np.ndarray, lon: np.ndarray, zoom: int, epsilon: floa
     return out
 
 
-def simplify_lines(lines: DataFrame, zoom: int, epsilon: float = 3.0, guard: bool = False) -> DataFrame:
-    """I1. (id, kept array<int>) of lines (id, lats, lons)."""
+def simplify_lines(lines: DataFrame, zoom: int, epsilon: float = 3.0, guard: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """I1. (id, kept array<int>) of lines (id, lats, lons), and the columns `keep`."""
 
     @F.pandas_udf("array<int>")
     def run(lats: pd.Series, lons: pd.Series) -> pd.Series:
         return pd.Series([simplified_points(np.asarray(a, float), np.asarray(o, float), zoom, epsilon, guard) for a, o in zip(lats, lons, strict=True)])
 
-    return lines.select("id", run("lats", "lons").alias("kept"))
+    return lines.select("id", run("lats", "lons").alias("kept"), *keep)
 
 
-def simplify_cycles(rings: DataFrame, zoom: int, smoothness: int = 2) -> DataFrame:
-    """I2. (id, kept) of closed ways that aren't too small at the zoom; none with under two points."""
+def simplify_cycles(rings: DataFrame, zoom: int, smoothness: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """I2. (id, kept) of closed ways that aren't too small at the zoom, and the columns `keep`; none with
+    under two points."""
 
     @F.pandas_udf("array<int>")
     def run(lats: pd.Series, lons: pd.Series) -> pd.Series:
@@ -110,7 +114,7 @@ def simplify_cycles(rings: DataFrame, zoom: int, smoothness: int = 2) -> DataFra
             out.append(kept if len(kept) >= 2 else [])
         return pd.Series(out)
 
-    return rings.select("id", run("lats", "lons").alias("kept")).where(F.size("kept") > 0)
+    return rings.select("id", run("lats", "lons").alias("kept"), *keep).where(F.size("kept") > 0)
 
 
 def simplify_roads(lines: DataFrame, epsilon_m: float = 15.0) -> DataFrame:
@@ -257,86 +261,126 @@ def merge_lines(lines: DataFrame) -> DataFrame:
 
     From the first unvisited line by id, backwards then forwards, by the smallest fitting line. A
     name that differs is cleared. A chain goes on until nothing fits. lines: id, level, types (array),
-    name, node_ids.
+    name, node_ids. Lines without nodes go.
+
+    A walk never leaves the lines that hang together through nodes where one ends and another begins,
+    so only these are brought together; a line that nothing fits is a chain by itself.
     """
+    lines = cut_lineage(lines.where(F.size("node_ids") > 0))
+    line = F.struct("level", "id")
+    ends = F.array(F.struct(F.element_at("node_ids", 1).alias("node"), F.lit(True).alias("begins")), F.struct(F.element_at("node_ids", -1).alias("node"), F.lit(False).alias("begins")))
+    ends = lines.select("level", "types", line.alias("line"), F.explode(ends).alias("end")).select("level", "types", "line", "end.*")
+    met = ends.groupBy("level", "types", "node").agg(F.min("line").alias("b"), F.bool_or("begins").alias("one"), F.bool_or(~F.col("begins")).alias("two"))
+    links = ends.join(met.where("one AND two").drop("one", "two"), ["level", "types", "node"]).select(F.col("line").alias("a"), "b")
+    roots = components(links)
+    grouped = roots.join(roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "root")
+    placed = cut_lineage(lines.withColumn("line", line).join(grouped.withColumnRenamed("node", "line"), "line", "left"))
+    alone = placed.where("root IS NULL").select("level", "types", F.array("id").alias("line_ids"), "node_ids", "name")
+    several = placed.where("root IS NOT NULL")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
+        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
         starts, ends = defaultdict(list), defaultdict(list)
         nodes = [list(n) for n in pdf["node_ids"]]
+        kinds = [(level, tuple(types)) for level, types in zip(pdf["level"], pdf["types"], strict=True)]
         for i, n in enumerate(nodes):
-            starts[n[0]].append(i)
-            ends[n[-1]].append(i)
+            starts[kinds[i], n[0]].append(i)
+            ends[kinds[i], n[-1]].append(i)
+        names = pdf["name"].tolist()
         seen = [False] * len(nodes)
+        at: dict[tuple, int] = {}
         out = []
+
+        def take(side: str, options: dict, key: tuple) -> int | None:
+            met, k = options.get(key, []), at.get((side, *key), 0)
+            while k < len(met) and seen[met[k]]:
+                k += 1
+            at[(side, *key)] = k  # those before are all visited
+            if k == len(met):
+                return None
+            seen[met[k]] = True
+            return met[k]
+
         for i in range(len(nodes)):
             if seen[i]:
                 continue
             seen[i] = True
-            chain, first, last, name = deque([i]), nodes[i][0], nodes[i][-1], pdf["name"].iloc[i]
-
-            def take(options: list[int]) -> int | None:
-                j = next((j for j in options if not seen[j]), None)  # noqa: B023
-                if j is not None:
-                    seen[j] = True  # noqa: B023
-                return j
-
-            while (j := take(ends[first])) is not None:
+            chain, first, last, name = deque([i]), nodes[i][0], nodes[i][-1], names[i]
+            while (j := take("end", ends, (kinds[i], first))) is not None:
                 first = nodes[j][0]
                 chain.appendleft(j)
-                name = name if pdf["name"].iloc[j] == name else None
-            while (j := take(starts[last])) is not None:
+                name = name if names[j] == name else None
+            while (j := take("start", starts, (kinds[i], last))) is not None:
                 last = nodes[j][-1]
                 chain.append(j)
-                name = name if pdf["name"].iloc[j] == name else None
+                name = name if names[j] == name else None
             path = nodes[chain[0]] + [n for c in list(chain)[1:] for n in nodes[c][1:]]
-            out.append((int(pdf["level"].iloc[0]), [int(t) for t in pdf["types"].iloc[0]], [int(pdf["id"].iloc[c]) for c in chain], path, name))
+            out.append((int(kinds[i][0]), [int(t) for t in kinds[i][1]], [int(pdf["id"].iloc[c]) for c in chain], path, name))
         return pd.DataFrame(out, columns=["level", "types", "line_ids", "node_ids", "name"])
 
     schema = "level int, types array<int>, line_ids array<long>, node_ids array<long>, name string"
-    return lines.groupBy("level", F.array_join(F.col("types").cast("array<string>"), ",")).applyInPandas(run, schema)
+    chained = several.select(dealt(several.count(), "root").alias("group"), "level", "types", "id", "name", "node_ids")
+    return alone.unionByName(chained.groupBy("group").applyInPandas(run, schema))
 
 
 def chain_roads(roads: DataFrame, most_degrees: float = 90.0) -> DataFrame:
     """I11. (chain, road_ids): roads of one class, ref and name continued at their ends by the road of
     the smallest turning angle below `most_degrees`; pairs take each other only if both prefer it.
-    roads: id, class, ref, name, node_ids, lats, lons."""
+    roads: id, class, ref, name, node_ids, lats, lons. Roads of under two points are chains by themselves.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        ends: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
-        for i, r in enumerate(pdf.itertuples()):
-            a, o = np.asarray(r.lats, float), np.asarray(r.lons, float)
-            if len(a) < 2:
+    Ends choose among those at their node, so nodes are dealt into groups; the pairs make chains,
+    which are walked in groups of whole chains.
+    """
+    roads = cut_lineage(roads.select("id", "class", "ref", "name", "node_ids", "lats", "lons"))
+    point = lambda c, i: F.element_at(c, i)
+    side = lambda n, p, q: F.struct(
+        F.lit(n).alias("side"), point("node_ids", p).alias("node"), F.atan2(point("lats", q) - point("lats", p), point("lons", q) - point("lons", p)).alias("angle")
+    )
+    both = roads.where((F.size("node_ids") > 1) & (F.size("lats") > 1))
+    ends = both.select("id", "class", F.coalesce("ref", F.lit("")).alias("ref"), F.coalesce("name", F.lit("")).alias("name"), F.explode(F.array(side(0, 1, 2), side(1, -1, -2))).alias("e"))
+    ends = ends.select("id", F.xxhash64("class", "ref", "name", "e.node").alias("junction"), "class", "ref", "name", "e.*")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, met in pdf.groupby(["class", "ref", "name", "node"], dropna=False):
+            if len(met) < 2:
                 continue
-            for side, (p, q) in enumerate(((0, 1), (-1, -2))):
-                ends[r.node_ids[p]].append((i, side, math.atan2(a[q] - a[p], o[q] - o[p])))
-        best: dict[tuple[int, int], tuple[float, tuple[int, int]]] = {}
-        for met in ends.values():
-            for i, s, u in met:
-                for j, t, v in met:
-                    if i != j:
-                        turn = abs(math.degrees(math.pi - abs((u - v + math.pi) % (2 * math.pi) - math.pi)))
-                        if turn < most_degrees and (turn, (j, t)) < best.get((i, s), (most_degrees, (1 << 60, 0))):
-                            best[i, s] = (turn, (j, t))
-        link = {k: v[1] for k, v in best.items() if best.get(v[1], (0, None))[1] == k}
+            met = met.sort_values(["id", "side"])
+            ids, sides, angles = met["id"].to_numpy(), met["side"].to_numpy(), met["angle"].to_numpy()
+            best = np.full(len(met), -1)
+            for i in range(len(met)):
+                turn = np.abs(np.degrees(np.pi - np.abs((angles[i] - angles + np.pi) % (2 * np.pi) - np.pi)))
+                turn[ids == ids[i]] = np.inf
+                if turn.min() < most_degrees:
+                    best[i] = int(turn.argmin())
+            out += [(ids[i], sides[i], ids[j], sides[j]) for i, j in enumerate(best) if j >= 0 and best[j] == i]
+        return pd.DataFrame(out, columns=["a", "a_side", "b", "b_side"])
+
+    group = dealt(2 * roads.count(), "junction")
+    links = cut_lineage(ends.groupBy(group.alias("group")).applyInPandas(choose, "a long, a_side int, b long, b_side int"))
+    roots = components(links)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        link = {(r.a, r.a_side): (r.b, r.b_side) for r in pdf.itertuples()}
         seen, out = set(), []
-        for i in range(len(pdf)):
+        for i in sorted(set(pdf["a"])):
             if i in seen:
                 continue
-            chain, seen_here = [i], {i}
+            chain, seen_here = deque([i]), {i}
             for side in (0, 1):
                 at, s = i, side
                 while (nxt := link.get((at, s))) and nxt[0] not in seen_here:
                     at, s = nxt[0], 1 - nxt[1]
                     seen_here.add(at)
-                    chain = [at, *chain] if side == 0 else [*chain, at]
+                    chain.appendleft(at) if side == 0 else chain.append(at)
             seen |= seen_here
-            out.append((int(pdf["id"].iloc[min(chain)]), [int(pdf["id"].iloc[c]) for c in chain]))
+            out.append((int(min(chain)), [int(c) for c in chain]))
         return pd.DataFrame(out, columns=["chain", "road_ids"])
 
-    key = [F.col("class"), F.coalesce("ref", F.lit("")), F.coalesce("name", F.lit(""))]
-    return roads.groupBy(*(k.alias(f"k{i}") for i, k in enumerate(key))).applyInPandas(run, "chain long, road_ids array<long>")
+    rooted = links.join(roots.select(F.col("node").alias("a"), "root"), "a")
+    walked = rooted.groupBy(dealt(links.count(), "root").alias("group")).applyInPandas(walk, "chain long, road_ids array<long>")
+    alone = roads.select("id").distinct().join(links.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+    return walked.unionByName(alone.select(F.col("id").alias("chain"), F.array("id").alias("road_ids")))
 
 
 def clip_segment(ax: float, ay: float, bx: float, by: float, box: tuple[float, float, float, float]) -> tuple[float, float, float, float] | None:
@@ -529,21 +573,26 @@ def place_labels(labels: DataFrame, max_scale: float = 2.0, padding: float = 1.0
     ones before it, by tile and in order of priority; those that need more than `max_scale` go.
 
     At scale s anchors are s times as far apart while boxes keep their size.
+
+    Null positions and sizes go. Labels are compared with those in the cells around theirs; a cell is
+    as large as two labels of the tile can be apart and still touch.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["prio", "id"])
-        kept: list[tuple] = []
+        pdf = pdf.dropna(subset=["x", "y", "w", "h"]).sort_values(["prio", "id"])
+        across, down = max(pdf["w"].max() + padding, 1e-6), max(pdf["h"].max() + padding, 1e-6)
+        kept: dict[tuple[int, int], list[tuple]] = defaultdict(list)
         out = []
         for r in pdf.itertuples():
-            scale = 1.0
-            for x, y, w, h, s in kept:
-                dx, dy = abs(r.x - x), abs(r.y - y)
-                apart_x = ((r.w + w) / 2 + padding) / dx if dx else math.inf
-                apart_y = ((r.h + h) / 2 + padding) / dy if dy else math.inf
-                scale = max(scale, min(apart_x, apart_y))
+            scale, cx, cy = 1.0, math.floor(r.x / across), math.floor(r.y / down)
+            for cell in [(cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                for x, y, w, h in kept.get(cell, ()):
+                    dx, dy = abs(r.x - x), abs(r.y - y)
+                    apart_x = ((r.w + w) / 2 + padding) / dx if dx else math.inf
+                    apart_y = ((r.h + h) / 2 + padding) / dy if dy else math.inf
+                    scale = max(scale, min(apart_x, apart_y))
             if scale <= max_scale:
-                kept.append((r.x, r.y, r.w, r.h, scale))
+                kept[cx, cy].append((r.x, r.y, r.w, r.h))
                 out.append((r.tile, r.id, scale))
         return pd.DataFrame(out, columns=["tile", "id", "scale"])
 
