@@ -271,12 +271,10 @@ def merge_lines(lines: DataFrame) -> DataFrame:
     ends = F.array(F.struct(F.element_at("node_ids", 1).alias("node"), F.lit(True).alias("begins")), F.struct(F.element_at("node_ids", -1).alias("node"), F.lit(False).alias("begins")))
     ends = lines.select("level", "types", line.alias("line"), F.explode(ends).alias("end")).select("level", "types", "line", "end.*")
     met = ends.groupBy("level", "types", "node").agg(F.min("line").alias("b"), F.bool_or("begins").alias("one"), F.bool_or(~F.col("begins")).alias("two"))
-    links = ends.join(met.where("one AND two").drop("one", "two"), ["level", "types", "node"]).select(F.col("line").alias("a"), "b")
-    roots = components(links)
-    grouped = roots.join(roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "root")
-    placed = cut_lineage(lines.withColumn("line", line).join(grouped.withColumnRenamed("node", "line"), "line", "left"))
-    alone = placed.where("root IS NULL").select("level", "types", F.array("id").alias("line_ids"), "node_ids", "name")
-    several = placed.where("root IS NOT NULL")
+    links = ends.join(met.where("one AND two").drop("one", "two"), ["level", "types", "node"]).select(F.col("line").alias("a"), "b").where("a <> b")
+    roots = components(links).select(F.col("node.level").alias("level"), F.col("node.id").alias("id"), "root")
+    alone = lines.join(roots, ["level", "id"], "left_anti").select("level", "types", F.array("id").alias("line_ids"), "node_ids", "name")
+    several = lines.join(roots, ["level", "id"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
@@ -319,7 +317,7 @@ def merge_lines(lines: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["level", "types", "line_ids", "node_ids", "name"])
 
     schema = "level int, types array<int>, line_ids array<long>, node_ids array<long>, name string"
-    chained = several.select(dealt(several.count(), "root").alias("group"), "level", "types", "id", "name", "node_ids")
+    chained = several.select(dealt(roots.count(), "root").alias("group"), "level", "types", "id", "name", "node_ids")
     return alone.unionByName(chained.groupBy("group").applyInPandas(run, schema))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import geometry, mapobj, roads, rules, shapes, style
+from geoloom.operators import generalise, geometry, mapobj, roads, rules, shapes, style
 from geoloom.session import shared_folder
 
 from .registry import Tables, query
@@ -419,6 +419,16 @@ def _(t: Tables) -> DataFrame:
     return found.join(_placed(t).select("id"), "id")
 
 
+@query("i4_generalised_levels")
+def _(t: Tables) -> DataFrame:
+    """Every level's objects with their geometry; every third way is closed."""
+    v = F.struct("ord", "node_id", "lat", "lon")
+    pts = t.osm_way_node.join(t.osm_node.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id").groupBy(F.col("way_id").alias("id")).agg(F.array_sort(F.collect_list(v)).alias("p"))
+    again = F.when((F.col("id") % 3 == 0) & (F.size("p") > 2), F.slice("p", 1, 1)).otherwise(F.slice("p", 1, 0))
+    shapes = pts.select("id", F.concat("p", again).alias("p")).select("id", F.col("p.node_id").alias("node_ids"), F.col("p.lat").alias("lats"), F.col("p.lon").alias("lons"))
+    return generalise.generalise(_ways(t), shapes, t.osm_node.select("id", "lat", "lon"), _rules(t))
+
+
 @query("c24_line_merging")
 def _(t: Tables) -> DataFrame:
     lines = t.osm_way_node.groupBy(F.col("way_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "node_id")))["node_id"].alias("node_ids"))
