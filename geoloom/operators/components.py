@@ -29,8 +29,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("id"))).alias("m"))
         own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("id"))
         to = cut_lineage(least.select("a", F.least(own, "m")["id"].alias("to")))
-        twice = to.join(to.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to"))
-        to = cut_lineage(twice.join(twice.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to")))
+        for _ in range(2):
+            to = cut_lineage(to.join(to.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to")))
         mapping = cut_lineage(mapping.join(to.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         ends = links.join(to.withColumnRenamed("to", "a_to"), "a").join(to.select(F.col("a").alias("b"), F.col("to").alias("b_to")), "b")
         links = cut_lineage(ends.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b").distinct())
