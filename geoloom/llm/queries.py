@@ -10,7 +10,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, lm, mixing, ngram_join, quality, sharding, toxicity, url_filter
+from . import bpe, embed_dedup, exact_dedup, lm, mixing, ngram_join, quality, sharding, tokencount, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @cache
 def vocabulary() -> str:
-    """The public vocabulary file that op9 is stated for; it isn't part of this repository."""
+    """The public vocabulary file that op9 and op13 are stated for; it isn't part of this repository."""
     import public_tokenizers
 
     return str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -73,6 +73,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary(), limit=512)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op13_token_counts": op13_token_counts,
     "pipeline": pipeline,
 }
 
