@@ -10,7 +10,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, lm, mixing, ngram_join, quality, sharding, tokencount, toxicity, url_filter
+from . import bpe, embed_dedup, exact_dedup, lm, mixing, ngram_join, quality, sharding, spelling, tokencount, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), least=7, least_count=2, delete_every=31, times=10)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary(), limit=512)
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op12_spelling_groups": op12_spelling_groups,
     "op13_token_counts": op13_token_counts,
     "pipeline": pipeline,
 }
