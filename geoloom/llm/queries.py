@@ -10,7 +10,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, lm, mixing, ngram_join, quality, sharding, spelling, tokencount, toxicity, url_filter
+from . import bpe, centroids, embed_dedup, exact_dedup, lm, mixing, ngram_join, quality, sharding, spelling, tokencount, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, size=64, scale=256, seed="2")
+
+
 def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"), least=7, least_count=2, delete_every=31, times=10)
 
@@ -96,13 +100,40 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "op12_spelling_groups": op12_spelling_groups,
     "op13_token_counts": op13_token_counts,
     "pipeline": pipeline,
 }
 
+
+
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """op11 in SQL: distances from inner products, the number of the nearest centroid in the last digits."""
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM v ORDER BY c LIMIT {k})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""a{n} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v.x) AS x,
+  min(CAST(list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x) AS BIGINT) * 64 + c) AS m FROM v, c{n} AS c GROUP BY r)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""c{n + 1} AS MATERIALIZED (SELECT c.c, coalesce(g.x, c.x) AS x FROM c{n} AS c LEFT JOIN (SELECT c, list(t ORDER BY i) AS x FROM
+  (SELECT m % 64 AS c, i, floor(sum(x[i]) / count(*)) AS t FROM a{n}, (SELECT unnest(range(1, 65)) AS i) GROUP BY m % 64, i) GROUP BY c) AS g ON c.c = g.c)"""
+            )
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(m % 64 AS INTEGER) AS cluster, m // 64 AS distance, CAST(sum(m // 64) OVER (PARTITION BY m % 64) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m // 64) OVER () AS BIGINT) AS inertia, sha256(array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) FOR x IN c.x], ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS c ON m % 64 = c.c"""
+
+
 #: DuckDB SQL; what is missing here is tested against brute force, a round trip or held-out labels.
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": _clustering_sql(),
     "op3_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')) AS h FROM documents),
 g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY h)
