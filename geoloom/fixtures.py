@@ -29,6 +29,10 @@ VIEWS: dict[str, str] = {
     "address": """SELECT c_custkey AS id, CASE WHEN c_custkey%17=0 THEN concat(CAST(c_custkey%200+1 AS VARCHAR(10)),'/',CAST(c_custkey%30+1 AS VARCHAR(10))) WHEN c_custkey%13=0 THEN concat(CAST(c_custkey%200+1 AS VARCHAR(10)),'-',CAST(c_custkey%200+9 AS VARCHAR(10))) ELSE CAST(c_custkey%200+1 AS VARCHAR(10)) END AS housenumber,
  concat('Street ', CAST(c_custkey%50 AS VARCHAR(10))) AS street, concat('p', CAST(10000+c_nationkey AS VARCHAR(10))) AS postcode, 4e1+CAST((c_custkey*7919)%20000 AS DOUBLE)/1e5 AS lat, -5e0+CAST((c_custkey*104729)%20000 AS DOUBLE)/1e5 AS lon FROM customer""",
     "poi": """SELECT event_id AS id, event_type AS category, concat(event_type,'_',CAST(user_id%7 AS VARCHAR(10))) AS subtype, 4e1+CAST((event_id*7919)%20000 AS DOUBLE)/1e5 AS lat, -5e0+CAST((event_id*104729)%20000 AS DOUBLE)/1e5 AS lon, value FROM events""",
+    # a dented square around every place, and a hole in it; 24 points each
+    "outline": """SELECT s_suppkey AS place_id, role, k, 4e1 + CAST((s_suppkey*6007)%20000 + CASE CAST(FLOOR(k/6) AS BIGINT) WHEN 0 THEN -r + (s_suppkey*31+k*17)%j WHEN 1 THEN -r + (k%6)*s WHEN 2 THEN r - (s_suppkey*31+k*17)%j ELSE r - (k%6)*s END AS DOUBLE)/1e5 AS lat,
+ -5e0 + CAST((s_suppkey*9001)%20000 + CASE CAST(FLOOR(k/6) AS BIGINT) WHEN 0 THEN -r + (k%6)*s WHEN 1 THEN r - (s_suppkey*31+k*17)%j WHEN 2 THEN r - (k%6)*s ELSE -r + (s_suppkey*31+k*17)%j END AS DOUBLE)/1e5 AS lon
+ FROM supplier, (SELECT n_nationkey AS k FROM nation WHERE n_nationkey<24) ks, (SELECT 'outer' AS role, 1500 AS r, 500 AS s, 300 AS j UNION ALL SELECT 'inner' AS role, 600 AS r, 200 AS s, 120 AS j) rs""",
 }
 
 

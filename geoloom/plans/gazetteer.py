@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.geo import distance_m
-from geoloom.operators import address, places, poi
+from geoloom.operators import address, containment, places, poi
 
 from .registry import Tables, query
 from .staging import HAVERSINE
@@ -117,6 +117,31 @@ def _(t: Tables) -> DataFrame:
     return places.points_in_polygons(t.place.select("id", "lat", "lon"), rings).select("id", "b_id")
 
 
+def outline_rings(t: Tables) -> DataFrame:
+    """The outlines of all places as relations: rings cut into four ways, every second one backwards."""
+    k, base = F.col("k"), F.col("place_id") * 100 + F.when(F.col("role") == "inner", 50).otherwise(0)
+    nodes = t.outline.select((base + k).alias("id"), "lat", "lon")
+    part = t.outline.where("k % 6 = 0").withColumn("ids", F.transform(F.sequence(k, k + 6), lambda v: base + v % 24))
+    ways = part.select(
+        F.col("place_id").alias("rel_id"), "role", F.pmod(k * 7, F.lit(4)).cast("int").alias("ord"),
+        F.when(k % 12 == 6, F.reverse("ids")).otherwise(F.col("ids")).alias("node_ids"),
+    )
+    return containment.boundary_rings(ways, nodes)
+
+
+OUTLINE_EDGES = """e AS (SELECT place_id, role, lat AS ay, lon AS ax, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS bty, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS bx FROM outline WINDOW w AS (PARTITION BY place_id, role ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+IN_OUTLINE = """SELECT p.id, e.place_id, e.role FROM {points} p JOIN e ON (e.ay > p.lat) <> (e.bty > p.lat) AND p.lon < e.ax + (p.lat - e.ay) * (e.bx - e.ax) / (e.bty - e.ay) GROUP BY p.id, e.place_id, e.role HAVING count(*) % 2 = 1"""
+
+
+@query(
+    "c8_points_in_rings",
+    f"WITH {OUTLINE_EDGES}, i AS ({IN_OUTLINE.format(points='poi')}) SELECT id, place_id AS b_id FROM i WHERE role = 'outer' AND (id, place_id) NOT IN (SELECT (id, place_id) FROM i WHERE role = 'inner')",
+)
+def _(t: Tables) -> DataFrame:
+    """All points against outlines of several ways with holes, from I5's rings."""
+    return containment.points_in_rings(t.poi, outline_rings(t)).select("id", "b_id")
+
+
 @query("c8_points_per_boundary", f"SELECT b.id AS b_id, COUNT(*) AS n FROM boundary b JOIN poi p ON {IN_BOX} GROUP BY b.id")
 def _(t: Tables) -> DataFrame:
     return places.points_in_boxes(t.poi.select("id", "lat", "lon"), t.boundary).groupBy("b_id").agg(F.count("*").alias("n"))
@@ -184,7 +209,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("c11_nearest_city", f"WITH {NEAR}, d AS (SELECT p_id, o_id, {CAND_DIST} AS m FROM c) SELECT p_id, arg_min(o_id, m) AS o_id, round(min(m), 3) AS m FROM d GROUP BY p_id")
 def _(t: Tables) -> DataFrame:
-    return places.nearest(_candidates(t)).select("p_id", "o_id", F.round("m", 3).alias("m"))
+    return places.nearest_object(t.address, _cities(t)).select("p_id", "o_id", F.round("m", 3).alias("m"))
 
 
 RADIUS = "CASE kind WHEN 'CITY' THEN 10000e0 WHEN 'TOWN' THEN 5000e0 WHEN 'VILLAGE' THEN 1300e0 WHEN 'HAMLET' THEN 1000e0 ELSE 400e0 END"
@@ -224,9 +249,9 @@ def _(t: Tables) -> DataFrame:
     return places.city_parts(points, sub, own, t.boundary.select(F.col("id").alias("b_id"), F.col("name").alias("b_name")))
 
 
-@query("c14_suburb_in_city", f"WITH {PLACES}, s AS (SELECT id, lower(concat('x, ', c_name)) AS is_in FROM (SELECT a.id, p.name AS c_name FROM address a JOIN place p ON p.id=a.id%100) q) SELECT DISTINCT s.id AS suburb_id, p.id AS city_id FROM s JOIN pl p ON contains(s.is_in, lower(p.name))")
+@query("c14_suburb_in_city", f"WITH {PLACES}, s AS (SELECT id, lower(concat('x, ', c_name)) AS is_in FROM (SELECT a.id, p.name AS c_name FROM address a JOIN place p ON p.id=a.id%(SELECT count(*) FROM place)) q) SELECT DISTINCT s.id AS suburb_id, p.id AS city_id FROM s JOIN pl p ON contains(s.is_in, lower(p.name))")
 def _(t: Tables) -> DataFrame:
-    named = t.address.join(t.place.select(F.col("id").alias("k"), F.col("name").alias("c_name")), F.col("k") == F.col("id") % 100)
+    named = t.address.join(t.place.select(F.col("id").alias("k"), F.col("name").alias("c_name")), F.col("k") == F.col("id") % t.place.count())
     return places.suburbs_of_cities(named.select("id", F.concat(F.lit("X, "), "c_name").alias("is_in")), _cities(t))
 
 
