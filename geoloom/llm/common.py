@@ -83,6 +83,14 @@ def lean_group(function: Callable[[pa.Table], pa.Table]):
     return run
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """`stem`, or with underscores behind it a name that no column of `df` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def without_rows(docs: DataFrame, id_col: str, key: Column, drop: DataFrame, twice: DataFrame) -> DataFrame:
     """`docs` without the rows in `drop`, and with one of the rows that `twice` names.
 
@@ -94,8 +102,9 @@ def without_rows(docs: DataFrame, id_col: str, key: Column, drop: DataFrame, twi
     once = docs.join(drop.alias("drop"), same("drop"), "left_anti")
     if twice.isEmpty():
         return once
-    few = docs.join(twice.alias("few"), same("few"), "left_semi").withColumn("__key", key)
-    few = few.dropDuplicates([id_col, "__key"]).drop("__key")
+    own = free_name(docs, "__key")
+    few = docs.join(twice.alias("few"), same("few"), "left_semi").withColumn(own, key)
+    few = few.dropDuplicates([id_col, own]).drop(own)
     return once.join(twice.alias("few"), same("few"), "left_anti").unionByName(few)
 
 

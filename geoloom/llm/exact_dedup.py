@@ -15,6 +15,7 @@ key, which is how rows of `withdrawn` texts leave the index.
 from __future__ import annotations
 
 import hashlib
+import math
 import string
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from . import texthash
 from .common import lean, materialize, shuffle_partitions, without_rows
 
+SHARD_ROWS = 500_000  # rows of an index that one task merges, on average
+MOST_TASKS = 20_000
 SLOTS = 4
 KICKS = 64
 
@@ -132,39 +135,41 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "digest"])
 
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(lean(digest), "id long, digest binary")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return docs.mapInArrow(lean(digest), f"id {docs.schema['id'].dataType.simpleString()}, digest binary")
 
 
 def _groups(rows: DataFrame, withdrawn: DataFrame | None) -> DataFrame:
     """(digest, keep_id, group_size) of the live texts."""
-    shards = 4 * shuffle_partitions(rows.sparkSession)
+    shards = max(4 * shuffle_partitions(rows.sparkSession), math.ceil(rows.count() / SHARD_ROWS))
+    id_type = rows.schema["id"].dataType.simpleString()
 
-    def fold(index: CuckooIndex, digest: bytes, keep: int | None, size: int) -> None:
+    def fold(index: CuckooIndex, digest: bytes, keep: object, size: int) -> None:
         old = index.get(digest)
         if old is not None:
             keep, size = max((x for x in (keep, old[0]) if x is not None), default=None), size + old[1]
         index.put(digest, (keep, size))
 
-    def emit(index: CuckooIndex) -> list[pa.Array]:
+    def emit(index: CuckooIndex, ids: pa.DataType) -> list[pa.Array]:
         items = list(index.items())
         return [
             pa.array([d for d, _ in items], pa.binary()),
-            pa.array([v[0] for _, v in items], pa.int64()),
+            pa.array([v[0] for _, v in items], ids),
             pa.array([v[1] for _, v in items], pa.int64()),
         ]
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One entry for each digest; the index is sent on whenever it holds 200,000."""
-        index = CuckooIndex()
+        index, ids = CuckooIndex(), pa.null()
         for batch in batches:
+            ids = batch.column(0).type
             for i, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fold(index, d, i, 1)
             if len(index) >= 200_000:
-                yield pa.RecordBatch.from_arrays(emit(index), ["digest", "keep_id", "group_size"])
+                yield pa.RecordBatch.from_arrays(emit(index, ids), ["digest", "keep_id", "group_size"])
                 index = CuckooIndex()
         if len(index):
-            yield pa.RecordBatch.from_arrays(emit(index), ["digest", "keep_id", "group_size"])
+            yield pa.RecordBatch.from_arrays(emit(index, ids), ["digest", "keep_id", "group_size"])
 
     def merge(table: pa.Table) -> pa.Table:
         index = CuckooIndex(table.num_rows // 2 + 1)
@@ -176,15 +181,16 @@ def _groups(rows: DataFrame, withdrawn: DataFrame | None) -> DataFrame:
                 gone.append(d)
         for d in gone:
             index.delete(d)
-        return pa.table(emit(index), ["digest", "keep_id", "group_size"])
+        return pa.table(emit(index, table.column("keep_id").type), ["digest", "keep_id", "group_size"])
 
-    entries = rows.mapInArrow(lean(combine), "digest binary, keep_id long, group_size long")
+    entries = rows.mapInArrow(lean(combine), f"digest binary, keep_id {id_type}, group_size long")
     if withdrawn is not None:
         entries = entries.unionByName(
-            withdrawn.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"))
+            withdrawn.select("digest", F.lit(None).cast(id_type).alias("keep_id"), F.lit(0).cast("long").alias("group_size"))
         )
     shard = F.conv(F.hex(F.substring("digest", 29, 4)), 16, 10).cast("long") % shards
-    return entries.groupBy(shard.alias("shard")).applyInArrow(merge, "digest binary, keep_id long, group_size long")
+    dealt = entries.withColumn("shard", shard).repartition(min(shards, MOST_TASKS), "shard")
+    return dealt.groupBy("shard").applyInArrow(merge, f"digest binary, keep_id {id_type}, group_size long")
 
 
 def exact_dedup(
@@ -192,7 +198,7 @@ def exact_dedup(
 ) -> DataFrame:
     """(<id_col>, keep_id, group_size, kept, text_sha256), one row per input row.
 
-    Of equal texts the row with the largest id stays. Null, like empty, texts equal each other.
+    Of equal texts the row with the largest id stays; ids may be of any type that has an order. Null, like empty, texts equal each other.
     Rows with a null id stay only if no row of the group has an id (keep_id is then null and
     each of them is kept). Rows that repeat both text and the largest id are all kept = true:
     they are the same row to this operator. Other columns are not read. `withdrawn` (the same

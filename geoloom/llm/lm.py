@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import texthash
 from .common import lean, lean_group, materialize, release_memory, shuffle_partitions
-from .ngram_join import _pack_sorted, _split_by_range, _unpack_sorted
+from .ngram_join import _by_range, _pack_sorted, _unpack_sorted
 
 CHUNK_BYTES = 6 << 20
 RANGE_BYTES = 16 << 20  # of text for each hash range of an order
@@ -248,11 +248,9 @@ def lm_score(
                 for kind, (keys, exists) in enumerate(_grams(tokens, first, order)):
                     distinct, number = np.unique(keys[exists], return_inverse=True)
                     counts = np.bincount(number, learn[exists], len(distinct)).astype(np.int64)
-                    cut = _split_by_range(distinct, ranges, 64 if kind == 0 else GRAM_BITS)
                     out = [
                         (chunk, kind, r, _pack_sorted(distinct[a:b]), *_pack_counts(counts[a:b]))
-                        for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))
-                        if b > a
+                        for r, a, b in _by_range(distinct, ranges, 64 if kind == 0 else GRAM_BITS)
                     ]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([o[j] for o in out], t) for j, t in enumerate(types)], ["chunk", "kind", "range", "keys", "counts", "large"]

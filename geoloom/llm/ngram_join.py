@@ -27,6 +27,7 @@ Exact copies (equal sets) are folded into one node before any of this.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -49,6 +50,8 @@ from .common import (
 
 FLUSH = 500_000  # tokens that a task packs at once
 NODE_BITS = np.uint64(2**56 - 1)
+PART_BYTES = 4 << 20  # text whose keys make one range
+MOST_TASKS = 20_000
 RECENT = 1 << 14  # sets that a task remembers, so as to pass over their copies
 
 
@@ -92,10 +95,24 @@ def _unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=np.uint64)
 
 
-def _split_by_range(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
-    """Where sorted keys of so many bits cross into the next of `parts` equal ranges."""
-    bounds = (np.arange(1, parts, dtype=object) * (1 << bits) // parts).astype(np.uint64)
-    return np.r_[0, np.searchsorted(keys, bounds), len(keys)]
+def _by_range(keys: np.ndarray, parts: int, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(range, start, stop) of the ranges that sorted keys of so many bits are in, of `parts` (under
+    2**31) equal ones. The work grows with the keys, not with the ranges."""
+    if len(keys):
+        of = (keys >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)
+        start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        yield from zip(of[start].tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True)
+
+
+def _tasks(parts: int) -> int:
+    """As many tasks as ranges, while a driver can follow so many."""
+    return min(parts, MOST_TASKS)
+
+
+def _parts(docs: DataFrame) -> int:
+    """Ranges of keys, so that one has what some MB of text hold, however large the corpus is."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4 * shuffle_partitions(docs.sparkSession), math.ceil(size / PART_BYTES))
 
 
 def _frequencies(docs: DataFrame, words: int, parts: int) -> DataFrame:
@@ -103,13 +120,11 @@ def _frequencies(docs: DataFrame, words: int, parts: int) -> DataFrame:
 
     def send(held: list[np.ndarray]) -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held) >> np.uint64(16), return_counts=True)
-        cut = _split_by_range(keys, parts, 48)
         rows = []
-        for p in range(parts):
-            k, c = keys[cut[p] : cut[p + 1]], counts[cut[p] : cut[p + 1]]
-            if len(k):
-                many = c > 1
-                rows.append((p, _pack_sorted(k[~many]), _pack_sorted(k[many]), c[many].astype("<u4").tobytes()))
+        for p, a, b in _by_range(keys, parts, 48):
+            k, c = keys[a:b], counts[a:b]
+            many = c > 1
+            rows.append((p, _pack_sorted(k[~many]), _pack_sorted(k[many]), c[many].astype("<u4").tobytes()))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
             ["bucket", "once", "keys", "counts"],
@@ -131,10 +146,9 @@ def _frequencies(docs: DataFrame, words: int, parts: int) -> DataFrame:
     return docs.select("text").mapInArrow(lean(partial), "bucket int, once binary, keys binary, counts binary")
 
 
-def _frequent_tokens(docs: DataFrame, words: int, frequent: int, max_frequent: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent_tokens(docs: DataFrame, words: int, frequent: int, max_frequent: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 48-bit keys of the frequent tokens and their class, the power of two of their number
     of documents, from 1; at most `max_frequent`."""
-    parts = 4 * shuffle_partitions(docs.sparkSession)
     floor = frequent
 
     def merge(table: pa.Table) -> pa.Table:
@@ -160,7 +174,7 @@ def _frequent_tokens(docs: DataFrame, words: int, frequent: int, max_frequent: i
         )
 
     found = materialize(
-        _frequencies(docs, words, parts).groupBy("bucket").applyInArrow(lean_group(merge), "power int, n long, keys binary")
+        _frequencies(docs, words, parts).repartition(_tasks(parts), "bucket").groupBy("bucket").applyInArrow(lean_group(merge), "power int, n long, keys binary")
     )
     sizes = {r["power"]: r["n"] for r in found.groupBy("power").agg(F.sum("n").alias("n")).collect()}
     first = next(p for p in range(64) if 2**p >= frequent)
@@ -274,23 +288,17 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int, k: int = 2
     return rare, np.concatenate(combos) if combos else tokens[:0]
 
 
-def _postings(docs: DataFrame, words: int, percent: int, classes, clashes: frozenset[int]) -> DataFrame:
+def _postings(docs: DataFrame, words: int, percent: int, classes, clashes: frozenset[int], parts: int) -> DataFrame:
     """(sig, node, n, hub, hub_n, r, hub_r) of every signature that two different sets share. n: the
     set's size; r: its rare tokens, in lists of combinations; -1 in lists of a rare token."""
-    spark = docs.sparkSession
-    parts = 4 * shuffle_partitions(spark)
 
     def send(sigs: list[np.ndarray], nodes: list[int], sizes: list[int], combos: bool) -> pa.RecordBatch:
         each = [len(x) for x in sigs]
         sig, node, n = np.concatenate(sigs), np.repeat(nodes, each), np.repeat(sizes, each)
         order = np.argsort(sig)
         sig, node, n = sig[order], node[order], n[order]
-        cut = [0, len(sig)] if combos else _split_by_range(sig, parts, 64)
-        rows = [
-            (-1 if combos else p, _pack_sorted(sig[a:b]), node[a:b].tobytes(), n[a:b].tobytes())
-            for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))
-            if b > a
-        ]
+        cut = [(-1, 0, len(sig))] if combos else _by_range(sig, parts, 64)
+        rows = [(p, _pack_sorted(sig[a:b]), node[a:b].tobytes(), n[a:b].tobytes()) for p, a, b in cut]
         return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
             ["bucket", "sigs", "nodes", "sizes"],
@@ -362,7 +370,7 @@ def _postings(docs: DataFrame, words: int, percent: int, classes, clashes: froze
 
     packed = materialize(docs.select("text").mapInArrow(lean(index), "bucket int, sigs binary, nodes binary, sizes binary"))
     schema = "sig long, node long, n int, hub long, hub_n int, r int, hub_r int"
-    rare = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(lean_group(shared), schema)
+    rare = packed.where("bucket >= 0").repartition(_tasks(parts), "bucket").groupBy("bucket").applyInArrow(lean_group(shared), schema)
     combos = packed.where("bucket < 0").mapInArrow(lean(rows), "sig long, node long, n int, r int")
     hubs = combos.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     sizes = combos.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("r").alias("hub_r")).distinct()
@@ -495,7 +503,8 @@ def _components(
         raise ValueError("percent must be over 50 and at most 100")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    classes = spark.sparkContext.broadcast(_frequent_tokens(docs, words, frequent, max_frequent))
+    parts = _parts(docs)
+    classes = spark.sparkContext.broadcast(_frequent_tokens(docs, words, frequent, max_frequent, parts))
 
     id_type = docs.schema["id"].dataType.simpleString()
 
@@ -520,7 +529,7 @@ def _components(
     clashes = frozenset(r["node"] for r in twins.select("node").collect())
     if clashes:
         named = named_by(clashes)
-    postings = _postings(docs, words, percent, classes, clashes)
+    postings = _postings(docs, words, percent, classes, clashes, parts)
 
     wanted = materialize(postings.select("node").distinct())
 

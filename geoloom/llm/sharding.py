@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 BITS = 60
 MARGIN = 4  # the histogram's cells are this many levels finer than an even split
@@ -100,14 +100,12 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     repeated and null ids don't multiply or lose rows. Null texts count as empty. The folders are
     named by the column shard (shard_ if `docs` has one of that name). An empty table gives no file
     with rows."""
-    name = "shard"
-    while name in docs.columns:
-        name += "_"
-    keyed = docs.withColumn("__h", row_hash(id_col, text_col))
-    rows = materialize(keyed.select(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col("__h").alias("h")))
+    name, h, at = (free_name(docs, stem) for stem in ("shard", "__h", "__cell"))
+    keyed = docs.withColumn(h, row_hash(id_col, text_col))
+    rows = materialize(keyed.select(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(h).alias("h")))
     out = None
     for fine, named in _directory(rows, limit_bytes):
-        cells = named.select(F.col("cell").alias("__cell"), F.concat(F.lit("s"), F.col("shard")).alias(name))
-        part = keyed.withColumn("__cell", _leading(F.col("__h"), fine)).join(cells, "__cell").drop("__cell", "__h")
+        cells = named.select(F.col("cell").alias(at), F.concat(F.lit("s"), F.col("shard")).alias(name))
+        part = keyed.withColumn(at, _leading(F.col(h), fine)).join(cells, at).drop(at, h)
         out = part if out is None else out.unionByName(part)
     out.repartition(name).write.partitionBy(name).parquet(path)
