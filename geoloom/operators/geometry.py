@@ -11,11 +11,12 @@ from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators.chains import chain_positions
 from geoloom.operators.components import components, dealt
-from geoloom.session import cut_lineage
+from geoloom.session import cut_lineage, ranked
 
 MERCATOR_LIMIT = 85.0511
 
@@ -259,46 +260,29 @@ def build_multipolygons(rings: DataFrame) -> tuple[DataFrame, DataFrame]:
 def merge_lines(lines: DataFrame) -> DataFrame:
     """C24. (level, types, line_ids, node_ids, name): lines of one level and types chained at shared ends.
 
-    From the first unvisited line by id, backwards then forwards, by the smallest fitting line. A
-    name that differs is cleared. A chain goes on until nothing fits. lines: id, level, types (array),
-    name, node_ids.
+    lines: id, level, types (array), name, node_ids. At every node the lines that end there and those
+    that begin there choose each other, the smallest free ids first, until one side has none left: the
+    k-th smallest that ends goes on in the k-th smallest that begins (of equal ids, in any order). A
+    line isn't followed by itself. Where no more than one line ends and one begins at a node, that is
+    also what a walk from any line finds. A circle begins with its smallest id. The name is that of
+    all lines of the chain, null if they differ. Lines without nodes are chains by themselves.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        starts, ends = defaultdict(list), defaultdict(list)
-        nodes = [list(n) for n in pdf["node_ids"]]
-        for i, n in enumerate(nodes):
-            starts[n[0]].append(i)
-            ends[n[-1]].append(i)
-        seen = [False] * len(nodes)
-        out = []
-        for i in range(len(nodes)):
-            if seen[i]:
-                continue
-            seen[i] = True
-            chain, first, last, name = deque([i]), nodes[i][0], nodes[i][-1], pdf["name"].iloc[i]
-
-            def take(options: list[int]) -> int | None:
-                j = next((j for j in options if not seen[j]), None)  # noqa: B023
-                if j is not None:
-                    seen[j] = True  # noqa: B023
-                return j
-
-            while (j := take(ends[first])) is not None:
-                first = nodes[j][0]
-                chain.appendleft(j)
-                name = name if pdf["name"].iloc[j] == name else None
-            while (j := take(starts[last])) is not None:
-                last = nodes[j][-1]
-                chain.append(j)
-                name = name if pdf["name"].iloc[j] == name else None
-            path = nodes[chain[0]] + [n for c in list(chain)[1:] for n in nodes[c][1:]]
-            out.append((int(pdf["level"].iloc[0]), [int(t) for t in pdf["types"].iloc[0]], [int(pdf["id"].iloc[c]) for c in chain], path, name))
-        return pd.DataFrame(out, columns=["level", "types", "line_ids", "node_ids", "name"])
-
-    schema = "level int, types array<int>, line_ids array<long>, node_ids array<long>, name string"
-    return lines.groupBy("level", F.array_join(F.col("types").cast("array<string>"), ",")).applyInPandas(run, schema)
+    kind = F.array_join(F.col("types").cast("array<string>"), ",")
+    lines = ranked(lines.select("id", "level", "types", "name", "node_ids", kind.alias("kind")), "id", "level", "kind")
+    lines = cut_lineage(lines.withColumnRenamed("n", "line"))
+    some = lines.where(F.size("node_ids") > 0)
+    turn = F.row_number().over(Window.partitionBy("level", "kind", "node").orderBy("line"))
+    ends = some.select("level", "kind", F.element_at("node_ids", -1).alias("node"), "line").withColumn("turn", turn)
+    starts = some.select("level", "kind", F.element_at("node_ids", 1).alias("node"), F.col("line").alias("next")).withColumn("turn", F.row_number().over(Window.partitionBy("level", "kind", "node").orderBy("next")))
+    links = ends.join(starts, ["level", "kind", "node", "turn"]).where("line <> next").select(F.col("next").alias("node"), F.col("line").alias("prev"))
+    placed = lines.join(chain_positions(links).withColumnRenamed("node", "line"), "line", "left")
+    chains = placed.groupBy(F.coalesce("head", "line").alias("chain")).agg(
+        F.first("level").alias("level"), F.first("types").alias("types"),
+        F.array_sort(F.collect_list(F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), "id", F.coalesce("node_ids", F.array()).alias("nodes")))).alias("parts"),
+        F.when(F.count("name") == F.count("*"), F.when(F.min("name") == F.max("name"), F.min("name"))).alias("name"),
+    )
+    path = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, p["nodes"]).otherwise(F.slice(p["nodes"], F.lit(2), F.greatest(F.size(p["nodes"]) - 1, F.lit(0))))))
+    return chains.select("level", "types", F.col("parts.id").alias("line_ids"), path.alias("node_ids"), "name")
 
 
 def chain_roads(roads: DataFrame, most_degrees: float = 90.0) -> DataFrame:

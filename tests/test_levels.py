@@ -11,7 +11,31 @@ from geoloom.plans.mapping import STYLE
 
 
 def _merged(lines):
-    """C24 over all lines at once: (types, line ids, nodes, name)."""
+    """C24 by its rule: at each node the k-th smallest that ends goes on in the k-th that begins."""
+    out, after, before = [], {}, {}
+    lines = {x[0]: x for x in lines}
+    places = {(x[1], tuple(x[2]), x[4][p]) for x in lines.values() for p in (0, -1)}
+    for level, types, node in places:
+        same = sorted(x for x in lines.values() if (x[1], tuple(x[2])) == (level, types))
+        for a, b in zip([x[0] for x in same if x[4][-1] == node], [x[0] for x in same if x[4][0] == node], strict=False):
+            if a != b:
+                after[a], before[b] = b, a
+    seen = set()
+    for first in [i for i in sorted(lines) if i not in before] + sorted(lines):
+        if first in seen:
+            continue
+        chain = [first]
+        while (n := after.get(chain[-1])) is not None and n != first:
+            chain.append(n)
+        seen |= set(chain)
+        names = {lines[i][3] for i in chain}
+        nodes = lines[first][4] + [n for i in chain[1:] for n in lines[i][4][1:]]
+        out.append((lines[first][1], tuple(lines[first][2]), tuple(chain), tuple(nodes), names.pop() if len(names) == 1 else None))
+    return out
+
+
+def _walked(lines):
+    """The walk over all lines at once, from the smallest unvisited id backwards, then forwards."""
     out, seen = [], set()
     lines = sorted(lines)
     fits = lambda line, at, node: next((x for x in lines if x[0] not in seen and x[1:3] == line[1:3] and x[4][at] == node), None)
@@ -30,17 +54,56 @@ def _merged(lines):
     return out
 
 
+LINES = "id long, level int, types array<int>, name string, node_ids array<long>"
+
+
+def _chains(df):
+    return sorted(((r["level"], tuple(r["types"]), tuple(r["line_ids"]), tuple(r["node_ids"]), r["name"]) for r in geometry.merge_lines(df).collect()), key=str)
+
+
 @pytest.mark.parametrize("n_nodes", [12, 60])
-def test_merged_lines_match_a_walk_over_all(spark, n_nodes):
+def test_merged_lines_match_their_rule(spark, n_nodes):
     rnd = random.Random(n_nodes)
     rows = [(i, rnd.randint(0, 1), [rnd.randint(1, 2)], rnd.choice("ab"), [rnd.randint(1, n_nodes) for _ in range(rnd.randint(1, 3))]) for i in range(150)]
-    df = spark.createDataFrame(rows, "id long, level int, types array<int>, name string, node_ids array<long>")
-    got = [(r["level"], tuple(r["types"]), tuple(r["line_ids"]), tuple(r["node_ids"]), r["name"]) for r in geometry.merge_lines(df).collect()]
-    assert sorted(got, key=str) == sorted(_merged(rows), key=str)
+    df = spark.createDataFrame(rows, LINES)
+    got = _chains(df)
+    assert got == sorted(_merged(rows), key=str)
     assert max(len(r[2]) for r in got) > 3
     assert geometry.merge_lines(df.limit(0)).count() == 0
 
 
+def test_merged_lines_match_a_walk_where_that_is_unique(spark):
+    """Every node has one line that ends and one that begins, so the lines make chains."""
+    rnd = random.Random(6)
+    rows, ids = [], iter(rnd.sample(range(1000), 400))
+    for chain in range(25):
+        nodes = list(range(100 * chain, 100 * chain + 20))
+        while len(nodes) > 1:
+            n = min(len(nodes) - 1, rnd.randint(1, 4))
+            rows.append((next(ids), chain % 2, [7], rnd.choice(["a", "a", "b"]) if chain % 3 else "a", nodes[: n + 1]))
+            nodes = nodes[n:]
+    rows += [(2000, 0, [7], None, [5000, 5001]), (2001, 0, [7], None, [5001, 5002]), (2002, 0, [8], "x", [6000])]
+    assert _chains(spark.createDataFrame(rows, LINES)) == sorted(_walked(rows), key=str) == sorted(_merged(rows), key=str)
+
+
+def test_long_chains_and_circles(spark):
+    rnd = random.Random(1)
+    ids = rnd.sample(range(10**6), 1500 + 64 + 7)
+    rows = [(i, 1, [7], "n", [k, k + 1]) for k, i in enumerate(ids[:1500])]
+    for circle, base in ((ids[1500:1564], 10_000), (ids[1564:], 20_000)):
+        rows += [(i, 1, [7], "n", [base + k, base + (k + 1) % len(circle)]) for k, i in enumerate(circle)]
+    got = {tuple(r["line_ids"]): r["node_ids"] for r in geometry.merge_lines(spark.createDataFrame(rows, LINES)).collect()}
+    turned = lambda c: tuple(c[(k := c.index(min(c))) :] + c[:k])
+    assert set(got) == {tuple(ids[:1500]), turned(ids[1500:1564]), turned(ids[1564:])}
+    assert got[tuple(ids[:1500])] == list(range(1501))
+
+
+def test_lines_without_nodes(spark):
+    rows = [(1, 0, [1], "a", None), (2, 0, [1], None, []), (3, 0, [1], "a", [5])]
+    got = sorted((r["line_ids"], r["node_ids"], r["name"]) for r in geometry.merge_lines(spark.createDataFrame(rows, LINES)).collect())
+    assert got == [([1], [], "a"), ([2], [], None), ([3], [5], "a")]
+
+
 def test_chained_roads_match_mutual_choice(spark):
     rnd = random.Random(4)
     place = {n: (rnd.uniform(0, 1), rnd.uniform(0, 1)) for n in range(40)}
