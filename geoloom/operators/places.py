@@ -192,14 +192,15 @@ def streets_to_cities(candidates: DataFrame, near: float = 0.2) -> DataFrame:
 def match_boundaries(boundaries: DataFrame, inside: DataFrame, centres: DataFrame) -> DataFrame:
     """C9. The city of each boundary: (b_id, city_id, rank).
 
-    boundaries: id, name; inside: b_id, city_id, city_name of places inside the boundary;
-    centres: b_id, city_id of admin_centre or label members. Rank 1 a centre member, 2 the same
-    name (any case) inside, 3 a name that contains the other inside; the smallest id of the best
-    rank wins.
+    boundaries: id, name, and short_name if it is known; inside: b_id, city_id, city_name of places
+    inside the boundary; centres: b_id, city_id of admin_centre or label members. Rank 1 a centre
+    member, 2 the same name or short name (any case) inside, 3 a name that contains the other inside;
+    the smallest id of the best rank wins.
     """
-    named = inside.join(boundaries.select(F.col("id").alias("b_id"), F.lower("name").alias("b_name")), "b_id")
+    short = F.lower("short_name") if "short_name" in boundaries.columns else F.lit(None).cast("string")
+    named = inside.join(boundaries.select(F.col("id").alias("b_id"), F.lower("name").alias("b_name"), short.alias("b_short")), "b_id")
     city = F.lower("city_name")
-    rank = F.when(city == F.col("b_name"), 2).when(F.contains(F.col("b_name"), city) | F.contains(city, F.col("b_name")), 3)
+    rank = F.when((city == F.col("b_name")) | (city == F.col("b_short")), 2).when(F.contains(F.col("b_name"), city) | F.contains(city, F.col("b_name")), 3)
     by_name = named.select("b_id", "city_id", rank.alias("rank")).where("rank IS NOT NULL")
     all_ = by_name.unionByName(centres.select("b_id", "city_id", F.lit(1).alias("rank")))
     best = all_.groupBy("b_id").agg(F.min(F.struct("rank", "city_id")).alias("best"))

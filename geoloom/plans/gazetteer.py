@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.geo import distance_m
-from geoloom.operators import address, containment, places, poi
+from geoloom.operators import address, containment, phases, places, poi
 
 from .registry import Tables, query
 from .staging import HAVERSINE
@@ -447,3 +447,56 @@ def _(t: Tables) -> DataFrame:
 @query("f8_nearest_place", f"SELECT a.id AS p_id, round(min({DIST}), 4) AS m FROM address a CROSS JOIN place b GROUP BY a.id")
 def _(t: Tables) -> DataFrame:
     return places.nearest_object(t.address, t.place).select("p_id", F.round("m", 4).alias("m"))
+
+
+# ---- all phases in a row
+
+#: boundaries are the outlines of places, some with holes, under the place's name, a longer one, or another with a short one
+RUN_BOUNDARIES = """SELECT id, CASE id%3 WHEN 0 THEN concat('x ', name) WHEN 1 THEN name ELSE concat('other ', CAST(id AS VARCHAR(10))) END AS name, CASE WHEN id%3=2 THEN name END AS short_name, 5+id%6 AS level, CASE WHEN id%4=0 THEN 'town' END AS place, CASE WHEN id%5=0 THEN id END AS centre FROM {place}"""
+RUN_ADDRESSES = """SELECT a.id, a.street, a.housenumber, CASE WHEN a.id%11=0 THEN concat('near ', p.name) END AS is_in, a.lat, a.lon FROM {address} a LEFT JOIN {place} p ON p.id = CAST(FLOOR(a.id/15) AS BIGINT) + 1"""
+RUN_CITIES = f"""{OUTLINE_EDGES}, bd AS ({RUN_BOUNDARIES.format(place='place')}), ad AS ({RUN_ADDRESSES.format(address='address', place='place')}),
+ ip AS ({IN_OUTLINE.format(points='pl')}), ia AS ({IN_OUTLINE.format(points='ad')}),
+ inside AS (SELECT id AS city_id, place_id AS b_id FROM ip WHERE role='outer' AND (id, place_id) NOT IN (SELECT (id, place_id) FROM ip WHERE role='inner' AND place_id%4=3)),
+ m AS (SELECT b.id AS b_id, p.id AS city_id, CASE WHEN lower(p.name)=lower(b.name) OR lower(p.name)=lower(coalesce(b.short_name,'')) THEN 2 WHEN contains(lower(b.name), lower(p.name)) OR contains(lower(p.name), lower(b.name)) THEN 3 END AS rank FROM inside i JOIN bd b ON b.id=i.b_id JOIN pl p ON p.id=i.city_id
+  UNION ALL SELECT b.id, p.id, 1 FROM bd b JOIN pl p ON p.id=b.centre),
+ mt AS (SELECT b_id, city_id FROM (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY rank, city_id) AS n FROM m WHERE rank IS NOT NULL) q WHERE n=1),
+ sc AS (SELECT mt.city_id, b.id AS b_id, b.level, b.name, lower(p.name)=lower(b.name) OR lower(p.name)=lower(coalesce(b.short_name,'')) AS ne, b.place IS NOT NULL AS hp, b.centre IS NOT NULL AS hc FROM mt JOIN bd b ON b.id=mt.b_id JOIN pl p ON p.id=mt.city_id),
+ so AS (SELECT *, CASE WHEN ne AND hp THEN 0 WHEN ne AND hc THEN {SCORE_RANK} WHEN ne THEN 10+{SCORE_RANK} WHEN hc THEN 20+{SCORE_RANK} ELSE 30+{SCORE_RANK} END AS score FROM sc),
+ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city_id ORDER BY score, b_id) AS n FROM so) q WHERE n=1),
+ cb AS (SELECT so.city_id, so.b_id FROM so JOIN top ON top.city_id=so.city_id AND top.score=so.score AND top.level=so.level AND top.name=so.name
+  UNION ALL SELECT city_id, b_id FROM (SELECT i.city_id, i.b_id, row_number() OVER (PARTITION BY i.city_id ORDER BY b.level DESC, i.b_id) AS n FROM inside i JOIN bd b ON b.id=i.b_id JOIN pl p ON p.id=i.city_id WHERE b.level>=7 AND p.kind IN ('CITY','TOWN') AND i.city_id NOT IN (SELECT city_id FROM top)) q WHERE n=1)"""
+
+
+def _run_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Boundaries, their rings and the addresses of the run."""
+    rings = outline_rings(t).where((F.col("role") == "outer") | (F.col("b_id") % 4 == 3))
+    return t.spark.sql(RUN_BOUNDARIES, place=t.place), rings, t.spark.sql(RUN_ADDRESSES, address=t.address, place=t.place)
+
+
+@query("e1_city_boundaries", f"WITH {PLACES}, {RUN_CITIES} SELECT city_id, string_agg(CAST(b_id AS VARCHAR), ',' ORDER BY b_id) AS boundary_ids FROM cb GROUP BY city_id")
+def _(t: Tables) -> DataFrame:
+    """Cities and their boundaries from geometry and names: I5, C8, C9, E1 and C10 in a row."""
+    boundaries, rings, _ = _run_tables(t)
+    taken, _ = phases.city_boundaries(_cities(t), boundaries, rings)
+    return taken.select("city_id", F.array_join(F.array_sort("boundary_ids").cast("array<string>"), ",").alias("boundary_ids"))
+
+
+@query(
+    "a16_gazetteer_run",
+    f"""WITH {NEAR}, {RUN_CITIES},
+ inc AS (SELECT DISTINCT ia.id AS p_id, cb.city_id AS o_id FROM ia JOIN cb ON cb.b_id=ia.place_id WHERE role='outer' AND (ia.id, ia.place_id) NOT IN (SELECT (id, place_id) FROM ia WHERE role='inner' AND place_id%4=3)),
+ d AS (SELECT c.p_id, c.o_id, {CAND_DIST}/{RADIUS} AS rel, (c.p_id, c.o_id) IN (SELECT (p_id, o_id) FROM inc) AS contains, c.o_id IN (SELECT city_id FROM cb) AS has_boundary, coalesce(contains(lower(ad.is_in), lower(pl.name)), false) AS named FROM (SELECT p_id, o_id, lat, lon, o_lat, o_lon, kind FROM c) c JOIN (SELECT id AS a_id, is_in FROM ad) ad ON ad.a_id=c.p_id JOIN (SELECT id AS c_id, name FROM pl) pl ON pl.c_id=c.o_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY rel, o_id) AS rank, max(CASE WHEN contains OR named THEN 1 ELSE 0 END) OVER (PARTITION BY p_id)=1 AS some_taken FROM d),
+ k AS (SELECT *, contains OR named OR (rel<=0.2e0 AND (NOT has_boundary OR NOT some_taken)) AS taken FROM r), a AS (SELECT *, max(CASE WHEN taken THEN 1 ELSE 0 END) OVER (PARTITION BY p_id)=1 AS any_taken FROM k),
+ f AS (SELECT p_id, o_id FROM a WHERE taken OR (NOT any_taken AND rank=1)),
+ s AS (SELECT f.o_id AS city_id, ad.street, string_agg(concat(ad.id, '=', ad.housenumber), ',' ORDER BY ad.id) AS houses FROM f JOIN ad ON ad.id=f.p_id GROUP BY 1,2),
+ gz AS (SELECT city_id, string_agg(concat(street, ':', houses), ';' ORDER BY street) AS streets FROM s GROUP BY city_id)
+ SELECT pl.id AS city_id, pl.name AS city, gz.streets FROM pl LEFT JOIN gz ON gz.city_id=pl.id""",
+)
+def _(t: Tables) -> DataFrame:
+    """Cities, boundaries, streets and buildings to the saved blocks, from places, ways and addresses alone."""
+    boundaries, rings, addresses = _run_tables(t)
+    blocks = phases.gazetteer_run(t.place, boundaries, rings, addresses)
+    house = lambda b: F.concat(b["building_id"].cast("string"), F.lit("="), b["housenumber"])
+    street = lambda s: F.concat(s["name"], F.lit(":"), F.array_join(F.transform(s["buildings"], house), ","))
+    return blocks.select("city_id", "city", F.array_join(F.transform("streets", street), ";").alias("streets"))
