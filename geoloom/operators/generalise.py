@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import geometry, mapobj, rules
+from geoloom.operators import geometry, mapobj, multipolygon, rules
 from geoloom.session import cut_lineage
 
 #: fixed values: pixel boxes up to which merged lines are too small to draw, closed and open ones
 SMALL_CLOSED, SMALL_OPEN = (3, 4), (2, 8)
-OUT = ("level", "id", "form", "types", "add_types", "name", "lats", "lons")
+OUT = ("level", "id", "form", "types", "add_types", "name", "lats", "lons", "holes")
 
 
 def _picked(lines: DataFrame) -> DataFrame:
@@ -23,21 +23,28 @@ def _picked(lines: DataFrame) -> DataFrame:
 
 
 def generalise(
-    entities: DataFrame, shapes: DataFrame, nodes: DataFrame, rule_table: DataFrame, zooms: str = "11;12;13-14;15-", smoothness: int = 2, coastline: int | None = None
-) -> DataFrame:
-    """I4. (level, id, form, types, add_types, name, lats, lons, min_lat, max_lat, min_lon, max_lon).
+    entities: DataFrame, shapes: DataFrame, nodes: DataFrame, rule_table: DataFrame, zooms: str = "11;12;13-14;15-", smoothness: int = 2, coastline: int | None = None,
+    polygons: DataFrame | None = None,
+) -> DataFrame:
+    """I4. (level, id, form, types, add_types, name, lats, lons, holes, min_lat, max_lat, min_lon, max_lon).
 
     entities: id, tags, is_node; shapes: id, node_ids, lats, lons; nodes: id, lat, lon. Objects appear
     at every level where they have a main type (H1). Level 0 has them in full (form full). At the
     others points stay (point), closed ways are simplified (cycle) and go where they are too small
     (I2), and open ways of equal types are merged (C24; line): small ones go unless they are of type
     `coastline`, the others are simplified. A merged line has the smallest of its ids. Objects
-    without points go.
+    without points go. polygons (of I6: id, rel_id, lats, lons, holes) stand at the levels where the
+    entity rel_id has a type, under their own ids (polygon): in full at level 0, simplified with their
+    holes at the others. holes is empty for all other forms.
     """
     levels = geo.parse_zooms(zooms)
     encoded = [rules.encode_features(entities, rule_table, high).select(F.lit(level).alias("level"), "id", "types", "add_types") for level, _, high in levels]
     names = entities.select("id", F.col("tags")["name"].alias("name"))
-    objects = cut_lineage(reduce(DataFrame.unionByName, encoded).join(names, "id").join(shapes.where(F.size("lats") > 0), "id"))
+    typed = reduce(DataFrame.unionByName, encoded).join(names, "id")
+    if polygons is not None:
+        typed = cut_lineage(typed)
+    objects = typed.join(shapes.where(F.size("lats") > 0), "id").withColumn("holes", F.array().cast(f"array<{multipolygon.RING}>"))
+    objects = cut_lineage(objects)
     closed = (F.size("node_ids") > 1) & (F.element_at("node_ids", 1) == F.element_at("node_ids", -1))
     low = objects.where("level > 0")
     full = objects.where("level = 0").withColumn("form", F.lit("full")).select(*OUT)
@@ -50,12 +57,18 @@ def generalise(
     placed = placed.agg(F.array_sort(F.collect_list(F.struct("ord", "lat", "lon"))).alias("pts"))
     cut = F.array_position("types", F.lit(-1)).cast("int")
     placed = placed.withColumns({"add_types": F.slice("types", cut + 1, F.size("types") - cut), "types": F.slice("types", F.lit(1), cut - 1)})
-    placed = cut_lineage(placed.withColumns({"lats": F.col("pts.lat"), "lons": F.col("pts.lon")}))
+    placed = placed.withColumns({"lats": F.col("pts.lat"), "lons": F.col("pts.lon"), "holes": F.array().cast(f"array<{multipolygon.RING}>")})
+    placed = cut_lineage(placed)
 
     parts = [full, points]
+    if polygons is not None:
+        areas = typed.withColumnRenamed("id", "rel_id").join(polygons.select("rel_id", "id", "lats", "lons", "holes"), "rel_id").withColumn("form", F.lit("polygon")).select(*OUT)
+        parts.append(areas.where("level = 0"))
     for level, _, high in levels:
         if level == 0:
             continue
+        if polygons is not None:
+            parts.append(multipolygon.simplify_polygons(areas.where(F.col("level") == level), high - 1, smoothness))
         keep = tuple(c for c in OUT if c not in ("id", "form"))
         rings = geometry.simplify_cycles(low.where(closed & (F.col("level") == level)), high - 1, smoothness, keep)
         parts.append(_picked(rings).withColumn("form", F.lit("cycle")).select(*OUT))

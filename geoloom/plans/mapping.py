@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import generalise, geometry, mapobj, roads, rules, shapes, style
+from geoloom.operators import generalise, geometry, mapobj, multipolygon, roads, rules, shapes, style
 from geoloom.session import shared_folder
 
 from .registry import Tables, query
@@ -392,6 +392,48 @@ def _(t: Tables) -> DataFrame:
     return built.select("rel_id", F.col("outer").alias("outer_ring"), F.size("inners").alias("holes"))
 
 
+def _double_outlines(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Relations of two outlines with a hole each, the second a degree further north; rings cut into
+    four ways, every second one backwards; and their nodes."""
+    k = F.col("k")
+    both = t.outline.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    base = F.col("place_id") * 1000 + F.col("copy") * 100 + F.when(F.col("role") == "inner", 50).otherwise(0)
+    nodes = both.select((base + k).alias("id"), (F.col("lat") + F.col("copy")).alias("lat"), "lon")
+    part = both.where("k % 6 = 0").withColumn("ids", F.transform(F.sequence(k, k + 6), lambda v: base + v % 24))
+    order = (F.pmod(k * 7, F.lit(4)) * 2 + F.col("copy")).cast("int")
+    ways = part.select(F.col("place_id").alias("rel_id"), "role", order.alias("ord"), F.when(k % 12 == 6, F.reverse("ids")).otherwise(F.col("ids")).alias("node_ids"))
+    return ways, nodes
+
+
+SHOELACE = """e AS (SELECT place_id, role, lat, lon, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS lat2, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS lon2 FROM outline WINDOW w AS (PARTITION BY place_id, role ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ s AS (SELECT place_id, sum(CASE WHEN role='outer' THEN a ELSE -a END) AS area FROM (SELECT place_id, role, abs(sum((lon+5e0)*(lat2-4e1)-(lon2+5e0)*(lat-4e1)))/2 AS a FROM e GROUP BY 1,2) q GROUP BY 1)"""
+
+
+@query("i6_polygon_areas", f"WITH {SHOELACE}, c AS (SELECT CAST(range AS INTEGER) AS polygon FROM range(2)) SELECT place_id AS rel_id, polygon, 25 AS n_points, 1 AS holes, round(area*1e6, 4) AS area FROM s, c")
+def _(t: Tables) -> DataFrame:
+    """Two outers with a hole each, from their ways; areas in square degrees, by the shoelace formula."""
+    polygons, _ = multipolygon.polygons_of_ways(*_double_outlines(t))
+    south = F.floor(F.array_min("lats"))
+
+    def area(lats: Column, lons: Column) -> Column:
+        k = F.sequence(F.lit(1), F.size(lats) - 1)
+        y, x = (lambda i: F.element_at(lats, i) - south), (lambda i: F.element_at(lons, i) + 5)
+        return F.abs(F.aggregate(k, F.lit(0.0), lambda s, i: s + x(i) * y(i + 1) - x(i + 1) * y(i))) / 2
+
+    holes = F.aggregate("holes", F.lit(0.0), lambda s, h: s + area(h["lats"], h["lons"]))
+    return polygons.select("rel_id", "polygon", F.size("lats").alias("n_points"), F.size("holes").alias("holes"), F.round((area(F.col("lats"), F.col("lons")) - holes) * 1e6, 4).alias("area"))
+
+
+@query("i6_polygon_levels")
+def _(t: Tables) -> DataFrame:
+    """The polygons in I4's output: every relation is a place of a type that is drawn from zoom 12 on."""
+    polygons, _ = multipolygon.polygons_of_ways(*_double_outlines(t))
+    tags = F.create_map(F.lit("highway"), F.lit("primary"), F.lit("name"), F.concat(F.lit("Area "), F.col("id").cast("string")))
+    entities = t.place.select("id", tags.alias("tags"), F.lit(False).alias("is_node"))
+    shapes = t.spark.createDataFrame([], "id long, node_ids array<long>, lats array<double>, lons array<double>")
+    return generalise.generalise(entities, shapes, t.osm_node.select("id", "lat", "lon"), _rules(t), polygons=polygons)
+
+
 @query("c20_inner_rings_rejected", "SELECT id AS rel_id FROM boundary")
 def _(t: Tables) -> DataFrame:
     """Holes outside their outer ring come back as rejects."""
