@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.session import bounded
+from geoloom.session import bounded, cut_lineage
 
 from . import mapobj
+from .coast import coast_areas
 
 #: fixed values: kinds of primitive
 POINT, LINE, POLYGON = 1, 2, 3
@@ -213,10 +214,13 @@ def layer_gate(tiles: DataFrame, layers: DataFrame) -> DataFrame:
 def render_set(objects: DataFrame, levels: DataFrame, classes: dict[str, list[Rule]], box: tuple[int, int, int, int], zoom: int, density: int = 10) -> dict[str, DataFrame]:
     """K8. What a box at a zoom is drawn from: primitives in draw order, texts and icons.
 
-    Highway lines are thinned by density. objects: id, level, types, additional, names, area, pts
-    (structs x, y in 31-bit units), minx, miny, maxx, maxy.
+    Highway lines are thinned by density. The coast lines among them make areas of land and water, and
+    a box without any gets a background (`coast_areas`); these are drawn like other objects. objects:
+    id, level, types, additional, names, area, pts (structs x, y in 31-bit units), minx, miny, maxx, maxy.
     """
-    found = mapobj.map_query(objects, levels, box, zoom)
+    found = mapobj.map_query(objects, levels, box, zoom).select("id", "types", "additional", "names", "area", "pts")
+    frame = objects.sparkSession.createDataFrame([("box", *box)], "tile string, min_x long, min_y long, max_x long, max_y long")
+    found = cut_lineage(found.unionByName(coast_areas(found.withColumn("tile", F.lit("box")), frame).drop("tile")))
     found = found.withColumn("area_px", mapobj.ring_area_pixels(F.col("pts"), zoom))
     prims = primitives(found, classes, zoom)
     lines = prims.where((F.col("kind") == LINE) & (F.col("tag") == "highway"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import generalise, geometry, mapobj, multipolygon, roads, rules, shapes, style
+from geoloom.operators import coast, generalise, geometry, labels, mapobj, multipolygon, roads, rules, shapes, style
 from geoloom.session import shared_folder
 
 from .registry import Tables, query
@@ -517,6 +517,29 @@ def _(t: Tables) -> DataFrame:
     return geometry.place_labels(labels)
 
 
+@query("i18_map_labels")
+def _(t: Tables) -> DataFrame:
+    """Labels of all named nodes, clear of each other across tiles."""
+    named = t.osm_node.select("id", (F.col("id") % 7).alias("prio"), ((F.col("lon") + 5) * 20000).alias("x"), ((F.col("lat") - 40) * 20000).alias("y"), F.lit(60.0).alias("w"), F.lit(12.0).alias("h"))
+    return labels.place_map_labels(named, 256.0)
+
+
+@query("k8_coast_and_background")
+def _(t: Tables) -> DataFrame:
+    """The ground of every tile of zoom 15 that has a point of interest: the places' outlines are islands."""
+    p = F.array_sort(F.collect_list(F.struct("k", geo.x31(F.col("lon")).alias("x"), geo.y31(F.col("lat")).alias("y"))))
+    rings = t.outline.where("role = 'outer'").groupBy(F.col("place_id").alias("id")).agg(p.alias("p"))
+    rings = rings.select("id", F.concat("p", F.slice("p", 1, 1)).alias("p")).select("id", F.transform("p", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("pts"))
+    tile = lambda v: F.shiftright(v, 16)
+    covered = F.sequence(tile(F.array_min("pts.x")), tile(F.array_max("pts.x"))), F.sequence(tile(F.array_min("pts.y")), tile(F.array_max("pts.y")))
+    spread = rings.withColumn("tx", F.explode(covered[0])).withColumn("ty", F.explode(covered[1]))
+    spread = spread.select(F.concat_ws("/", "tx", "ty").alias("tile"), "id", F.array(F.struct(F.lit("natural").alias("tag"), F.lit("coastline").alias("value"))).alias("types"), "pts")
+    tiles = t.poi.select(tile(geo.x31(F.col("lon"))).alias("tx"), tile(geo.y31(F.col("lat"))).alias("ty")).distinct()
+    boxes = tiles.select(F.concat_ws("/", "tx", "ty").alias("tile"), *geo.tile_box31(F.col("tx"), F.col("ty"), 15))
+    made = coast.coast_areas(spread.join(boxes.select("tile"), "tile", "left_semi"), boxes)
+    return made.select("tile", F.col("types")[0]["value"].alias("kind"), "area", F.size("pts").alias("n_points"))
+
+
 # ---- style
 
 STYLE = """<style>
