@@ -177,6 +177,17 @@ def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
     return vertices.select("street_id").distinct().join(merged, "street_id", "left").select("street_id", F.coalesce("merged_id", "street_id").alias("merged_id"))
 
 
+def rewrite_buildings(buildings: DataFrame, merged: DataFrame) -> DataFrame:
+    """I12. Buildings under the street that theirs was merged into, each once a street: of those that
+    merged streets shared, the row of the smallest old street stays. buildings: street_id, building_id
+    and any others; merged: street_id, merged_id. Streets that aren't in `merged` keep their id."""
+    to = merged.select("street_id", "merged_id")
+    joined = buildings.join(to, "street_id", "left").withColumn("__to", F.coalesce("merged_id", "street_id"))
+    first = F.row_number().over(Window.partitionBy("__to", "building_id").orderBy("street_id", *(c for c in buildings.columns if c not in ("street_id", "building_id"))))
+    once = joined.withColumn("__n", first).where("__n = 1")
+    return once.select(*(F.col("__to").alias(c) if c == "street_id" else F.col(c) for c in buildings.columns))
+
+
 def corner_streets(first: Column, second: Column) -> Column:
     """G3. The streets of a corner house's second name that the first doesn't have."""
     return F.array_except(second, first)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -163,11 +163,42 @@ def for_each_element(elements: DataFrame, callback: Callable[[Iterator[pd.DataFr
     return elements.mapInPandas(callback, schema)
 
 
+def for_each_kind(
+    elements: DataFrame, callbacks: dict[str, tuple[Sequence[str], Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], StructType | str]]
+) -> dict[str, DataFrame]:
+    """U1. kind -> (columns, callback, its schema): each callback gets batches of the elements of its
+    kind, with the columns that the kind has; nothing else is sent to it. elements: kind and all columns."""
+    return {kind: for_each_element(elements.where(F.col("kind") == kind).select(*columns), f, schema) for kind, (columns, f, schema) in callbacks.items()}
+
+
 class Indexers:
-    """U2. Named functions DataFrame -> DataFrame, applied to element rows."""
+    """U2. Indexers by name: functions DataFrame -> DataFrame, applied to element rows one by one
+    (register, run), or routes, which all share one scan (route, write)."""
 
     def __init__(self) -> None:
         self._by_name: dict[str, Callable[[DataFrame], DataFrame]] = {}
+        self._routes: dict[str, tuple[Column, list[Column]]] = {}
+
+    def route(self, name: str, when: Column, *columns: Column) -> None:
+        """An indexer that takes `columns` of the elements for which `when` holds."""
+        self._routes[name] = (when, list(columns))
+
+    def routed(self, elements: DataFrame) -> DataFrame:
+        """(indexer, and a struct column for each route): a row for every element and route that takes it."""
+        shape = {name: elements.select(F.struct(*columns).alias("s")).schema["s"].dataType for name, (_, columns) in self._routes.items()}
+
+        def sent(name: str) -> Column:
+            when, columns = self._routes[name]
+            fields = [F.struct(*columns).alias(n) if n == name else F.lit(None).cast(t).alias(n) for n, t in shape.items()]
+            return F.when(when, F.struct(F.lit(name).alias("indexer"), *fields))
+
+        return elements.select(F.explode(F.array_compact(F.array(*map(sent, self._routes)))).alias("to")).select("to.*")
+
+    def write(self, elements: DataFrame, path: str) -> dict[str, DataFrame]:
+        """One scan of the elements and one job write all routes, a folder each; what each holds."""
+        self.routed(elements).write.partitionBy("indexer").parquet(path)
+        back = elements.sparkSession.read.parquet(path)
+        return {name: back.where(F.col("indexer") == name).select(f"{name}.*") for name in self._routes}
 
     def register(self, name: str, indexer: Callable[[DataFrame], DataFrame]) -> None:
         self._by_name[name] = indexer

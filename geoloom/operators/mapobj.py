@@ -127,6 +127,67 @@ def quad_key(min_x: Column, min_y: Column, max_x: Column, max_y: Column, depth:
     return F.struct(best["zoom"].alias("zoom"), best["x"].alias("x"), best["y"].alias("y"))
 
 
+QUAD_DEPTH = 15
+
+
+def with_quad(objects: DataFrame, depth: int = QUAD_DEPTH) -> DataFrame:
+    """I16. Adds quad_zoom and quad_code: the deepest tile (`depth` at most) that holds an object's box,
+    and its first cell of zoom `depth` in Morton order. An object without a box has nulls."""
+    k = quad_key(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), depth)
+    up = F.lit(depth) - k["zoom"]
+    code = geo.morton(F.call_function("shiftleft", k["x"], up), F.call_function("shiftleft", k["y"], up))
+    return objects.withColumn("quad_zoom", k["zoom"]).withColumn("quad_code", code)
+
+
+def write_quad_map(objects: DataFrame, path: str, depth: int = QUAD_DEPTH, **options: object) -> None:
+    """I16. Parquet in the order of quad keys, so that a box query reads few row groups."""
+    keyed = with_quad(objects, depth)
+    keyed.repartitionByRange("quad_code", "quad_zoom").sortWithinPartitions("quad_code", "quad_zoom").write.options(**options).parquet(path)
+
+
+def quad_intervals(box: tuple[int, int, int, int], depth: int = QUAD_DEPTH, most: int = 32) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The tiles that meet a box: (zoom, code) of those that hold more than the box's parts, and about
+    `most` Morton intervals (first and last code) that hold all others."""
+
+    def code(x: int, y: int) -> int:
+        return sum(((x >> i & 1) << 2 * i + 1) | ((y >> i & 1) << 2 * i) for i in range(depth))
+
+    def meets(z: int, x: int, y: int) -> tuple[bool, bool]:
+        x0, y0, side = x << 31 - z, y << 31 - z, 1 << 31 - z
+        x1, y1 = x0 + side - 1, y0 + side - 1
+        return x0 <= box[2] and x1 >= box[0] and y0 <= box[3] and y1 >= box[1], x0 >= box[0] and x1 <= box[2] and y0 >= box[1] and y1 <= box[3]
+
+    above, whole, part = [], [], [(0, 0, 0)]
+    while part and part[0][0] < depth and len(whole) + 4 * len(part) <= max(most, 4):
+        above += part
+        inner = [(z + 1, 2 * x + i, 2 * y + j) for z, x, y in part for i in (0, 1) for j in (0, 1)]
+        part = []
+        for tile in inner:
+            hit, held = meets(*tile)
+            if hit:
+                (whole if held else part).append(tile)
+    ends = sorted((code(x << depth - z, y << depth - z), code(x << depth - z, y << depth - z) + 4 ** (depth - z) - 1) for z, x, y in whole + part)
+    merged: list[tuple[int, int]] = []
+    for lo, hi in ends:
+        if merged and lo <= merged[-1][1] + 1:
+            merged[-1] = (merged[-1][0], hi)
+        else:
+            merged.append((lo, hi))
+    return [(z, code(x << depth - z, y << depth - z)) for z, x, y in above], merged
+
+
+def quad_query(objects: DataFrame, box: tuple[int, int, int, int], depth: int = QUAD_DEPTH) -> DataFrame:
+    """I16. The objects (with_quad) whose box meets a box: a few ranges of quad_code, which reach the
+    Parquet scan, then the exact test."""
+    above, intervals = quad_intervals(box, depth)
+    hit = F.lit(False)
+    for lo, hi in intervals:
+        hit = hit | F.col("quad_code").between(lo, hi)
+    for z, c in above:
+        hit = hit | ((F.col("quad_code") == c) & (F.col("quad_zoom") == z))
+    return objects.where(hit).where(box_intersects(*box))
+
+
 def write_map(objects: DataFrame, path: str, zoom: int = 12) -> None:
     """A14. Parquet by level, in Morton order of the object's tile, so that row groups are small boxes."""
     tile = geo.morton(geo.tile_of_x31(F.col("minx"), zoom), geo.tile_of_x31(F.col("miny"), zoom))
@@ -134,6 +195,19 @@ def write_map(objects: DataFrame, path: str, zoom: int = 12) -> None:
     placed.repartitionByRange("level", "morton").sortWithinPartitions("level", "morton").drop("morton").write.partitionBy("level").parquet(path)
 
 
+def write_staging(tables: dict[str, tuple[DataFrame, list[str], str]], path: str, buckets: int, prefix: str = "staged") -> dict[str, DataFrame]:
+    """A7. Tables under `path` in the catalogue, bucketed and sorted by a column, so that joins on it
+    (C1, C3, C25) read them without a shuffle. tables: name -> (rows, key, the column); rows are unique
+    by key. Returns the tables as they are read back; a table of that name is replaced."""
+    out = {}
+    for name, (df, key, by) in tables.items():
+        spark, full = df.sparkSession, f"{prefix}_{name}"
+        unique = df.dropDuplicates(key).repartition(buckets, by)
+        unique.write.bucketBy(buckets, by).sortBy(by).mode("overwrite").option("path", f"{path}/{name}").saveAsTable(full)
+        out[name] = spark.table(full)
+    return out
+
+
 def write_tables(tables: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
     """A7, A8. Each table as Parquet under `path`, its rows unique by key."""
     for name, (df, key) in tables.items():

@@ -21,10 +21,11 @@ def read_rules(spark: SparkSession, path: str, row_tag: str = "type") -> DataFra
 
     <category minzoom="12"><type tag="highway" value="primary" kind="main" apply_to="a=b;c"/></category>:
     attributes of a category hold for its types unless they state their own. A rule without a
-    zoom range has its kind's default. Rules are numbered in document order; repeated additional
+    zoom range has its kind's default. Rules are numbered in document order, file by file by name; repeated additional
     and text rules are merged, repeated main rules are an error.
     """
-    categories = spark.read.format("xml").option("rowTag", "category").load(path)
+    # a file that isn't split is read by one task from its beginning, so rows of a file are numbered in its order
+    categories = spark.read.format("xml").option("rowTag", "category").option("multiLine", True).load(path)
     types = categories.select("*", F.posexplode(row_tag).alias("at", "one"))
     inside = set(types.schema["one"].dataType.names)
 
@@ -37,7 +38,7 @@ def read_rules(spark: SparkSession, path: str, row_tag: str = "type") -> DataFra
     flag = lambda name: F.coalesce(attribute(name) == "true", F.lit(False))
     zoom = lambda name, i: F.coalesce(attribute(name).cast("int"), F.when(kind == "main", MAIN_ZOOMS[i]).otherwise(OTHER_ZOOMS[i]))
     rules = types.select(
-        F.monotonically_increasing_id().alias("row"), "at", attribute("tag").alias("tag"), attribute("value").alias("value"), kind.alias("kind"),
+        F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n")).alias("row"), "at", attribute("tag").alias("tag"), attribute("value").alias("value"), kind.alias("kind"),
         zoom("minzoom", 0).alias("minzoom"), zoom("maxzoom", 1).alias("maxzoom"), flag("point").alias("only_point"), flag("relation").alias("relation"),
         F.lit(None).cast("int").alias("target_id"), F.transform(F.split(attribute("apply_to"), ";"), pattern).alias("apply_to"),
         attribute("poi_category").alias("poi_category"), attribute("poi_prefix").alias("poi_prefix"),

@@ -70,8 +70,8 @@ def moved(shapes: DataFrame, factor: float, dx: float, dy: float) -> DataFrame:
 
 
 def with_bounds(shapes: DataFrame) -> DataFrame:
-    """D2. minx, miny, maxx, maxy from the vertices."""
-    for c in ("x", "y"):
+    """D2. The smallest and largest x and y, and z and m where shapes have them, from the vertices."""
+    for c in [c for c in ("x", "y", "z", "m") if c in shapes.columns]:
         shapes = shapes.withColumn(f"min{c}", F.array_min(c)).withColumn(f"max{c}", F.array_max(c))
     return shapes
 

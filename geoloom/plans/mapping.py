@@ -203,6 +203,12 @@ def _(t: Tables) -> DataFrame:
     return _objects(t).where(mapobj.box_intersects(*BOX)).select("id")
 
 
+@query("i16_quad_box_query", f"WITH {OBJECTS} SELECT id FROM ob WHERE {HIT}")
+def _(t: Tables) -> DataFrame:
+    """The same box over a table in the order of quad keys."""
+    return mapobj.quad_query(_written(t, lambda path: mapobj.write_quad_map(_objects(t), path, 30)), BOX, 30).select("id")
+
+
 @query("b9_map_query", f"WITH {OBJECTS} SELECT id, level FROM ob WHERE {HIT} AND level=1")
 def _(t: Tables) -> DataFrame:
     return mapobj.map_query(_objects(t), _levels(t), BOX, 13).select("id", "level")
@@ -662,6 +668,40 @@ def _(t: Tables) -> DataFrame:
     return shapes.clip(_shapes(t), SBOX, "cut").select("rec_no", F.size("x").alias("n"))
 
 
+TOUCHED = "minx<=700 AND maxx>=200 AND miny<=500 AND maxy>=100 AND ((minx>=200 AND maxx<=700 AND miny>=100 AND maxy<=500) OR (minx<=200 AND maxx>=700) OR (miny<=100 AND maxy>=500) OR rec_no IN (SELECT way_id FROM v WHERE x BETWEEN 200 AND 700 OR y BETWEEN 100 AND 500))"
+
+
+@query("b18_clip_touch", f"WITH {SHAPES} SELECT rec_no FROM sh WHERE {TOUCHED}")
+def _(t: Tables) -> DataFrame:
+    return shapes.clip(_shapes(t), SBOX, "touch").select("rec_no")
+
+
+@query("b18_erase_touch", f"WITH {SHAPES} SELECT rec_no FROM sh WHERE NOT ({TOUCHED})")
+def _(t: Tables) -> DataFrame:
+    return shapes.clip(_shapes(t), SBOX, "touch", erase=True).select("rec_no")
+
+
+@query("b18_erase_inside", f"WITH {SHAPES} SELECT rec_no FROM sh WHERE NOT (minx>=200 AND maxx<=700 AND miny>=100 AND maxy<=500)")
+def _(t: Tables) -> DataFrame:
+    return shapes.clip(_shapes(t), SBOX, "inside", erase=True).select("rec_no")
+
+
+@query(
+    "b18_erase_cut",
+    f"""WITH {VERTICES}, c AS (SELECT way_id, x, y FROM v UNION ALL SELECT way_id, arg_min(x,ord), arg_min(y,ord) FROM v WHERE way_id%10=0 GROUP BY way_id) SELECT way_id AS rec_no, CAST(sum(CASE WHEN x BETWEEN 200 AND 700 AND y BETWEEN 100 AND 500 THEN 0 ELSE 1 END) AS INT) AS n
+ FROM c GROUP BY way_id HAVING count(*)>2 AND sum(CASE WHEN x BETWEEN 200 AND 700 AND y BETWEEN 100 AND 500 THEN 0 ELSE 1 END)>=2""",
+)
+def _(t: Tables) -> DataFrame:
+    return shapes.clip(_shapes(t), SBOX, "cut", erase=True).select("rec_no", F.size("x").alias("n"))
+
+
+@query("d2_extent_zm", "SELECT way_id AS rec_no, CAST(min(node_id%1000) AS DOUBLE) AS minx, CAST(max(node_id%1000) AS DOUBLE) AS maxx, CAST(min(node_id%700) AS DOUBLE) AS miny, CAST(max(node_id%700) AS DOUBLE) AS maxy, CAST(min(node_id%1000-node_id%700) AS DOUBLE) AS minz, CAST(max(node_id%1000-node_id%700) AS DOUBLE) AS maxz, CAST(min(node_id%1000+node_id%700) AS DOUBLE) AS minm, CAST(max(node_id%1000+node_id%700) AS DOUBLE) AS maxm FROM osm_way_node WHERE way_id IN (SELECT way_id FROM osm_way_node GROUP BY way_id HAVING count(*) + CASE WHEN way_id%10=0 THEN 1 ELSE 0 END > 2) GROUP BY way_id")
+def _(t: Tables) -> DataFrame:
+    """Shapes with a z and an m for every vertex."""
+    deep = _shapes(t).withColumn("z", F.zip_with("x", "y", lambda a, b: a - b)).withColumn("m", F.zip_with("x", "y", lambda a, b: a + b))
+    return shapes.with_bounds(deep).select("rec_no", *(f"{n}{c}" for c in "xyzm" for n in ("min", "max")))
+
+
 @query("b19_box_predicates", f"WITH {SHAPES} SELECT rec_no, minx<=700 AND maxx>=200 AND miny<=500 AND maxy>=100 AS hit, minx>=200 AND maxx<=700 AND miny>=100 AND maxy<=500 AS held FROM sh")
 def _(t: Tables) -> DataFrame:
     return _shapes(t).select("rec_no", shapes.overlaps(SBOX).alias("hit"), shapes.contained(SBOX).alias("held"))
@@ -720,6 +760,36 @@ def _(t: Tables) -> DataFrame:
     return done[0].unionByName(done[1])
 
 
+@query(
+    "u2_routed_indexers",
+    """SELECT 'streets' AS indexer, count(*) AS n, sum(id) AS ids FROM osm_way WHERE highway<>'footway' UNION ALL SELECT 'names', count(*), sum(length(name)) FROM osm_way WHERE name IS NOT NULL
+ UNION ALL SELECT 'oneways', count(*), sum(id) FROM osm_way WHERE oneway='yes' UNION ALL SELECT 'borders', count(*), sum(id) FROM osm_way WHERE is_boundary UNION ALL SELECT 'all', count(*), sum(id) FROM osm_way""",
+)
+def _(t: Tables) -> DataFrame:
+    """Five indexers fed by one scan and written by one job."""
+    from geoloom.operators import assembly
+
+    indexers = assembly.Indexers()
+    indexers.route("streets", F.col("highway") != "footway", F.col("id"), F.col("highway"))
+    indexers.route("names", F.col("name").isNotNull(), F.length("name").alias("id"), F.col("name"))
+    indexers.route("oneways", F.col("oneway") == "yes", F.col("id"))
+    indexers.route("borders", F.col("is_boundary"), F.col("id"), F.col("is_boundary"))
+    indexers.route("all", F.lit(True), F.col("id"))
+    done = indexers.write(t.osm_way, f"{shared_folder(t.spark)}/geoloom-{uuid.uuid4().hex}")
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(n).alias("indexer"), F.count("*").alias("n"), F.sum(F.col("id").cast("long")).alias("ids")) for n, df in done.items()])
+
+
+@query("i12_merged_buildings")
+def _(t: Tables) -> DataFrame:
+    """Buildings of the ways they lie at, under the streets that these ways were merged into."""
+    v = t.osm_way_node.join(t.osm_node.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id").join(t.osm_way.select(F.col("id").alias("way_id"), "name"), "way_id")
+    from geoloom.operators import address
+
+    merged = address.merge_streets(v.select(F.lit(1).alias("city_id"), F.col("way_id").alias("street_id"), "name", "lat", "lon"))
+    buildings = t.osm_way_node.select(F.col("way_id").alias("street_id"), F.col("node_id").alias("building_id"), F.col("ord").cast("string").alias("housenumber"))
+    return address.rewrite_buildings(buildings, merged)
+
+
 @query("c3_member_kinds", "SELECT CAST(member_id%3 AS INT) AS member_type, count(*) AS n FROM osm_relation_member GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     return mixed_members(t).groupBy("member_type").agg(F.count("*").alias("n"))

@@ -56,7 +56,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "a9_rule_catalogue",
-    """SELECT c_mktsegment AS tag, c_name AS value, CASE WHEN c_custkey%3=0 THEN 'additional' ELSE 'main' END AS kind, 5+c_nationkey AS minzoom, CAST(31 AS INT) AS maxzoom, c_custkey%2=0 AS only_point FROM customer""",
+    """SELECT c_mktsegment AS tag, c_name AS value, CASE WHEN c_custkey%3=0 THEN 'additional' ELSE 'main' END AS kind, 5+c_nationkey AS minzoom, CAST(31 AS INT) AS maxzoom, c_custkey%2=0 AS only_point, CAST(row_number() OVER (ORDER BY 5+c_nationkey, c_mktsegment, c_name) AS INT) AS rule_id FROM customer""",
 )
 def _(t: Tables) -> DataFrame:
     """A catalogue with a category for each nation and a rule for each customer."""
@@ -65,10 +65,10 @@ def _(t: Tables) -> DataFrame:
         F.when(F.col("c_custkey") % 2 == 0, "true").alias("_point"),
     )
     path = _folder(t)
-    categories = t.customer.groupBy((5 + F.col("c_nationkey")).alias("_minzoom")).agg(F.collect_list(rule).alias("type"))
-    categories.write.format("xml").option("rootTag", "rules").option("rowTag", "category").save(path)
+    categories = t.customer.groupBy((5 + F.col("c_nationkey")).alias("_minzoom")).agg(F.array_sort(F.collect_list(rule)).alias("type"))
+    categories.orderBy("_minzoom").write.format("xml").option("rootTag", "rules").option("rowTag", "category").save(path)
     back = rules.read_rules(t.spark, path)
-    return back.select("tag", "value", "kind", "minzoom", "maxzoom", "only_point")
+    return back.select("tag", "value", "kind", "minzoom", "maxzoom", "only_point", "rule_id")
 
 
 FIELDS = [("ID", "N", 12, 0), ("STREET", "C", 20, 0), ("SHARE", "N", 12, 2), ("EVEN", "L", 1, 0)]

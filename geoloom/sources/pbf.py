@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from geoloom.sources.stores import store_of, write_file
 
@@ -130,8 +130,12 @@ def blob_content(blob: bytes) -> bytes:
     return zlib.decompress(parts[3])
 
 
-def block_rows(block: bytes) -> Iterator[tuple]:
-    """The elements of a decoded block."""
+#: fixed values: an element's kind by its field in a group (the second is that of dense nodes)
+KIND_FIELDS = {1: "node", 2: "node", 3: "way", 4: "relation"}
+
+
+def block_rows(block: bytes, kinds: frozenset[str] | None = None) -> Iterator[tuple]:
+    """The elements of a decoded block, or those of some kinds; nothing of the others is decoded."""
     strings: list[str] = []
     groups, granularity, lat0, lon0 = [], 100, 0, 0
     for k, v in fields(block):
@@ -148,6 +152,8 @@ def block_rows(block: bytes) -> Iterator[tuple]:
     degrees = lambda v, offset: (granularity * v + offset) * 1e-9
     for group in groups:
         for kind, message in fields(group):
+            if kinds is not None and KIND_FIELDS.get(kind) not in kinds:
+                continue
             if kind == 1:
                 m = _gathered(message)
                 keys, values = packed(m.get(2, b"")), packed(m.get(3, b""))
@@ -201,6 +207,20 @@ class PbfReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.mask = options["path"], options.get("pathglobfilter", "*.pbf").lower()
         self.range = int(options.get("rangebytes", RANGE_BYTES))
+        self.kinds: frozenset[str] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Conditions on kind are met while blocks are read; the others are left to Spark. (Spark asks
+        only where spark.sql.python.filterPushdown.enabled is set.)"""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("kind",):
+                wanted = {f.value}
+            elif isinstance(f, In) and f.attribute == ("kind",):
+                wanted = set(f.value)
+            else:
+                yield f
+                continue
+            self.kinds = frozenset(wanted if self.kinds is None else self.kinds & wanted)
 
     def partitions(self) -> list[Blobs]:
         store, inside = store_of(self.path)
@@ -221,7 +241,7 @@ class PbfReader(DataSourceReader):
         store, inside = store_of(partition.path)
         with store.open_input_file(inside) as f:
             for offset, length in blob_ranges(f, partition.start, partition.stop):
-                yield from block_rows(blob_content(f.read_at(length, offset)))
+                yield from block_rows(blob_content(f.read_at(length, offset)), self.kinds)
 
 
 class PbfSource(DataSource):
