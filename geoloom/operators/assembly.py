@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType
 
 from geoloom.functions.geo import distance_m
 
@@ -145,6 +145,41 @@ def weighted_centres(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     return s.groupBy("way_id").agg(mean("lat", "lat2").alias("lat"), mean("lon", "lon2").alias("lon")).where("lat IS NOT NULL")
 
 
+def tagged(elements: DataFrame, *columns: str) -> DataFrame:
+    """B1, B3. Elements with a tag: a value in one of `columns`, or any entry of a map among them."""
+    some = F.lit(False)
+    for c in columns:
+        some = some | (F.size(c) > 0 if isinstance(elements.schema[c].dataType, MapType) else F.col(c).isNotNull())
+    return elements.where(F.coalesce(some, F.lit(False)))
+
+
+def boundary_ways(ways: DataFrame) -> DataFrame:
+    """B2. Ways with a boundary tag. ways: is_boundary."""
+    return ways.where(F.coalesce("is_boundary", F.lit(False)))
+
+
+def ordered(rows: DataFrame, key: str, ord_: str, value: str) -> DataFrame:
+    """F1. (key, value as an array in the order of `ord_`): the vertices of ways, the members of relations."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ord_, value)))[value].alias(value))
+
+
+def union_elements(nodes: DataFrame, ways: DataFrame, relations: DataFrame, *columns: str) -> DataFrame:
+    """G1. (kind, columns): nodes (0), ways (1) and relations (2) as one table; columns that one of
+    them lacks are null there."""
+    kinds = ((0, nodes), (1, ways), (2, relations))
+    parts = [df.select(F.lit(k).alias("kind"), *(c for c in columns if c in df.columns)) for k, df in kinds]
+    return parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
+
+
+def line_headings(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """K10. (way_id, heading): degrees of the way from the first vertex to the last, east being 0 and
+    north 90. Ways that end where they begin have none."""
+    placed = way_nodes.join(nodes.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id")
+    v = F.struct("lat", "lon")
+    ends = placed.groupBy("way_id").agg(F.min_by(v, "ord").alias("a"), F.max_by(v, "ord").alias("b")).where("a <> b")
+    return ends.select("way_id", F.degrees(F.atan2(F.col("b.lat") - F.col("a.lat"), F.col("b.lon") - F.col("a.lon"))).alias("heading"))
+
+
 def element_counts(nodes: DataFrame, way_nodes: DataFrame, ways: DataFrame, relations: DataFrame, tagged: dict[str, Column]) -> DataFrame:
     """D1. One row for each kind of element; `tagged` has the conditions for nodes and relations."""
     boundary = way_nodes.join(ways.where("is_boundary").select(F.col("id").alias("way_id")), "way_id", "left_semi")

@@ -31,6 +31,16 @@ def is_closed(pts: Column, inner: Column | None = None) -> Column:
     return closed(pts) if inner is None else closed(pts) & F.forall(inner, closed)
 
 
+def common_types(one: Column, other: Column) -> Column:
+    """G5. The additional types that two lines have in common when they are merged, in the first's order."""
+    return F.array_intersect(one, other)
+
+
+def with_coast(objects: DataFrame, coast: DataFrame) -> DataFrame:
+    """G6. Map objects and the objects made of coast lines, by name; what one lacks is null there."""
+    return objects.unionByName(coast, allowMissingColumns=True)
+
+
 def layer_sign(add_types: Column, positive: list[int], negative: list[int]) -> Column:
     """B13. 1, -1 or 0 by the first additional type of either set."""
     either = F.array(*map(F.lit, positive + negative))

@@ -214,6 +214,22 @@ def missing_cities(boundaries: DataFrame, matches: DataFrame) -> DataFrame:
     return rest.select((-F.col("id") - 1).alias("id"), "name", F.upper("place").alias("kind"), F.col("id").alias("boundary_id"))
 
 
+def boundary_relations(relations: DataFrame) -> DataFrame:
+    """B25. Relations or ways that may bound a place: boundary=administrative, or any place tag. tags: a map."""
+    return relations.where(F.coalesce(F.col("tags")["boundary"] == "administrative", F.lit(False)) | F.coalesce(F.map_contains_key("tags", "place"), F.lit(False)))
+
+
+def multipolygon_relations(relations: DataFrame) -> DataFrame:
+    """B24. Multipolygons with types of their own that aren't administrative. relations: rel_type,
+    admin_level, types (array)."""
+    return relations.where("rel_type = 'multipolygon' AND admin_level IS NULL AND size(types) > 0")
+
+
+def candidate_union(cities: DataFrame, towns: DataFrame) -> DataFrame:
+    """G2. Candidates of the city grid and of the town grid as one list; rows of both stay twice."""
+    return cities.unionByName(towns)
+
+
 def boundary_score(name_equal: Column, has_place: Column, has_centre: Column, level: Column) -> Column:
     """E1. Importance of a boundary for a city; smaller is better."""
     # fixed values: admin level -> rank

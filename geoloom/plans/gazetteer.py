@@ -288,13 +288,13 @@ def _(t: Tables) -> DataFrame:
 @query("b25_boundary_relations", "SELECT id FROM osm_relation WHERE rel_type='boundary' OR id%7=0")
 def _(t: Tables) -> DataFrame:
     tagged = t.osm_relation.withColumn("tags", F.when(F.col("rel_type") == "boundary", F.create_map(F.lit("boundary"), F.lit("administrative"))).when(F.col("id") % 7 == 0, F.create_map(F.lit("place"), F.lit("town"))).otherwise(F.create_map(F.lit("type"), "rel_type")))
-    return tagged.where((F.col("tags")["boundary"] == "administrative") | F.map_contains_key("tags", "place")).select("id")
+    return places.boundary_relations(tagged).select("id")
 
 
 @query("b24_multipolygon_relations", "SELECT id FROM osm_relation WHERE rel_type='multipolygon' AND id%3<>0")
 def _(t: Tables) -> DataFrame:
     relations = t.osm_relation.withColumn("admin_level", F.when(F.col("id") % 3 == 0, "8")).withColumn("types", F.array(F.lit(1)))
-    return relations.where("rel_type = 'multipolygon' AND admin_level IS NULL AND size(types) > 0").select("id")
+    return places.multipolygon_relations(relations).select("id")
 
 
 # ---- addresses
@@ -400,7 +400,7 @@ def _(t: Tables) -> DataFrame:
 @query("g2_candidate_union", f"WITH {PLACES} SELECT id, grid FROM pl WHERE grid='city' UNION ALL SELECT id, grid FROM pl WHERE grid='town'")
 def _(t: Tables) -> DataFrame:
     c = _cities(t).select("id", "grid")
-    return c.where("grid = 'city'").unionByName(c.where("grid = 'town'"))
+    return places.candidate_union(c.where("grid = 'city'"), c.where("grid = 'town'"))
 
 
 @query("g3_corner_difference", "SELECT id, CASE WHEN id%2=0 THEN '3,4' ELSE '4' END AS streets FROM address")

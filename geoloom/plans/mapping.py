@@ -255,17 +255,17 @@ def _(t: Tables) -> DataFrame:
     return pts.select("id", mapobj.is_small_area(F.col("pts"), 10, 20, 40).alias("small"))
 
 
-CLOSED = f"{VERTICES}, c AS (SELECT * FROM v UNION ALL SELECT way_id, max(ord)+1, arg_min(x,ord), arg_min(y,ord) FROM v WHERE way_id%10=0 GROUP BY way_id), e AS (SELECT *, lead(x) OVER (PARTITION BY way_id ORDER BY ord) AS x2, lead(y) OVER (PARTITION BY way_id ORDER BY ord) AS y2 FROM c), a AS (SELECT way_id AS id, count(*) AS n, abs(sum(x*y2-x2*y))/2e0 AS area FROM e GROUP BY way_id)"
+CLOSED = f"{VERTICES}, c AS (SELECT * FROM v UNION ALL SELECT way_id, max(ord)+1, arg_min(x,ord), arg_min(y,ord) FROM v WHERE way_id%10=0 GROUP BY way_id), e AS (SELECT *, lead(x) OVER (PARTITION BY way_id ORDER BY ord) AS x2, lead(y) OVER (PARTITION BY way_id ORDER BY ord) AS y2 FROM c), a AS (SELECT way_id AS id, count(*) AS n, abs(sum(x*y2-x2*y))/2e0 AS area FROM e GROUP BY way_id), k AS (SELECT way_id FROM c GROUP BY way_id HAVING count(*)>1 AND arg_min(x,ord)=arg_max(x,ord) AND arg_min(y,ord)=arg_max(y,ord))"
 
 
-@query("i8_ring_area31", f"WITH {CLOSED} SELECT id, round(coalesce(area,0),3) AS area FROM a WHERE id%10=0")
+@query("i8_ring_area31", f"WITH {CLOSED} SELECT id, round(coalesce(area,0),3) AS area FROM a WHERE id IN (SELECT way_id FROM k)")
 def _(t: Tables) -> DataFrame:
-    return _lines(t).where("id % 10 = 0").select("id", F.round(mapobj.ring_area31(F.col("pts")), 3).alias("area"))
+    return _lines(t).where(mapobj.is_closed(F.col("pts"))).select("id", F.round(mapobj.ring_area31(F.col("pts")), 3).alias("area"))
 
 
-@query("b15_drawable_polygons", f"WITH {CLOSED} SELECT id, round(5+1/(area/1024e0/1024e0),6) AS z FROM a WHERE id%10=0 AND n>2 AND area/1024e0/1024e0>0.05e0")
+@query("b15_drawable_polygons", f"WITH {CLOSED} SELECT id, round(5+1/(area/1024e0/1024e0),6) AS z FROM a WHERE id IN (SELECT way_id FROM k) AND n>2 AND area/1024e0/1024e0>0.05e0")
 def _(t: Tables) -> DataFrame:
-    objects = _lines(t).where("id % 10 = 0").withColumn("order", F.lit(5.0))
+    objects = _lines(t).withColumn("order", F.lit(5.0))
     return mapobj.drawable_polygons(objects, 13, 0.05).select("id", F.round("z", 6).alias("z"))
 
 
@@ -440,6 +440,52 @@ def _(t: Tables) -> DataFrame:
     return generalise.generalise(entities, shapes, t.osm_node.select("id", "lat", "lon"), _rules(t), polygons=polygons)
 
 
+@query(
+    "i5_outline_rings",
+    """WITH c AS (SELECT CAST(range AS INTEGER) AS copy FROM range(2)) SELECT place_id AS rel_id, role, copy, true AS closed, CAST(count(*) + 1 AS INTEGER) AS n, CAST(sum(place_id*1000 + copy*100 + CASE WHEN role='inner' THEN 50 ELSE 0 END + k) AS BIGINT) AS ids, CAST(round(sum(lat-4e1)*1e5) AS BIGINT) + 2400000*copy AS lats FROM outline, c GROUP BY 1,2,3""",
+)
+def _(t: Tables) -> DataFrame:
+    """Rings put together from ways in either direction; sums over their distinct nodes."""
+    ways, nodes = _double_outlines(t)
+    made = geometry.assemble_rings(ways).select("rel_id", "role", "closed", F.size("node_ids").alias("n"), F.explode(F.array_distinct("node_ids")).alias("id"), "ring")
+    copy = F.floor((F.col("id") - F.col("rel_id") * 1000) / 100).cast("int")
+    placed = made.join(nodes, "id").groupBy("rel_id", "role", "ring", "closed", "n", copy.alias("copy"))
+    return placed.agg(F.sum("id").alias("ids"), F.round(F.sum(F.col("lat") - 40.0) * 1e5).cast("long").alias("lats")).drop("ring")
+
+
+SHIFTED = """sh AS (SELECT place_id, role, k, lat, lon + CASE WHEN role='inner' THEN CAST((place_id%5)*400 AS DOUBLE)/1e5 ELSE 0e0 END AS lon FROM outline),
+ e AS (SELECT place_id, role, lat AS ay, lon AS ax, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS bty, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS bx FROM sh WINDOW w AS (PARTITION BY place_id, role ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ h AS (SELECT p.place_id, p.role, p.k, count(*) FILTER (WHERE (e.ay > p.lat) <> (e.bty > p.lat) AND p.lon < e.ax + (p.lat - e.ay) * (e.bx - e.ax) / (e.bty - e.ay)) % 2 AS inside FROM sh p JOIN e ON e.place_id=p.place_id AND e.role<>p.role GROUP BY 1,2,3)"""
+
+
+@query(
+    "c20_ring_homes",
+    f"WITH {SHIFTED} SELECT place_id AS rel_id, min(CASE WHEN role='inner' THEN inside ELSE 1-inside END)=1 AS has_home FROM h GROUP BY place_id",
+)
+def _(t: Tables) -> DataFrame:
+    """Holes moved to the east, some of them across or beyond their outer ring: which of them have a home."""
+    lon = F.col("lon") + F.when(F.col("role") == "inner", (F.col("place_id") % 5 * 400).cast("double") / 1e5).otherwise(0.0)
+    p = F.array_sort(F.collect_list(F.struct("k", "lat", lon.alias("lon"))))
+    rings = t.outline.groupBy(F.col("place_id").alias("rel_id"), "role").agg(p.alias("p")).withColumn("p", F.concat("p", F.slice("p", 1, 1)))
+    rings = rings.select("rel_id", "role", F.lit(0).alias("ring"), F.col("p.lat").alias("lats"), F.col("p.lon").alias("lons"), F.lit(True).alias("closed"))
+    built, rejected = geometry.build_multipolygons(rings)
+    return built.where(F.size("inners") > 0).select("rel_id", F.lit(True).alias("has_home")).unionByName(rejected.select("rel_id", F.lit(False).alias("has_home")))
+
+
+@query(
+    "i20_place_viewports",
+    """WITH v AS (SELECT id, (lon+180)/360*8192e0 AS x, (1-ln(tan(radians(lat))+1/cos(radians(lat)))/pi())/2*8192e0 AS y FROM place), b AS (SELECT id, x-1.3e0 AS x0, y-0.8e0 AS y0, x+0.9e0 AS x1, y+1.7e0 AS y1 FROM v),
+ c AS (SELECT id, CAST(floor(x0) AS BIGINT)+i.range AS tx, CAST(floor(y0) AS BIGINT)+j.range AS ty, x0, y0, x1, y1 FROM b, range(6) i, range(6) j),
+ d AS (SELECT id, tx, ty, abs(tx+0.5e0-(x0+x1)/2)+abs(ty+0.5e0-(y0+y1)/2) AS d FROM c WHERE tx<=floor(x1) AND ty<=floor(y1))
+ SELECT id, tx AS x, ty AS y FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tx, ty) AS n FROM d) q WHERE n=1""",
+)
+def _(t: Tables) -> DataFrame:
+    """The nearest tile of a viewport around every place."""
+    x, y = geo.tile_x(F.col("lon"), 13), geo.tile_y(F.col("lat"), 13)
+    first = mapobj.viewport_tiles(x - 1.3, y - 0.8, x + 0.9, y + 1.7)[0]
+    return t.place.select("id", first["x"].cast("long").alias("x"), first["y"].cast("long").alias("y"))
+
+
 @query("c20_inner_rings_rejected", "SELECT id AS rel_id FROM boundary")
 def _(t: Tables) -> DataFrame:
     """Holes outside their outer ring come back as rejects."""
@@ -611,6 +657,22 @@ def _(t: Tables) -> DataFrame:
     return style.icon_symbols(prims, style.read_style(STYLE), 15).select("id", "icon", F.col("order").alias("order_no"))
 
 
+ICONS = """<style><point><filter tag="amenity" value="cafe" icon="cup"/><filter tag="amenity" value="bank" minzoom="16" icon="coins"/><filter tag="amenity" value="pharmacy" icon="cross" iconOrder="7"/>
+<filter tag="amenity" icon="dot" iconOrder="200"/></point></style>"""
+
+
+@query(
+    "k7_icons_by_type",
+    """SELECT id, zoom, CASE amenity WHEN 'cafe' THEN 'cup' WHEN 'pharmacy' THEN 'cross' WHEN 'bank' THEN CASE WHEN zoom>=16 THEN 'coins' ELSE 'dot' END ELSE 'dot' END AS icon,
+ 100000 + CASE amenity WHEN 'cafe' THEN 100 WHEN 'pharmacy' THEN 7 WHEN 'bank' THEN CASE WHEN zoom>=16 THEN 100 ELSE 200 END ELSE 200 END AS order_no FROM osm_node, (SELECT CAST(range AS INTEGER) AS zoom FROM range(15,17)) z WHERE amenity IS NOT NULL""",
+)
+def _(t: Tables) -> DataFrame:
+    """Icons of all amenities at two zooms: by value, by zoom, and the fallback."""
+    prims = t.osm_node.where("amenity IS NOT NULL").select("id", F.lit("amenity").alias("tag"), F.col("amenity").alias("value"), F.lit(1).alias("kind"))
+    found = [style.icon_symbols(prims, style.read_style(ICONS), z).withColumn("zoom", F.lit(z)) for z in (15, 16)]
+    return found[0].unionByName(found[1]).select("id", "zoom", "icon", F.col("order").alias("order_no"))
+
+
 @query("k8_render_set")
 def _(t: Tables) -> DataFrame:
     made = style.render_set(_render_objects(t), _levels(t), style.read_style(STYLE), (100, 100, 600, 500), 15)

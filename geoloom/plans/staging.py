@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo, tags
-from geoloom.operators import assembly, roads
+from geoloom.operators import assembly, mapobj, roads
 from geoloom.session import ranked
 
 from .registry import Tables, query
@@ -91,18 +91,18 @@ def _(t: Tables) -> DataFrame:
 
 @query("b1_tagged_nodes", "SELECT id, lat, lon FROM osm_node WHERE amenity IS NOT NULL OR name IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    return t.osm_node.where("amenity IS NOT NULL OR name IS NOT NULL").select("id", "lat", "lon")
+    return assembly.tagged(t.osm_node, "amenity", "name").select("id", "lat", "lon")
 
 
 @query("b2_boundary_ways", "SELECT id, highway FROM osm_way WHERE is_boundary")
 def _(t: Tables) -> DataFrame:
-    return t.osm_way.where("is_boundary").select("id", "highway")
+    return assembly.boundary_ways(t.osm_way).select("id", "highway")
 
 
 @query("b3_tagged_relations", "SELECT id, rel_type FROM osm_relation WHERE rel_type IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    tagged = t.osm_relation.select("id", "rel_type", F.create_map(F.lit("type"), "rel_type").alias("tags"))
-    return tagged.where(F.size("tags") > 0).select("id", "rel_type")
+    relations = t.osm_relation.select("id", "rel_type", F.create_map(F.lit("type"), "rel_type").alias("tags"))
+    return assembly.tagged(relations, "tags").select("id", "rel_type")
 
 
 ASSEMBLED = """SELECT w.way_id AS id, count(*) AS n_ids, count(n.id) AS n_nodes, arg_min(w.node_id, w.ord) AS first_id, arg_max(w.node_id, w.ord) AS last_id,
@@ -213,8 +213,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("f1_order_by_ord", "SELECT way_id, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY ord) AS path FROM osm_way_node GROUP BY way_id")
 def _(t: Tables) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "node_id")))["node_id"]
-    return t.osm_way_node.groupBy("way_id").agg(F.array_join(ordered.cast("array<string>"), ",").alias("path"))
+    paths = assembly.ordered(t.osm_way_node, "way_id", "ord", "node_id")
+    return paths.select("way_id", F.array_join(F.col("node_id").cast("array<string>"), ",").alias("path"))
 
 
 @query(
@@ -222,21 +222,20 @@ def _(t: Tables) -> DataFrame:
     "SELECT 0 AS kind, id, name FROM osm_node UNION ALL SELECT 2, id, name FROM osm_relation UNION ALL SELECT 1, id, name FROM osm_way",
 )
 def _(t: Tables) -> DataFrame:
-    of = lambda df, k: df.select(F.lit(k).alias("kind"), "id", "name")
-    return of(t.osm_node, 0).unionByName(of(t.osm_relation, 2)).unionByName(of(t.osm_way, 1))
+    return assembly.union_elements(t.osm_node, t.osm_way, t.osm_relation, "id", "name")
 
 
 @query("g5_type_intersection", "SELECT id, CASE WHEN id%2=0 AND id%3=0 THEN '2,3' WHEN id%2=0 THEN '2' WHEN id%3=0 THEN '3' ELSE '' END AS types FROM osm_way")
 def _(t: Tables) -> DataFrame:
     own = F.array_compact(F.array(F.when(F.col("id") % 2 == 0, 2), F.when(F.col("id") % 3 == 0, 3), F.lit(7)))
-    return t.osm_way.select("id", F.array_join(F.array_intersect(own, F.array(F.lit(2), F.lit(3), F.lit(5))), ",").alias("types"))
+    return t.osm_way.select("id", F.array_join(mapobj.common_types(own, F.array(F.lit(2), F.lit(3), F.lit(5))).cast("array<string>"), ",").alias("types"))
 
 
 @query("g6_union_with_coastline", "SELECT id, highway AS type FROM osm_way UNION ALL SELECT -id, 'coastline' FROM osm_way WHERE is_boundary")
 def _(t: Tables) -> DataFrame:
     base = t.osm_way.select("id", F.col("highway").alias("type"))
     coast = t.osm_way.where("is_boundary").select((-F.col("id")).alias("id"), F.lit("coastline").alias("type"))
-    return base.unionByName(coast)
+    return mapobj.with_coast(base, coast)
 
 
 @query("d15_vertex_usage", "SELECT node_id, count(DISTINCT way_id) AS ways FROM osm_way_node GROUP BY node_id")
@@ -316,10 +315,7 @@ def _(t: Tables) -> DataFrame:
  SELECT way_id, round(degrees(atan2(b-a, d-c)), 6) AS heading FROM p WHERE a<>b OR c<>d""",
 )
 def _(t: Tables) -> DataFrame:
-    placed = t.osm_way_node.join(t.osm_node.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id")
-    v = F.struct("lat", "lon")
-    ends = placed.groupBy("way_id").agg(F.min_by(v, "ord").alias("a"), F.max_by(v, "ord").alias("b")).where("a <> b")
-    return ends.select("way_id", F.round(F.degrees(F.atan2(F.col("b.lat") - F.col("a.lat"), F.col("b.lon") - F.col("a.lon"))), 6).alias("heading"))
+    return assembly.line_headings(t.osm_way_node, t.osm_node).select("way_id", F.round("heading", 6).alias("heading"))
 
 
 @query(
