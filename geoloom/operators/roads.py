@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions import geo
 from geoloom.session import bounded
 
 #: fixed values: codes of turn restrictions
@@ -82,3 +84,47 @@ def write_roads(roads: DataFrame, path: str, tile: Column) -> None:
     """A15. Parquet by base network, clustered by tile."""
     placed = roads.withColumn("tile", tile)
     placed.repartitionByRange("base", "tile").sortWithinPartitions("tile").write.partitionBy("base").parquet(path)
+
+
+def _joined_path(parts: list[tuple[list[int], list[float], list[float]]]) -> tuple[list[int], list[float], list[float]]:
+    """Roads one after the other, each turned so that it begins where the one before ends; the first so
+    that it ends where the second begins or ends. Where both ways fit a road is taken as it is."""
+    first, *rest = parts
+    if rest and first[0][-1] not in (rest[0][0][0], rest[0][0][-1]) and first[0][0] in (rest[0][0][0], rest[0][0][-1]):
+        first = tuple(c[::-1] for c in first)
+    nodes, lats, lons = (list(c) for c in first)
+    for part in rest:
+        if part[0][0] != nodes[-1] and part[0][-1] == nodes[-1]:
+            part = tuple(c[::-1] for c in part)
+        skip = int(part[0][0] == nodes[-1])
+        nodes, lats, lons = nodes + list(part[0][skip:]), lats + list(part[1][skip:]), lons + list(part[2][skip:])
+    return nodes, lats, lons
+
+
+def merged_roads(roads: DataFrame, chains: DataFrame, zoom: int = 15) -> DataFrame:
+    """I11. Chains as roads: (chain, road_ids, class, ref, name, add_types, node_ids, lats, lons, clusters).
+
+    roads: id, class, ref, name, add_types array<int>, node_ids, lats, lons (arrays of equal length);
+    chains: chain, road_ids in order. class, ref and name are those that all roads of a chain share;
+    add_types keeps what they have in common (G5), a null being none; clusters are the tiles of `zoom`
+    (their keys) that the chain has vertices in. Roads without points add nothing to the path.
+    """
+    own = roads.select(F.col("id").alias("road_id"), "class", "ref", "name", F.coalesce("add_types", F.array().cast("array<int>")).alias("add_types"), "node_ids", "lats", "lons")
+    placed = chains.select("chain", "road_ids", F.posexplode("road_ids").alias("pos", "road_id")).join(own, "road_id")
+    rows = placed.groupBy("chain").agg(
+        F.first("road_ids").alias("road_ids"), *(F.first(c).alias(c) for c in ("class", "ref", "name")),
+        F.array_sort(F.collect_list(F.struct("pos", "add_types", "node_ids", "lats", "lons"))).alias("parts"),
+    )
+    types = F.aggregate("parts", F.col("parts")[0]["add_types"], lambda kept, p: F.array_intersect(kept, p["add_types"]))
+
+    @F.pandas_udf("struct<node_ids:array<bigint>,lats:array<double>,lons:array<double>>")
+    def path(nodes: pd.Series, lats: pd.Series, lons: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in zip(nodes, lats, lons, strict=True):
+            parts = [tuple(list(c) for c in p) for p in zip(*row, strict=True) if p[0] is not None and len(p[0])]
+            out.append(_joined_path(parts) if parts else ([], [], []))
+        return pd.DataFrame(out, columns=["node_ids", "lats", "lons"])
+
+    made = rows.withColumn("path", path("parts.node_ids", "parts.lats", "parts.lons")).select("chain", "road_ids", "class", "ref", "name", types.alias("add_types"), "path.*")
+    tile = lambda lat, lon: geo.tile_key(F.floor(geo.tile_x(lon, zoom)), F.floor(geo.tile_y(lat, zoom)), zoom)
+    return made.withColumn("clusters", F.array_sort(F.array_distinct(F.zip_with("lats", "lons", tile))))

@@ -530,12 +530,23 @@ def _(t: Tables) -> DataFrame:
     return geometry.merge_lines(lines)
 
 
-@query("i11_road_chaining")
-def _(t: Tables) -> DataFrame:
+def _roads(t: Tables) -> DataFrame:
     v = F.struct("ord", "node_id", "lat", "lon")
     pts = t.osm_way_node.join(t.osm_node.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id").groupBy(F.col("way_id").alias("id")).agg(F.array_sort(F.collect_list(v)).alias("p"))
-    roads = pts.join(t.osm_way, "id").select("id", F.col("highway").alias("class"), F.lit(None).cast("string").alias("ref"), "name", F.col("p.node_id").alias("node_ids"), F.col("p.lat").alias("lats"), F.col("p.lon").alias("lons"))
-    return geometry.chain_roads(roads)
+    return pts.join(t.osm_way, "id").select("id", F.col("highway").alias("class"), F.lit(None).cast("string").alias("ref"), "name", "oneway", F.col("p.node_id").alias("node_ids"), F.col("p.lat").alias("lats"), F.col("p.lon").alias("lons"))
+
+
+@query("i11_road_chaining")
+def _(t: Tables) -> DataFrame:
+    return geometry.chain_roads(_roads(t).drop("oneway"))
+
+
+@query("i11_merged_roads")
+def _(t: Tables) -> DataFrame:
+    """The chains as roads: one path, common types, and the tiles of zoom 15 that they touch."""
+    types = F.array_compact(F.array(F.when(F.col("oneway") == "yes", 1), F.when(F.col("id") % 3 > 0, 2), F.when(F.col("id") % 5 > 0, 3)))
+    roads_ = _roads(t).withColumn("add_types", types).drop("oneway")
+    return roads.merged_roads(roads_, geometry.chain_roads(roads_.drop("add_types")))
 
 
 @query("i13_coastline_polygons")

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from geoloom.operators import generalise, geometry, rules, style
+from geoloom.operators import generalise, geometry, roads, rules, style
 from geoloom.plans.mapping import STYLE
 
 
@@ -130,6 +130,35 @@ def test_chained_roads_match_mutual_choice(spark):
     assert geometry.chain_roads(df.limit(0)).count() == 0
 
 
+def test_merged_roads_keep_paths_and_common_types(spark):
+    rnd = random.Random(14)
+    rows, chains = [], []
+    for c in range(40):
+        n, parts = rnd.randint(1, 6), []
+        path = [100 * c + k for k in range(3 * n + 1)]
+        for k in range(n):
+            nodes = path[3 * k : 3 * k + 4]
+            nodes = nodes[::-1] if rnd.random() < 0.5 else nodes
+            parts.append((10 * c + k, "p", None, f"n{c}", rnd.choice([[1, 2], [2, 1, 3], [2], None]), nodes, [48 + v * 1e-3 for v in nodes], [11 - v * 1e-3 for v in nodes]))
+        rows += parts
+        chains.append((10 * c, [p[0] for p in parts]))
+    rows.append((999, "p", None, None, [4], [], [], []))
+    chains.append((999, [999]))
+    schema = "id long, class string, ref string, name string, add_types array<int>, node_ids array<long>, lats array<double>, lons array<double>"
+    by = {r[0]: r for r in rows}
+    got = roads.merged_roads(spark.createDataFrame(rows, schema), spark.createDataFrame(chains, "chain long, road_ids array<long>")).collect()
+    assert {r["chain"]: r["road_ids"] for r in got} == dict(chains)
+    for r in got:
+        own = [by[i] for i in r["road_ids"]]
+        want = list(range(10 * r["chain"], 10 * r["chain"] + 3 * len(own) + 1)) if r["chain"] != 999 else []
+        assert r["node_ids"] in (want, want[::-1])
+        assert r["lats"] == [48 + v * 1e-3 for v in r["node_ids"]] and r["lons"] == [11 - v * 1e-3 for v in r["node_ids"]]
+        common = set.intersection(*(set(p[4] or []) for p in own))
+        assert set(r["add_types"]) == common and (r["name"], r["class"]) == (own[0][3], "p")
+        tile = lambda a, o: (math.floor((o + 180) / 360 * 2**15) << 15) + math.floor((1 - math.log(math.tan(math.radians(a)) + 1 / math.cos(math.radians(a))) / math.pi) / 2 * 2**15)
+        assert r["clusters"] == sorted({tile(a, o) for a, o in zip(r["lats"], r["lons"], strict=True)})
+
+
 def test_labels_match_comparison_with_all(spark):
     rnd = random.Random(8)
     rows = [(str(i % 2), i, i % 5, rnd.uniform(-300, 300), rnd.uniform(-300, 300), rnd.uniform(5, 60), rnd.uniform(5, 15)) for i in range(600)]
