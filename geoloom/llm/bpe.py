@@ -147,7 +147,12 @@ def _encode_column(docs: DataFrame, vocabulary: str, kept: list[str], result_sch
 
 
 def bpe_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(<id_col>, ids array<int>), one row per input row: the encoding itself, for training files."""
+    """(<id_col>, ids array<int>), one row per input row: the encoding itself, for training files.
+
+    Null texts count as empty and have no ids. Repeated rows and null or repeated ids keep their rows;
+    ties don't arise. Other columns are not read. An empty table gives an empty result. A text of any
+    length is encoded whole by one task.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     made = _encode_column(rows, vocabulary, ["id"], "ids array<int>", lambda of, ids: (ids,))
     return made.select(F.col("id").alias(id_col), "ids")
