@@ -53,4 +53,6 @@ def with_views(sql: str) -> str:
     head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in used)
     if not used:
         return sql
+    if sql.lstrip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {sql.lstrip()[15:]}"
     return f"WITH {head}, {sql.lstrip()[5:]}" if sql.lstrip().upper().startswith("WITH ") else f"WITH {head} {sql}"

@@ -372,6 +372,84 @@ def _(t: Tables) -> DataFrame:
     return geometry.skip_close(_lines(t).select("id", F.col("pts.x").cast("array<double>").alias("xs"), F.col("pts.y").cast("array<double>").alias("ys")))
 
 
+# the same simplifications with texts of the kept points' numbers, which SQL can give as well
+
+OFF = "sqrt(pow({p}.x-{a}.x-{share}*({b}.x-{a}.x),2)+pow({p}.y-{a}.y-{share}*({b}.y-{a}.y),2))"
+SHARE = "(CASE WHEN pow({b}.x-{a}.x,2)+pow({b}.y-{a}.y,2)>0 THEN greatest(0e0,least(1e0,(({p}.x-{a}.x)*({b}.x-{a}.x)+({p}.y-{a}.y)*({b}.y-{a}.y))/(pow({b}.x-{a}.x,2)+pow({b}.y-{a}.y,2)))) ELSE 0e0 END)"
+
+
+def _off(p: str, a: str, b: str) -> str:
+    """The distance of a point from a segment."""
+    return OFF.format(p=p, a=a, b=b, share=SHARE.format(p=p, a=a, b=b))
+
+
+PLACED = """pts AS (SELECT w.way_id AS id, row_number() OVER (PARTITION BY w.way_id ORDER BY w.ord)-1 AS k, n.lat, n.lon FROM osm_way_node w JOIN osm_node n ON n.id=w.node_id)"""
+AS_TILES = "(lon+180)/360*{n}e0 AS x, (1-ln(tan(radians(lat))+1/cos(radians(lat)))/pi())/2*{n}e0 AS y"
+
+
+def _split_sql(points: str, epsilon: float, fixed: str = "false") -> str:
+    """CTEs that split lines p (id, k, x, y) at their farthest points, from the first to the last point
+    that isn't where the first is; kept (id, k) at the end."""
+    return f"""p AS ({points}), b AS (SELECT q.id, max(q.k) AS last FROM p q JOIN p f ON f.id=q.id AND f.k=0 WHERE abs(q.x-f.x)+abs(q.y-f.y)>=1e-3 GROUP BY q.id),
+ stops AS (SELECT p.id, p.k, lead(p.k) OVER (PARTITION BY p.id ORDER BY p.k) AS nxt FROM p JOIN b ON b.id=p.id WHERE p.k<=b.last AND (p.k=0 OR p.k=b.last OR ({fixed}))),
+ seg AS (SELECT id, k AS a, nxt AS b FROM stops WHERE nxt IS NOT NULL UNION ALL
+  SELECT q.id, CASE WHEN side=0 THEN q.a ELSE -q.far.k END, CASE WHEN side=0 THEN -q.far.k ELSE q.b END FROM
+  (SELECT s.id, s.a, s.b, max({{'d': {_off('m', 'u', 'v')}, 'k': -m.k}}) AS far FROM seg s JOIN p u ON u.id=s.id AND u.k=s.a JOIN p v ON v.id=s.id AND v.k=s.b JOIN p m ON m.id=s.id AND m.k>s.a AND m.k<s.b GROUP BY s.id, s.a, s.b) q, (SELECT unnest([0,1]) AS side) t WHERE q.far.d>={epsilon}e0),
+ kept AS (SELECT DISTINCT id, k FROM (SELECT id, a AS k FROM seg UNION ALL SELECT id, b FROM seg) q)"""
+
+
+ENDS_MEET = "(SELECT f.id FROM p f JOIN (SELECT id, max(k) AS k FROM p GROUP BY id) m ON m.id=f.id JOIN p l ON l.id=m.id AND l.k=m.k WHERE f.k=0 AND l.k>0 AND abs(f.x-l.x)+abs(f.y-l.y)<1e-3)"
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    return df.select("id", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
+
+
+@query(
+    "i1_kept_points",
+    f"WITH RECURSIVE {PLACED}, {_split_sql(f'SELECT id, k, {AS_TILES.format(n=2**15)} FROM pts', 3.0)} SELECT i.id, coalesce(string_agg(CAST(kept.k AS VARCHAR), ',' ORDER BY kept.k), '') || CASE WHEN count(kept.k)>0 AND i.id IN {ENDS_MEET} THEN ',0' ELSE '' END AS kept FROM (SELECT DISTINCT id FROM p) i LEFT JOIN kept ON kept.id=i.id GROUP BY i.id",
+)
+def _(t: Tables) -> DataFrame:
+    return _numbers(geometry.simplify_lines(_placed(t), 15, 3.0))
+
+
+RINGED = f"{PLACED}, ring AS (SELECT id, k, lat, lon FROM pts UNION ALL SELECT id, max(k)+1, arg_min(lat,k), arg_min(lon,k) FROM pts GROUP BY id)"
+
+
+@query(
+    "i2_kept_points",
+    f"""WITH RECURSIVE {RINGED}, {_split_sql(f'SELECT id, k, {AS_TILES.format(n=2**22)} FROM ring', 3.0)},
+ w AS (SELECT id, max(floor(x/2))-min(floor(x/2)) AS w, max(floor(y/2))-min(floor(y/2)) AS h FROM (SELECT id, x, y FROM p) q GROUP BY id)
+ SELECT kept.id, string_agg(CAST(kept.k AS VARCHAR), ',' ORDER BY kept.k) || ',0' AS kept FROM kept JOIN w ON w.id=kept.id WHERE NOT ((w.w<=2 AND w.h<=4) OR (w.w<=4 AND w.h<=2)) GROUP BY kept.id""",
+)
+def _(t: Tables) -> DataFrame:
+    """Every way closed; the bound of small ones is in pixels of zoom 13, half a unit of zoom 22's tiles."""
+    closed = _placed(t).select("id", *(F.concat(c, F.slice(c, 1, 1)).alias(c) for c in ("lats", "lons")))
+    return _numbers(geometry.simplify_cycles(closed, 12))
+
+
+METRES = "radians(1)*6372800e0"
+
+
+@query(
+    "i3_kept_points",
+    f"""WITH RECURSIVE {PLACED}, {_split_sql(f'SELECT id, k, lon*{METRES}*cos(radians(avg(lat) OVER (PARTITION BY id))) AS x, lat*{METRES} AS y FROM pts', 15.0, 'p.k%3=0')} SELECT i.id, coalesce(string_agg(CAST(kept.k AS VARCHAR), ',' ORDER BY kept.k), '') AS kept FROM (SELECT DISTINCT id FROM p) i LEFT JOIN kept ON kept.id=i.id GROUP BY i.id""",
+)
+def _(t: Tables) -> DataFrame:
+    return _numbers(geometry.simplify_roads(_placed(t).withColumn("fixed", F.transform("lats", lambda v, i: i % 3 == 0)), 15.0))
+
+
+@query(
+    "e7_kept_points",
+    f"""WITH RECURSIVE {{CLOSED}}, p AS (SELECT way_id AS id, row_number() OVER (PARTITION BY way_id ORDER BY ord)-1 AS k, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM c),
+ n AS (SELECT id, max(k) AS last FROM p GROUP BY id), run AS (SELECT id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a FROM n UNION ALL
+ SELECT r.id, r.i+1, CASE WHEN {_off('m', 'u', 'v')}>31e0 THEN r.i+1 ELSE r.a END FROM run r JOIN p u ON u.id=r.id AND u.k=r.a JOIN p m ON m.id=r.id AND m.k=r.i+1 JOIN p v ON v.id=r.id AND v.k=r.i+2)
+ SELECT id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS kept FROM (SELECT DISTINCT id, a AS k FROM run UNION SELECT id, last FROM n) q GROUP BY id""".replace("{CLOSED}", CLOSED),
+)
+def _(t: Tables) -> DataFrame:
+    return _numbers(geometry.skip_close(_lines(t).select("id", F.col("pts.x").cast("array<double>").alias("xs"), F.col("pts.y").cast("array<double>").alias("ys"))))
+
+
 def _box_ways(t: Tables) -> DataFrame:
     """Boundaries as four two-vertex ways each, every second reversed."""
     i = F.col("id")
@@ -523,11 +601,34 @@ def _(t: Tables) -> DataFrame:
     return generalise.generalise(_ways(t), shapes, t.osm_node.select("id", "lat", "lon"), _rules(t))
 
 
+CHAINS = """WITH RECURSIVE lines AS (SELECT w.way_id AS id, y.name, w.way_id%50 AS kind, list(w.node_id ORDER BY w.ord) AS nodes FROM osm_way_node w JOIN osm_way y ON y.id=w.way_id GROUP BY 1,2 HAVING count(*)>1),
+ e AS (SELECT id, kind, nodes[len(nodes)] AS node, row_number() OVER (PARTITION BY kind, nodes[len(nodes)] ORDER BY id) AS turn FROM lines),
+ s AS (SELECT id, kind, nodes[1] AS node, row_number() OVER (PARTITION BY kind, nodes[1] ORDER BY id) AS turn FROM lines),
+ links AS (SELECT s.id AS node, e.id AS prev FROM e JOIN s ON s.kind=e.kind AND s.node=e.node AND s.turn=e.turn WHERE e.id<>s.id),
+ walk AS (SELECT id AS head, id, 0 AS pos FROM lines WHERE id NOT IN (SELECT node FROM links) UNION ALL SELECT w.head, l.node, w.pos+1 FROM walk w JOIN links l ON l.prev=w.id),
+ cyc AS (SELECT id AS a, id, id AS least, 0 AS n FROM lines WHERE id NOT IN (SELECT id FROM walk) UNION ALL SELECT c.a, l.node, least(c.least, l.node), c.n+1 FROM cyc c JOIN links l ON l.prev=c.id WHERE l.node<>c.a),
+ again AS (SELECT a AS head, a AS id, 0 AS pos FROM (SELECT a, min(least) AS least FROM cyc GROUP BY a) q WHERE a=least UNION ALL SELECT w.head, l.node, w.pos+1 FROM again w JOIN links l ON l.prev=w.id WHERE l.node<>w.head),
+ placed AS (SELECT * FROM walk UNION ALL SELECT * FROM again)
+ SELECT any_value(l.kind) AS kind, string_agg(CAST(l.id AS VARCHAR), ',' ORDER BY p.pos) AS line_ids, any_value(f.nodes[1]) || ',' || string_agg(array_to_string(l.nodes[2:], ','), ',' ORDER BY p.pos) AS path,
+ CASE WHEN count(l.name)=count(*) AND min(l.name)=max(l.name) THEN min(l.name) END AS name FROM placed p JOIN lines l ON l.id=p.id JOIN lines f ON f.id=p.head GROUP BY p.head"""
+
+
+def _lines_by_class(t: Tables) -> DataFrame:
+    lines = t.osm_way_node.groupBy(F.col("way_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "node_id")))["node_id"].alias("node_ids"))
+    return lines.join(t.osm_way, "id").where(F.size("node_ids") > 1).select("id", F.lit(1).alias("level"), F.array((F.col("id") % 50).cast("int")).alias("types"), "name", "node_ids")
+
+
+@query("c24_line_chains", CHAINS)
+def _(t: Tables) -> DataFrame:
+    """The merged lines, their ids and paths as texts."""
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias
+    made = geometry.merge_lines(_lines_by_class(t))
+    return made.select(F.col("types")[0].cast("long").alias("kind"), text("line_ids")("line_ids"), text("node_ids")("path"), "name")
+
+
 @query("c24_line_merging")
 def _(t: Tables) -> DataFrame:
-    lines = t.osm_way_node.groupBy(F.col("way_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "node_id")))["node_id"].alias("node_ids"))
-    lines = lines.join(t.osm_way, "id").where(F.size("node_ids") > 1).select("id", F.lit(1).alias("level"), F.array((F.col("id") % 50).cast("int")).alias("types"), "name", "node_ids")
-    return geometry.merge_lines(lines)
+    return geometry.merge_lines(_lines_by_class(t))
 
 
 def _roads(t: Tables) -> DataFrame:
@@ -564,11 +665,35 @@ def _(t: Tables) -> DataFrame:
     return geometry.polygonize_coast(lines.select("tile", "line_id", "ord", "p.x", "p.y"), boxes)
 
 
+@query(
+    "i15_ring_order",
+    f"""WITH {CLOSED}, t AS (SELECT way_id, sum(x*y2-x2*y) AS turn FROM e GROUP BY way_id), o AS (SELECT c.way_id, CASE WHEN t.turn<0 THEN c.ord ELSE -c.ord END AS place, c.x, c.y FROM c JOIN t ON t.way_id=c.way_id)
+ SELECT way_id AS rec_no, string_agg(concat(x, ' ', y), ',' ORDER BY place) AS points FROM o GROUP BY way_id HAVING count(*)>2""",
+)
+def _(t: Tables) -> DataFrame:
+    """The one ring of every shape, clockwise."""
+    made = geometry.rewind(_shapes(t).select("rec_no", "parts", "x", "y"))
+    point = F.zip_with("x", "y", lambda a, b: F.concat_ws(" ", a.cast("long").cast("string"), b.cast("long").cast("string")))
+    return made.select("rec_no", F.array_join(point, ",").alias("points"))
+
+
 @query("i15_ring_winding")
 def _(t: Tables) -> DataFrame:
     return geometry.rewind(_shapes(t).select("rec_no", "parts", "x", "y"))
 
 
+@query(
+    "i17_anchor_places",
+    f"""WITH {CLOSED}, s AS (SELECT way_id, ord, x, y, x2, y2, sqrt(pow(x2-x,2)+pow(y2-y,2)) AS len FROM e), f AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY way_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS far FROM s WHERE x2 IS NOT NULL),
+ m AS (SELECT f.*, unnest(range(CAST(ceil(far/250e0) AS BIGINT), CAST(ceil((far+len)/250e0) AS BIGINT))) AS i FROM f)
+ SELECT way_id AS id, CAST(i-1 AS INTEGER) AS n, round(x+(i*250e0-far)/len*(x2-x), 6) AS x, round(y+(i*250e0-far)/len*(y2-y), 6) AS y, round(atan2(y2-y, x2-x), 6) AS angle,
+ [0.5e0,8e0,4e0,8e0,2e0,8e0,4e0,8e0][1+(i-1)%8] AS min_scale FROM m WHERE i>0 AND len>0""",
+)
+def _(t: Tables) -> DataFrame:
+    lines = _lines(t).select("id", F.col("pts.x").cast("array<double>").alias("xs"), F.col("pts.y").cast("array<double>").alias("ys"))
+    return geometry.line_anchors(lines, 250.0).select("id", "n", *(F.round(c, 6).alias(c) for c in ("x", "y", "angle")), "min_scale")
+
+
 @query("i17_line_anchors")
 def _(t: Tables) -> DataFrame:
     return geometry.line_anchors(_lines(t).select("id", F.col("pts.x").cast("array<double>").alias("xs"), F.col("pts.y").cast("array<double>").alias("ys")), 250.0)
