@@ -642,6 +642,23 @@ def _(t: Tables) -> DataFrame:
     return geometry.chain_roads(_roads(t).drop("oneway"))
 
 
+TURNS = """q AS (SELECT w.way_id AS id, row_number() OVER (PARTITION BY w.way_id ORDER BY w.ord) AS k, w.node_id, n.lat, n.lon FROM osm_way_node w JOIN osm_node n ON n.id=w.node_id), m AS (SELECT id, max(k) AS n FROM q GROUP BY id),
+ ends AS (SELECT a.id, 0 AS side, a.node_id AS node, atan2(b.lat-a.lat, b.lon-a.lon) AS angle FROM m JOIN q a ON a.id=m.id AND a.k=1 JOIN q b ON b.id=m.id AND b.k=2
+  UNION ALL SELECT a.id, 1, a.node_id, atan2(b.lat-a.lat, b.lon-a.lon) FROM m JOIN q a ON a.id=m.id AND a.k=m.n JOIN q b ON b.id=m.id AND b.k=m.n-1 WHERE m.n>1),
+ en AS (SELECT ends.*, y.highway, y.name FROM ends JOIN osm_way y ON y.id=ends.id),
+ met AS (SELECT a.id AS a, a.side AS sa, b.id AS b, b.side AS sb, a.angle-b.angle+pi() AS d FROM en a JOIN en b ON b.node=a.node AND b.highway=a.highway AND b.name=a.name AND b.id<>a.id),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, sa ORDER BY turn, b, sb) AS n FROM (SELECT *, abs(degrees(pi()-abs((d-floor(d/(2*pi()))*2*pi())-pi()))) AS turn FROM met) x) y WHERE n=1 AND turn<90),
+ lk AS (SELECT x.a, x.b FROM best x JOIN best y ON y.a=x.b AND y.sa=x.sb AND y.b=x.a AND y.sb=x.sa),
+ reach AS (SELECT id AS a, id AS b FROM m UNION SELECT r.a, l.b FROM reach r JOIN lk l ON l.a=r.b)"""
+
+
+@query("i11_chain_members", f"WITH RECURSIVE {TURNS} SELECT a AS road_id, min(b) AS chain, count(*) AS n FROM reach GROUP BY a")
+def _(t: Tables) -> DataFrame:
+    """The chain of every road, and how many roads it has."""
+    made = geometry.chain_roads(_roads(t).drop("oneway"))
+    return made.select(F.explode("road_ids").alias("road_id"), "chain", F.size("road_ids").cast("long").alias("n"))
+
+
 @query("i11_merged_roads")
 def _(t: Tables) -> DataFrame:
     """The chains as roads: one path, common types, and the tiles of zoom 15 that they touch."""
