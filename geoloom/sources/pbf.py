@@ -207,20 +207,8 @@ class PbfReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.mask = options["path"], options.get("pathglobfilter", "*.pbf").lower()
         self.range = int(options.get("rangebytes", RANGE_BYTES))
-        self.kinds: frozenset[str] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Conditions on kind are met while blocks are read; the others are left to Spark. (Spark asks
-        only where spark.sql.python.filterPushdown.enabled is set.)"""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("kind",):
-                wanted = {f.value}
-            elif isinstance(f, In) and f.attribute == ("kind",):
-                wanted = set(f.value)
-            else:
-                yield f
-                continue
-            self.kinds = frozenset(wanted if self.kinds is None else self.kinds & wanted)
+        kinds = options.get("kinds")
+        self.kinds = None if kinds is None else frozenset(k.strip() for k in kinds.split(","))
 
     def partitions(self) -> list[Blobs]:
         store, inside = store_of(self.path)
@@ -244,9 +232,28 @@ class PbfReader(DataSourceReader):
                 yield from block_rows(blob_content(f.read_at(length, offset)), self.kinds)
 
 
+class PushingReader(PbfReader):
+    """Takes conditions on kind from Spark's plan."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Conditions on kind are met while blocks are read; the others are left to Spark."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("kind",):
+                wanted = {f.value}
+            elif isinstance(f, In) and f.attribute == ("kind",):
+                wanted = set(f.value)
+            else:
+                yield f
+                continue
+            self.kinds = frozenset(wanted if self.kinds is None else self.kinds & wanted)
+
+
 class PbfSource(DataSource):
     """spark.dataSource.register(PbfSource), then spark.read.format("osmpbf").load(path), a file or a folder
-    (option pathGlobFilter, any case). Option rangeBytes: bytes a partition."""
+    (option pathGlobFilter, any case). Option rangeBytes: bytes a partition. Option kinds: node, way, relation,
+    some of them with commas between; nothing of the others is decoded. Option pushFilters=true: the
+    same for conditions on kind, in sessions with spark.sql.python.filterPushdown.enabled (Spark
+    takes it for an error without)."""
 
     @classmethod
     def name(cls) -> str:
@@ -256,7 +263,8 @@ class PbfSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> PbfReader:  # noqa: ANN001
-        return PbfReader(self.options)
+        pushing = str(self.options.get("pushfilters", "false")).lower() == "true"
+        return (PushingReader if pushing else PbfReader)(self.options)
 
 
 # ---- writing

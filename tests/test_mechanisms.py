@@ -103,7 +103,7 @@ def test_extract_source_decodes_the_wanted_kinds_only(spark, tmp_path, monkeypat
     schema = "kind string, id long, lat double, lon double, tags map<string,string>, refs array<long>, members array<struct<id:long,type:int,role:string>>"
     rows = [("node", i, 1.0, 2.0, {}, None, None) for i in range(50)] + [("way", 100 + i, None, None, {"a": "b"}, [1, 2], None) for i in range(20)] + [("relation", 200, None, None, {}, None, [(1, 0, "x")])]
     pbf.write_extract(spark.createDataFrame(rows, schema).repartition(2), str(tmp_path / "x"), per_block=10)
-    reader = pbf.PbfReader({"path": str(tmp_path / "x")})
+    reader = pbf.PushingReader({"path": str(tmp_path / "x")})
     left = list(reader.pushFilters([EqualTo(("kind",), "way"), GreaterThan(("id",), 105)]))
     assert left == [GreaterThan(("id",), 105)]
     dense = []
@@ -111,16 +111,18 @@ def test_extract_source_decodes_the_wanted_kinds_only(spark, tmp_path, monkeypat
     monkeypatch.setattr(pbf, "_gathered", lambda message: dense.append(1) or whole(message))
     got = [r[1] for part in reader.partitions() for r in reader.read(part)]
     assert sorted(got) == list(range(100, 120)) and len(dense) == 20  # ways alone, one group message each
-    both = pbf.PbfReader({"path": str(tmp_path / "x")})
+    both = pbf.PushingReader({"path": str(tmp_path / "x")})
     assert list(both.pushFilters([In(("kind",), ("way", "relation")), EqualTo(("kind",), "relation")])) == []
     assert [r[1] for part in both.partitions() for r in both.read(part)] == [200]
     spark.dataSource.register(pbf.PbfSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        ways = spark.read.format("osmpbf").load(str(tmp_path / "x")).where("kind = 'way' AND id > 105")
+        ways = spark.read.format("osmpbf").option("pushFilters", True).load(str(tmp_path / "x")).where("kind = 'way' AND id > 105")
         assert sorted(r["id"] for r in ways.select("id").collect()) == list(range(106, 120))
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    some = spark.read.format("osmpbf").option("kinds", "way, relation").load(str(tmp_path / "x"))
+    assert some.where("kind = 'node'").count() == 0 and some.count() == 21
 
 
 def test_buildings_follow_merged_streets(spark):
