@@ -38,9 +38,8 @@ def generalise(
     holes at the others. holes is empty for all other forms.
     """
     levels = geo.parse_zooms(zooms)
-    encoded = [rules.encode_features(entities, rule_table, high).select(F.lit(level).alias("level"), "id", "types", "add_types") for level, _, high in levels]
-    names = entities.select("id", F.col("tags")["name"].alias("name"))
-    typed = reduce(DataFrame.unionByName, encoded).join(names, "id")
+    named = entities.select("id", "tags", "is_node", F.col("tags")["name"].alias("name"))
+    typed = rules.encode_levels(named, rule_table, {level: high for level, _, high in levels}, "name").select("level", "id", "types", "add_types", "name")
     if polygons is not None:
         typed = cut_lineage(typed)
     objects = typed.join(shapes.where(F.size("lats") > 0), "id").withColumn("holes", F.array().cast(f"array<{multipolygon.RING}>"))

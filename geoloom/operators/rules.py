@@ -14,6 +14,9 @@ RULE_SCHEMA = (
 )
 #: fixed values: zoom ranges of rules that state none
 MAIN_ZOOMS, OTHER_ZOOMS = (15, 31), (5, 31)
+RULES_IN_PLAN = 10_000  # rules up to which a plan holds them as a constant, in SLOTS parts by the hash of the tag
+SLOTS = 1024
+RULE_FIELDS = ("rule_id", "tag", "value", "kind", "minzoom", "maxzoom", "only_point", "target_id", "apply_to")
 
 
 def read_rules(spark: SparkSession, path: str, row_tag: str = "type") -> DataFrame:
@@ -79,22 +82,76 @@ def visible(rules: DataFrame, zoom: int, is_node: Column) -> DataFrame:
     return rules.where(F.lit(zoom).between(F.col("minzoom"), F.col("maxzoom")) & (~F.col("only_point") | is_node))
 
 
+def _constant(rules: DataFrame) -> Column | None:
+    """Rules by the hash of their tag, one constant of the plan; None where they are more than RULES_IN_PLAN."""
+    place = F.pmod(F.xxhash64("tag"), F.lit(SLOTS)).alias("slot")
+    rows = rules.select(place, F.to_json(F.struct(*RULE_FIELDS)).alias("rule")).limit(RULES_IN_PLAN + 1).collect()
+    if len(rows) > RULES_IN_PLAN:
+        return None
+    slots: list[list[str]] = [[] for _ in range(SLOTS)]
+    for row in rows:
+        slots[row["slot"]].append(row["rule"])
+    text = ",".join(f"[{','.join(slot)}]" for slot in slots)
+    one = rules.select(*RULE_FIELDS).schema.simpleString()
+    return F.from_json(F.lit(f'{{"slots":[{text}]}}'), f"struct<slots:array<array<{one}>>>")["slots"]
+
+
+def matched(entities: DataFrame, rules: DataFrame) -> DataFrame:
+    """Entities with found, what C22 finds for their tags: an array of (r, the rule; v, the tag's value).
+
+    Up to RULES_IN_PLAN rules stand in the plan as a constant, and a row is looked up where it is read;
+    more are joined, and then an id stands once. entities: id, tags and any others.
+    """
+    table = _constant(rules)
+    if table is None:
+        long_tags = entities.select("id", F.explode("tags").alias("k", "v"))
+        found = lookup(long_tags, rules).select("id", F.struct(F.struct(*RULE_FIELDS).alias("r"), "v").alias("one"))
+        return entities.join(found.groupBy("id").agg(F.collect_list("one").alias("found")), "id")
+
+    def of(tag: Column) -> Column:
+        slot = F.get(table, F.pmod(F.xxhash64(tag["key"]), F.lit(SLOTS)).cast("int"))
+        fit = F.filter(slot, lambda r: (r["tag"] == tag["key"]) & (r["value"].isNull() | (r["value"] == tag["value"])))
+        return F.struct(tag["value"].alias("v"), fit.alias("fit"))
+
+    def best(one: Column) -> Column:  # rules for the value before those for any
+        exact = F.exists(one["fit"], lambda r: r["value"].isNotNull())
+        kept = F.filter(one["fit"], lambda r: ~exact | r["value"].isNotNull())
+        return F.transform(kept, lambda r: F.struct(r.alias("r"), one["v"].alias("v")))
+
+    tried = F.filter(F.transform(F.map_entries("tags"), of), lambda one: F.size(one["fit"]) > 0)
+    return entities.withColumn("found", F.flatten(F.transform(tried, best)))
+
+
+def encode_levels(entities: DataFrame, rules: DataFrame, zooms: dict[int, int], *keep: str) -> DataFrame:
+    """H1 at several levels in one pass: (level, id, types, add_types, names, area, *keep) as in `encode_features`,
+    a row for each level of `zooms` (level: zoom) at which the entity has a main type."""
+    own = entities.select("id", "is_node", "tags", *(c for c in keep if c not in ("id", "is_node", "tags")))
+    same = lambda f: (f["r"]["tag"] == "name:en") & F.coalesce(f["v"] == F.col("tags")["name"], F.lit(False))
+    holds = lambda f: ((f["r"]["kind"] == "main") | T.applies_any(F.col("tags"), f["r"]["apply_to"])) & (~f["r"]["only_point"] | F.col("is_node"))
+    found = matched(own, rules).withColumn("found", F.filter("found", lambda f: holds(f) & ~same(f)))
+    number = lambda f: F.coalesce(f["r"]["target_id"], f["r"]["rule_id"])
+
+    def encoded(level: int, zoom: int) -> Column:
+        seen = lambda f, kind: (f["r"]["kind"] == kind) & F.lit(zoom).between(f["r"]["minzoom"], f["r"]["maxzoom"])
+        ids = lambda kind: F.sort_array(F.array_distinct(F.transform(F.filter("found", lambda f: seen(f, kind)), number)))
+        texts = F.transform(F.filter("found", lambda f: seen(f, "text")), lambda f: F.struct(number(f).alias("rule"), f["v"].alias("text")))
+        names = F.map_from_entries(F.sort_array(F.array_distinct(texts)))
+        return F.struct(F.lit(level).alias("level"), ids("main").alias("types"), ids("additional").alias("add_types"), names.alias("names"))
+
+    each = F.filter(F.array(*(encoded(level, zoom) for level, zoom in zooms.items())), lambda e: F.size(e["types"]) > 0)
+    return found.select("id", T.area_flag(F.col("tags")).alias("area"), *keep, F.explode(each).alias("e")).select(
+        "e.level", "id", "e.types", "e.add_types", "e.names", "area", *keep
+    )
+
+
 def encode_features(entities: DataFrame, rules: DataFrame, zoom: int) -> DataFrame:
     """H1, F6. (id, types, add_types, names, area) of the entities that have a main type at a zoom.
 
     entities: id, tags, is_node. Type ids ascend. Additional and text rules count only where one of
     their apply_to patterns holds. name:en is left out when it equals name. A rule with a target is
-    written as the target.
+    written as the target. Entities whose tags are null or empty have no type.
     """
-    long_tags = entities.select("id", "is_node", "tags", F.explode("tags").alias("k", "v"))
-    found = visible(lookup(long_tags, rules), zoom, F.col("is_node"))
-    same = (F.col("k") == "name:en") & (F.col("v") == F.col("tags")["name"])
-    found = found.where((F.col("kind") == "main") | T.applies_any(F.col("tags"), F.col("apply_to"))).where(~F.coalesce(same, F.lit(False)))
-    rule = F.coalesce("target_id", "rule_id")
-    ids = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, rule)))
-    texts = F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("kind") == "text", F.struct(rule.alias("rule"), F.col("v").alias("text"))))))
-    out = found.groupBy("id").agg(ids("main").alias("types"), ids("additional").alias("add_types"), texts.alias("names"), F.first(T.area_flag(F.col("tags"))).alias("area"))
-    return out.where(F.size("types") > 0)
+    return encode_levels(entities, rules, {0: zoom}).drop("level")
 
 
 def encode_roads(entities: DataFrame, route_rules: DataFrame) -> DataFrame:

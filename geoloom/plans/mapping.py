@@ -584,10 +584,9 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     """Each level's objects: full geometry at level 0, lines for generalisation at the others."""
-    found = None
-    for level, _, high in geo.parse_zooms("11;12;13-14;15-"):
-        kept = rules.encode_features(_ways(t), _rules(t), high).select("id", F.lit(level).alias("level"), F.lit("full" if level == 0 else "line").alias("form"))
-        found = kept if found is None else found.unionByName(kept)
+    levels = {level: high for level, _, high in geo.parse_zooms("11;12;13-14;15-")}
+    form = F.when(F.col("level") == 0, "full").otherwise("line")
+    found = rules.encode_levels(_ways(t), _rules(t), levels).select("id", "level", form.alias("form"))
     return found.join(_placed(t).select("id"), "id")
 
 
