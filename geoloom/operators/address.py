@@ -131,8 +131,8 @@ def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
     Vertices of one city and name fall into cells so small that all in a cell, or in two adjacent
     ones, are within `max_m`: each is linked to its cell's first street. Cells are linked by their
     boxes where these suffice. Only cells of different components that boxes leave open have their
-    distinct points compared, so a hot cell doesn't pair its vertices. Rows of cells have their own
-    width in degrees, and columns go round the antimeridian.
+    distinct points compared, those within `max_m` of the other's box, so a hot cell doesn't pair its
+    vertices. Rows of cells have their own width in degrees, and columns go round the antimeridian.
     """
     k = math.radians(1) * EARTH_KM * 1000  # metres a degree
     side = max_m / math.sqrt(8) / k * 0.999
@@ -156,21 +156,31 @@ def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
     reach = 2 * F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(max_m / k) / 2) / narrow))) * 1.000001 + 1e-9
     first, last = column(F.col("lo_lon") - reach, F.col("cy")), column(F.col("hi_lon") + reach, F.col("cy"))
     last = F.least(last, first + columns(F.col("cy")) - 1)  # once round at most
-    around = around.withColumn("cx", F.explode(F.sequence(first, last))).withColumn("cx", F.pmod("cx", columns(F.col("cy"))))
+    around = around.withColumn("reach", reach).withColumn("cx", F.explode(F.sequence(first, last))).withColumn("cx", F.pmod("cx", columns(F.col("cy"))))
     pairs = around.join(other, keys).where((F.col("cy") > F.col("y")) | ((F.col("cy") == F.col("y")) & (F.col("cx") > F.col("x"))))
     span = lambda c: F.greatest(f"hi_{c}", f"o_hi_{c}") - F.least(f"lo_{c}", f"o_lo_{c}")
     gap = F.greatest(F.col("lo_lat") - F.col("o_hi_lat"), F.col("o_lo_lat") - F.col("hi_lat"))
     pairs = pairs.where(gap * k <= max_m * 1.000001)
     wide = F.cos(F.radians(F.greatest(F.lit(0.0), F.least("lo_lat", "o_lo_lat"), -F.greatest("hi_lat", "o_hi_lat"))))
     sure = F.hypot(span("lat"), span("lon") * wide) * k <= max_m * 0.999999
-    pairs = cut_lineage(pairs.select("city_id", "name", "y", "x", "cy", "cx", F.col("rep").alias("a"), F.col("o_rep").alias("b"), sure.alias("sure")))
+    boxes = [f"{o}{n}_{c}" for o in ("", "o_") for n in ("lo", "hi") for c in ("lat", "lon")]
+    both = ["city_id", "name", "y", "x", "cy", "cx"]
+    pairs = cut_lineage(pairs.select(*both, *boxes, "reach", F.col("rep").alias("a"), F.col("o_rep").alias("b"), sure.alias("sure")))
     links = cut_lineage(own.union(pairs.where("sure").select("a", "b")).distinct())
     roots = cut_lineage(components(links))
 
     open_ = pairs.where("not sure").join(roots.toDF("a", "a_root"), "a").join(roots.toDF("b", "b_root"), "b").where("a_root <> b_root")
     spots = points.select(*keys, "lat", "lon").distinct()
-    met = open_.join(spots.withColumnsRenamed({"cy": "y", "cx": "x"}), ["city_id", "name", "y", "x"])
-    met = met.join(spots.withColumnsRenamed({"lat": "o_lat", "lon": "o_lon"}), keys)
+    off = lambda at, box: F.greatest(F.col(f"{box.format('lo')}_{at}") - F.col(at), F.col(at) - F.col(f"{box.format('hi')}_{at}"))
+
+    def facing(box: str) -> Column:
+        """Whether a spot can be within `max_m` of the other cell's box; longitudes may go round."""
+        lon = off("lon", box)
+        return (off("lat", box) * k <= max_m * 1.000001) & ((lon <= F.col("reach")) | (lon + F.col("reach") >= 180))
+
+    here = open_.join(spots.withColumnsRenamed({"cy": "y", "cx": "x"}), ["city_id", "name", "y", "x"]).where(facing("o_{}"))
+    there = open_.join(spots, keys).where(facing("{}")).select(*both, F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    met = here.select(*both, "a_root", "b_root", "lat", "lon").join(there, both)
     met = met.where(distance_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) <= max_m)
     more = cut_lineage(met.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
     merged = roots.join(components(more).toDF("root", "merged"), "root", "left").select(F.col("node").alias("street_id"), F.coalesce("merged", "root").alias("merged_id"))

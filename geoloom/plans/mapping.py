@@ -944,7 +944,17 @@ def _(t: Tables) -> DataFrame:
     return shapes.append_by_name(target, more)
 
 
-@query("i12_street_merge")
+#: streets of one name linked through spots within 900 m (a cell of the grid is wider than that), then the smallest label spread to the fixed point
+MERGED = """WITH RECURSIVE v AS (SELECT DISTINCT w.way_id AS s, lower(y.name) AS name, n.lat, n.lon FROM osm_way_node w JOIN osm_node n ON n.id=w.node_id JOIN osm_way y ON y.id=w.way_id),
+ spots AS (SELECT name, lat, lon, floor(lat/0.0082) AS cy, floor(lon/0.0108) AS cx, min(s) AS rep FROM v WHERE name IS NOT NULL GROUP BY name, lat, lon),
+ beside AS (SELECT o.*, cy+dy.range-1 AS ny, cx+dx.range-1 AS nx FROM spots o, range(3) dy, range(3) dx),
+ near AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM beside a JOIN spots b ON b.name=a.name AND b.cy=a.ny AND b.cx=a.nx
+  WHERE a.rep<>b.rep AND 2*6372800*asin(sqrt(power(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*power(sin(radians(b.lon-a.lon)/2),2)))<=900),
+ links AS (SELECT a, b FROM near UNION SELECT v.s, o.rep FROM v JOIN spots o ON o.name=v.name AND o.lat=v.lat AND o.lon=v.lon UNION SELECT o.rep, v.s FROM v JOIN spots o ON o.name=v.name AND o.lat=v.lat AND o.lon=v.lon),
+ lab(node, root) USING KEY (node) AS (SELECT DISTINCT s, s FROM v UNION SELECT l.b, min(r.root) FROM lab r JOIN links l ON l.a=r.node JOIN recurring.lab c ON c.node=l.b WHERE r.root<c.root GROUP BY l.b)"""
+
+
+@query("i12_street_merge", f"{MERGED} SELECT node AS street_id, root AS merged_id FROM lab")
 def _(t: Tables) -> DataFrame:
     from geoloom.operators import address
 
@@ -993,7 +1003,11 @@ def _(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.lit(n).alias("indexer"), F.count("*").alias("n"), F.sum(F.col("id").cast("long")).alias("ids")) for n, df in done.items()])
 
 
-@query("i12_merged_buildings")
+@query(
+    "i12_merged_buildings",
+    f"""{MERGED}, b AS (SELECT coalesce(root, w.way_id) AS street_id, w.node_id AS building_id, CAST(w.ord AS VARCHAR) AS housenumber, w.way_id FROM osm_way_node w LEFT JOIN lab ON lab.node=w.way_id)
+ SELECT street_id, building_id, housenumber FROM b QUALIFY row_number() OVER (PARTITION BY street_id, building_id ORDER BY way_id, housenumber)=1""",
+)
 def _(t: Tables) -> DataFrame:
     """Buildings of the ways they lie at, under the streets that these ways were merged into."""
     v = t.osm_way_node.join(t.osm_node.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id").join(t.osm_way.select(F.col("id").alias("way_id"), "name"), "way_id")
