@@ -80,8 +80,9 @@ def test_levels_keep_columns(objects, table, rows):
     got = rules.encode_levels(objects, table, {0: 16, 1: 14, 2: 9}, "extra")
     for level, zoom in ((0, 16), (1, 14), (2, 9)):
         at = got.where(f"level = {level}")
-        assert collected(at) == collected(rules.encode_features(objects, table, zoom))
-        assert {r["id"]: r["extra"] for r in at.collect()} == {r[0]: r[3] for r in rows if r[0] in collected(at)}
+        found = collected(at)
+        assert found == collected(rules.encode_features(objects, table, zoom))
+        assert {r["id"]: r["extra"] for r in at.collect()} == {r[0]: r[3] for r in rows if r[0] in found}
 
 
 def test_no_shuffle_and_folded(objects, table):
