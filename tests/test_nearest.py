@@ -20,3 +20,36 @@ def test_nearest_object_matches_brute_force(spark):
         assert got[i][0] == o or abs(metres(p, objects[got[i][0]]) - m) < 1e-3
     assert got[len(points) - 1][0] == len(objects) - 2
     assert places.nearest_object(frame(points), frame([])).count() == 0
+
+
+def test_candidates_are_dealt_and_not_shuffled_again(spark):
+    """One file's points among many objects: the candidates come from several tasks, and ranks need no other shuffle."""
+    rnd = random.Random(8)
+    spots = lambda n: [(i, 40 + rnd.random() / 5, -5 + rnd.random() / 5) for i in range(n)]
+    at, of = spots(3000), [(*o, "CITY") for o in spots(40)]
+    points, objects = spark.createDataFrame(at, "id long, lat double, lon double").coalesce(1), spark.createDataFrame(of, "id long, lat double, lon double, kind string")
+    made = places.closest_candidates(points, objects, 13, of_objects=("kind",))
+    plan = places.relative_order(made)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(p_id" not in plan
+    got = {(r["p_id"], r["o_id"]): r["rank"] for r in places.relative_order(made).collect()}
+    for i, lat, lon in at[:50]:
+        own = sorted((metres((lat, lon), o[1:3]), o[0]) for o in of if (i, o[0]) in got)
+        assert [got[i, o] for _, o in own] == list(range(1, len(own) + 1))
+    sizes = [n for n in made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) > 3 and sum(sizes) == len(got)
+
+
+def test_repeated_ids_take_their_smallest_ring(spark):
+    points = spark.createDataFrame([(1, 40.0, -5.0), (1, 60.0, -5.0)], "id long, lat double, lon double")
+    objects = spark.createDataFrame([(7, 40.01, -5.0), (8, 75.0, -5.0)], "id long, lat double, lon double")
+    assert [(r["p_id"], r["o_id"], r["ring"]) for r in places.closest_candidates(points, objects, 13).collect()] == [(1, 7, 3)]
+
+
+def test_nearest_object_deals_its_points(spark, monkeypatch):
+    """The points of one file go to several tasks, and a point isn't repeated for the tiles around it."""
+    seen = []
+    cut = places.cut_lineage
+    monkeypatch.setattr(places, "cut_lineage", lambda df: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    points = spark.range(5000).selectExpr("id", "40 + id / 25000.0D AS lat", "-5 + (id * 37 % 5000) / 25000.0D AS lon").coalesce(1)
+    assert places.nearest_object(points, points.where("id % 50 = 0")).count() == 5000
+    assert any("RepartitionByExpression [p_id" in plan for plan in seen) or any("array_min" in plan for plan in seen)
