@@ -89,11 +89,93 @@ def simplified_points(lat: np.ndarray, lon: np.ndarray, zoom: int, epsilon: floa
     return out
 
 
+Lines = tuple[np.ndarray, np.ndarray, np.ndarray]  # points of all lines one after the other, and where each line starts
+
+
+def _flat(a: pd.Series, o: pd.Series) -> Lines:
+    """The numbers of two columns of arrays of equal sizes."""
+    starts = np.r_[0, np.cumsum([len(v) for v in a])].astype(np.int64)
+    join = lambda c: np.concatenate([np.zeros(0), *c]).astype(float)
+    return join(a), join(o), starts
+
+
+def _last_apart(x: np.ndarray, y: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each line the last point that isn't where its first is; its first where there is none, or no point."""
+    first = starts[:-1]
+    line = np.repeat(np.arange(len(first)), np.diff(starts))
+    last = first.copy()
+    apart = np.flatnonzero(np.abs(x - x[first[line]]) + np.abs(y - y[first[line]]) >= 1e-3) if len(x) else np.zeros(0, np.int64)
+    np.maximum.at(last, line[apart], apart)
+    return last
+
+
+def simplify_many(x: np.ndarray, y: np.ndarray, starts: np.ndarray, epsilon: float, fixed: np.ndarray | None = None) -> np.ndarray:
+    """`simplify` for many lines at once: kept flags of all points. Every round looks at all segments that
+    are left, so there are as many rounds as the deepest line has splits below each other."""
+    kept = np.zeros(len(x), bool)
+    last = _last_apart(x, y, starts)
+    first, last = starts[:-1][last > starts[:-1]], last[last > starts[:-1]]
+    if not len(first):
+        return kept
+    kept[first] = kept[last] = True
+    if fixed is not None:
+        inner = np.zeros(len(x) + 1, np.int64)
+        np.add.at(inner, first, 1)
+        np.add.at(inner, last + 1, -1)
+        kept |= fixed & (np.cumsum(inner)[:-1] > 0)
+    stops = np.flatnonzero(kept)
+    line = np.searchsorted(starts, stops, side="right")
+    a, b = stops[:-1], stops[1:]
+    inside = (line[:-1] == line[1:]) & (b - a > 1)
+    a, b = a[inside], b[inside]
+    while len(a):
+        size = b - a - 1
+        begin = np.r_[0, np.cumsum(size)[:-1]]
+        seg = np.repeat(np.arange(len(a)), size)
+        at = np.arange(len(seg)) - begin[seg] + a[seg] + 1
+        dx, dy = (x[b] - x[a])[seg], (y[b] - y[a])[seg]
+        px, py = x[at] - x[a][seg], y[at] - y[a][seg]
+        whole = dx * dx + dy * dy
+        share = np.clip(np.divide(px * dx + py * dy, whole, out=np.zeros(len(whole)), where=whole > 0), 0, 1)
+        # as SQL has it: a square root of squares, which differs from hypot in the last bit, so equal distances stay equal
+        off = np.sqrt((px - share * dx) ** 2 + (py - share * dy) ** 2)
+        most = np.maximum.reduceat(off, begin)
+        top = np.flatnonzero(off == most[seg])
+        far = at[top[np.searchsorted(seg[top], np.arange(len(a)))]]  # the first of equal ones
+        split = most >= epsilon
+        a, b, far = a[split], b[split], far[split]
+        kept[far] = True
+        a, b = np.r_[a, far], np.r_[far, b]
+        a, b = a[b - a > 1], b[b - a > 1]
+    return kept
+
+
+def _kept_lists(kept: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """The numbers of kept points line by line."""
+    at = np.flatnonzero(kept)
+    cuts = np.searchsorted(at, starts)
+    line = np.repeat(np.arange(len(starts) - 1), np.diff(cuts))
+    return np.split((at - starts[:-1][line]).astype(np.int32), cuts[1:-1])
+
+
+def _simplified_many(lat: np.ndarray, lon: np.ndarray, starts: np.ndarray, zoom: int, epsilon: float) -> list[np.ndarray]:
+    """`simplified_points` for many lines at once."""
+    x, y = pixels(lat, lon, min(zoom, 31))
+    out = _kept_lists(simplify_many(x, y, starts, epsilon), starts)
+    for i in np.flatnonzero(np.diff(starts) > 1):
+        a, b = starts[i], starts[i + 1] - 1
+        if len(out[i]) and abs(x[a] - x[b]) + abs(y[a] - y[b]) < 1e-3:
+            out[i] = np.append(out[i], np.int32(0))
+    return out
+
+
 def simplify_lines(lines: DataFrame, zoom: int, epsilon: float = 3.0, guard: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """I1. (id, kept array<int>) of lines (id, lats, lons), and the columns `keep`."""
 
     @F.pandas_udf("array<int>")
     def run(lats: pd.Series, lons: pd.Series) -> pd.Series:
+        if not guard and (lats.map(len) == lons.map(len)).all():
+            return pd.Series(_simplified_many(*_flat(lats, lons), zoom, epsilon), dtype=object)
         return pd.Series([simplified_points(np.asarray(a, float), np.asarray(o, float), zoom, epsilon, guard) for a, o in zip(lats, lons, strict=True)])
 
     return lines.select("id", run("lats", "lons").alias("kept"), *keep)
@@ -105,15 +187,15 @@ def simplify_cycles(rings: DataFrame, zoom: int, smoothness: int = 2, keep: tupl
 
     @F.pandas_udf("array<int>")
     def run(lats: pd.Series, lons: pd.Series) -> pd.Series:
-        out = []
-        for a, o in zip(lats, lons, strict=True):
-            a, o = np.asarray(a, float), np.asarray(o, float)
-            x, y = pixels(a, o, zoom + min(smoothness // 2, 3))
-            w, h = (np.ptp(np.floor(x * 256)), np.ptp(np.floor(y * 256))) if len(a) > 1 else (0, 0)
-            small = len(a) < 2 or (w <= 2 and h <= 4) or (w <= 4 and h <= 2)
-            kept = [] if small else simplified_points(a, o, zoom + 8 + smoothness, 3.0)
-            out.append(kept if len(kept) >= 2 else [])
-        return pd.Series(out)
+        lat, lon, starts = _flat(lats, lons)
+        x, y = pixels(lat, lon, zoom + min(smoothness // 2, 3))
+        some = np.flatnonzero(np.diff(starts) > 0)  # those between have no points, so neighbours bound each other
+        span = lambda v: np.maximum.reduceat(v, starts[some]) - np.minimum.reduceat(v, starts[some]) if len(some) else v[:0]
+        w, h = np.zeros(len(lats)), np.zeros(len(lats))
+        w[some], h[some] = span(np.floor(x * 256)), span(np.floor(y * 256))
+        small = (np.diff(starts) < 2) | ((w <= 2) & (h <= 4)) | ((w <= 4) & (h <= 2))
+        kept = _simplified_many(lat, lon, starts, zoom + 8 + smoothness, 3.0)
+        return pd.Series([k if len(k) >= 2 and not s else k[:0] for k, s in zip(kept, small.tolist(), strict=True)], dtype=object)
 
     return rings.select("id", run("lats", "lons").alias("kept"), *keep).where(F.size("kept") > 0)
 
@@ -124,13 +206,14 @@ def simplify_roads(lines: DataFrame, epsilon_m: float = 15.0) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def run(lats: pd.Series, lons: pd.Series, fixed: pd.Series) -> pd.Series:
-        out = []
-        for a, o, f in zip(lats, lons, fixed, strict=True):
-            a, o = np.asarray(a, float), np.asarray(o, float)
-            metres = math.pi / 180 * 6372800
-            y, x = a * metres, o * metres * np.cos(np.radians(a.mean() if len(a) else 0.0))
-            out.append(np.flatnonzero(simplify(x, y, epsilon_m, fixed=np.asarray(f, bool))).tolist())
-        return pd.Series(out)
+        lat, lon, starts = _flat(lats, lons)
+        metres = math.pi / 180 * 6372800
+        size, total = np.diff(starts), np.zeros(len(lats))
+        np.add.at(total, np.repeat(np.arange(len(size)), size), lat)  # in the order of the points, as SQL adds them
+        mean = total / np.maximum(size, 1)
+        y, x = lat * metres, lon * metres * np.repeat(np.cos(np.radians(mean)), size)
+        flags = np.concatenate([np.zeros(0, bool), *fixed]).astype(bool)
+        return pd.Series(_kept_lists(simplify_many(x, y, starts, epsilon_m, flags), starts), dtype=object)
 
     return lines.select("id", run("lats", "lons", "fixed").alias("kept"))
 

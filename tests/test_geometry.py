@@ -183,3 +183,34 @@ def test_clip_segment():
     assert g.clip_segment(-5, 5, 15, 5, (0, 0, 10, 10)) == (0, 5, 10, 5)
     assert g.clip_segment(-5, -5, -1, -1, (0, 0, 10, 10)) is None
     assert math.isclose(g.clip_segment(5, 5, 20, 5, (0, 0, 10, 10))[2], 10)
+
+
+def test_equal_distances_split_as_sql_has_it(spark):
+    """Points as far from a segment as each other, where the last bit of the distance decides."""
+    import duckdb
+
+    from geoloom.plans.mapping import AS_TILES, _split_sql
+
+    lines = [
+        ([40.19257, 40.12021, 40.12021, 40.19257, 40.14433, 40.12021, 40.16845, 40.19257, 40.19257], [-4.91478, -4.90004, -4.94426, -4.8853, -4.8853, -4.90004, -4.8853, -4.8853, -4.92952]),
+        ([40.10602, 40.10602, 40.0957, 40.0957, 40.08538, 40.10602, 40.06474, 40.07506, 40.07506, 40.0957], [-4.95291, -4.88299, -4.91795, -4.95291, -4.95291, -4.93543, -4.91795, -4.95291, -4.88299, -4.91795]),
+    ]
+    rows = ",".join(f"({i},{k},{a}e0,{o}e0)" for i, line in enumerate(lines) for k, (a, o) in enumerate(zip(*line, strict=True)))
+    points = f"SELECT id, k, {AS_TILES.format(n=2**15)} FROM (VALUES {rows}) v(id, k, lat, lon)"
+    want = sorted(duckdb.sql(f"WITH RECURSIVE {_split_sql(points, 3.0)} SELECT id, k FROM kept").fetchall())
+    df = spark.createDataFrame([(i, *line) for i, line in enumerate(lines)], "id long, lats array<double>, lons array<double>")
+    assert sorted((r["id"], k) for r in g.simplify_lines(df, 15).collect() for k in r["kept"]) == want
+
+
+def test_lines_at_once_equal_one_by_one():
+    rnd = np.random.default_rng(2)
+    sizes = [0, 1, 2, 3000, 0, *rnd.integers(1, 12, 300).tolist(), 0]
+    x, y, starts = rnd.random(sum(sizes)) * 50, rnd.random(sum(sizes)) * 50, np.r_[0, np.cumsum(sizes)]
+    fixed = rnd.random(len(x)) < 0.2
+    for i in range(5, 300, 3):
+        x[starts[i + 1] - 1], y[starts[i + 1] - 1] = x[starts[i]], y[starts[i]]
+    for stay in (None, fixed):
+        got = g.simplify_many(x, y, starts, 3.0, stay)
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if b > a:
+                assert (got[a:b] == g.simplify(x[a:b], y[a:b], 3.0, fixed=None if stay is None else stay[a:b])).all()
