@@ -53,3 +53,22 @@ def test_nearest_object_deals_its_points(spark, monkeypatch):
     points = spark.range(5000).selectExpr("id", "40 + id / 25000.0D AS lat", "-5 + (id * 37 % 5000) / 25000.0D AS lon").coalesce(1)
     assert places.nearest_object(points, points.where("id % 50 = 0")).count() == 5000
     assert any("RepartitionByExpression [p_id" in plan for plan in seen) or any("array_min" in plan for plan in seen)
+
+
+def test_city_parts_look_among_few_places(spark, monkeypatch):
+    """Points and places of one boundary aren't all compared; the nearest of those within reach is taken."""
+    rnd = random.Random(4)
+    kinds = ("CITY", "VILLAGE", "SUBURB")
+    of = [(1, f"n{i}", kinds[i % 3], 40 + rnd.random() * 2, -5 + rnd.random() * 2) for i in range(90)]
+    at = [(i, 1, 39.9 + rnd.random() * 2.3, -5.1 + rnd.random() * 2.3) for i in range(400)] + [(900, 2, 40.0, -5.0), (901, 1, None, None)]
+    points, own = spark.createDataFrame(at, "p_id long, b_id long, lat double, lon double"), spark.createDataFrame(of, "b_id long, name string, kind string, lat double, lon double")
+    asked = []
+    search = places.nearest_object
+    monkeypatch.setattr(places, "nearest_object", lambda *a, **k: (asked.append(k), search(*a, **k))[1])
+    none = spark.createDataFrame([], "p_id long, name string, level int")
+    got = {r["p_id"]: r["part"] for r in places.city_parts(points, none, own, spark.createDataFrame([(1, "b")], "b_id long, b_name string")).collect()}
+    reach = {"CITY": 15000, "VILLAGE": 1950, "SUBURB": 600}
+    for i, b, lat, lon in at:
+        near = [(metres((lat, lon), o[3:]), o[1]) for o in of if lat is not None and o[0] == b and metres((lat, lon), o[3:]) <= reach[o[2]]]
+        assert got[i] == (min(near)[1] if near else {1: "b"}.get(b))
+    assert asked == [{"by": ("b_id", "kind")}]
