@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators.geometry import polygonize_coast
+from geoloom.session import cut_lineage
 
 COASTLINE = ("natural", "coastline")
 
@@ -24,7 +25,7 @@ def coast_areas(objects: DataFrame, boxes: DataFrame) -> DataFrame:
     lines = coast.select(F.col("tile").cast("string").alias("tile"), F.col("id").alias("line_id"), F.posexplode("pts").alias("ord", "p"))
     lines = lines.select("tile", "line_id", "ord", F.col("p.x").cast("double").alias("x"), (-F.col("p.y")).cast("double").alias("y"))
     turned = boxes.select(F.col("tile").cast("string").alias("tile"), *(v.cast("double").alias(n) for n, v in (("min_x", F.col("min_x")), ("min_y", -F.col("max_y")), ("max_x", F.col("max_x")), ("max_y", -F.col("min_y")))))
-    rings = polygonize_coast(lines, turned)
+    rings = cut_lineage(polygonize_coast(lines, turned))
     pts = F.arrays_zip(F.transform("xs", lambda v: F.round(v).cast("long")).alias("x"), F.transform("ys", lambda v: F.round(-v).cast("long")).alias("y"))
     made = rings.select("tile", F.when(F.col("kind") == "water", "coastline").otherwise("land").alias("value"), F.lit(True).alias("area"), pts.alias("pts"))
     corner = lambda x, y: F.struct(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"))

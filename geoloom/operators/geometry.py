@@ -7,6 +7,7 @@ tile or line class. Plain arrays of numbers go in and out.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict, deque
 
 import numpy as np
@@ -471,6 +472,36 @@ def _around(x: float, y: float, box: tuple[float, float, float, float]) -> float
     return 3 + (y1 - y) / (y1 - y0)
 
 
+def _clipped_pieces(lines: list[np.ndarray], box: tuple[float, float, float, float]) -> list[list[tuple[float, float]]]:
+    """The parts of lines inside a box as lists of points, in order: `clip_segment` for all segments at once."""
+    lines = [line for line in lines if len(line) > 1]
+    if not lines:
+        return []
+    points = np.concatenate(lines).astype(float)
+    inner = np.ones(len(points), bool)
+    inner[np.cumsum([len(line) for line in lines]) - 1] = False  # no segment from a line's last point
+    at = np.flatnonzero(inner)
+    (ax, ay), (bx, by) = points[at].T, points[at + 1].T
+    dx, dy = bx - ax, by - ay
+    t0, t1, out = np.zeros(len(at)), np.ones(len(at)), np.zeros(len(at), bool)
+    for p, q in ((-dx, ax - box[0]), (dx, box[2] - ax), (-dy, ay - box[1]), (dy, box[3] - ay)):
+        t = np.divide(q, p, out=np.zeros(len(at)), where=p != 0)
+        t0, t1 = np.where(p < 0, np.fmax(t0, t), t0), np.where((p < 0) | (p == 0), t1, np.fmin(t1, t))
+        out |= (p == 0) & (q < 0)
+    out |= t0 > t1
+    cut = np.column_stack([ax + t0 * dx, ay + t0 * dy, ax + t1 * dx, ay + t1 * dy])
+    kept = np.flatnonzero(~out & ((cut[:, 0] != cut[:, 2]) | (cut[:, 1] != cut[:, 3])))
+    cut, at = np.minimum(np.maximum(cut[kept], [box[0], box[1]] * 2), [box[2], box[3]] * 2), at[kept]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (np.diff(at) > 1) | (cut[1:, :2] != cut[:-1, 2:]).any(axis=1)
+    pieces: list[list[tuple[float, float]]] = []
+    for new, (x0, y0, x1, y1) in zip(fresh.tolist(), cut.tolist(), strict=True):
+        if new:
+            pieces.append([(x0, y0)])
+        pieces[-1].append((x1, y1))
+    return pieces
+
+
 def coast_polygons(lines: list[np.ndarray], box: tuple[float, float, float, float]) -> tuple[list[np.ndarray], int]:
     """I13. Closed rings of coastlines in a box, and the number of broken pieces.
 
@@ -479,25 +510,8 @@ def coast_polygons(lines: list[np.ndarray], box: tuple[float, float, float, floa
     Closed lines inside stay; pieces that end inside the box are broken.
     """
     x0, y0, x1, y1 = box
-    pieces: list[list[tuple[float, float]]] = []
-    for line in lines:
-        run: list[tuple[float, float]] = []
-        for (ax, ay), (bx, by) in zip(line[:-1].tolist(), line[1:].tolist(), strict=True):
-            cut = clip_segment(ax, ay, bx, by, box)
-            if cut is None or (cut[0], cut[1]) == (cut[2], cut[3]):
-                if run:
-                    pieces.append(run)
-                run = []
-                continue
-            cut = tuple(min(max(v, lo), hi) for v, lo, hi in zip(cut, (x0, y0, x0, y0), (x1, y1, x1, y1), strict=True))
-            if run and run[-1] != (cut[0], cut[1]):
-                pieces.append(run)
-                run = []
-            run = run or [(cut[0], cut[1])]
-            run.append((cut[2], cut[3]))
-        if run:
-            pieces.append(run)
-    by_start: dict[tuple, list[int]] = defaultdict(list)
+    pieces = _clipped_pieces(lines, box)
+    by_start: dict[tuple, deque[int]] = defaultdict(deque)
     for i, p in enumerate(pieces):
         by_start[p[0]].append(i)
     used, chained = set(), []
@@ -507,30 +521,46 @@ def coast_polygons(lines: list[np.ndarray], box: tuple[float, float, float, floa
             continue
         used.add(i)
         line = list(pieces[i])
-        while line[0] != line[-1] and (j := next((j for j in by_start[line[-1]] if j not in used), None)) is not None:
-            used.add(j)
-            line += pieces[j][1:]
+        while line[0] != line[-1] and (waiting := by_start.get(line[-1])):
+            j = waiting.popleft()
+            if j not in used:
+                used.add(j)
+                line += pieces[j][1:]
         chained.append(line)
     edge = lambda p: p[0] in (x0, x1) or p[1] in (y0, y1)
     rings = [p for p in chained if p[0] == p[-1]]
     open_ = [p for p in chained if p[0] != p[-1] and edge(p[0]) and edge(p[-1])]
     broken = len(chained) - len(rings) - len(open_)
     corners = [(0.0, (x0, y0)), (1.0, (x1, y0)), (2.0, (x1, y1)), (3.0, (x0, y1))]
-    left = list(range(len(open_)))
-    while left:
-        first = at = left.pop(0)
+    # pieces in the order of their starts round the box; the next free one from a place on is found by halving
+    starts = [_around(*p[0], box) for p in open_]
+    order = sorted(range(len(open_)), key=lambda i: (starts[i] % 4, i))
+    places, rank = [starts[i] % 4 for i in order], {i: k for k, i in enumerate(order)}
+    skip = list(range(len(order) + 1))
+
+    def free(k: int) -> int:
+        while skip[k] != k:
+            skip[k] = skip[skip[k]]
+            k = skip[k]
+        return k
+
+    for first in range(len(open_)):
+        if free(rank[first]) != rank[first]:
+            continue
+        skip[rank[first]] = rank[first] + 1
         ring = list(open_[first])
         while True:
             here = _around(*ring[-1], box)
-            options = [first, *left]
-            gap = lambda i: (_around(*open_[i][0], box) - here) % 4  # noqa: B023, E731
-            at = min(options, key=gap)
+            gap = lambda i: (starts[i] - here) % 4  # noqa: B023, E731
+            k = free(bisect_left(places, here % 4))
+            k = free(0) if k == len(order) else k
+            at = first if k == len(order) or gap(first) <= gap(order[k]) else order[k]
             ring += [c for k, c in sorted(corners, key=lambda kc: (kc[0] - here) % 4) if 0 < (k - here) % 4 < gap(at)]
             if at == first:
                 ring.append(ring[0])
                 break
             ring += open_[at]
-            left.remove(at)
+            skip[rank[at]] = rank[at] + 1
         rings.append(ring)
     return [np.array(r) for r in rings], broken
 
@@ -542,9 +572,11 @@ def polygonize_coast(lines: DataFrame, boxes: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         box = tuple(float(pdf[c].iloc[0]) for c in ("min_x", "min_y", "max_x", "max_y"))
-        lines_ = [g.sort_values("ord")[["x", "y"]].to_numpy(float) for _, g in pdf.groupby("line_id")]
-        rings, _ = coast_polygons([line for line in lines_ if len(line) > 1], box)
         tile = pdf["tile"].iloc[0]
+        pdf = pdf.dropna(subset=["line_id"]).sort_values(["line_id", "ord"])
+        ids, points = pdf["line_id"].to_numpy(), pdf[["x", "y"]].to_numpy(float)
+        lines_ = np.split(points, np.flatnonzero(ids[1:] != ids[:-1]) + 1)
+        rings, _ = coast_polygons(lines_, box)
         out = []
         on_edge = lambda r: ((r[:, 0] == box[0]) | (r[:, 0] == box[2]) | (r[:, 1] == box[1]) | (r[:, 1] == box[3])).any()
         if rings and not any(on_edge(r) for r in rings) and not any(is_clockwise(r[:, 0], r[:, 1]) for r in rings):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -58,6 +59,18 @@ def test_coast_rings_are_closed_and_inside():
     assert area == pytest.approx(60.0)  # land is on the left of the line, above it
 
 
+def test_coast_with_many_crossings():
+    """Bays next to each other along a side: the next entry is found by halving, not among all."""
+    n = 8000
+    bays = [np.array([(i + 0.75, -1.0), (i + 0.75, 1.0), (i + 0.25, 1.0), (i + 0.25, -1.0)]) for i in range(n)]
+    begun = time.perf_counter()
+    rings, broken = g.coast_polygons(bays, (0.0, 0.0, float(n), 10.0))
+    assert time.perf_counter() - begun < 20
+    area = sum(float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum()) / 2 for r in rings)
+    assert broken == 0 and abs(area) == pytest.approx(n * 0.5)
+    assert len(rings) == n
+
+
 def test_winding_is_repaired():
     outer = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]  # counter-clockwise: to be turned
     inner = [(2, 2), (2, 4), (4, 4), (4, 2), (2, 2)]  # clockwise: to be turned
