@@ -62,6 +62,7 @@ def generalise(
     parts = [full, points]
     if polygons is not None:
         areas = typed.withColumnRenamed("id", "rel_id").join(polygons.select("rel_id", "id", "lats", "lons", "holes"), "rel_id").withColumn("form", F.lit("polygon")).select(*OUT)
+        areas = cut_lineage(areas)
         parts.append(areas.where("level = 0"))
     for level, _, high in levels:
         if level == 0:

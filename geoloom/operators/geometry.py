@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.chains import chain_positions
-from geoloom.operators.components import components, dealt
-from geoloom.session import cut_lineage, ranked
+from geoloom.operators.components import GROUP_ROWS, components, dealt
+from geoloom.session import cut_lineage, in_parts, ranked
 
 MERCATOR_LIMIT = 85.0511
+MEMBER_ROWS = 20_000  # member ways that a task joins
 
 
 def pixels(lat: np.ndarray, lon: np.ndarray, zoom: float) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +199,8 @@ def simplify_cycles(rings: DataFrame, zoom: int, smoothness: int = 2, keep: tupl
         kept = _simplified_many(lat, lon, starts, zoom + 8 + smoothness, 3.0)
         return pd.Series([k if len(k) >= 2 and not s else k[:0] for k, s in zip(kept, small.tolist(), strict=True)], dtype=object)
 
-    return rings.select("id", run("lats", "lons").alias("kept"), *keep).where(F.size("kept") > 0)
+    once = run.asNondeterministic()  # so that the filter isn't a second call
+    return rings.select("id", once("lats", "lons").alias("kept"), *keep).where(F.size("kept") > 0)
 
 
 def simplify_roads(lines: DataFrame, epsilon_m: float = 15.0) -> DataFrame:
@@ -282,20 +284,15 @@ def join_ways(ways: list[list[int]]) -> list[list[int]]:
 def assemble_rings(member_ways: DataFrame) -> DataFrame:
     """I5. (rel_id, role, ring, node_ids, closed) from (rel_id, role, ord, node_ids)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        rings = join_ways([list(w) for w in pdf["node_ids"]])
-        return pd.DataFrame(
-            {
-                "rel_id": pdf["rel_id"].iloc[0],
-                "role": pdf["role"].iloc[0],
-                "ring": range(len(rings)),
-                "node_ids": rings,
-                "closed": [r[0] == r[-1] for r in rings],
-            }
-        )
+    @F.pandas_udf("array<array<bigint>>")
+    def joined(ways: pd.Series) -> pd.Series:
+        return pd.Series([join_ways([list(w) for w in held]) for held in ways], dtype=object)
 
-    return member_ways.groupBy("rel_id", "role").applyInPandas(run, "rel_id long, role string, ring int, node_ids array<long>, closed boolean")
+    key = ("rel_id", "role")
+    way = F.struct(F.col("ord").isNull().alias("unplaced"), "ord", "node_ids")
+    held = in_parts(member_ways.select(*key, way.alias("way")), MEMBER_ROWS, *key).groupBy(*key).agg(F.array_sort(F.collect_list("way"))["node_ids"].alias("ways"))
+    rings = held.select(*key, F.posexplode(joined("ways")).alias("ring", "node_ids"))
+    return rings.withColumn("closed", F.element_at("node_ids", 1) == F.element_at("node_ids", -1))
 
 
 def inside_ring(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -320,11 +317,14 @@ def build_multipolygons(rings: DataFrame) -> tuple[DataFrame, DataFrame]:
     outer are rejected. outer and inners are ring numbers.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rel = pdf["rel_id"].iloc[0]
-        out: list[tuple] = [(rel, -1, -1, [], "open ring") for _ in range(int((~pdf["closed"]).sum()))]
-        kept = pdf[pdf["closed"]].sort_values("ring")
-        shape = {(r.role, r.ring): (np.asarray(r.lons, float), np.asarray(r.lats, float)) for r in kept.itertuples()}
+    def built(rel: int, pdf: pd.DataFrame) -> list[tuple]:
+        out: list[tuple] = []
+        shape = {}
+        for role, ring, lats, lons, closed in zip(pdf["role"], pdf["ring"], pdf["lats"], pdf["lons"], pdf["closed"], strict=True):
+            if closed:
+                shape[role, ring] = (np.asarray(lons, float), np.asarray(lats, float))
+            else:
+                out.append((rel, -1, -1, [], "open ring"))
         outers = [k for k in shape if k[0] == "outer"]
         holes: dict[tuple, list[int]] = {k: [] for k in outers}
         for k in (k for k in shape if k[0] == "inner"):
@@ -334,10 +334,21 @@ def build_multipolygons(rings: DataFrame) -> tuple[DataFrame, DataFrame]:
                 out.append((rel, -1, -1, [int(k[1])], "inner without outer"))
             else:
                 holes[home].append(int(k[1]))
-        out += [(rel, i, int(o[1]), holes[o], "") for i, o in enumerate(outers)]
+        return out + [(rel, i, int(o[1]), holes[o], "") for i, o in enumerate(outers)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All relations of a group, one after the other."""
+        codes, rels = pd.factorize(pdf["rel_id"], use_na_sentinel=False)
+        order = np.lexsort((pdf["ring"].to_numpy(), codes))
+        pdf, cuts = pdf.iloc[order], np.searchsorted(codes[order], np.arange(len(rels) + 1))
+        out = [row for i, rel in enumerate(rels.tolist()) for row in built(rel, pdf.iloc[cuts[i] : cuts[i + 1]])]
         return pd.DataFrame(out, columns=["rel_id", "polygon", "outer", "inners", "reason"])
 
-    made = rings.groupBy("rel_id").applyInPandas(run, "rel_id long, polygon int, outer int, inners array<int>, reason string")
+    rings = rings.select("rel_id", "role", "ring", "lats", "lons", "closed")
+    group = dealt(rings.count(), "rel_id")
+    grouped = in_parts(rings.withColumn("group", group), GROUP_ROWS, "group")
+    made = grouped.groupBy("group").applyInPandas(run, "rel_id long, polygon int, outer int, inners array<int>, reason string")
+    made = cut_lineage(made)
     return made.where("reason = ''").drop("reason"), made.where("reason <> ''").select("rel_id", "inners", "reason")
 
 

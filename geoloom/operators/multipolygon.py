@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from geoloom.operators.containment import located_rings
 from geoloom.operators.geometry import assemble_rings, build_multipolygons, inside_ring, pixels, simplified_points
+from geoloom.session import cut_lineage, in_parts
 
+AT_ONCE = 2_000  # polygons that a task simplifies
 RING = "struct<lats:array<double>,lons:array<double>>"
 Ring = tuple[np.ndarray, np.ndarray]
 
@@ -20,9 +22,9 @@ Ring = tuple[np.ndarray, np.ndarray]
 def polygons_of_ways(member_ways: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Polygons and rejects (as in `polygons_of_rings`) of relations whose rings are cut into ways.
     member_ways: rel_id, role, ord, node_ids; nodes: id, lat, lon. Lines that don't close are rejected."""
-    made = assemble_rings(member_ways)
+    made = cut_lineage(assemble_rings(member_ways))
     open_ = made.where("NOT closed").select("rel_id", F.array().cast("array<int>").alias("inners"), F.lit("open ring").alias("reason"))
-    rings = located_rings(made, nodes).withColumnRenamed("b_id", "rel_id").withColumn("closed", F.lit(True))
+    rings = cut_lineage(located_rings(made, nodes).withColumnRenamed("b_id", "rel_id").withColumn("closed", F.lit(True)))
     polygons, rejects = polygons_of_rings(rings)
     return polygons, rejects.unionByName(open_)
 
@@ -56,8 +58,11 @@ def _meet(one: Ring, other: Ring) -> bool:
     """Whether edges of two closed rings cross."""
     (ay, ax), (by, bx) = one, other
     turn = lambda px, py, qx, qy, rx, ry: (ry - py) * (qx - px) - (qy - py) * (rx - px)
-    for i in range(len(ax) - 1):
-        a, b, c, d = (ax[i], ay[i]), (ax[i + 1], ay[i + 1]), (bx[:-1], by[:-1]), (bx[1:], by[1:])
+    c, d = (bx[None, :-1], by[None, :-1]), (bx[None, 1:], by[None, 1:])
+    step = max(1, 1_000_000 // max(1, len(bx)))  # edges at once
+    for i in range(0, len(ax) - 1, step):
+        j = min(i + step, len(ax) - 1)
+        a, b = (ax[i:j, None], ay[i:j, None]), (ax[i + 1 : j + 1, None], ay[i + 1 : j + 1, None])
         if ((turn(*a, *b, *c) * turn(*a, *b, *d) < 0) & (turn(*c, *d, *a) * turn(*c, *d, *b) < 0)).any():
             return True
     return False
@@ -109,4 +114,4 @@ def simplify_polygons(polygons: DataFrame, zoom: int, smoothness: int = 2) -> Da
                     out.append(values)
             yield pd.DataFrame(out, columns=columns)
 
-    return polygons.mapInPandas(run, schema)
+    return in_parts(polygons, AT_ONCE).mapInPandas(run, schema)

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from geoloom.operators import generalise, multipolygon, rules
+from geoloom.operators import generalise, geometry, multipolygon, rules
 from geoloom.operators.geometry import inside_ring
 
 
@@ -94,3 +94,20 @@ def test_odd_polygons(spark):
     out = multipolygon.simplify_polygons(spark.createDataFrame(rows, schema), 8)
     assert sorted((r["id"], len(r["lats"]), r["note"]) for r in out.collect()) == [(1, 5, "a"), (4, 5, "d"), (4, 5, "d")]
     assert multipolygon.simplify_polygons(spark.createDataFrame([], schema), 8).count() == 0
+
+
+def test_rings_and_polygons_are_made_in_parts(spark):
+    """However few bytes the member ways have: they are joined, and holes find their homes, on all cores."""
+    ways, nodes = [], []
+    for rel in range(40):
+        for r, (role, radius) in enumerate((("outer", 0.2), ("inner", 0.1))):
+            lats, lons = circle(10.0 + rel, 20.0, radius, 16)
+            first = 1000 * rel + 100 * r
+            nodes += [(first + k, a, o) for k, (a, o) in enumerate(zip(lats, lons, strict=True))]
+            ways += cut(rel, role, first, 16, 4, 0)
+    member_ways = spark.createDataFrame(ways, "rel_id long, role string, ord int, node_ids array<long>")
+    rings = geometry.assemble_rings(member_ways)
+    assert rings.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rings.where("closed").count() == 80
+    polygons, rejects = multipolygon.polygons_of_ways(member_ways, spark.createDataFrame(nodes, "id long, lat double, lon double"))
+    assert polygons.where("size(holes) = 1 AND size(lats) = 17").count() == 40 and rejects.count() == 0
+    assert multipolygon.simplify_polygons(polygons, 12).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
