@@ -12,7 +12,7 @@ from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.chains import chain_positions
@@ -180,7 +180,8 @@ def simplify_lines(lines: DataFrame, zoom: int, epsilon: float = 3.0, guard: boo
             return pd.Series(_simplified_many(*_flat(lats, lons), zoom, epsilon), dtype=object)
         return pd.Series([simplified_points(np.asarray(a, float), np.asarray(o, float), zoom, epsilon, guard) for a, o in zip(lats, lons, strict=True)])
 
-    return lines.select("id", run("lats", "lons").alias("kept"), *keep)
+    once = run.asNondeterministic()  # so that a filter on `kept` isn't a second call
+    return lines.select("id", once("lats", "lons").alias("kept"), *keep)
 
 
 def simplify_cycles(rings: DataFrame, zoom: int, smoothness: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -385,8 +386,9 @@ def chain_roads(roads: DataFrame, most_degrees: float = 90.0) -> DataFrame:
     the smallest turning angle below `most_degrees`; pairs take each other only if both prefer it.
     roads: id, class, ref, name, node_ids, lats, lons. Roads of under two points are chains by themselves.
 
-    Ends choose among those at their node, so nodes are dealt into groups; the pairs make chains,
-    which are walked in groups of whole chains.
+    Ends choose among those at their node, which are one row of it, in column expressions; an end without
+    a direction (null coordinates) takes no part. The pairs make chains, which are walked in groups of
+    whole chains.
     """
     roads = cut_lineage(roads.select("id", "class", "ref", "name", "node_ids", "lats", "lons"))
     point = lambda c, i: F.element_at(c, i)
@@ -395,26 +397,21 @@ def chain_roads(roads: DataFrame, most_degrees: float = 90.0) -> DataFrame:
     )
     both = roads.where((F.size("node_ids") > 1) & (F.size("lats") > 1))
     ends = both.select("id", "class", F.coalesce("ref", F.lit("")).alias("ref"), F.coalesce("name", F.lit("")).alias("name"), F.explode(F.array(side(0, 1, 2), side(1, -1, -2))).alias("e"))
-    ends = ends.select("id", F.xxhash64("class", "ref", "name", "e.node").alias("junction"), "class", "ref", "name", "e.*")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, met in pdf.groupby(["class", "ref", "name", "node"], dropna=False):
-            if len(met) < 2:
-                continue
-            met = met.sort_values(["id", "side"])
-            ids, sides, angles = met["id"].to_numpy(), met["side"].to_numpy(), met["angle"].to_numpy()
-            best = np.full(len(met), -1)
-            for i in range(len(met)):
-                turn = np.abs(np.degrees(np.pi - np.abs((angles[i] - angles + np.pi) % (2 * np.pi) - np.pi)))
-                turn[ids == ids[i]] = np.inf
-                if turn.min() < most_degrees:
-                    best[i] = int(turn.argmin())
-            out += [(ids[i], sides[i], ids[j], sides[j]) for i, j in enumerate(best) if j >= 0 and best[j] == i]
-        return pd.DataFrame(out, columns=["a", "a_side", "b", "b_side"])
-
-    group = dealt(2 * roads.count(), "junction")
-    links = cut_lineage(ends.groupBy(group.alias("group")).applyInPandas(choose, "a long, a_side int, b long, b_side int"))
+    ends = ends.select("id", "class", "ref", "name", "e.*").where("angle IS NOT NULL")
+    met = ends.groupBy("class", "ref", "name", "node").agg(F.array_sort(F.collect_list(F.struct("id", "side", "angle"))).alias("ends")).where(F.size("ends") > 1)
+
+    def turn(a: Column, b: Column) -> Column:
+        d = a["angle"] - b["angle"] + math.pi
+        return F.abs(F.degrees(math.pi - F.abs((d - F.floor(d / (2 * math.pi)) * (2 * math.pi)) - math.pi)))
+
+    other = lambda e: F.filter("ends", lambda o: o["id"] != e["id"])
+    best = lambda e: F.array_min(F.transform(other(e), lambda o: F.struct(turn(e, o).alias("turn"), o["id"].alias("id"), o["side"].alias("side"))))
+    chosen = F.transform("ends", lambda e: F.struct(e["id"].alias("id"), e["side"].alias("side"), best(e).alias("to")))
+    chosen = met.select(F.filter(chosen, lambda e: e["to"]["turn"] < most_degrees).alias("chosen"))
+    same = lambda a, b: (a["id"] == b["id"]) & (a["side"] == b["side"])
+    mutual = F.filter("chosen", lambda e: F.exists("chosen", lambda o: same(o, e["to"]) & same(o["to"], e)))
+    links = chosen.select(F.explode(mutual).alias("e")).select(F.col("e.id").alias("a"), F.col("e.side").alias("a_side"), F.col("e.to.id").alias("b"), F.col("e.to.side").alias("b_side"))
+    links = cut_lineage(links)
     roots = components(links)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:

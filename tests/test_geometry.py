@@ -125,6 +125,12 @@ def test_chained_roads(spark):
     assert sorted(sorted(r["road_ids"]) for r in g.chain_roads(df).collect()) == [[1, 2], [3]]
 
 
+def test_end_without_direction_hinders_no_other(spark):
+    rows = [(1, "p", None, "x", [1, 2], [0.0, 0.0], [0.0, 1.0]), (2, "p", None, "x", [2, 3], [0.0, 0.0], [1.0, 2.0]), (3, "p", None, "x", [2, 4], [0.0, None], [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, class string, ref string, name string, node_ids array<long>, lats array<double>, lons array<double>")
+    assert sorted(sorted(r["road_ids"]) for r in g.chain_roads(df).collect()) == [[1, 2], [3]]
+
+
 def _reduced(points, epsilon, fixed=()):
     """Indexes that Douglas-Peucker keeps, by recursion; `fixed` ones stay."""
 
