@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from geoloom.session import in_parts
 from geoloom.sources.stores import read_range, write_file
 
 SHAPE_SCHEMA = (
@@ -23,6 +24,8 @@ SHAPE_SCHEMA = (
 )
 
 RECORDS = 100_000  # that a task reads of a file
+TASKS = 64  # of a scan, or four a core; beyond that its tasks read more records each, up to RECORDS
+AT_ONCE = 10_000  # records that a task holds
 
 #: fixed values: type codes; 0 is the null shape
 POINTS, ARCS, POLYGONS, MULTIPOINTS, MULTIPATCH = (1, 11, 21), (3, 13, 23), (5, 15, 25), (8, 18, 28), 31
@@ -70,40 +73,49 @@ def _shape(b: bytes) -> tuple:
     return kind, parts, part_types, xy[0::2].tolist(), xy[1::2].tolist(), z, m
 
 
-def _ranges(spark: SparkSession, rows: list[tuple[str, int, int]]) -> DataFrame:
-    """(path, first, last), a partition each."""
+def _ranges(spark: SparkSession, sizes: list[tuple[str, int]], records_per_task: int) -> DataFrame:
+    """(path, first, last), about a partition each, of files and their numbers of records; a file whose
+    number isn't known (-1) is one range, and last is -1."""
+    tasks = max(TASKS, 4 * spark.sparkContext.defaultParallelism)
+    step = max(records_per_task, min(RECORDS, -(-sum(max(n, 0) for _, n in sizes) // tasks)))
+    rows = [(name, a, min(a + step, n)) for name, n in sizes for a in range(0, n, step)] + [(name, 0, -1) for name, n in sizes if n < 0]
     ranges = spark.createDataFrame(rows, "path string, first bigint, last bigint")
     return ranges.repartition(max(1, len(rows)), "path", "first")
 
 
+def _runs(first: int, last: int) -> Iterator[tuple[int, int]]:
+    """A range in pieces of AT_ONCE records."""
+    return ((a, min(a + AT_ONCE, last)) for a in range(first, last, AT_ONCE))
+
+
 def read_shapes(spark: SparkSession, path: str, mask: str = "*.shp", records_per_task: int = RECORDS) -> DataFrame:
     """A11. One row for each record of the files under `path` that the mask fits. A file without a
     record index (.shx) is walked by one task."""
     held = [r["path"] for r in files(spark, path, mask).select("path").collect()]
     index = {r["path"][:-4].lower(): (r["path"], r["length"]) for r in files(spark, path, "*.shx").select("path", "length").collect()}
-    rows = []
+    sizes = []
     for name in sorted(held):
         _, size = index.get(name[:-4].lower(), ("", 0))
-        n = (size - 100) // 8
-        rows += [(name, a, min(a + records_per_task, n)) for a in range(0, n, records_per_task)] if size else [(name, 0, -1)]
+        sizes.append((name, max(0, (size - 100) // 8) if size else -1))
     indexes = {k: v[0] for k, v in index.items()}
 
+    def run_of(name: str, first: int, last: int) -> bytes:
+        at = np.frombuffer(read_range(indexes[name[:-4].lower()], 100 + 8 * first, 100 + 8 * last), ">i4").astype(np.int64) * 2
+        return read_range(name, int(at[0]), int(at[-2] + 8 + at[-1]))
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, first, last in zip(batch["path"], batch["first"], batch["last"], strict=True):
-                if last < 0:
-                    data = read_range(name, 100)
-                else:
-                    at = np.frombuffer(read_range(indexes[name[:-4].lower()], 100 + 8 * int(first), 100 + 8 * int(last)), ">i4").astype(np.int64) * 2
-                    data = read_range(name, int(at[0]), int(at[-2] + 8 + at[-1]))
-                rows = []
-                for number, kind, parts, part_types, x, y, z, m in records(data, int(first)):
-                    box = (min(x), min(y), max(x), max(y)) if x else (None,) * 4
-                    rows.append((name, number, kind, parts, part_types, x, y, z, m, *box))
-                if rows:
-                    yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in SHAPE_SCHEMA.split(", ")])
+            for name, first, last in zip(batch["path"], batch["first"].tolist(), batch["last"].tolist(), strict=True):
+                runs = [(0, read_range(name, 100))] if last < 0 else ((a, run_of(name, a, b)) for a, b in _runs(first, last))
+                for start, data in runs:
+                    rows = []
+                    for number, kind, parts, part_types, x, y, z, m in records(data, start):
+                        box = (min(x), min(y), max(x), max(y)) if x else (None,) * 4
+                        rows.append((name, number, kind, parts, part_types, x, y, z, m, *box))
+                    if rows:
+                        yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in SHAPE_SCHEMA.split(", ")])
 
-    return _ranges(spark, rows).mapInPandas(decode, SHAPE_SCHEMA)
+    return _ranges(spark, sizes, records_per_task).mapInPandas(decode, SHAPE_SCHEMA)
 
 
 def files(spark: SparkSession, path: str, mask: str) -> DataFrame:
@@ -158,37 +170,35 @@ def read_attributes(spark: SparkSession, path: str, mask: str = "*.dbf", records
         [StructField("file", StringType()), StructField("rec_no", IntegerType()), StructField("deleted", BooleanType())]
         + [StructField(n, _spark_type(k, w, d)) for n, k, w, d in schema_fields]
     )
-    rows = []
-    for name in held:
-        n = struct.unpack("<I", read_range(name, 4, 8))[0]
-        rows += [(name, a, min(a + records_per_task, n)) for a in range(0, n, records_per_task)]
+    sizes = [(name, struct.unpack("<I", read_range(name, 4, 8))[0]) for name in held]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, first, last in zip(batch["path"], batch["first"], batch["last"], strict=True):
+            for name, first, last in zip(batch["path"], batch["first"].tolist(), batch["last"].tolist(), strict=True):
                 front = _table_head(name)
                 own = {n: (k, w, d) for n, k, w, d in table_fields(front)}
                 head, width = struct.unpack("<HH", front[8:12])
-                data = read_range(name, head + int(first) * width, head + int(last) * width)
-                columns: dict[str, list] = {n: [] for n, *_ in schema_fields}
-                deleted = []
-                for i in range(len(data) // width):
-                    record = data[i * width : (i + 1) * width].decode("latin-1")
-                    deleted.append(record[:1] == "*")
-                    at = 1
-                    for n, (k, w, d) in own.items():
-                        if n in columns:
-                            columns[n].append(_value(record[at : at + w], k, d, w))
-                        at += w
-                count = len(deleted)
-                if count:
-                    out = pd.DataFrame({"file": name, "rec_no": range(int(first), int(first) + count), "deleted": deleted})
-                    for n, k, w, d in schema_fields:
-                        kind = "boolean" if k == "L" else None if k in "CD" else "float64" if d or k == "F" else "Int64"
-                        out[n] = pd.Series(columns[n] or [None] * count, dtype=kind or object)
-                    yield out
-
-    return _ranges(spark, rows).mapInPandas(decode, schema)
+                for start, stop in _runs(first, last):
+                    data = read_range(name, head + start * width, head + stop * width)
+                    columns: dict[str, list] = {n: [] for n, *_ in schema_fields}
+                    deleted = []
+                    for i in range(len(data) // width):
+                        record = data[i * width : (i + 1) * width].decode("latin-1")
+                        deleted.append(record[:1] == "*")
+                        at = 1
+                        for n, (k, w, d) in own.items():
+                            if n in columns:
+                                columns[n].append(_value(record[at : at + w], k, d, w))
+                            at += w
+                    count = len(deleted)
+                    if count:
+                        out = pd.DataFrame({"file": name, "rec_no": range(start, start + count), "deleted": deleted})
+                        for n, k, w, d in schema_fields:
+                            kind = "boolean" if k == "L" else None if k in "CD" else "float64" if d or k == "F" else "Int64"
+                            out[n] = pd.Series(columns[n] or [None] * count, dtype=kind or object)
+                        yield out
+
+    return _ranges(spark, sizes, records_per_task).mapInPandas(decode, schema)
 
 
 def _table_head(path: str) -> bytes:
@@ -241,4 +251,4 @@ def write_layers(rings: DataFrame, path: str, name: str, fields: list[tuple[str,
         write_file(f"{stem}.dbf", front + heads + b"\r" + "".join(rows).encode("latin-1", "replace"))
         return pd.DataFrame({"layer": [key[0]], "n": [len(rows)]})
 
-    return rings.groupBy(name).applyInPandas(write, "layer string, n long")
+    return in_parts(rings, 100_000, name).groupBy(name).applyInPandas(write, "layer string, n long")
