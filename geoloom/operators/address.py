@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import tags
 from geoloom.functions.geo import EARTH_KM, distance_m, wrap_longitude
-from geoloom.operators.components import components
-from geoloom.session import cut_lineage
+from geoloom.operators.components import SMALL_ROWS, components
+from geoloom.session import bounded, cut_lineage, in_parts
+
+VERTEX_ROWS = 1_000_000  # vertices of whole streets that a task of merge_streets gathers
 
 
 def get_or_create_streets(found: DataFrame) -> DataFrame:
@@ -129,8 +131,8 @@ def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
     a name stay by themselves. vertices: city_id, street_id, name, lat, lon.
 
     Vertices of one city and name fall into cells so small that all in a cell, or in two adjacent
-    ones, are within `max_m`: each is linked to its cell's first street. Cells are linked by their
-    boxes where these suffice. Only cells of different components that boxes leave open have their
+    ones, are within `max_m`: each goes with its cell's first street, so only these are linked, those of a
+    street's cells and those of cells whose boxes suffice. Only cells of different components that boxes leave open have their
     distinct points compared, those within `max_m` of the other's box, so a hot cell doesn't pair its
     vertices. Rows of cells have their own width in degrees, and columns go round the antimeridian.
     """
@@ -144,10 +146,13 @@ def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
     keys = ["city_id", "name", "cy", "cx"]
     points = vertices.select("city_id", "street_id", F.lower("name").alias("name"), "lat", wrap_longitude(F.col("lon")).alias("lon")).dropna()
     points = points.withColumn("cy", F.floor(F.col("lat") / side)).withColumn("cx", F.pmod(column(F.col("lon"), F.col("cy")), columns(F.col("cy"))))
-    points = cut_lineage(points.distinct())
+    points = cut_lineage(points)
     box = [f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))]
     cells = cut_lineage(points.groupBy(*keys).agg(F.min("street_id").alias("rep"), *box))
-    own = points.join(cells.select(*keys, "rep"), keys).select(F.col("street_id").alias("a"), F.col("rep").alias("b"))
+    # a street's cells are linked to the first of them, so components are those of the cells' first streets
+    firsts = bounded(cells.select(*keys, "rep"), SMALL_ROWS)
+    own = in_parts(points.select("street_id", *keys), VERTEX_ROWS, "street_id").join(firsts, keys).groupBy("street_id").agg(F.collect_set("rep").alias("reps"))
+    own = cut_lineage(own.select("street_id", F.array_min("reps").alias("home"), "reps"))
 
     other = cells.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("rep", "lo_lat", "hi_lat", "lo_lon", "hi_lon")))
     around = cells.withColumnsRenamed({"cy": "y", "cx": "x"}).withColumn("cy", F.explode(F.sequence(F.col("y") - rows, F.col("y") + rows)))
@@ -166,7 +171,7 @@ def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
     boxes = [f"{o}{n}_{c}" for o in ("", "o_") for n in ("lo", "hi") for c in ("lat", "lon")]
     both = ["city_id", "name", "y", "x", "cy", "cx"]
     pairs = cut_lineage(pairs.select(*both, *boxes, "reach", F.col("rep").alias("a"), F.col("o_rep").alias("b"), sure.alias("sure")))
-    links = cut_lineage(own.union(pairs.where("sure").select("a", "b")).distinct())
+    links = own.select(F.explode("reps").alias("a"), F.col("home").alias("b")).union(pairs.where("sure").select("a", "b"))
     roots = cut_lineage(components(links))
 
     open_ = pairs.where("not sure").join(roots.toDF("a", "a_root"), "a").join(roots.toDF("b", "b_root"), "b").where("a_root <> b_root")
@@ -183,7 +188,8 @@ def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
     met = here.select(*both, "a_root", "b_root", "lat", "lon").join(there, both)
     met = met.where(distance_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) <= max_m)
     more = cut_lineage(met.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
-    merged = roots.join(components(more).toDF("root", "merged"), "root", "left").select(F.col("node").alias("street_id"), F.coalesce("merged", "root").alias("merged_id"))
+    merged = roots.join(components(more).toDF("root", "merged"), "root", "left").select(F.col("node").alias("home"), F.coalesce("merged", "root").alias("merged_id"))
+    merged = own.select("street_id", "home").join(bounded(cut_lineage(merged), SMALL_ROWS), "home").select("street_id", "merged_id")
     return vertices.select("street_id").distinct().join(merged, "street_id", "left").select("street_id", F.coalesce("merged_id", "street_id").alias("merged_id"))
 
 

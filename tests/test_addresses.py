@@ -47,3 +47,12 @@ def test_street_merge_matches_brute_force(spark):
 def test_street_merge_query_takes_all_ways(spark, small_dir):
     ways = spark.read.parquet(f"{small_dir}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert QUERIES["i12_street_merge"](spark, small_dir).count() > 0.9 * ways
+
+
+def test_streets_of_a_cell_are_no_nodes_of_the_search(spark, monkeypatch):
+    """Only the first streets of cells are linked, however many streets there are."""
+    rows = [(1, k, "High", 48.0 + k % 2 * 0.02, 11.0) for k in range(400)] + [(1, 1000, "High", 48.0, 11.0), (1, 1000, "high", 48.01, 11.0)]
+    nodes, whole = [], address.components
+    monkeypatch.setattr(address, "components", lambda links: nodes.append(links.select("a").union(links.select("b")).distinct().count()) or whole(links))
+    got = {r["street_id"]: r["merged_id"] for r in address.merge_streets(spark.createDataFrame(rows, "city_id long, street_id long, name string, lat double, lon double")).collect()}
+    assert got == {k: k % 2 for k in range(400)} | {1000: 0} and max(nodes) <= 4
