@@ -144,6 +144,37 @@ def test_shapes_and_attributes(spark, tmp_path):
     assert shapefile.files(spark, str(tmp_path), "a.s?p").count() == 1
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Each range of an extract or a layer isn't a task where ranges are small and many; all are read."""
+    spark.dataSource.register(pbf.PbfSource)
+    elements = spark.range(3000).selectExpr("'way' AS kind", "id", "CAST(NULL AS DOUBLE) AS lat", "CAST(NULL AS DOUBLE) AS lon", "map('name', concat('w', id)) AS tags", "array(id, -id, id * 1000000007) AS refs")
+    elements = elements.selectExpr("*", "CAST(NULL AS array<struct<id:bigint,type:int,role:string>>) AS members")
+    pbf.write_extract(elements, str(tmp_path / "ways"), per_block=10)
+    back = spark.read.format("osmpbf").option("rangeBytes", 200).load(str(tmp_path / "ways"))
+    assert back.rdd.getNumPartitions() <= 2 * pbf.PARTITIONS
+    assert sorted(map(str, back.collect())) == sorted(map(str, elements.collect()))
+
+    x, y = "array(0D, 0D, 1D, 0D) AS x", "array(0D, 1D, 1D, 0D) AS y"
+    rings = spark.range(2000).selectExpr("'a' AS layer", "id AS order", "false AS deleted", x, y, "id AS ID")
+    shapefile.write_layers(rings, str(tmp_path / "layers"), "layer", [("ID", "N", 9, 0)]).collect()
+    shapes = shapefile.read_shapes(spark, str(tmp_path / "layers"), records_per_task=1)
+    attributes = shapefile.read_attributes(spark, str(tmp_path / "layers"), records_per_task=1)
+    assert max(shapes.rdd.getNumPartitions(), attributes.rdd.getNumPartitions()) <= 2 * shapefile.TASKS
+    assert sorted(r["rec_no"] for r in shapes.collect()) == list(range(2000))
+    assert sorted((r["rec_no"], r["ID"]) for r in attributes.collect()) == [(k, k) for k in range(2000)]
+
+
+def test_repeated_keys_and_numbers_of_all_sizes(spark, tmp_path):
+    """Of a key that an element has twice the first value counts; packed numbers have up to ten bytes."""
+    strings = msg(1, b"".join(msg(1, s) for s in (b"", b"a", b"x", b"y", b"a")))
+    refs = [0, 2**61, -(2**61), 1, -1, 127, 128, -(2**40)]
+    way = lambda i, r: msg(3, num(1, i) + msg(2, packed([1, 4])) + msg(3, packed([2, 3])) + msg(8, packed(deltas(r), True)))
+    (tmp_path / "w.osm.pbf").write_bytes(blob(b"OSMData", strings + msg(2, way(1, refs) + way(2, []) + way(3, refs[::-1])), True))
+    spark.dataSource.register(pbf.PbfSource)
+    rows = {r["id"]: r for r in spark.read.format("osmpbf").load(str(tmp_path)).collect()}
+    assert [rows[k]["refs"] for k in (1, 2, 3)] == [refs, [], refs[::-1]] and all(r["tags"] == {"a": "x"} for r in rows.values())
+
+
 def test_rule_catalogue(spark, tmp_path):
     (tmp_path / "rules.xml").write_text(
         """<rules><category minzoom="12"><type tag="highway" value="primary"/><type tag="oneway" value="yes" kind="additional" apply_to="highway"/></category>
