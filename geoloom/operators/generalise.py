@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geo
 from geoloom.operators import geometry, mapobj, multipolygon, rules
-from geoloom.session import cut_lineage
+from geoloom.session import cut_lineage, in_parts
 
 #: fixed values: pixel boxes up to which merged lines are too small to draw, closed and open ones
 SMALL_CLOSED, SMALL_OPEN = (3, 4), (2, 8)
+ENTITY_ROWS = 50_000  # entities that a task encodes
 OUT = ("level", "id", "form", "types", "add_types", "name", "lats", "lons", "holes")
 
 
@@ -38,7 +39,7 @@ def generalise(
     holes at the others. holes is empty for all other forms.
     """
     levels = geo.parse_zooms(zooms)
-    named = entities.select("id", "tags", "is_node", F.col("tags")["name"].alias("name"))
+    named = in_parts(entities.select("id", "tags", "is_node", F.col("tags")["name"].alias("name")), ENTITY_ROWS, "id")
     typed = rules.encode_levels(named, rule_table, {level: high for level, _, high in levels}, "name").select("level", "id", "types", "add_types", "name")
     if polygons is not None:
         typed = cut_lineage(typed)

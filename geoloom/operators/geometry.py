@@ -164,9 +164,10 @@ def _simplified_many(lat: np.ndarray, lon: np.ndarray, starts: np.ndarray, zoom:
     """`simplified_points` for many lines at once."""
     x, y = pixels(lat, lon, min(zoom, 31))
     out = _kept_lists(simplify_many(x, y, starts, epsilon), starts)
-    for i in np.flatnonzero(np.diff(starts) > 1):
-        a, b = starts[i], starts[i + 1] - 1
-        if len(out[i]) and abs(x[a] - x[b]) + abs(y[a] - y[b]) < 1e-3:
+    some = np.flatnonzero(np.diff(starts) > 1)
+    a, b = starts[some], starts[some + 1] - 1
+    for i in some[np.abs(x[a] - x[b]) + np.abs(y[a] - y[b]) < 1e-3].tolist():
+        if len(out[i]):
             out[i] = np.append(out[i], np.int32(0))
     return out
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -230,3 +231,19 @@ def test_render_set_values(spark):
     texts = {(r["id"], r["text"], r["size"], r["color"]) for r in made["texts"].collect()}
     assert texts == {(i, f"n{i}", 12.0, 0xFF102030) for i in [*range(1, 13), 20]}
     assert [(r["id"], r["icon"]) for r in made["icons"].collect()] == [(40, "cup")]
+
+
+def test_long_chain_is_joined_in_one_pass():
+    n = 60_000
+    parts = [([k, k + 1], [0.0, 0.0], [float(k), k + 1.0]) if k % 2 else ([k + 1, k], [0.0, 0.0], [k + 1.0, float(k)]) for k in range(n)]
+    begun = time.perf_counter()
+    nodes, lats, lons = roads._joined_path(parts)
+    assert nodes == list(range(n + 1)) and lons == [float(k) for k in range(n + 1)] and len(lats) == n + 1
+    assert time.perf_counter() - begun < 4
+
+
+def test_cycles_are_simplified_once(spark):
+    """The filter on what is kept isn't a second call of the function."""
+    rings = spark.createDataFrame([(1, [48.0, 48.1, 48.1, 48.0], [11.0, 11.0, 11.1, 11.0])], "id long, lats array<double>, lons array<double>")
+    made = geometry.simplify_cycles(rings, 14)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and made.count() == 1
