@@ -97,7 +97,8 @@ def _joined_path(parts: list[tuple[list[int], list[float], list[float]]]) -> tup
         if part[0][0] != nodes[-1] and part[0][-1] == nodes[-1]:
             part = tuple(c[::-1] for c in part)
         skip = int(part[0][0] == nodes[-1])
-        nodes, lats, lons = nodes + list(part[0][skip:]), lats + list(part[1][skip:]), lons + list(part[2][skip:])
+        for whole, more in zip((nodes, lats, lons), part, strict=True):
+            whole += more[skip:]
     return nodes, lats, lons
 
 
