@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import tags
 from geoloom.functions.geo import EARTH_KM, distance_m, wrap_longitude
 from geoloom.operators.components import SMALL_ROWS, components
-from geoloom.session import bounded, cut_lineage, in_parts
+from geoloom.session import bounded, cut_lineage, parts_of
 
 VERTEX_ROWS = 1_000_000  # vertices of whole streets that a task of merge_streets gathers
 
@@ -151,7 +151,8 @@ def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
     cells = cut_lineage(points.groupBy(*keys).agg(F.min("street_id").alias("rep"), *box))
     # a street's cells are linked to the first of them, so components are those of the cells' first streets
     firsts = bounded(cells.select(*keys, "rep"), SMALL_ROWS)
-    own = in_parts(points.select("street_id", *keys), VERTEX_ROWS, "street_id").join(firsts, keys).groupBy("street_id").agg(F.collect_set("rep").alias("reps"))
+    parts = parts_of(points, VERTEX_ROWS)
+    own = points.select("street_id", *keys).repartition(parts, "street_id").join(firsts, keys).groupBy("street_id").agg(F.collect_set("rep").alias("reps"))
     own = cut_lineage(own.select("street_id", F.array_min("reps").alias("home"), "reps"))
 
     other = cells.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("rep", "lo_lat", "hi_lat", "lo_lon", "hi_lon")))
@@ -190,7 +191,9 @@ def merge_streets(vertices: DataFrame, max_m: float = 900.0) -> DataFrame:
     more = cut_lineage(met.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
     merged = roots.join(components(more).toDF("root", "merged"), "root", "left").select(F.col("node").alias("home"), F.coalesce("merged", "root").alias("merged_id"))
     merged = own.select("street_id", "home").join(bounded(cut_lineage(merged), SMALL_ROWS), "home").select("street_id", "merged_id")
-    return vertices.select("street_id").distinct().join(merged, "street_id", "left").select("street_id", F.coalesce("merged_id", "street_id").alias("merged_id"))
+    # dealt before they are made distinct: a scan's task would gather the streets of all it reads
+    streets = vertices.select("street_id").repartition(parts, "street_id").distinct()
+    return streets.join(merged, "street_id", "left").select("street_id", F.coalesce("merged_id", "street_id").alias("merged_id"))
 
 
 def rewrite_buildings(buildings: DataFrame, merged: DataFrame) -> DataFrame:
