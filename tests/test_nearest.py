@@ -1,5 +1,8 @@
 import random
+import re
+from collections import Counter
 
+import pytest
 from test_addresses import metres
 
 from geoloom.operators import places
@@ -72,3 +75,37 @@ def test_city_parts_look_among_few_places(spark, monkeypatch):
         near = [(metres((lat, lon), o[3:]), o[1]) for o in of if lat is not None and o[0] == b and metres((lat, lon), o[3:]) <= reach[o[2]]]
         assert got[i] == (min(near)[1] if near else {1: "b"}.get(b))
     assert asked == [{"by": ("b_id", "kind")}]
+
+
+def nested_and_flat(spark, points, objects, step=3):
+    """Candidates of both forms; points in two tiles of several, some ids twice, far apart as well, and null."""
+    p = spark.createDataFrame(points, "id long, lat double, lon double")
+    o = spark.createDataFrame(objects, "id long, lat double, lon double, kind string")
+    return [places.closest_candidates(p, o, 13, step, of_objects=("kind",), nested=n) for n in (True, False)]
+
+
+def scattered(rnd, n, m, odd):
+    spot = lambda: (40 + rnd.randrange(40) / 200, -5 + rnd.randrange(40) / 200)
+    points = [(i, *spot()) for i in range(n)]
+    if odd:
+        points += [(i % 7, *spot()) for i in range(20)] + [(3, 60.0, 20.0), (None, 40.1, -4.9), (None, 40.1, -4.9), points[9], (11, None, 1.0)]
+    objects = [(i, *spot(), rnd.choice(["CITY", "TOWN", "VILLAGE", None])) for i in range(m)]
+    return points, objects + [objects[3], (4, 40.0, -5.0, "HAMLET")] * odd
+
+
+@pytest.mark.parametrize("odd", [False, True])
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_nested_candidates_are_the_same_pairs(spark, monkeypatch, odd, few):
+    monkeypatch.setattr(places, "AROUND_ROWS", few)
+    nested, flat = nested_and_flat(spark, *scattered(random.Random(3), 700, 40, odd))
+    got = Counter(map(tuple, places.candidate_pairs(nested).collect()))
+    assert got == Counter(map(tuple, flat.select("p_id", "o_id", "ring").collect())) and len(got) > 5000
+
+
+def test_pairs_are_not_sorted_and_stand_object_by_object(spark):
+    nested, _ = nested_and_flat(spark, [(i, 40.0, -5.0) for i in range(600)], [(i, 40.0, -5.0, "CITY") for i in range(50)])
+    pairs = places.candidate_pairs(nested)
+    assert not re.search(r"Sort \[p_id|Window", pairs._jdf.queryExecution().executedPlan().toString())
+    rows = pairs.collect()
+    assert len(rows) == 600 * 50
+    assert sum(a["o_id"] != b["o_id"] for a, b in zip(rows, rows[1:], strict=False)) < 1000  # not one run a pair
