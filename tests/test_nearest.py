@@ -3,8 +3,10 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_addresses import metres
 
+from geoloom.functions.geo import rounded
 from geoloom.operators import places
 
 
@@ -109,3 +111,19 @@ def test_pairs_are_not_sorted_and_stand_object_by_object(spark):
     rows = pairs.collect()
     assert len(rows) == 600 * 50
     assert sum(a["o_id"] != b["o_id"] for a, b in zip(rows, rows[1:], strict=False)) < 1000  # not one run a pair
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_nested_candidates_are_ranked_without_a_sort(spark, odd):
+    nested, flat = nested_and_flat(spark, *scattered(random.Random(6), 500, 60, odd))
+    ranked = places.relative_order(nested)
+    assert "row_number" not in ranked._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((str(r["p_id"]), r["rank"], r["o_id"], round(r["rel"], 6)) for r in df.collect())
+    assert rows(ranked) == rows(places.relative_order(flat))
+
+
+def test_rounded_is_round(spark):
+    rnd = random.Random(2)
+    values = [rnd.uniform(-3, 3) for _ in range(3000)] + [round(rnd.uniform(0, 9), 6) + 5e-7 for _ in range(3000)] + [1e300, -1e18, 0.0, 2.5, 1e9 + 0.1234565, float("nan"), float("inf"), None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(rounded("v", 6).alias("a"), F.round("v", 6).alias("b")).collect()
+    assert all(repr(r["a"]) == repr(r["b"]) or r["a"] == r["b"] for r in rows)
