@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,9 +230,13 @@ def _(t: Tables) -> DataFrame:
  SELECT p_id, o_id FROM a WHERE taken OR (NOT any_taken AND rank=1)""",
 )
 def _(t: Tables) -> DataFrame:
-    k = F.col("p_id") + F.col("o_id")
-    flat = places.closest_candidates(t.address, _cities(t), places.TOWN_ZOOM, of_objects=("kind",))
-    return places.streets_to_cities(flat.withColumns({"contains": k % 9 == 0, "has_boundary": F.col("o_id") % 2 == 0, "named": k % 11 == 0}))
+    def flags(points: pa.StructArray, objects: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """contains where the ids' sum can be divided by 9, named where by 11."""
+        p, o = points.field("p_id").to_numpy(zero_copy_only=False), objects.field("o_id").to_numpy(zero_copy_only=False)
+        divided = lambda n: np.mod(p, n).astype("int8")[:, None] == np.mod(-o, n).astype("int8")
+        return divided(9), divided(11), o % 2 == 0
+
+    return places.streets_to_cities(_candidates(t), flags=flags)
 
 
 @query(

@@ -127,3 +127,22 @@ def test_rounded_is_round(spark):
     values = [rnd.uniform(-3, 3) for _ in range(3000)] + [round(rnd.uniform(0, 9), 6) + 5e-7 for _ in range(3000)] + [1e300, -1e18, 0.0, 2.5, 1e9 + 0.1234565, float("nan"), float("inf"), None]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select(rounded("v", 6).alias("a"), F.round("v", 6).alias("b")).collect()
     assert all(repr(r["a"]) == repr(r["b"]) or r["a"] == r["b"] for r in rows)
+
+
+@pytest.mark.parametrize("odd", [False, True])
+@pytest.mark.parametrize("every", [1, 13, 10**6])
+def test_streets_of_nested_candidates(spark, odd, every):
+    """As from candidates one by one: what contains or names, what is near, else the nearest; without a sort."""
+    points, objects = scattered(random.Random(every), 300, 60, odd)
+    nested, flat = nested_and_flat(spark, [p for p in points if p[0] is not None], objects)
+
+    def flags(p, o):
+        total = p.field("p_id").to_numpy(zero_copy_only=False)[:, None] + o.field("o_id").to_numpy(zero_copy_only=False)
+        return total % every == 5, total % every == 7, o.field("o_id").to_numpy(zero_copy_only=False) % 3 > 0
+
+    k = F.col("p_id") + F.col("o_id")
+    made = places.streets_to_cities(nested, flags=flags)
+    assert "row_number" not in made._jdf.queryExecution().executedPlan().toString()
+    want = places.streets_to_cities(flat.withColumns({"contains": k % every == 5, "named": k % every == 7, "has_boundary": F.col("o_id") % 3 > 0}))
+    got = Counter(map(tuple, made.collect()))
+    assert got == Counter(map(tuple, want.collect())) and len(got) >= 300
