@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geo
 from geoloom.operators import geometry, mapobj, multipolygon, rules
-from geoloom.session import cut_lineage, in_parts
+from geoloom.session import cut_lineage, in_parts, written
 
 #: fixed values: pixel boxes up to which merged lines are too small to draw, closed and open ones
 SMALL_CLOSED, SMALL_OPEN = (3, 4), (2, 8)
@@ -43,8 +43,10 @@ def generalise(
     typed = rules.encode_levels(named, rule_table, {level: high for level, _, high in levels}, "name").select("level", "id", "types", "add_types", "name")
     if polygons is not None:
         typed = cut_lineage(typed)
-    objects = typed.join(shapes.where(F.size("lats") > 0), "id").withColumn("holes", F.array().cast(f"array<{multipolygon.RING}>"))
-    objects = cut_lineage(objects)
+    # a shape is written once, beside all its levels
+    seen = typed.groupBy("id").agg(F.collect_list(F.struct("level", "types", "add_types", "name")).alias("seen"))
+    objects = written(seen.join(shapes.where(F.size("lats") > 0).select("id", "node_ids", "lats", "lons"), "id"))
+    objects = objects.select("id", F.inline("seen"), "node_ids", "lats", "lons").withColumn("holes", F.array().cast(f"array<{multipolygon.RING}>"))
     closed = (F.size("node_ids") > 1) & (F.element_at("node_ids", 1) == F.element_at("node_ids", -1))
     low = objects.where("level > 0")
     full = objects.where("level = 0").withColumn("form", F.lit("full")).select(*OUT)
@@ -57,8 +59,9 @@ def generalise(
     placed = placed.agg(F.array_sort(F.collect_list(F.struct("ord", "lat", "lon"))).alias("pts"))
     cut = F.array_position("types", F.lit(-1)).cast("int")
     placed = placed.withColumns({"add_types": F.slice("types", cut + 1, F.size("types") - cut), "types": F.slice("types", F.lit(1), cut - 1)})
-    placed = placed.withColumns({"lats": F.col("pts.lat"), "lons": F.col("pts.lon"), "holes": F.array().cast(f"array<{multipolygon.RING}>")})
-    placed = cut_lineage(placed)
+    placed = written(placed.select("level", "id", "types", "add_types", "name", "round", F.col("pts.lat").alias("lats"), F.col("pts.lon").alias("lons")))
+    point = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
+    placed = placed.withColumns({"pts": F.zip_with("lats", "lons", point), "holes": F.array().cast(f"array<{multipolygon.RING}>")})
 
     parts = [full, points]
     if polygons is not None:

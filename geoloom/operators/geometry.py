@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators.chains import chain_positions
 from geoloom.operators.components import GROUP_ROWS, components, dealt
-from geoloom.session import cut_lineage, in_parts, ranked
+from geoloom.session import cut_lineage, in_parts, ranked, written
 
 MERCATOR_LIMIT = 85.0511
 MEMBER_ROWS = 20_000  # member ways that a task joins
@@ -366,7 +366,7 @@ def merge_lines(lines: DataFrame) -> DataFrame:
     """
     kind = F.array_join(F.col("types").cast("array<string>"), ",")
     lines = ranked(lines.select("id", "level", "types", "name", "node_ids", kind.alias("kind")), "id", "level", "kind")
-    lines = cut_lineage(lines.withColumnRenamed("n", "line"))
+    lines = written(lines.withColumnRenamed("n", "line"))
     some = lines.where(F.size("node_ids") > 0)
     turn = F.row_number().over(Window.partitionBy("level", "kind", "node").orderBy("line"))
     ends = some.select("level", "kind", F.element_at("node_ids", -1).alias("node"), "line").withColumn("turn", turn)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as Parquet files in the shared folder, read again: for wide rows, which a checkpoint writes whole and
+    uncompressed. Spark's cleaner is told that the shuffles that made them can go."""
+    folder = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(folder)
+    df.sparkSession._jvm.System.gc()  # shuffle files go with the driver's objects for them
+    return df.sparkSession.read.schema(schema).parquet(folder)
+
+
 def ranked(df: DataFrame, *columns: str) -> DataFrame:
     """Adds n, each row's place from 1 in the order of `columns`. The rows are sorted by range; a row's
     place is its number inside its range after the sizes of the ranges before, so no task sees them all."""

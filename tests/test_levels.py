@@ -211,6 +211,20 @@ def test_levels_are_generalised(spark):
     assert got[0, 1]["min_lat"] == min(at(ways[1][2], 0)) and got[0, 1]["max_lon"] == max(at(ways[1][2], 1))
 
 
+def test_geometry_is_written_once(spark, monkeypatch):
+    """A shape that is seen at all four levels is one row of what I4 writes, and a merged line has its points once."""
+    kept = []
+    monkeypatch.setattr(generalise, "written", lambda df, write=generalise.written: kept.append(write(df)) or kept[-1])
+    table = rules.rule_table(spark, [{"tag": "highway", "value": "motorway", "minzoom": 1, "maxzoom": 31}])
+    nodes = [(n, 48 + n / 500, 11 + n / 700) for n in range(40)]
+    shapes = [(i, [4 * i + k for k in range(4)], [nodes[4 * i + k][1] for k in range(4)], [nodes[4 * i + k][2] for k in range(4)]) for i in range(9)]
+    frames = spark.createDataFrame([(i, {"highway": "motorway"}, False) for i in range(9)], "id long, tags map<string,string>, is_node boolean")
+    shapes = spark.createDataFrame(shapes, "id long, node_ids array<long>, lats array<double>, lons array<double>")
+    made = generalise.generalise(frames, shapes, spark.createDataFrame(nodes, "id long, lat double, lon double"), table)
+    assert {(r["level"], r["count"]) for r in made.groupBy("level").count().collect()} == {(level, 9) for level in range(4)}
+    assert [df.count() for df in kept] == [9, 27] and "pts" not in kept[1].columns
+
+
 def test_render_set_values(spark):
     def row(i, tag, value, level=0, x=200, n=2):
         pts = [(x + k, 200 + i) for k in range(n)]
