@@ -2,12 +2,13 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_addresses import metres
 
 from geoloom.functions.geo import rounded
-from geoloom.operators import places
+from geoloom.operators import nearby, places
 
 
 def test_nearest_object_matches_brute_force(spark):
@@ -136,9 +137,10 @@ def test_streets_of_nested_candidates(spark, odd, every):
     points, objects = scattered(random.Random(every), 300, 60, odd)
     nested, flat = nested_and_flat(spark, [p for p in points if p[0] is not None], objects)
 
-    def flags(p, o):
-        total = p.field("p_id").to_numpy(zero_copy_only=False)[:, None] + o.field("o_id").to_numpy(zero_copy_only=False)
-        return total % every == 5, total % every == 7, o.field("o_id").to_numpy(zero_copy_only=False) % 3 > 0
+    def flags(objects):
+        o = objects.field("o_id").to_numpy(zero_copy_only=False)
+        total = lambda points: points.field("p_id").to_numpy(zero_copy_only=False)[:, None] + o
+        return lambda points: (total(points) % every == 5, total(points) % every == 7, o % 3 > 0)
 
     k = F.col("p_id") + F.col("o_id")
     made = places.streets_to_cities(nested, flags=flags)
@@ -146,3 +148,9 @@ def test_streets_of_nested_candidates(spark, odd, every):
     want = places.streets_to_cities(flat.withColumns({"contains": k % every == 5, "named": k % every == 7, "has_boundary": F.col("o_id") % 3 > 0}))
     got = Counter(map(tuple, made.collect()))
     assert got == Counter(map(tuple, want.collect())) and len(got) >= 300
+
+
+def test_lists_and_texts_meet_many_objects():
+    ids, names = pa.array([5, None, 7, 5, 9]), pa.array(["ab", "", None, "b c", "ab"])
+    assert nearby.listed(ids)(pa.array([[5, 8], None, [], [9, 7]])).astype(int).tolist() == [[1, 0, 0, 1, 0], [0] * 5, [0] * 5, [0, 0, 1, 0, 1]]
+    assert nearby.contained(names)(pa.array(["xab c", None, "", "b"])).astype(int).tolist() == [[1, 1, 0, 1, 1], [0] * 5, [0, 1, 0, 0, 0], [0, 1, 0, 0, 0]]
